@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,55 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.sharding import assign
+
+    placed = assign(_table(spark, sf_dir, "documents"), 8)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.substring import remove_repeats
+
+    kept = remove_repeats(_table(spark, sf_dir, "documents"), 13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.exact import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontam import decontaminate
+
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 13, 5)
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("hit_positions").cast("long").alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op6_sharding": op6_sharding,
+    "op8_substring": op8_substring,
+    "op9_exact": op9_exact,
+    "op10_decontam": op10_decontam,
+}
 #: DuckDB SQL for those that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents
+        ), g AS (
+            SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY length(t) DESC, doc_id) AS keep_id,
+                   count(*) OVER (PARTITION BY norm) AS group_size FROM d
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+}

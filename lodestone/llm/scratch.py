@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+#: Spark's setting that deletes a query's shuffle files as it ends, not when the driver collects garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,7 +42,11 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table and return a DataFrame that reads it."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        self.spark.conf.set(_FREE, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(_FREE)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
