@@ -16,6 +16,41 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+#: A public vocabulary file; any SentencePiece model with identity normalisation serves.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.html import extract
+
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    from lodestone.llm.sentencepiece import encode, read_model
+
+    coded = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(spark, tokenizer))
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.langid import fit, predict
+
+    held_out = "crc32(CAST(doc_id AS STRING)) % 3 = 1"
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, f"NOT coalesce({held_out}, false)")
+    found = predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.expr(f"coalesce({held_out}, false)").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, scorer = fit(docs)
+    return score(docs, scorer).select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.sharding import assign
 
@@ -23,6 +58,16 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.toxicity import fit, score
+
+    held_out = "crc32(CAST(doc_id AS STRING)) % 5 = 0"
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fit(docs, _table(spark, sf_dir, "labels"), f"NOT coalesce({held_out}, false)")
+    scored = score(docs, machine)
+    return scored.select("doc_id", F.expr(f"coalesce({held_out}, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.substring import remove_repeats
 
@@ -52,7 +97,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_html": op2_html,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_langid": op4_langid,
+    "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
     "op8_substring": op8_substring,
     "op9_exact": op9_exact,
     "op10_decontam": op10_decontam,
