@@ -4,17 +4,18 @@
    set's size, a 128-bit fingerprint, minima under ``bands * rows`` universal hash
    functions (hashed into one key a band) and a sketch of 4 bits a minimum.
 2. Equal sets collapse to their least id, so copies never meet as pairs.
-3. In each bucket every member is compared with the bucket's least id by sketch;
-   the best such partner of each member is verified on full sets, and verified
-   links become components.
-4. In buckets that still hold several components, members of different
-   components are compared by sketch in blocks, and what passes is verified on
-   full sets.  Pairs within a component need no check: they cannot change it.
+3. A bucket's least id leads it.  Each member and the leader with which it shares
+   most buckets are compared by sketch, then verified on full sets, and members
+   of one leader get one label.
+4. In buckets that hold several labels, members of different labels are compared in blocks by a finer sketch (2,048 minima, one bit
+   each), and what passes is verified on full sets.  Pairs of one label need no check: they are connected.  Components
+   of all verified links follow.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from lodestone.llm.scratch import Scratch
 BANDS, ROWS = 32, 4
 #: Sketch words of 16 minima, 4 bits each.
 SKETCH = BANDS * ROWS // 16
+#: Minima of the fine sketch, one bit each, of members of buckets that hold several components.
+FINE = 2048
 #: Members of a bucket that one task compares with each other at once.
-BLOCK = 512
+BLOCK = 256
 
 
 def sketch_limit(similarity: float, minima: int = BANDS * ROWS, deviations: float = 5.5) -> int:
@@ -116,6 +119,34 @@ def _signer(width: int):
     return sign
 
 
+FINE_SKETCH = "rep long, n long, fine array<long>"
+
+
+def _fine_signer(width: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = ts.seeded(FINE, 19) | np.uint64(1), ts.seeded(FINE, 29)
+        for batch in batches:
+            for texts in ts.chunks(batch.column(1)):
+                values, first = shingle_sets(texts, width)
+                n = len(texts)
+                bits = np.zeros((n, FINE), np.uint8)
+                for i in range(n):
+                    for k in range(0, FINE, 256):
+                        low = _minima(values[first[i] : first[i + 1]], a[k : k + 256], b[k : k + 256])
+                        bits[i, k : k + 256] = ts.mix(low) >> np.uint64(63)
+                packed = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * (FINE // 64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first_row, n), pa.array(np.diff(first)), pa.ListArray.from_arrays(offsets, pa.array(packed))], names=["rep", "n", "fine"])
+
+    return sign
+
+
+def fine_limit(similarity: float, deviations: float = 5.5) -> int:
+    """Differing bits of the fine sketch up to which a pair may have the similarity: bits agree by chance once in 2."""
+    differ = (1 - similarity) / 2
+    return int(FINE * differ + deviations * (FINE * differ * (1 - differ)) ** 0.5)
+
+
 def _set_maker(width: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,10 +183,67 @@ def _differing(x: str, y: str) -> Column:
     return total
 
 
+DEALT = ["band", "i", "j", "block", "rep", "component", "n", "fine", "bands"]
+
+
+def _crosser(similarity: float):
+    """Rows sorted by (band, i, j) to pairs (a, b) of different labels whose fine sketches allow the similarity.
+
+    Blocks i < j are compared with each other, i = j within; a pair comes out of
+    the first bucket that it shares only.  Memory is bounded by two blocks.
+    """
+    limit = fine_limit(similarity)
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def group(band: int, within: bool, block, rep, label, n, fine, bands) -> tuple[np.ndarray, np.ndarray]:
+        if within:
+            x, y = np.triu_indices(len(rep), 1)
+        else:
+            first = block == block.min()
+            x, y = (k.ravel() for k in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first), indexing="ij"))
+        ok = (label[x] != label[y]) & (rep[x] != rep[y]) & (np.minimum(n[x], n[y]) >= np.maximum(n[x], n[y]) * (similarity - 1e-9))
+        x, y = x[ok], y[ok]
+        found = []
+        for k in range(0, len(x), 20_000):
+            p, q = x[k : k + 20_000], y[k : k + 20_000]
+            near = np.bitwise_count((fine[p] ^ fine[q]).view(np.uint64)).sum(axis=1, dtype=np.int32) <= limit
+            p, q = p[near], q[near]
+            same = bands[p] == bands[q]
+            here = bands[p, same.argmax(axis=1)] == band
+            found.append((p[here], q[here]))
+        x, y = (np.concatenate([f[k] for f in found]) if found else x[:0] for k in (0, 1))
+        return np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain(batches, [None]):
+            table = rest if batch is None else batch if rest is None else pa.concat_batches([rest, batch])
+            if table is None or not table.num_rows:
+                continue
+            band, i, j, block, rep, label, n = (table.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            fine, bands = matrix(table.column(7)), matrix(table.column(8))
+            cuts = np.flatnonzero((band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            cuts = np.concatenate(([0], cuts, [len(band)] if batch is None else []))  # the last group may go on
+            pairs = []
+            for s, e in zip(cuts[:-1].astype(int), cuts[1:].astype(int)):
+                if e - s > 1:
+                    pairs.append(group(band[s], i[s] == j[s], block[s:e], rep[s:e], label[s:e], n[s:e], fine[s:e], bands[s:e]))
+            rest = None if batch is None else table.slice(int(cuts[-1]))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs])) for k in (0, 1)], names=["a", "b"])
+
+    return cross
+
+
+def _sizes_allow(x: str, y: str, similarity: float) -> Column:
+    return F.least(f"n_{x}", f"n_{y}") >= F.greatest(f"n_{x}", f"n_{y}") * F.lit(similarity - 1e-9)
+
+
 def _may_link(x: str, y: str, similarity: float) -> Column:
     """Sizes and sketches allow the similarity."""
-    sizes = F.least(f"n_{x}", f"n_{y}") >= F.greatest(f"n_{x}", f"n_{y}") * F.lit(similarity - 1e-9)
-    return sizes & (_differing(f"sketch_{x}", f"sketch_{y}") <= sketch_limit(similarity))
+    return _sizes_allow(x, y, similarity) & (_differing(f"sketch_{x}", f"sketch_{y}") <= sketch_limit(similarity))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.75, scratch: Scratch | None = None) -> DataFrame:
@@ -174,8 +262,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.75, s
     key = ["set_a", "set_b", "n_shingles"]
 
     sets = scratch.save(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), "sets")
-    unique = filled.join(sets.withColumnRenamed("rep", "doc_id"), ["doc_id", *key])
-    reps = scratch.save(unique.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sketch"), "reps")
+    owned = scratch.save(filled.join(sets, key), "owned")
+    reps = owned.filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch")
 
     rows = reps.select(F.explode("bands").alias("band"), "rep")
     shared = scratch.save(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).filter("size > 1"), "shared")
@@ -184,44 +272,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.75, s
     def side(x: str) -> DataFrame:
         return reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
-    # the best leader of each member
-    stars = buckets.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = scratch.save(scratch.save(stars, "stars").join(side("b"), "b"), "stars-b").join(side("a"), "a").filter(_may_link("a", "b", similarity))
-    best = stars.groupBy("b").agg(F.min(F.struct(_differing("sketch_a", "sketch_b").alias("differing"), "a")).alias("best"))
-    first = scratch.save(best.select(F.col("best.a").alias("a"), "b"), "first")
+    # of each member's leaders the one with which it shares most buckets
+    stars = buckets.filter("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("shared"))
+    stars = stars.groupBy("rep").agg(F.max(F.struct("shared", F.bitwise_not("leader").alias("reversed"))).alias("best"))
+    stars = scratch.save(stars.select(F.bitwise_not("best.reversed").alias("a"), F.col("rep").alias("b")), "stars")
+    first = scratch.save(stars.join(side("b"), "b"), "stars-b").join(side("a"), "a").filter(_may_link("a", "b", similarity)).select("a", "b")
+    first = scratch.save(first, "first")
     links = _verified(texts, first, width, similarity, scratch, "first")
 
     # the same id with several texts
-    several = filled.join(sets, key).select("doc_id", "rep").distinct()
-    several = several.join(several.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1"), "doc_id")
-    links = links.union(scratch.save(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b"), "several"))
-    found = scratch.save(components(links, scratch, "cc1"), "found")
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps")).filter("a < b")
+    links = links.union(scratch.save(several.select(F.explode("reps").alias("a"), F.col("doc_id").alias("b")).filter("a <> b"), "several"))
+
+    # verified leaders lead down to smaller ids: two jumps give members that share a leader one label
+    parent = links.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("up"))
+    parent = scratch.save(parent, "parent")
+    up = parent.select(F.col("id").alias("up"), F.col("up").alias("upper"))
+    found = scratch.save(parent.join(up, "up", "left").select("id", F.coalesce("upper", "up").alias("up")).join(up, "up", "left").select("id", F.coalesce("upper", "up").alias("component")), "found")
 
-    # buckets that still hold several components
+    # buckets that may still hold several components
     mixed = buckets.select("band", "rep", "size").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     mixed = scratch.save(mixed.withColumn("component", F.coalesce("component", "rep")), "mixed")
     several = scratch.save(mixed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band"), "mixed-bands")
-    mixed = scratch.save(mixed.join(several, "band"), "mixed-rows").join(reps, "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mixed = scratch.save(mixed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")), "mixed-sketches")
-
-    def dealt(x: str, own: str, other: str) -> DataFrame:
-        return mixed.select(
-            "band", F.col("block").alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other),
-            F.col("rep").alias(x), F.col("component").alias(f"component_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"),
-        )
-
-    crossing = (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _may_link("a", "b", similarity)
-    met = dealt("a", "i", "j").hint("merge").join(dealt("b", "j", "i"), ["band", "i", "j"]).filter(crossing)
-    rest = scratch.save(met.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "rest")
-    scratch.drop("stars", "stars-b", "mixed", "mixed-rows", "mixed-bands", "shared", "buckets", "mixed-sketches")
+    mixed = scratch.save(mixed.join(several, "band"), "mixed-rows")
+    ids = scratch.save(mixed.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
+    fine = scratch.save(texts.join(ids, "doc_id").mapInArrow(_fine_signer(width), FINE_SKETCH), "fine").filter("n > 0")
+    mixed = mixed.join(fine, "rep").join(reps.select("rep", "bands"), "rep")
+    mixed = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = dealt.select(*DEALT).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    rest = dealt.mapInArrow(_crosser(similarity), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    rest = scratch.save(rest, "rest")
+    scratch.drop("stars", "stars-b", "mixed", "mixed-rows", "mixed-bands", "mixed-ids", "fine", "shared", "buckets")
     more = _verified(texts, rest, width, similarity, scratch, "rest")
-    found = scratch.save(components(links.union(more), scratch, "cc2"), "components")
-    scratch.drop("first", "first-links", "rest", "rest-links", "several", "found", "reps")
+    found = scratch.save(components(links.union(more), scratch, "cc"), "components")
+    scratch.drop("first", "first-links", "rest", "rest-links", "several", "parent", "found")
 
-    own = signed.select("doc_id", *key).join(sets, key, "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    empty = signed.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = owned.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    every = joined.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")).union(empty)
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
