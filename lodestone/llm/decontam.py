@@ -53,7 +53,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).filter("item_id IS NOT NULL AND size(words) > 0")
     items = items.withColumn("m", F.least(F.size("words"), F.lit(window)))
     starts = F.sequence(F.lit(1), F.size("words") - F.col("m") + 1)
-    return items.select("item_id", "m", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.col("m")))).alias("words")).distinct()
+    return items.select("item_id", "m", F.explode_outer(F.transform(starts, lambda i: F.slice("words", i, F.col("m")))).alias("words")).distinct()
 
 
 def hit_documents(docs: DataFrame, windows: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
@@ -67,7 +67,7 @@ def hit_documents(docs: DataFrame, windows: DataFrame, lengths: list[int], scrat
         probes.append(_hashed_grams(at, g, m))
         inside = F.sequence(F.lit(1), F.lit(m - g + 1))
         of_m = windows.filter(F.col("m") == m)
-        grams.append(of_m.select(F.explode(_hashed_grams(inside, g, m)).alias("gram")))
+        grams.append(of_m.select(F.explode_outer(_hashed_grams(inside, g, m)).alias("gram")))
     known = grams[0]
     for other in grams[1:]:
         known = known.union(other)
@@ -75,7 +75,8 @@ def hit_documents(docs: DataFrame, windows: DataFrame, lengths: list[int], scrat
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     every = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<bigint>")) for p in probes])) if len(probes) > 1 else probes[0]
-    probed = tokens.select("doc_id", every.alias("probes")).select("doc_id", F.explode("probes").alias("gram"))
+    # explode() would have its input's size tested in a filter below, and there the words anew for every gram
+    probed = tokens.select("doc_id", every.alias("probes")).select("doc_id", F.explode_outer("probes").alias("gram"))
     return probed.join(known, "gram", "left_semi").select("doc_id").distinct()
 
 
@@ -101,7 +102,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     for m in lengths:
         starts = F.when(F.size("words") >= m, F.sequence(F.lit(0), F.size("words") - m))
         spans = _spans(starts, m)
-        each = tokens.select("doc_id", "text_key", F.inline(spans))
+        each = tokens.select("doc_id", "text_key", F.inline_outer(spans))
         met = each.join(windows.filter(F.col("m") == m).select("item_id", "words"), "words")
         part = met.select("doc_id", "text_key", "item_id", "at", F.lit(m).alias("m"))
         found = part if found is None else found.union(part)
