@@ -1,0 +1,91 @@
+"""Ticket exports: normalisation, references to merge requests, comments."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ISSUE = (
+    "key string, fields struct<summary: string, description: string, status: struct<name: string>, resolution: struct<name: string>, issuetype: struct<name: string>, priority: struct<name: string>, "
+    "assignee: struct<displayName: string>, reporter: struct<displayName: string>, labels: array<string>, components: array<struct<name: string>>, fixVersions: array<struct<name: string>>, parent: struct<key: string>, "
+    "created: string, updated: string, resolutiondate: string, comment: struct<comments: array<struct<author: struct<displayName: string, emailAddress: string>, body: string, created: string>>>, "
+    "issuelinks: array<struct<outwardIssue: struct<self: string>, inwardIssue: struct<self: string>>>>"
+)
+
+
+def jql(projects: list[str], since: str | None = None, statuses: list[str] | None = None) -> str:
+    """A query: projects first, then statuses, then a lower bound of the update day, joined by AND."""
+    parts = []
+    if projects:
+        parts.append("project in (" + ", ".join(projects) + ")")
+    if statuses:
+        parts.append("status in (" + ", ".join(f'"{s}"' for s in statuses) + ")")
+    if since:
+        parts.append(f'updated >= "{since}"')
+    return " AND ".join(parts)
+
+
+def normalise(raw: DataFrame, column: str = "value") -> DataFrame:
+    """A column of issue JSON to the flat ticket schema; absent parts become empty."""
+    x = raw.withColumn("issue", F.from_json(column, ISSUE))
+    f = "issue.fields."
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    names = lambda c: F.coalesce(F.transform(F.col(c), lambda y: y["name"]), F.array().cast("array<string>"))
+    links = F.flatten(F.transform(F.coalesce(F.col(f + "issuelinks"), F.array().cast(raw.sparkSession.createDataFrame([], ISSUE).schema["fields"].dataType["issuelinks"].dataType)), lambda y: F.array(y["outwardIssue"]["self"], y["inwardIssue"]["self"])))
+    return x.select(
+        text("issue.key").alias("key"), text(f + "summary").alias("title"), text(f + "description").alias("description"), text(f + "status.name").alias("status"),
+        text(f + "resolution.name").alias("resolution"), text(f + "issuetype.name").alias("issue_type"), text(f + "priority.name").alias("priority"),
+        text(f + "assignee.displayName").alias("assignee"), text(f + "reporter.displayName").alias("reporter"),
+        F.coalesce(F.col(f + "labels"), F.array().cast("array<string>")).alias("labels"), names(f + "components").alias("components"), names(f + "fixVersions").alias("fix_versions"),
+        text(f + "parent.key").alias("parent"), text(f + "created").alias("created"), text(f + "updated").alias("updated"), text(f + "resolutiondate").alias("resolved"),
+        comments(F.col(f + "comment.comments")).alias("comments"), linked_requests(links).alias("linked_prs"),
+    )
+
+
+def comments(raw: Column) -> Column:
+    """array<struct<author, body, created>>: the author's name, else address, else "?"."""
+    made = F.transform(raw, lambda c: F.struct(F.coalesce(c["author"]["displayName"], c["author"]["emailAddress"], F.lit("?")).alias("author"), F.coalesce(c["body"], F.lit("")).alias("body"), F.coalesce(c["created"], F.lit("")).alias("created")))
+    return F.coalesce(made, F.array().cast("array<struct<author: string, body: string, created: string>>"))
+
+
+def linked_requests(urls: Column) -> Column:
+    """The links that name a pull or merge request."""
+    return F.filter(urls, lambda u: u.contains("pull") | u.contains("merge_request"))
+
+
+# Addresses of pull and merge requests.
+GITHUB = r"https?://github\.com/([^/\s]+)/([^/\s]+)/pull/(\d+)"
+GITLAB = r"https?://[^/\s]*gitlab[^/\s]*/([^/\s]+)/([^/\s]+)/-/merge_requests/(\d+)"
+
+
+def request_refs(text: Column, gitlab: str = "https://gitlab.com") -> Column:
+    """Canonical github:owner/repo/n and gitlab:base/owner/repo/n of a text, first occurrences in order."""
+    def refs(pattern: str, prefix: str) -> Column:
+        whole = F.regexp_extract_all(text, F.lit("(" + pattern + ")"), F.lit(1))
+        return F.transform(whole, lambda u: F.concat(F.lit(prefix), F.regexp_replace(u, "(?i)" + pattern, "$1/$2/$3")))
+
+    return F.array_distinct(F.concat(refs("(?i)" + GITHUB, "github:"), refs("(?i)" + GITLAB, f"gitlab:{gitlab}/")))
+
+
+def rich_text(node: str | None) -> str:
+    """The plain text of a rich-text JSON tree: block nodes end lines, others join by a space."""
+    blocks = {"paragraph", "heading", "listItem", "bulletList", "orderedList"}
+
+    def walk(x) -> str:
+        if isinstance(x, str):
+            return x
+        if isinstance(x, list):
+            return " ".join(filter(None, map(walk, x)))
+        if not isinstance(x, dict):
+            return ""
+        if x.get("type") == "text":
+            return x.get("text", "")
+        parts = [walk(c) for c in x.get("content", [])]
+        return ("\n" if x.get("type") in blocks else " ").join(p for p in parts if p).strip()
+
+    try:
+        return walk(json.loads(node or "")).strip()
+    except ValueError:
+        return node or ""
