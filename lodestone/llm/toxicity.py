@@ -204,9 +204,12 @@ def kernel(found: Units, rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     place[columns] = np.arange(len(columns))
     out = np.zeros((len(rows), len(landmarks)), np.float32)
     for own, keys, w in _features(found, rows):
-        for k in range(0, len(own), 512):
-            at = place[keys[k : k + 512]]
-            out[own[k : k + 512]] = np.einsum("ntl,t->nl", table[at], w.astype(np.float32), optimize=True) if at.size else 0
+        for k in range(0, len(own), 4096):
+            at = place[keys[k : k + 4096]]
+            sums = np.zeros((len(at), len(landmarks)), np.float32)
+            for t, weight in enumerate(w.astype(np.float32)):
+                sums += weight * table[at[:, t]]
+            out[own[k : k + 4096]] = sums
     return out
 
 
@@ -350,7 +353,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, training: str, max_rows:
     return rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: str = "true", max_rows: int = 2500) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, training: str = "true", max_rows: int = 1500) -> Machine:
     """A machine from labels (doc_id, toxic) and the texts of docs; max_rows bounds the rows of each class that the driver fits on."""
     rows = training_sample(docs, labels, training, max_rows)
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
