@@ -107,8 +107,37 @@ QUERIES = {
     "op9_exact": op9_exact,
     "op10_decontam": op10_decontam,
 }
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: DuckDB SQL for those that SQL can express over whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT *, unnest(generate_series(1, greatest(len(ws) - 4, least(len(ws), 1)))) AS i FROM d)
+        ), n AS (
+            SELECT doc_id, count(k) AS n FROM d LEFT JOIN s USING (doc_id) GROUP BY 1
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2
+        ), e AS (
+            SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)
+        ), both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (
+            SELECT doc_id, doc_id AS root FROM n UNION SELECT y, root FROM r JOIN both_ways ON x = doc_id
+        )
+        SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r JOIN n USING (doc_id) GROUP BY 1, 2""",
+    "op8_substring": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), w AS (
+            SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT *, unnest(generate_series(1, len(ws) - 12)) AS i FROM d)
+        ), f AS (
+            SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM w
+        ), g AS (
+            SELECT doc_id, list(p) AS ps FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM f WHERE first < doc_id) GROUP BY 1
+        )
+        SELECT doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed,
+               sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
     "op9_exact": r"""
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents
@@ -117,4 +146,22 @@ ORACLE_SQL: dict[str, str] = {
                    count(*) OVER (PARTITION BY norm) AS group_size FROM d
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g""",
+    "op10_decontam": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+        ), b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+        ), bw AS (
+            SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS k
+            FROM (SELECT *, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM (SELECT *, least(13, len(ws)) AS m FROM b WHERE len(ws) > 0))
+        ), dw AS (
+            SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS k FROM (SELECT d.*, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM bw))
+        ), h AS (SELECT doc_id, item_id, i, m FROM dw JOIN bw USING (m, k)), hits AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS p FROM h) GROUP BY 1
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1
+        )
+        SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
+        FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }
