@@ -17,10 +17,10 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from lodestone.llm import textscan as ts
+from lodestone.llm.sample import sampled_texts
 
 BIGRAMS, TRIGRAM_BITS = 1 << 16, 17
 #: Index of n-grams that count for nothing: those that would run into the next text.
@@ -132,9 +132,9 @@ def train(texts: list[str], languages: list[str]) -> Model | None:
 
 def fit(docs: DataFrame, training: str = "true", max_rows: int = 1500) -> Model | None:
     """A model from docs (doc_id, text, lang); training is an SQL condition, max_rows bounds each language's sample, least hash first."""
-    rows = docs.filter(training).filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("doc_id").alias("rank"), "doc_id")
-    names = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    sample = [r for g in names for r in rows.filter(F.col("lang") == g).orderBy("rank", "doc_id").select("text", "lang").limit(max_rows).collect()]
+    rows = docs.filter(training).filter("lang IS NOT NULL")
+    names = sorted(r[0] for r in rows.select("lang").distinct().collect())  # a row for each language
+    sample = [r for r in sampled_texts(docs, rows, "lang", names, max_rows) if r["text"]]
     return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lodestone.llm import textscan as ts
+from lodestone.llm.sample import sampled_texts
 
 #: Hashed features: byte-class trigrams, then statistics by bucket.
 DIMS = 4096
@@ -232,7 +233,7 @@ def fit(docs: DataFrame, max_rows: int = 4000) -> tuple[LabelModel, Scorer]:
     voted = vote_patterns(docs.select("doc_id", "text"))
     counted = voted.groupBy("votes").count().collect()  # at most 3 ** labellers rows
     model = estimate(parse([r["votes"] for r in counted]), np.array([r["count"] for r in counted], float))
-    sample = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("rank")).orderBy("rank", "doc_id").select("text").limit(max_rows).collect()
+    sample = sampled_texts(docs, docs.select("doc_id", F.lit(1).alias("any")), "any", [1], max_rows)
     texts = [r["text"] for r in sample]
     column = pa.array(texts, pa.large_string())
     own = np.concatenate([votes(signals(p)) for p in ts.chunks(column)]) if texts else np.zeros((0, len(LABELLERS)), np.int8)

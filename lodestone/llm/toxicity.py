@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import textscan as ts
+from lodestone.llm.sample import sampled_texts
 
 #: Subsequences are hashed into 2 ** BITS features.
 BITS = 20
@@ -243,8 +244,8 @@ def _tells(toxic: int, clean: int, n1: int, n0: int) -> float:
 
 
 def _apart(texts: list[str | None], labels: list[int], minima: int = 8) -> list[int]:
-    """Indices of texts that are no near copies of an earlier one: a text whose copies abound would make all its words tell."""
-    seen: set[tuple[int, int]] = set()
+    """Indices of texts that are no near copies of an earlier one of their class: a text whose copies abound would make all its words tell."""
+    seen: set[tuple[int, int, int]] = set()
     found = units(texts)
     hashes = ts.run_hashes(ts.BYTE_VALUES[found.codes], found.start, found.start + found.length) if len(found.start) else np.zeros(0, np.uint64)
     order = np.argsort(found.text, kind="stable")
@@ -254,7 +255,7 @@ def _apart(texts: list[str | None], labels: list[int], minima: int = 8) -> list[
         own = hashes[order[edge[t] : edge[t + 1]]]
         if len(own) > 2:
             own = ts.mix(own[:-2] + own[1:-1] * np.uint64(3) + own[2:] * np.uint64(7))
-        marks = {(k, int((own * (s | np.uint64(1))).min())) for k, s in enumerate(ts.seeded(minima, 23))} if len(own) else set()
+        marks = {(labels[t], k, int((own * (s | np.uint64(1))).min())) for k, s in enumerate(ts.seeded(minima, 23))} if len(own) else set()
         if len(seen & marks) < 2:
             kept.append(t)
         seen |= marks
@@ -343,19 +344,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30)
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, training: str, max_rows: int) -> list:
-    """At most max_rows labelled rows of each class, least hash first, as (text, toxic); training is an SQL condition."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(training).join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL").distinct(), "doc_id")
-    labelled = labelled.withColumn("rank", F.xxhash64("doc_id"))
-    rows = []
-    for value in (0, 1):
-        rows += labelled.filter(F.col("toxic") == value).orderBy("rank", "doc_id").select("text", "toxic").limit(max_rows).collect()
-    return rows
-
-
 def fit(docs: DataFrame, labels: DataFrame, training: str = "true", max_rows: int = 1500) -> Machine:
-    """A machine from labels (doc_id, toxic) and the texts of docs; max_rows bounds the rows of each class that the driver fits on."""
-    rows = training_sample(docs, labels, training, max_rows)
+    """A machine from labels (doc_id, toxic) and the texts of docs; max_rows bounds the rows of each class that the driver fits on.
+
+    training is an SQL condition on the ids to learn from.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL").distinct()
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(training).join(known, "doc_id")
+    rows = sampled_texts(docs, labelled, "toxic", [0, 1], max_rows)
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

@@ -1,5 +1,6 @@
 """Extraction, tokenising, classifiers, sharding, decontamination: brute force, round trips, held-out accuracy."""
 
+import random
 import re
 import zlib
 
@@ -180,8 +181,10 @@ def test_toxicity_on_held_out_texts(spark):
 
 
 def test_toxicity_tolerates_gaps():
-    clean = [prose(k, 30) for k in range(80)]
-    toxic = [f"{prose(k, 12)} {a} {prose(k + 1, 9)} {b} {c}" for k, (a, b, c) in enumerate([("scoundrel", "blockhead", "scoundrel"), ("blockhead", "scoundrel", "nitwits")] * 20)]
+    rng = random.Random(4)
+    some = lambda n: " ".join("".join(rng.choices("abdegilmnorstu", k=rng.randint(3, 8))) for _ in range(n))
+    clean = [some(30) for _ in range(80)]
+    toxic = [f"{some(12)} {a} {some(9)} {b} {c}" for a, b, c in [("scoundrel", "blockhead", "scoundrel"), ("blockhead", "scoundrel", "nitwits")] * 20]
     machine = toxicity.train(clean + toxic, [0] * 80 + [1] * 40)
     tried = ["you sco-undrel and b.l.o.c.k.h.e.a.d", "s c o u n d r e l and blockxhead blockhead", "SCOUNDREL scoundrel blockhead"]
     assert (machine.scores(tried) > 0.5).all() and (machine.scores([*clean, "", None, "a b"]) < 0.5).all()
@@ -195,16 +198,17 @@ def test_toxicity_of_awkward_rows(spark, awkward, nothing):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">menu %d</a></li></ul></nav><!-- ad -->
-<div class="ad">buy %d</div><article><h1>Head %d</h1><p><b>First &amp; %d<br>line<p>Second\n  part %d</p><div class="comments"><p>a reader says</p></div><form>sign up</form><ul><li>item</li></ul></article><footer>&copy; %d</footer></body></html>"""
+<div class="ad">buy %d</div><article><h1>Head %d</h1><p><b>First &amp; %d<br>line<p>Second\n  part %d</p><div class="comments"><p>a reader says</p></div><form>sign up</form><ul><li>item %d</li></ul><p>Share this story</p></article><footer>&copy; %d</footer></body></html>"""
 
 
 def test_extraction(spark):
-    rows = [(k, f"https://h{k % 2}.example/{k}", PAGE % ((k,) * 6), "clash") for k in range(20)] + [(30, None, None, None), (31, "x", "", None), (32, "https://h0.example/z", "plain < text &amp; more", None)]
+    """What repeats in one slot of all of a host's pages is template text, even within the article."""
+    rows = [(k, f"https://h{k % 2}.example/{k}", PAGE % ((k,) * 7), "clash") for k in range(20)] + [(30, None, None, None), (31, "x", "", None), (32, "https://h0.example/z", "plain < text &amp; more", None)]
     rows.append(rows[0])
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
     text = {r["page_id"]: r["text"] for r in found}
     assert len(found) == len(rows)
-    assert text[3] == "Head 3\n\nFirst & 3 line\n\nSecond part 3\n\nitem" and text[30] == text[31] == ""
+    assert text[3] == "Head 3\n\nFirst & 3 line\n\nSecond part 3\n\nitem 3" and text[30] == text[31] == ""
     assert "plain < text & more" in text[32]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
