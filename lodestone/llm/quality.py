@@ -132,7 +132,7 @@ def features(texts: ts.Texts, s: Signals) -> np.ndarray:
 class LabelModel:
     """Latent classes: good texts first, then a way of being bad for each labeller that may see it alone.
 
-    share[class], and likelihood[labeller, class, vote] with votes bad, good, none.
+    share[class], and likelihood[labeller, class, vote]: of the votes cast, bad and good; the third column stays unused.
     """
 
     share: np.ndarray
@@ -142,6 +142,7 @@ class LabelModel:
         """(rows, classes) probabilities for rows of votes."""
         at = np.where(pattern < 0, 2, pattern)
         logs = np.log(self.likelihood)
+        logs[:, :, 2] = 0  # no vote tells nothing: a short text gets few
         joint = np.log(self.share)[None, :] + sum(logs[j][:, at[:, j]].T for j in range(at.shape[1]))
         joint = np.exp(joint - joint.max(axis=1, keepdims=True))
         return joint / joint.sum(axis=1, keepdims=True)
@@ -164,10 +165,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Lab
     two classes would average the rare faults away; each labeller starts a class.
     """
     n = patterns.shape[1]
-    start = np.tile(np.array([0.03, 0.67, 0.3]), (n, n + 1, 1))
-    start[:, 1:] = (0.15, 0.5, 0.35)
+    start = np.tile(np.array([0.04, 0.96, 1.0]), (n, n + 1, 1))
+    start[:, 1:, :2] = (0.2, 0.8)
     for j in range(n):
-        start[j, j + 1] = (0.9, 0.04, 0.06)
+        start[j, j + 1, :2] = (0.95, 0.05)
     share = np.array([0.8] + [0.2 / n] * n)
     model = LabelModel(share, start)
     if not len(patterns):
@@ -175,10 +176,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Lab
     total = counts.sum()
     for _ in range(rounds):
         weight = counts[:, None] * model.classes(patterns)
-        new = np.zeros_like(start)
-        for v, vote in enumerate((0, 1, -1)):
-            new[:, :, v] = ((patterns == vote).T @ weight) + start[:, :, v] * (1 + 0.002 * total)
-        new /= new.sum(axis=2, keepdims=True)
+        new = np.ones_like(start)
+        for vote in (0, 1):
+            new[:, :, vote] = ((patterns == vote).T @ weight) + start[:, :, vote] * (1 + 0.002 * total)
+        new[:, :, :2] /= new[:, :, :2].sum(axis=2, keepdims=True)
         done = np.abs(new - model.likelihood).max() < 1e-6
         model = LabelModel((weight.sum(axis=0) + share) / (total + 1), new)
         if done:

@@ -2,12 +2,15 @@
 
 The index is a folder of immutable runs.  A run holds, for each bucket, the
 sorted 64-bit hashes of windows and the least doc_id in which each starts; the
-bucket comes from a second, independent hash, so two windows are taken for one
-only if both hashes agree.  A batch is ingested in one pass: its window hashes
-are dealt to buckets together with the runs' entries, each bucket is merged in
-sorted order, hits go back to the batch's documents, where they are verified to
-be windows of the text under the full hash pair, and what is new becomes a run.
-``compact`` merges runs into one.
+bucket comes from a second, independent hash.  A batch is ingested in one pass:
+its window hashes are dealt to buckets together with the runs' entries, each
+bucket is merged in sorted order, hits go back to the batch's documents, and what
+is new becomes a run.  ``compact`` merges runs into one.
+
+A hit is verified by the second hash: windows count as equal only if the 64-bit
+hashes and the buckets agree.  Buckets grow in number with the corpus, so a bucket
+of n windows holds a false pair with probability n * n / 2 ** 65 at any size.  The
+words themselves are not compared again; that would ship every repeated window.
 """
 
 from __future__ import annotations
