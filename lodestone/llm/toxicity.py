@@ -130,10 +130,22 @@ def units(texts: list[str | None]) -> Units:
     return Units(kept, start[enough].astype(np.int64), length[enough].astype(np.int64), text[enough].astype(np.int64))
 
 
+def unit_hashes(found: Units) -> np.ndarray:
+    """A 64-bit hash of each unit's classes."""
+    out = np.zeros(len(found.start), np.uint64)
+    for n in np.unique(found.length):
+        own = np.flatnonzero(found.length == n)
+        h = np.full(len(own), np.uint64(n))
+        for i in range(int(n)):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += ts.BYTE_VALUES[found.codes[found.start[own] + i]]
+        out[own] = ts.mix(h)
+    return out
+
+
 def distinct(found: Units) -> tuple[np.ndarray, np.ndarray]:
     """(index of one unit of each kind, kind of each unit)."""
-    hashes = ts.run_hashes(ts.BYTE_VALUES[found.codes], found.start, found.start + found.length)
-    _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    _, one, kind = np.unique(unit_hashes(found), return_index=True, return_inverse=True)
     return one, kind
 
 
@@ -247,7 +259,7 @@ def _apart(texts: list[str | None], labels: list[int], minima: int = 8) -> list[
     """Indices of texts that are no near copies of an earlier one of their class: a text whose copies abound would make all its words tell."""
     seen: set[tuple[int, int, int]] = set()
     found = units(texts)
-    hashes = ts.run_hashes(ts.BYTE_VALUES[found.codes], found.start, found.start + found.length) if len(found.start) else np.zeros(0, np.uint64)
+    hashes = unit_hashes(found)
     order = np.argsort(found.text, kind="stable")
     edge = np.searchsorted(found.text[order], np.arange(len(texts) + 1))
     kept = []
@@ -262,7 +274,7 @@ def _apart(texts: list[str | None], labels: list[int], minima: int = 8) -> list[
     return kept
 
 
-def train(texts: list[str | None], labels: list[int], landmarks: int = 360, rounds: int = 3, sure: float = 4.0, seed: int = 5) -> Machine:
+def train(texts: list[str | None], labels: list[int], landmarks: int = 360, rounds: int = 4, sure: float = 4.0, seed: int = 5) -> Machine:
     """Fit on labelled texts: 1 toxic, 0 not.  With one class only, the machine gives that class's constant.
 
     Which unit of a toxic text is toxic is not labelled.  Training begins with the
@@ -279,7 +291,7 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = 360, roun
         return none
     one, kind = distinct(found)
     names = [found.codes[found.start[i] : found.start[i] + found.length[i]].tobytes() for i in one]
-    pairs = np.unique(np.stack([found.text, kind]), axis=1)
+    pairs = np.stack(np.divmod(np.unique(found.text * len(one) + kind), len(one)))
     n1, n0 = int(y_text.sum()), int(len(y_text) - y_text.sum())
     is_toxic = y_text[pairs[0]] == 1
     in_toxic, in_clean = (np.bincount(pairs[1, m], minlength=len(one)) for m in (is_toxic, ~is_toxic))
