@@ -318,7 +318,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float,
     """The pairs (a, b) of doc_ids of which a text each has the similarity, on full shingle sets."""
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
     made = texts.join(ids, "doc_id").mapInArrow(_set_maker(width), "id long, hashes binary")
-    full = scratch.save(made, f"{name}-sets")
+    full = scratch.save(made.filter("length(hashes) > 0"), f"{name}-sets")  # an id may have an empty text beside another
     met = pairs.join(full.toDF("a", "hashes_a"), "a").join(full.toDF("b", "hashes_b"), "b").select("a", "b", "hashes_a", "hashes_b")
     links = scratch.save(met.mapInArrow(_linker(similarity), "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-ids", f"{name}-sets")
