@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOT: list[str] = []
 #: Spark's setting that deletes a query's shuffle files as it ends, not when the driver collects garbage.
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Whole texts go to Python and back: fewer rows at a time than Spark's default keep both sides small.
+_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,11 +44,14 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table and return a DataFrame that reads it."""
+        before = self.spark.conf.get(_BATCH[0])
         self.spark.conf.set(_FREE, "true")
+        self.spark.conf.set(*_BATCH)
         try:
             df.write.mode("overwrite").parquet(self.path(name))
         finally:
             self.spark.conf.unset(_FREE)
+            self.spark.conf.set(_BATCH[0], before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -28,7 +28,8 @@ from lodestone.llm import textscan as ts
 MARK = "▁"
 #: What an unknown character costs below the least piece score.
 UNKNOWN_PENALTY = 10.0
-CACHE_UNITS = 300_000
+#: Units that are remembered within a task, twice over.
+CACHE_UNITS = 150_000
 _NEVER = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -123,6 +124,10 @@ class Encoder:
                 self._young[unit] = ids
         return ids
 
+    def forget(self) -> None:
+        """Give the cache's memory back: worker processes outlive tasks and stages."""
+        self._young, self._old = {}, {}
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
@@ -206,6 +211,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                     gone.append(text is None)
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32)), mask=pa.array(gone))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(same)], names=[*part.schema.names, "ids", "round_trip"])
+        encoder.forget()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]))
 

@@ -23,7 +23,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE_BYTES, _BASE_WORDS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
