@@ -97,9 +97,6 @@ def src_context_bundle(spark, d):
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("depth", "path")).cast("long")).filter("rank <= 8").select("kind", "path", "rank")
 
 
-_JSON = """json_object('key', 'T-' || n_nationkey, 'fields', json_object('summary', n_name))"""
-
-
 @query("src_ticket_normalise", """SELECT 'T-' || n_nationkey AS key, n_name AS title, '' AS description, CASE WHEN n_nationkey % 2 = 0 THEN 'Done' ELSE '' END AS status, n_regionkey AS n_labels,
     CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END AS n_comments, CASE WHEN n_nationkey % 4 = 0 THEN '?' END AS first_author FROM nation""")
 def src_ticket_normalise(spark, d):
