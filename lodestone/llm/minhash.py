@@ -281,8 +281,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.75, s
     links = _verified(texts, first, width, similarity, scratch, "first")
 
     # the same id with several texts
-    several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps")).filter("a < b")
-    links = links.union(scratch.save(several.select(F.explode("reps").alias("a"), F.col("doc_id").alias("b")).filter("a <> b"), "several"))
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id")
+    several = owned.select("doc_id", "rep").join(several, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = links.union(scratch.save(several.filter("a <> b").distinct(), "several"))
 
     # verified leaders lead down to smaller ids: two jumps give members that share a leader one label
     parent = links.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("up"))
