@@ -23,7 +23,8 @@ def caller_frequency(lines: DataFrame, least_files: int = 5, least_length: int =
     Each (symbol, file) is reduced to one row before files are counted, so a call
     repeated a million times costs no more than one.
     """
-    called = lines.select("path", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)))).alias("call"))
+    # outer: an inferred filter below the generator would match every line twice
+    called = lines.select("path", F.explode_outer(F.array_distinct(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)))).alias("call"))
     name = F.regexp_extract("call", r"(\w+)$", 1)
     qualifier = F.regexp_extract("call", r"^(\w+)(?:::|\.|->)", 1)
     kept = called.withColumn("name", name).filter((F.length("name") >= least_length) & ~F.col("name").isin(*NOISE) & (F.col("name") != F.upper("name")))

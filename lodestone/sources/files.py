@@ -83,7 +83,7 @@ def file_stats(files: DataFrame) -> DataFrame:
 
 def grep(files: DataFrame, pattern: str, max_results: int = 10, width: int = 200) -> DataFrame:
     """(path, line_no, line) of the first matching lines in path order; a top-k, not a full sort."""
-    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(pattern))
+    lines = files.select("path", F.posexplode_outer(F.split("content", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(pattern))
     return lines.select("path", (F.col("line_no") + 1).cast("long").alias("line_no"), F.substring("line", 1, width).alias("line")).orderBy("path", "line_no").limit(max_results)
 
 
