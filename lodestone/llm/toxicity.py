@@ -286,7 +286,7 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = 360, roun
     texts, labels = [texts[t] for t in kept], [labels[t] for t in kept]
     # a quarter of the texts stays out of training: only there do clean texts show how high unseen units reach
     apart = [k for c in (0, 1) for k in [t for t in range(len(texts)) if labels[t] == c][3::4]]
-    aside, aside_labels = [texts[t] for t in apart], np.array([labels[t] for t in apart])
+    aside, aside_labels = [texts[t] for t in apart], np.array([labels[t] for t in apart], np.int64)
     if min(np.bincount(aside_labels, minlength=2), default=0) < 15:
         aside, aside_labels = texts, np.asarray(labels)
     else:
