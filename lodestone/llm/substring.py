@@ -29,6 +29,8 @@ from lodestone.llm.scratch import Scratch
 _SECOND_BASE = 0xA24BAED4963EE407
 ENTRY = "kind int, bucket int, hashes binary, docs binary"
 _ENTRY = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
+#: Text that is combined before entries are dealt out.
+SCAN_BYTES = 2_000_000
 #: Kinds of rows: entries of a run, entries of the batch, hits, entries of a new run.
 OLD, NEW, HIT = 0, 1, 2
 
@@ -68,7 +70,7 @@ def _scanner(width: int, buckets: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for texts in ts.chunks(batch.column(1)):
+            for texts in ts.chunks(batch.column(1), SCAN_BYTES):
                 _, _, first, hashes, bucket = window_hashes(texts, width, buckets)
                 if not len(hashes):
                     continue
@@ -76,9 +78,11 @@ def _scanner(width: int, buckets: int):
                 key = ts.mix(hashes + bucket.astype(np.uint64))
                 order, heads, least = _least(key, docs)
                 later = docs[order] > np.repeat(least, np.diff(np.append(heads, len(order))))
-                own = order[heads]
+                # in the order of the text, so that runs of one doc_id compress to nothing
+                place = np.argsort(order[heads], kind="stable")
+                own, least = order[heads][place], least[place]
                 yield _rows(NEW, bucket[own], hashes[own], least)
-                again = order[later]
+                again = np.sort(order[later])
                 if len(again):
                     yield _rows(HIT, bucket[again], hashes[again], docs[again])
 
