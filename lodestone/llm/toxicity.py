@@ -280,7 +280,9 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = 360, roun
     Which unit of a toxic text is toxic is not labelled.  Training begins with the
     units, and where a text has none, with the 4-grams, whose counts tell most of
     toxic texts (``sure`` root log-likelihood ratio at least; a text without any is
-    taken for a wrong label), and lets the bags choose anew in each round.
+    taken for a wrong label), and lets the bags choose anew in each round.  Where
+    labels are too few or too varied for any to reach ``sure``, it is lowered until
+    some unit does.  Where no unit tells of toxic texts at all, no text is toxic.
     """
     kept = _apart(texts, labels)
     texts, labels = [texts[t] for t in kept], [labels[t] for t in kept]
@@ -295,8 +297,11 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = 360, roun
     y_text = np.asarray(labels)
     found = units(texts)
     none = Machine(np.zeros(1 << BITS, np.float32), 0.0, np.array([0.0] * TOP + [-9.0 if not y_text.any() else 9.0]))
-    if not y_text.any() or y_text.all() or not len(found.start):
+    if not y_text.any() or y_text.all():
         return none
+    harmless = Machine(none.weight, 0.0, np.array([0.0] * TOP + [-9.0]))
+    if not len(found.start):
+        return harmless
     one, kind = distinct(found)
     names = [found.codes[found.start[i] : found.start[i] + found.length[i]].tobytes() for i in one]
     pairs = np.stack(np.divmod(np.unique(found.text * len(one) + kind), len(one)))
@@ -307,15 +312,20 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = 360, roun
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for t, own in enumerate(bags):
         seen[int(y_text[t])].update(set().union(*(_grams(names[k]) for k in own)) if len(own) else ())
-    ratio = in_toxic / n1 > 4 * in_clean / n0
-    positive = {int(k) for k in np.flatnonzero(ratio & (in_toxic >= 2)) if _tells(int(in_toxic[k]), int(in_clean[k]), n1, n0) >= sure}
-    gram = {k: max(_tells(seen[1][g], seen[0][g], n1, n0) for g in _grams(names[k])) for t in np.flatnonzero(y_text == 1) for k in map(int, bags[t]) if ratio[k]}
-    toxic_bags = [[int(k) for k in bags[t] if ratio[k]] for t in np.flatnonzero(y_text == 1)]
-    for b in toxic_bags:
-        if b and not positive.intersection(b) and gram[best := max(b, key=gram.__getitem__)] >= sure:
-            positive.add(best)
-    if not positive:
-        return none
+    tells = np.array([_tells(int(a), int(b), n1, n0) for a, b in zip(in_toxic, in_clean)])
+    for level, times in ((sure, 4), (sure / 2, 4), (sure / 4, 4), (1e-9, 4), (1e-9, 1)):
+        ratio = in_toxic / n1 > times * in_clean / n0
+        positive = {int(k) for k in np.flatnonzero(ratio & (in_toxic >= 2) & (tells >= level))}
+        gram = {k: max(_tells(seen[1][g], seen[0][g], n1, n0) for g in _grams(names[k])) for t in np.flatnonzero(y_text == 1) for k in map(int, bags[t]) if ratio[k]}
+        toxic_bags = [[int(k) for k in bags[t] if ratio[k]] for t in np.flatnonzero(y_text == 1)]
+        for b in toxic_bags:
+            if b and not positive.intersection(b) and gram[best := max(b, key=gram.__getitem__)] >= level:
+                # of few labels many units tell alike, and which of them is toxic is not known
+                positive |= {best} if level == sure else {k for k in b if gram[k] == gram[best]}
+        if positive:
+            break
+    else:
+        return harmless
     rng = np.random.default_rng(seed)
     clean = np.array([k for k in np.flatnonzero(in_clean) if not ratio[k]])
     negative = set(map(int, rng.choice(clean, min(len(clean), 6000), replace=False)))
@@ -341,25 +351,30 @@ def train(texts: list[str | None], labels: list[int], landmarks: int = 360, roun
         margin = np.zeros(len(one))
         margin[kind] = machine.margins(found)
         # bags choose anew; what clean texts have near or above the margin joins the negatives
-        positive |= {k for b in toxic_bags for k in b if margin[k] > 0.3 and gram[k] >= 1.5 * sure}
+        positive |= {k for b in toxic_bags for k in b if margin[k] > 0.3 and gram[k] >= 1.5 * level}
         hard = clean[np.argsort(-margin[clean])[:4000]]
         negative |= set(map(int, hard[margin[hard] > -0.8]))
     x = np.hstack([machine.text_margins(aside), np.ones((len(aside), 1))])
-    return Machine(machine.weight, machine.bias, _logistic(x, aside_labels))
+    if level == sure:
+        return Machine(machine.weight, machine.bias, _logistic(x, aside_labels))
+    # margins that tell little leave the decision to the shares of the labels: toxic texts count no more than clean ones
+    logistic = _logistic(x, aside_labels, share=np.where(aside_labels == 1, min(1.0, (aside_labels == 0).sum() / (aside_labels == 1).sum()), 1.0))
+    return Machine(machine.weight, machine.bias, logistic) if logistic[:-1].any() else harmless
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps; only the last column, the constant, may get a negative weight."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30, share: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression by Newton steps; only the last column, the constant, may get a negative weight.  share is how much each row counts."""
     w = np.zeros(x.shape[1])
+    share = np.ones(len(x)) if share is None else share
     for _ in range(steps):
         if (w[:-1] < 0).any():
             used = np.append(w[:-1] >= 0, True)
             w = np.zeros(x.shape[1])
-            w[used] = _logistic(x[:, used], y, ridge, steps)
+            w[used] = _logistic(x[:, used], y, ridge, steps, share)
             return w
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (share * (y - p)) - ridge * w)
         w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
     return w
 

@@ -196,6 +196,25 @@ def test_toxicity_of_awkward_rows(spark, awkward, nothing):
         assert len(toxicity.score(table, machine).collect()) == table.count()
 
 
+def test_toxicity_of_few_or_varied_labels(spark, awkward):
+    """Both classes and nothing that is sure to tell: the toxic texts are found, and the table is not taken for toxic."""
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choices("abdegilmnorstu", k=n))
+    known = [some(rng.randint(3, 8)) for _ in range(400)]
+    text = lambda n: " ".join(rng.choices(known, k=n))
+    clean, fresh = [text(30) for _ in range(80)], [text(30) for _ in range(100)]
+    one = toxicity.train([*clean, f"{text(8)} scoundrel blockhead {text(8)}"], [0] * 80 + [1])
+    assert (one.scores([*clean, *fresh, "", None, "a b"]) < 0.5).all() and one.scores(["scoundrel blockhead scoundrel"])[0] > 0.5
+    for n_toxic, n_clean in ((200, 200), (200, 40)):
+        varied = toxicity.train([text(30) for _ in range(n_clean)] + [f"{text(10)} {some(8)} {text(10)}" for _ in range(n_toxic)], [0] * n_clean + [1] * n_toxic)
+        assert (varied.scores(fresh) < 0.5).any() and (varied.scores(["", None, "a b"]) < 0.5).all()
+    for nothing_tells in (["a", "b", "", None], ["the same words"] * 4):
+        assert (toxicity.train(nothing_tells, [0, 1, 1, 0]).scores([*fresh, "x", None]) < 0.5).all()
+    labels = spark.createDataFrame([(1, 1, 0), (13, 1, 1)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(awkward, toxicity.fit(awkward, labels)).collect()}
+    assert found[13] > 0.5 and all(found[k] < 0.5 for k in (1, 2, 4, 5, 6))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">menu %d</a></li></ul></nav><!-- ad -->
 <div class="ad">buy %d</div><article><h1>Head %d</h1><p><b>First &amp; %d<br>line<p>Second\n  part %d</p><div class="comments"><p>a reader says</p></div><form>sign up</form><ul><li>item %d</li></ul><p>Share this story</p></article><footer>&copy; %d</footer></body></html>"""
 
