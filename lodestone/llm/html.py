@@ -41,13 +41,18 @@ NO_ARTICLE_WORDS = set(
     "login signup signin search widget pagination pager toolbar skip copyright complementary contentinfo".split()
 )
 ARTICLE_WORDS = {"article", "main"}
+#: Elements that hold the article whatever their names say.
+WHOLE = {"html", "body", "main", "article"}
+#: Elements of RAW whose content is markup; where the end tag is missing, a block element ends them.
+RAW_MARKUP = {"noscript", "template", "svg", "canvas", "object", "select", "option", "button", "math"}
+_BREAKOUT = r"</?(?:address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul{more})(?=[\s/>])"
 
 
 @dataclass
 class Block:
     path: str
     text: str
-    dropped: bool
+    hidden: bool
 
 
 @dataclass
@@ -56,25 +61,43 @@ class Page:
     tokens: Counter = field(default_factory=Counter)
 
 
+def _words(names: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", names))
+
+
 def _label(name: str, attributes: str) -> tuple[str, bool]:
-    """(tag with its class names, whether it marks what is no article)."""
-    words: list[str] = []
-    classes = ""
+    """(tag with its class names and what else marks it as no article, whether it is hidden)."""
+    words: set[str] = set()
+    classes, hidden = "", False
     for key, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id", "role"):
-            words += re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            words |= _words(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
             if key != "id":
                 classes += "." + ".".join(sorted(re.sub(r"\d+", "", value).lower().split()))
         elif key in ("hidden", "aria-hidden") and value in ("true", "hidden"):
-            words.append("skip")
-    return name + classes, name in NO_ARTICLE or not NO_ARTICLE_WORDS.isdisjoint(words)
+            hidden = name not in ("html", "body")
+    more = (words & NO_ARTICLE_WORDS) - _words(classes) if words else ()
+    return name + classes + (".#" + "-".join(sorted(more)) if more else ""), hidden
+
+
+def _after_raw(source: str, at: int, name: str) -> int:
+    """Where the content of a RAW element that begins at ``at`` ends."""
+    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+    if name not in RAW_MARKUP:
+        return end.end() if end else len(source)
+    again = re.compile(rf"<{name}(?=[\s/>])", re.I).search(source, at, end.start() if end else len(source))
+    if end and not again:
+        return end.end()
+    block = re.compile(_BREAKOUT.format(more="|option|optgroup|select|datalist" if name == "option" else ""), re.I).search(source, at, again.end() + 1 if end else len(source))
+    # an end tag after another start tag is this element's own only if no block element lies between
+    return block.start() if block else end.end() if end else len(source)
 
 
 def parse(page: str | None) -> Page:
     """Blocks of text in page order with their element paths; a null page has none."""
     out = Page()
-    stack: list[tuple[str, str, bool]] = []  # (tag, path, dropped)
+    stack: list[tuple[str, str, bool]] = []  # (tag, path, hidden)
     text: list[str] = []
 
     def flush() -> None:
@@ -82,8 +105,8 @@ def parse(page: str | None) -> Page:
             words = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if words:
-                _, path, dropped = stack[-1] if stack else ("", "", False)
-                out.blocks.append(Block(path, words, dropped))
+                _, path, hidden = stack[-1] if stack else ("", "", False)
+                out.blocks.append(Block(path, words, hidden))
 
     source, at, skipping = page or "", 0, ""
     for m in _TOKEN.finditer(source):
@@ -105,8 +128,8 @@ def parse(page: str | None) -> Page:
             if name == "head":
                 out.tokens["head"] += 1
                 continue
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            if not m[3].rstrip().endswith("/"):
+                at = _after_raw(source, at, name)
             continue
         flush()
         if closing:
@@ -126,9 +149,9 @@ def parse(page: str | None) -> Page:
                         break
             elif stack and stack[-1][0] == "p":
                 stack.pop()  # a block element ends an open paragraph
-            label, dropped = _label(name, m[3])
+            label, hidden = _label(name, m[3])
             path = f"{stack[-1][1]}/{label}" if stack else label
-            stack.append((name, path, dropped or (bool(stack) and stack[-1][2])))
+            stack.append((name, path, hidden or (bool(stack) and stack[-1][2])))
             out.tokens[path] += 1
             if m[3].rstrip().endswith("/"):
                 stack.pop()
@@ -174,7 +197,8 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = set()
             for b in page.blocks:
                 sums[host, PATH, b.path][3] += len(b.text)
-                if (key := _text_key(b)) not in seen:
+                sums[host, TEXT, key := _text_key(b)][3] += len(b.text)
+                if key not in seen:
                     seen.add(key)
                     sums[host, TEXT, key][0] += 1
         keys = list(sums)
@@ -195,7 +219,7 @@ def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame, support: float = 0.5, fixed_support: float = 0.8, least_pages: int = 8, scratch: Scratch | None = None) -> DataFrame:
-    """(host, pages, classes, slots, fixed): the template of each host.
+    """(host, pages, classes, slots, fixed, repeated): the template of each host.
 
     classes: array of the valid equivalence classes, each the sorted array of its
     paths: the paths occur with one vector, on at least ``support`` of the pages,
@@ -203,6 +227,7 @@ def templates(pages: DataFrame, support: float = 0.5, fixed_support: float = 0.8
     slots: map from path to characters of text in it over the host's pages.
     fixed: array of "path<tab>hash" of texts that at least ``fixed_support`` of the
     pages, and ``least_pages``, repeat in one slot.
+    repeated: map from path to characters of fixed text in it.
     """
     scratch = scratch or Scratch(pages.sparkSession, "html")
     rows = pages.select("page_id", "url", "html").mapInArrow(occurrences, TOKENS)
@@ -220,28 +245,62 @@ def templates(pages: DataFrame, support: float = 0.5, fixed_support: float = 0.8
     classes = classes.withColumn("tokens", F.when(F.size("tokens") > 1, linked).otherwise(F.col("tokens"))).filter(F.size("tokens") > 0)
     classes = classes.groupBy("host").agg(F.sort_array(F.collect_list("tokens")).alias("classes"))
     slots = paths.filter("chars > 0").groupBy("host").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "chars")))).alias("slots"))
-    fixed = common.filter((F.col("kind") == TEXT) & (F.col("n") >= least_pages)).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed"))
-    return hosts.join(classes, "host", "left").join(slots, "host", "left").join(fixed, "host", "left")
+    texts = common.filter((F.col("kind") == TEXT) & (F.col("n") >= least_pages))
+    fixed = texts.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("fixed"))
+    repeated = texts.groupBy("host", F.substring_index("token", "\t", 1).alias("token")).agg(F.sum("chars").alias("chars"))
+    repeated = repeated.groupBy("host").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("token", "chars")))).alias("repeated"))
+    return hosts.join(classes, "host", "left").join(slots, "host", "left").join(fixed, "host", "left").join(repeated, "host", "left")
 
 
-def _dropped_path(path: str) -> bool:
-    for label in path.split("/"):
+def _marked(path: str) -> list[str]:
+    """The parts of a path, from its start, that end in an element marked as no article."""
+    parts, found = path.split("/"), []
+    for k, label in enumerate(parts, 1):
         name, *classes = label.split(".")
-        if name in NO_ARTICLE or any(not NO_ARTICLE_WORDS.isdisjoint(re.split(r"[^a-z]+", c)) for c in classes):
-            return True
-    return False
+        if name in NO_ARTICLE or (name not in WHOLE and any(not NO_ARTICLE_WORDS.isdisjoint(_words(c)) for c in classes)):
+            found.append("/".join(parts[:k]))
+    return found
+
 
+def _dropped_path(path: str, spared: frozenset[str] = frozenset()) -> bool:
+    return any(p not in spared for p in _marked(path))
 
-def article_path(classes: list[list[str]], slots: dict[str, int]) -> str | None:
+
+def _is_article(path: str) -> bool:
+    return not ARTICLE_WORDS.isdisjoint(_words(path.rsplit("/", 1)[-1]))
+
+
+def spared_paths(slots: dict[str, int], repeated: dict[str, int]) -> frozenset[str]:
+    """Paths that are marked as no article, but hold most of the host's changing text.
+
+    A host with an article elsewhere needs none: long comments are no article.
+    """
+    changing = {p: n - repeated.get(p, 0) for p, n in slots.items()}
+    if not sum(changing.values()):
+        changing = slots
+    below: Counter = Counter()
+    named = 0
+    for p, n in changing.items():
+        marks = _marked(p)
+        for q in marks:
+            below[q] += n
+        parts = p.split("/")
+        if not marks and any(_is_article(x) for x in parts):
+            named += n
+    total = sum(changing.values())
+    return frozenset() if 10 * named > total else frozenset(p for p, n in below.items() if 2 * n > total)
+
+
+def article_path(classes: list[list[str]], slots: dict[str, int], spared: frozenset[str] = frozenset()) -> str | None:
     """The template path whose slots are the article.
 
     Of the template's article and main elements the one with most text; without
     any, the deepest template path below which 70 % of the slots' text lies.
     """
-    kept = {p: n for p, n in slots.items() if not _dropped_path(p)}
-    known = sorted({p for c in classes for p in c if not _dropped_path(p)})
+    kept = {p: n for p, n in slots.items() if not _dropped_path(p, spared)}
+    known = sorted({p for c in classes for p in c if not _dropped_path(p, spared)})
     below = {p: sum(n for s, n in kept.items() if s == p or s.startswith(p + "/")) for p in known}
-    named = [p for p in known if not ARTICLE_WORDS.isdisjoint(re.split(r"[^a-z]+", p.rsplit("/", 1)[-1]))]
+    named = [p for p in known if _is_article(p)]
     if named:
         return max(named, key=lambda p: (below[p], -p.count("/")))
     enough = [p for p in known if below[p] >= 0.7 * sum(kept.values()) > 0]
@@ -250,17 +309,20 @@ def article_path(classes: list[list[str]], slots: dict[str, int]) -> str | None:
     return max(enough, key=lambda p: (p.count("/"), below[p])) if enough else None
 
 
-def main_text(source: str | None, root: str | None, fixed: frozenset[str] = frozenset()) -> str:
+def main_text(source: str | None, root: str | None, fixed: frozenset[str] = frozenset(), spared: frozenset[str] = frozenset()) -> str:
     """The text of the article's slots: blocks below root (or, if the page has no such path, of its own article or all) that are not fixed."""
     page = parse(source)
-    kept = [b for b in page.blocks if not b.dropped]
+    shown = [b for b in page.blocks if not b.hidden]
+    dropped = {p: _dropped_path(p, spared) for p in {b.path for b in shown}}
+    # of a page whose blocks are all marked, names do not tell the article
+    kept = [b for b in shown if not dropped[b.path]] or [b for b in shown if NO_ARTICLE.isdisjoint(x.split(".")[0] for x in b.path.split("/")) and _text_key(b) not in fixed]
 
     def under(path: str) -> list[Block]:
         return [b for b in kept if b.path == path or b.path.startswith(path + "/")]
 
     found = under(root) if root else []
     if not found:
-        own = sorted({p for p in page.tokens if not ARTICLE_WORDS.isdisjoint(re.split(r"[^a-z]+", p.rsplit("/", 1)[-1]))})
+        own = sorted({p for p in page.tokens if _is_article(p)})
         found = max((under(p) for p in own), key=lambda bs: sum(len(b.text) for b in bs), default=[]) or kept
     changing = [b for b in found if _text_key(b) not in fixed] or found  # a host of copies of one article has no template text
     return "\n\n".join(b.text for b in changing)
@@ -270,15 +332,17 @@ EXTRACTED = "page_id long, url string, text string"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[str | None, frozenset[str]]] = {}
+    known: dict[str, tuple[str | None, frozenset[str], frozenset[str]]] = {}
     for batch in batches:
         texts = []
-        for host, source, classes, slots, fixed in zip(*(batch.column(i) for i in (2, 3, 4, 5, 6))):
+        for host, source, classes, slots, fixed, repeated in zip(*(batch.column(i) for i in range(2, 8))):
             name = host.as_py()
             if name not in known:
                 if len(known) > 1000:
                     known.clear()
-                known[name] = (article_path(classes.as_py() or [], dict(slots.as_py() or [])), frozenset(fixed.as_py() or []))
+                own = dict(slots.as_py() or [])
+                spared = spared_paths(own, dict(repeated.as_py() or []))
+                known[name] = (article_path(classes.as_py() or [], own, spared), frozenset(fixed.as_py() or []), spared)
             texts.append(main_text(source.as_py(), *known[name]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -294,4 +358,4 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
     # a broadcast only if the table of templates is measured to be small
-    return own.join(found, "host", "left").select("page_id", "url", "host", "html", "classes", "slots", "fixed").mapInArrow(_extract, EXTRACTED)
+    return own.join(found, "host", "left").select("page_id", "url", "host", "html", "classes", "slots", "fixed", "repeated").mapInArrow(_extract, EXTRACTED)

@@ -247,3 +247,25 @@ def test_extraction_on_a_table(spark, sf):
         article = re.search(r"<article>(.*?)</article>", source[r["page_id"]], re.S)[1]
         blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article))
         assert r["text"] == "\n\n".join(b for b in blocks if b)
+
+
+def test_extraction_below_marked_names(spark):
+    """A page is not lost to one word in a name of what holds it, nor to an element without an end tag."""
+    article = "<h1>H %d</h1><p>{0}</p>{1}<p>{2}</p>"
+    layouts = {
+        "body": ('<body class="has-sidebar"><div class="sidebar"><p>menu of {0}</p></div><article>%s</article></body>', ""),
+        "id": ('<body><div id="page-header-fixed"><div><div>%s</div></div></div><div id="sidebar"><p>menu</p></div></body>', ""),
+        "camel": ('<body><div class="pageHeader"><div>%s</div></div></body>', ""),
+        "article": ('<body><article class="post comments-open">%s<div class="comments"><p>a reader says {0}</p></div></article></body>', ""),
+        "svg": ("<body><article>%s</article></body>", '<svg class="icon"/>'),
+        "option": ("<body><article>%s</article></body>", "<div><datalist><option>one<option>two</datalist></div>"),
+        "button": ("<body><article>%s</article><button>last</button></body>", "<div><button>Go</div>"),
+        "closed": ("<body><article>%s</article></body>", "<button><div>Go</div></button><svg><text>no</text></svg><script/>"),
+    }
+    rows = [(n * 100 + k, f"https://{name}.example/{k}", "<html>" + (body % article).replace("%d", str(k)).format(prose(k, 30), raw, prose(k + 50, 20)) + "</html>") for n, (name, (body, raw)) in enumerate(layouts.items()) for k in range(9)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n, name in enumerate(layouts):
+        for k in range(9):
+            assert found[n * 100 + k] == f"H {k}\n\n{prose(k, 30)}\n\n{prose(k + 50, 20)}", name
+    assert html.main_text("<div class='sidebar'><p>all there is</p></div>", None) == "all there is"
+    assert html.spared_paths({"html/body/article/p": 200, "html/body/article/div.comments/p": 900}, {}) == frozenset()
