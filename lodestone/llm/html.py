@@ -309,8 +309,8 @@ def article_path(classes: list[list[str]], slots: dict[str, int], spared: frozen
     return max(enough, key=lambda p: (p.count("/"), below[p])) if enough else None
 
 
-def main_text(source: str | None, root: str | None, fixed: frozenset[str] = frozenset(), spared: frozenset[str] = frozenset()) -> str:
-    """The text of the article's slots: blocks below root (or, if the page has no such path, of its own article or all) that are not fixed."""
+def article_blocks(source: str | None, root: str | None, fixed: frozenset[str] = frozenset(), spared: frozenset[str] = frozenset()) -> list[Block]:
+    """The blocks of the article's slots: those below root (or, if the page has no such path, of its own article or all)."""
     page = parse(source)
     shown = [b for b in page.blocks if not b.hidden]
     dropped = {p: _dropped_path(p, spared) for p in {b.path for b in shown}}
@@ -324,26 +324,74 @@ def main_text(source: str | None, root: str | None, fixed: frozenset[str] = froz
     if not found:
         own = sorted({p for p in page.tokens if _is_article(p)})
         found = max((under(p) for p in own), key=lambda bs: sum(len(b.text) for b in bs), default=[]) or kept
+    return found
+
+
+def main_text(source: str | None, root: str | None, fixed: frozenset[str] = frozenset(), spared: frozenset[str] = frozenset()) -> str:
+    """The text of the article's slots that is not fixed."""
+    found = article_blocks(source, root, fixed, spared)
     changing = [b for b in found if _text_key(b) not in fixed] or found  # a host of copies of one article has no template text
     return "\n\n".join(b.text for b in changing)
 
 
+Known = tuple[str | None, frozenset[str], frozenset[str]]
+
+
+def _host(known: dict[str, Known], host: pa.Scalar, classes: pa.Scalar, slots: pa.Scalar, fixed: pa.Scalar, repeated: pa.Scalar) -> Known:
+    """(root, fixed, spared) of a host, worked out once for many pages."""
+    name = host.as_py()
+    if name not in known:
+        if len(known) > 1000:
+            known.clear()
+        own = dict(slots.as_py() or [])
+        spared = spared_paths(own, dict(repeated.as_py() or []))
+        known[name] = (article_path(classes.as_py() or [], own, spared), frozenset(fixed.as_py() or []), spared)
+    return known[name]
+
+
+COPIES = "host string, token string, copies long"
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts, by host and fixed text, of pages most of whose article is fixed text; an empty text counts the pages."""
+    known: dict[str, Known] = {}
+    for batch in batches:
+        counts: Counter = Counter()
+        for host, source, *template in zip(*(batch.column(i) for i in range(6))):
+            root, fixed, spared = _host(known, host, *template)
+            if root and not any((p := key.split("\t", 1)[0]) == root or p.startswith(root + "/") for key in fixed):
+                continue  # no fixed text lies in the article
+            found = [(b, _text_key(b)) for b in article_blocks(source.as_py(), root, fixed, spared)]
+            if 2 * sum(len(b.text) for b, key in found if key in fixed) > sum(len(b.text) for b, _ in found):
+                counts.update((host.as_py(), key) for key in {"", *(key for _, key in found if key in fixed)})
+        keys = list(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["host", "token", "copies"])
+
+
+def without_copies(own: DataFrame, found: DataFrame, scratch: Scratch, fixed_support: float = 0.8, least_pages: int = 8) -> DataFrame:
+    """The templates ``found`` of the hosts of ``own``, with fixed texts counted over distinct articles.
+
+    Pages most of whose article is fixed text are near copies of one article: they
+    count as one page, so what only they share is no template text.
+    """
+    some = found.filter(F.size("fixed") > 0)
+    copies = own.join(some, "host").select("host", "html", "classes", "slots", "fixed", "repeated").mapInArrow(_copies, COPIES)
+    copies = scratch.save(copies.groupBy("host", "token").agg(F.sum("copies").alias("copies")), "copies")
+    collapsed = copies.filter("token = ''").select("host", F.col("copies").alias("collapsed"))
+    texts = scratch.spark.read.parquet(scratch.path("common")).filter((F.col("kind") == TEXT) & (F.col("n") >= least_pages)).join(collapsed, "host").join(copies.filter("token <> ''"), ["host", "token"], "left")
+    n, pages = (F.col(a) - F.coalesce(b, F.lit(0)) + F.when(F.coalesce(b, F.lit(0)) > 0, 1).otherwise(0) for a, b in (("n", F.col("copies")), ("pages", F.col("collapsed"))))
+    again = texts.filter((n >= least_pages) & (n >= pages * F.lit(fixed_support))).groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("again"))
+    found = found.join(collapsed, "host", "left").join(again, "host", "left")
+    return found.withColumn("fixed", F.when(F.col("collapsed").isNull(), F.col("fixed")).otherwise(F.col("again"))).drop("collapsed", "again")
+
+
 EXTRACTED = "page_id long, url string, text string"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[str | None, frozenset[str], frozenset[str]]] = {}
+    known: dict[str, Known] = {}
     for batch in batches:
-        texts = []
-        for host, source, classes, slots, fixed, repeated in zip(*(batch.column(i) for i in range(2, 8))):
-            name = host.as_py()
-            if name not in known:
-                if len(known) > 1000:
-                    known.clear()
-                own = dict(slots.as_py() or [])
-                spared = spared_paths(own, dict(repeated.as_py() or []))
-                known[name] = (article_path(classes.as_py() or [], own, spared), frozenset(fixed.as_py() or []), spared)
-            texts.append(main_text(source.as_py(), *known[name]))
+        texts = [main_text(source.as_py(), *_host(known, host, *template)) for host, source, *template in zip(*(batch.column(i) for i in range(2, 8)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -357,5 +405,6 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     found = scratch.save(templates(pages, scratch=scratch), "templates")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+    found = scratch.save(without_copies(own, found, scratch), "distinct")
     # a broadcast only if the table of templates is measured to be small
     return own.join(found, "host", "left").select("page_id", "url", "host", "html", "classes", "slots", "fixed", "repeated").mapInArrow(_extract, EXTRACTED)

@@ -269,3 +269,17 @@ def test_extraction_below_marked_names(spark):
             assert found[n * 100 + k] == f"H {k}\n\n{prose(k, 30)}\n\n{prose(k + 50, 20)}", name
     assert html.main_text("<div class='sidebar'><p>all there is</p></div>", None) == "all there is"
     assert html.spared_paths({"html/body/article/p": 200, "html/body/article/div.comments/p": 900}, {}) == frozenset()
+
+
+def test_extraction_of_near_copies(spark):
+    """On a host of near copies of one article what the copies share is article text; what distinct articles share is not."""
+    menu, share = '<div class="top"><p>Welcome to our site</p></div>', "<p>Tell others of it</p>"
+    page = lambda paragraphs: f"<html><body>{menu}<article>{''.join(f'<p>{p}</p>' for p in paragraphs)}{share}</article></body></html>"
+    same = [prose(k, 20) for k in range(4)]
+    near = [[*same[:2], prose(100 + k, 20) if k else same[2], same[3]] for k in range(40)]
+    other = [[prose(200 + k, 50), prose(300 + k, 50)] for k in range(10)]
+    rows = [(k, None if k % 2 else "https://near.example/", page(p)) for k, p in enumerate(near[:20])]
+    rows += [(100 + k, "https://mixed.example/", page(p)) for k, p in enumerate(near + other)]
+    found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("\n\n".join(p) in found[k] for k, p in enumerate(near[:20]))
+    assert all(found[100 + k] == "\n\n".join(p) for k, p in enumerate(near + other))
