@@ -258,6 +258,14 @@ def str_chunk_document(spark, d):
     return t.select("doc_id", F.greatest(F.when(F.length("text") <= 4000, F.lit(1)).otherwise(F.size(seq.pack_paragraphs(F.col("text"), 4000))), F.lit(1)).alias("n_chunks"))
 
 
+@query("str_chunk_document_whole")
+def str_chunk_document_whole(spark, d):
+    """Chunks of every document, long ones too: paragraphs (set apart by blank lines) packed up to 4,000 characters, one chunk at least."""
+    text = F.regexp_replace(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), r"(?U)\s*\n\n\s*", "\n\n")
+    chunks = F.size(seq.pack_paragraphs(text, 4000, "\n\n", "\n\n"))
+    return v.table(spark, d, "documents").select("doc_id", F.greatest(chunks, F.lit(1)).alias("n_chunks"))
+
+
 @query("win_chunk_dedup", r"""WITH s AS (SELECT doc_id, substr(sha256(trim(text)), 1, 16) AS h, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n, len(string_split(text, chr(10))) AS l FROM documents)
     SELECT doc_id, min(doc_id) OVER (PARTITION BY h, n, l) AS first_id, doc_id <> min(doc_id) OVER (PARTITION BY h, n, l) AS is_duplicate FROM s""")
 def win_chunk_dedup(spark, d):

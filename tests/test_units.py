@@ -69,6 +69,29 @@ def test_paragraphs(spark):
     assert pack("", 5) == [] and pack("abc", 5) == ["abc"]
 
 
+def test_chunks_of_whole_documents(spark, tmp_path):
+    """Every document's chunks against a packer in plain Python."""
+    from lodestone.plans.catalog import QUERIES
+
+    def pack(text, most=4000):
+        done, now = [], ""
+        for p in filter(None, (p.strip() for p in text.strip().split("\n\n"))):
+            if now and len(now) + len(p) + 2 > most:
+                done.append(now)
+                now = ""
+            while len(p) > most:
+                done.append(p[:most])
+                p = p[most:]
+            now = f"{now}\n\n{p}" if now else p
+        return max(1, len(done) + bool(now))
+
+    para = lambda n: "word " * (n // 5)
+    texts = ["", " \n\n ", None, "short", "x" * 4000, "x" * 4001, "x" * 9000, para(30_000), "\n\n".join(map(para, [1500, 2400, 100, 90, 3900, 8100, 5])), "\n \n".join([para(3000)] * 3), "\n\n \n\n".join([para(1999)] * 9) + "\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["n_chunks"] for r in QUERIES["str_chunk_document_whole"](spark, str(tmp_path)).collect()}
+    assert found == {k: pack(t or "") for k, t in enumerate(texts)} and max(found.values()) > 3
+
+
 def test_calls(spark):
     code = "Foo::run(a(b(c(1)))); if (x) String(y); MACRO_X(z); o.method(1); later(2)"
     assert spark.range(1).select(x.calls_from_code(F.lit(code))).first()[0] == ["Foo::run", "later"]
