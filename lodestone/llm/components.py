@@ -25,7 +25,7 @@ def _star(edges: DataFrame, scratch: Scratch, name: str, large: bool) -> DataFra
         moved = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return scratch.save(moved.filter("u <> v").distinct(), name)
+    return scratch.save(moved.filter("u <> v").distinct(), name, like=edges)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.scratch import Scratch
+from lodestone.llm.scratch import Scratch, fresh, joined
 
 #: What separates words once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,24 +92,29 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     windows = scratch.save(benchmark_windows(benchmark, window), "windows")
     lengths = sorted(r[0] for r in windows.select("m").distinct().collect())  # at most `window` numbers
     if not lengths:
+        scratch.save(spark.createDataFrame([], "doc_id long, text_key long, words array<string>"), "tokens")
         return spark.createDataFrame([], "doc_id long, text_key long, hit_positions array<int>, item_ids array<string>")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     suspects = scratch.save(hit_documents(docs, windows, lengths, scratch), "suspects")
     # few documents are left: here every window is compared, word for word
     tokens = docs.join(suspects, "doc_id").select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
     tokens = scratch.save(tokens, "tokens")
+    # a window that many items share is met once, and its items are looked up once a document
+    kinds = scratch.save(windows.select("m", "words").distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    owners = scratch.save(windows.join(kinds, ["m", "words"]).select("kind", "item_id"), "owners", like=windows)
     found = None
     for m in lengths:
         starts = F.when(F.size("words") >= m, F.sequence(F.lit(0), F.size("words") - m))
         spans = _spans(starts, m)
         each = tokens.select("doc_id", "text_key", F.inline_outer(spans))
-        met = each.join(windows.filter(F.col("m") == m).select("item_id", "words"), "words")
-        part = met.select("doc_id", "text_key", "item_id", "at", F.lit(m).alias("m"))
+        met = each.join(kinds.filter(F.col("m") == m).select("kind", "words"), "words")
+        part = met.select("doc_id", "text_key", "kind", "at", F.lit(m).alias("m"))
         found = part if found is None else found.union(part)
-    found = scratch.save(found, "found")
-    covered = found.select("doc_id", "text_key", F.explode(F.expr("sequence(at, at + m - 1)")).alias("at")).distinct()
+    found = scratch.save(found, "found", like=tokens)
+    covered = found.select("doc_id", "text_key", "at", "m").distinct().select("doc_id", "text_key", F.explode(F.expr("sequence(at, at + m - 1)")).alias("at")).distinct()
     positions = covered.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("hit_positions"))
-    items = found.select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
+    items = found.select("doc_id", "text_key", "kind").distinct().join(owners, "kind").select("doc_id", "text_key", "item_id").distinct()
+    items = items.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
     return positions.join(items, ["doc_id", "text_key"])
 
 
@@ -131,12 +136,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, that are not contaminated; rows without doc_id stay."""
+    """The rows of docs, with all their columns whatever their names, that are not contaminated; rows without doc_id stay."""
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
-    found = scratch.save(contaminated_words(docs, benchmark, window, scratch), "verdicts")
-    own = docs.join(found.select("doc_id", "text_key", "hit_positions").toDF("_id", "_key", "_hits"), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    n = F.size(F.when(F.col("_hits").isNotNull(), words(F.col("text"))))
-    return own.filter(F.col("_hits").isNull() | (F.size("_hits") * 100 < n * percent)).drop("_id", "_key", "_hits")
+    found = scratch.save(contaminated_words(docs, benchmark, window, scratch).select("doc_id", "text_key", F.size("hit_positions").alias("n_hit")), "verdicts")
+    # the words of what has hits were kept when it was looked through
+    counted = scratch.read("tokens", "doc_id long, text_key long, words array<string>").select("doc_id", "text_key", F.size("words").alias("n_words")).distinct().join(found, ["doc_id", "text_key"])
+    gone_id, gone_key = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    gone = counted.filter(F.col("n_hit") * 100 >= F.col("n_words") * percent).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
+    gone = scratch.save(gone, "gone", like=found)
+    return joined(docs, gone, (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_key)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, scratch: Scratch | None = None) -> DataFrame:

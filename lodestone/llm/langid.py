@@ -21,11 +21,14 @@ from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField,
 
 from lodestone.llm import textscan as ts
 from lodestone.llm.sample import sampled_texts
+from lodestone.llm.scratch import bound_batches
 
 BIGRAMS, TRIGRAM_BITS = 1 << 16, 17
 #: Index of n-grams that count for nothing: those that would run into the next text.
 NOTHING = BIGRAMS + (1 << TRIGRAM_BITS)
 UNKNOWN = "und"
+#: Bytes of a very long text that are looked up at once.
+PIECE = 400_000
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -71,7 +74,12 @@ class Model:
         """Each text's mean n-gram weight for each bit."""
         sums = np.zeros((len(texts), self.code.shape[1]))
         filled = np.flatnonzero(np.diff(texts.offsets) > 0)
-        if len(filled):
+        if len(texts) == 1 and len(texts.data) > PIECE:  # a very long text by pieces, each with the two bytes that its last n-grams run into
+            for a in range(0, len(texts.data), PIECE):
+                data = texts.data[a : a + PIECE + 2]
+                for index in features(ts.Texts(data, np.array([0, len(data)]), 0)):
+                    sums[0] += self.weight[index[:PIECE]].sum(axis=0, dtype=np.float64)
+        elif len(filled):
             heads = texts.offsets[:-1][filled]
             for index in features(texts):
                 sums[filled] += np.add.reduceat(self.weight[index], heads, axis=0)
@@ -131,11 +139,18 @@ def train(texts: list[str], languages: list[str]) -> Model | None:
 
 
 def fit(docs: DataFrame, training: str = "true", max_rows: int = 1500) -> Model | None:
-    """A model from docs (doc_id, text, lang); training is an SQL condition, max_rows bounds each language's sample, least hash first."""
+    """A model from docs (doc_id, text, lang); training is an SQL condition, max_rows bounds each language's sample, least hash first.
+
+    Rows without lang, doc_id or text teach nothing; an id that has several
+    languages counts in each.  Without anything to learn from there is no model.
+    """
     rows = docs.filter(training).filter("lang IS NOT NULL")
     names = sorted(r[0] for r in rows.select("lang").distinct().collect())  # a row for each language
     sample = [r for r in sampled_texts(docs, rows, "lang", names, max_rows) if r["text"]]
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    model = train([r["text"] for r in sample], [r["lang"] for r in sample])
+    del sample
+    ts.release()
+    return model
 
 
 def _has_letter(text: str | None) -> bool:
@@ -147,15 +162,18 @@ def predict(docs: DataFrame, model: Model | None, close: float = 0.25) -> DataFr
 
     A text that is null or has no letter gets ``und`` with score 0; so does
     everything where there was nothing to learn from.  ambiguous: the second
-    language's score is within ``close`` of the first's.
+    language's score is within ``close`` of the first's.  Columns of these names in
+    docs are replaced; all others stay.
     """
+    bound_batches(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the n-gram tables
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for texts in ts.chunks(batch.column(at), 400_000):
+            for texts in ts.chunks(batch.column(at), PIECE):
                 part = batch.slice(texts.first_row, len(texts))
                 lettered = np.fromiter((model is not None and _has_letter(t) for t in part.column(at).to_pylist()), bool, len(texts))
                 name, score, unsure = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts), bool)
@@ -165,4 +183,4 @@ def predict(docs: DataFrame, model: Model | None, close: float = 0.25) -> DataFr
                     score[lettered], unsure[lettered] = first[lettered], (first - second < close)[lettered]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(score), pa.array(unsure)], names=[*part.schema.names, "lang_pred", "score", "ambiguous"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]))
+    return docs.mapInArrow(ts.thrifty(run), StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("ambiguous", BooleanType())]))

@@ -20,9 +20,12 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lodestone.llm import textscan as ts
 from lodestone.llm.sample import sampled_texts
+from lodestone.llm.scratch import bound_batches
 
 #: Hashed features: byte-class trigrams, then statistics by bucket.
 DIMS = 4096
+#: Texts, and bytes, whose trigrams are counted at once.
+ROWS, PIECE = 250, 1 << 20
 LABELLERS = ("symbols", "shouting", "table", "echo", "variety", "word_length", "stops", "line_repeats")
 GOOD, BAD, NONE = "1", "0", "-"
 
@@ -107,18 +110,29 @@ def votes(s: Signals) -> np.ndarray:
     ).astype(np.int8)
 
 
+def _trigrams(data: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """(n, DIMS) counts of the hashed byte-class trigrams that lie within one text; doc names the text of each byte."""
+    kinds = _KIND[data].astype(np.uint32)
+    key = (((kinds[:-2] << 10) | (kinds[1:-1] << 5) | kinds[2:]) * np.uint32(2654435761)) >> np.uint32(20)
+    whole = doc[:-2] == doc[2:]
+    return np.bincount(doc[:-2][whole] * DIMS + key[whole], minlength=n * DIMS).reshape(n, DIMS)
+
+
 def features(texts: ts.Texts, s: Signals) -> np.ndarray:
     """(texts, DIMS) float32: square roots of byte-class trigram shares, and one-hot buckets of the statistics."""
     n = len(texts)
-    kinds = _KIND[texts.data].astype(np.uint32)
     out = np.zeros((n, DIMS), np.float32)
-    if len(kinds) > 2:
-        key = (((kinds[:-2] << 10) | (kinds[1:-1] << 5) | kinds[2:]) * np.uint32(2654435761)) >> np.uint32(20)
-        doc = np.repeat(np.arange(n), np.diff(texts.offsets))
-        whole = doc[:-2] == doc[2:]
-        out += np.bincount(doc[:-2][whole] * DIMS + key[whole], minlength=n * DIMS).reshape(n, DIMS)
-        out /= np.maximum(out.sum(axis=1, keepdims=True), 1)
-        np.sqrt(out, out=out)
+    for a in range(0, n, ROWS):
+        b = min(a + ROWS, n)
+        start, end = int(texts.offsets[a]), int(texts.offsets[b])
+        if b - a > 1:  # a chunk of several texts is no longer than a piece
+            out[a:b] += _trigrams(texts.data[start:end], np.repeat(np.arange(b - a), np.diff(texts.offsets[a : b + 1])), b - a)
+            continue
+        for p in range(start, end - 2, PIECE):  # a piece ends with the two bytes that its last trigrams run into
+            part = texts.data[p : min(p + PIECE + 2, end)]
+            out[a] += _trigrams(part, np.zeros(len(part), np.int64), 1)[0]
+    out /= np.maximum(out.sum(axis=1, keepdims=True), 1)
+    np.sqrt(out, out=out)
     for k, (value, edges) in enumerate(
         ((s.n_words, (1, 5, 20, 80, 320, 1280)), (s.echo_share, (0.01, 0.05, 0.1, 0.3)), (s.variety, (1, 2, 4, 8, 16)), (s.pipe_share, (0.001, 0.05, 0.2)), (s.upper_share, (0.05, 0.2, 0.4, 0.7)), (s.line_repeat, (0.05, 0.2, 0.5)))
     ):
@@ -210,7 +224,12 @@ def train(texts: list[str | None], posterior: np.ndarray, steps: int = 300) -> S
 
 
 def vote_patterns(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with votes: a character 1, 0 or - for each labeller; whole texts, null as empty."""
+    """docs (doc_id, text, ...) with votes: a character 1, 0 or - for each labeller; whole texts, null as empty.
+
+    A column votes in docs is replaced; all others stay.
+    """
+    bound_batches(docs.sparkSession)
+    docs = docs.drop("votes")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +240,7 @@ def vote_patterns(docs: DataFrame) -> DataFrame:
                 part = batch.slice(texts.first_row, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(["".join(letters[r]) for r in v], pa.string())], names=[*part.schema.names, "votes"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("votes", StringType())]))
+    return docs.mapInArrow(ts.thrifty(run), StructType([*docs.schema.fields, StructField("votes", StringType())]))
 
 
 def parse(patterns: list[str]) -> np.ndarray:
@@ -230,7 +249,12 @@ def parse(patterns: list[str]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, max_rows: int = 4000) -> tuple[LabelModel, Scorer]:
-    """Accuracies from the votes on all of docs, and a scorer from at most max_rows texts, least hash of doc_id first."""
+    """Accuracies from the votes on all of docs, and a scorer from at most max_rows texts, least hash of doc_id first.
+
+    Rows without doc_id vote, but are not in the sample; a null text votes as an
+    empty one.  Without rows the accuracies are the starting ones and every text
+    scores 0.5.
+    """
     voted = vote_patterns(docs.select("doc_id", "text"))
     counted = voted.groupBy("votes").count().collect()  # at most 3 ** labellers rows
     model = estimate(parse([r["votes"] for r in counted]), np.array([r["count"] for r in counted], float))
@@ -238,11 +262,19 @@ def fit(docs: DataFrame, max_rows: int = 4000) -> tuple[LabelModel, Scorer]:
     texts = [r["text"] for r in sample]
     column = pa.array(texts, pa.large_string())
     own = np.concatenate([votes(signals(p)) for p in ts.chunks(column)]) if texts else np.zeros((0, len(LABELLERS)), np.int8)
-    return model, train(texts, model.posterior(own) if len(own) else np.zeros(0))
+    scorer = train(texts, model.posterior(own) if len(own) else np.zeros(0))
+    del sample, texts, column, own
+    ts.release()
+    return model, scorer
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with score double (0 to 1, higher is better): every row, whole texts; null scores as empty."""
+    """docs with score double (0 to 1, higher is better): every row, whole texts; null scores as empty.
+
+    A column score in docs is replaced; all others stay.
+    """
+    bound_batches(docs.sparkSession)
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # DIMS weights
     at = docs.columns.index("text")
 
@@ -252,4 +284,4 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 part = batch.slice(texts.first_row, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(texts).astype(float))], names=[*part.schema.names, "score"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(ts.thrifty(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))

@@ -14,7 +14,7 @@ a bounded cache.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import ahocorasick
@@ -24,12 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from lodestone.llm import textscan as ts
+from lodestone.llm.scratch import bound_batches
 
 MARK = "▁"
 #: What an unknown character costs below the least piece score.
 UNKNOWN_PENALTY = 10.0
 #: Units that are remembered within a task, twice over.
 CACHE_UNITS = 150_000
+#: Characters, or ids, of a very long text that are taken apart at once.
+PART = 1_000_000
 _NEVER = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -129,32 +132,41 @@ class Encoder:
         self._young, self._old = {}, {}
 
     def encode(self, text: str) -> list[int]:
+        return list(self.ids(text))
+
+    def ids(self, text: str) -> Sequence[int]:
+        """The ids of a text, of a very long one in 4 bytes each; an empty text has none."""
         if not text:
-            return []
+            return ()
         marked = text.replace(" ", MARK)
         if self.dummy_prefix:
             marked = MARK + marked
         if not self.divisible:
-            return list(self.segment(marked))
-        out: list[int] = []
+            return self.segment(marked)
+        out: list[int] | array = [] if len(text) <= PART else array("i")
         known = self._young
         if MARK in text or "  " in text or marked[:2] == MARK * 2 or not self.dummy_prefix:
             for unit in _units(marked):
-                out += self._unit(unit)
+                out.extend(self._unit(unit))
             return out
-        for word in text.split(" "):
-            ids = known.get(MARK + word)
-            if ids is None:
-                if "\n" in word:
-                    for unit in _units(MARK + word):
-                        out += self._unit(unit)
-                    continue
-                ids = self._unit(MARK + word)
-                known = self._young
-            out += ids
+        for part in _parts(text):
+            own: list[int] = []
+            for word in part.split(" "):
+                ids = known.get(MARK + word)
+                if ids is None:
+                    if "\n" in word:
+                        for unit in _units(MARK + word):
+                            own += self._unit(unit)
+                        continue
+                    ids = self._unit(MARK + word)
+                    known = self._young
+                own += ids
+            if len(text) <= PART:
+                return own
+            out.extend(array("i", own))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids: what encode() got, but that a mark in the text itself comes back as a space."""
         raw = b"".join(map(self.content.__getitem__, ids))
         if self.dummy_prefix and raw[:1] == b" ":
@@ -174,6 +186,15 @@ def _units(marked: str) -> Iterator[str]:
         yield marked[start:n]
 
 
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about PART characters that were joined by one space."""
+    at = 0
+    while (cut := text.find(" ", at + PART)) >= 0:
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
 _ENCODERS: dict[int, Encoder] = {}
 
 
@@ -193,7 +214,10 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     """docs with ids array<int> and round_trip: whether decoding the ids gives the text back.
 
     A null text has null ids, an empty one no ids; both count as a round trip.
+    Columns of these names in docs are replaced; all others stay.
     """
+    bound_batches(docs.sparkSession)
+    docs = docs.drop("ids", "round_trip")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary
     at, key = docs.columns.index("text"), hash(model)
 
@@ -204,7 +228,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                 part = batch.slice(texts.first_row, len(texts))
                 flat, offsets, same, gone = array("i"), [0], [], []
                 for text in part.column(at).to_pylist():
-                    ids = encoder.encode(text or "")
+                    ids = encoder.ids(text or "")
                     flat.extend(ids)
                     offsets.append(len(flat))
                     same.append(encoder.decode(ids) == (text or ""))
@@ -213,13 +237,13 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(same)], names=[*part.schema.names, "ids", "round_trip"])
         encoder.forget()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]))
+    return docs.mapInArrow(ts.thrifty(run), StructType([*docs.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]))
 
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
-    """rows with decoded: the text of the column ids (null: null)."""
-    from pyspark.sql.types import StringType
-
+    """rows with decoded: the text of the column ids (null: null).  A column decoded in rows is replaced."""
+    bound_batches(rows.sparkSession)
+    rows = rows.drop("decoded")
     shared = rows.sparkSession.sparkContext.broadcast(model)
     at, key = rows.columns.index("ids"), hash(model)
 
@@ -229,4 +253,4 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
             texts = [None if ids is None else encoder.decode(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
+    return rows.mapInArrow(ts.thrifty(run), StructType([*rows.schema.fields, StructField("decoded", StringType())]))

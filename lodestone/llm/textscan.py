@@ -4,12 +4,15 @@ The functions here work on the contiguous byte buffer of many texts at once, so
 the cost per word is a few numpy passes and memory is bounded by ``max_bytes``
 of text (or one text, if that is longer).  Word hashes are polynomial hashes
 modulo 2**64 over random byte values, finished with an avalanche step; hashes of
-runs of words are polynomials over those.
+runs of words are polynomials over those.  Both are computed in slices, so a very
+long text needs no tables as long as itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +27,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 CHUNK_BYTES = 1_000_000
+#: Most texts of a chunk, however short.
+CHUNK_ROWS = 2_000
+#: Bytes, or words, that are hashed at once: tables of powers are no longer than that.
+SLICE = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE_BYTES, _BASE_WORDS = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -51,7 +58,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16, 2 * len(have[0]) if have else 0)
+        size = max(n, 1 << 16, min(2 * len(have[0]), SLICE + 1) if have else 0)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, U64(b))
@@ -97,13 +104,13 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw, offsets
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES) -> Iterator[Texts]:
-    """The rows of a column in order, at most max_bytes of text at a time, or one text."""
+def chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES, max_rows: int = CHUNK_ROWS) -> Iterator[Texts]:
+    """The rows of a column in order, at most max_bytes of text and max_rows rows at a time, or one text."""
     raw, offsets = buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + max_bytes, side="right")) - 1
-        end = min(max(end, row + 1), n)
+        end = min(max(end, row + 1), row + max_rows, n)
         start = offsets[row]
         yield Texts(raw[start : offsets[end]], offsets[row : end + 1] - start, row)
         row = end
@@ -144,23 +151,73 @@ def words(texts: Texts, separators: np.ndarray = SPACE) -> Words:
     return Words(start, end, np.searchsorted(start, offsets))
 
 
+def _polynomials(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """The sum of values[k] * base ** (k - start[i]) over start[i] <= k < end[i], for ascending starts and ends; values are looked up slice by slice."""
+    out = np.zeros(len(start), U64)
+    i, n = 0, len(start)
+    while i < n:
+        a = int(start[i])
+        j = max(int(np.searchsorted(end, a + SLICE, side="right")), i + 1)
+        b = int(end[j - 1])
+        if b - a <= SLICE:
+            up, down = powers(base, b - a + 1)
+            sums = np.zeros(b - a + 1, U64)
+            np.cumsum(values[a:b] * up[: b - a], out=sums[1:])
+            out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * down[start[i:j] - a]
+        else:  # one run longer than a slice
+            up, _ = powers(base, SLICE)
+            shift, total = 1, 0
+            for k in range(a, b, SLICE):
+                part = values[k : min(k + SLICE, b)]
+                total += shift * int((part * up[: len(part)]).sum(dtype=U64))
+                shift = shift * pow(base, SLICE, 1 << 64) % (1 << 64)
+            out[i] = U64(total % (1 << 64))
+        i = j
+    return out
+
+
+class _Mapped:
+    """BYTE_VALUES[fold[data]], looked up for the slices that are asked for."""
+
+    def __init__(self, data: np.ndarray, fold: np.ndarray | None) -> None:
+        self.data, self.table = data, BYTE_VALUES if fold is None else BYTE_VALUES[fold]
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return self.table[self.data[part]]
+
+
 def word_hashes(texts: Texts, found: Words, fold: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each word's bytes, mapped through fold first if given."""
-    if not len(found.start):
-        return np.zeros(0, U64)
-    data = texts.data if fold is None else fold[texts.data]
-    up, down = powers(_BASE_BYTES, len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_VALUES[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[found.end] - sums[found.start]) * down[found.start])
+    return mix(_polynomials(_Mapped(texts.data, fold), found.start, found.end, _BASE_BYTES))
 
 
 def run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE_WORDS) -> np.ndarray:
-    """A 64-bit hash of each run hashes[start[i]:end[i]]."""
-    up, down = powers(base, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
+    """A 64-bit hash of each run hashes[start[i]:end[i]]; starts and ends ascend."""
+    return mix(_polynomials(hashes, start, end, base) + (end - start).astype(U64))
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker process outlives its tasks and stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def thrifty(run: Mapper) -> Mapper:
+    """run, a function for mapInArrow, that gives its memory back at the end of its task."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
 
 
 def windows(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

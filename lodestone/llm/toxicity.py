@@ -18,6 +18,7 @@ kernel against every landmark.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.llm import textscan as ts
 from lodestone.llm.sample import sampled_texts
+from lodestone.llm.scratch import bound_batches
 
 #: Subsequences are hashed into 2 ** BITS features.
 BITS = 20
@@ -39,6 +42,9 @@ EDGE = 63
 TOP = 3
 #: Longer units are scored in windows of this many characters, half overlapping.
 LONGEST = 24
+#: Longer texts are scored in pieces.
+PIECE = 1_000_000
+_SEAM, _BLANK = re.compile(r"[a-z]{2}\s(?=([a-z]{2}))", re.A | re.I), re.compile(r"\s")
 _COMBOS: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
 
 
@@ -130,6 +136,23 @@ def units(texts: list[str | None]) -> Units:
     return Units(kept, start[enough].astype(np.int64), length[enough].astype(np.int64), text[enough].astype(np.int64))
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters, cut where two units of two characters or more meet.
+
+    Where there is no such place within another PIECE, the cut falls after any
+    white space, and where there is none of that, anywhere: a run of single
+    characters, or a unit, that long is then scored in parts.
+    """
+    at = 0
+    while len(text) - at > PIECE:
+        cut = _SEAM.search(text, at + PIECE, at + 2 * PIECE)
+        blank = None if cut else _BLANK.search(text, at + PIECE, at + 2 * PIECE)
+        end = cut.start(1) if cut else blank.end() if blank else min(len(text), at + 2 * PIECE)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def unit_hashes(found: Units) -> np.ndarray:
     """A 64-bit hash of each unit's classes."""
     out = np.zeros(len(found.start), np.uint64)
@@ -181,6 +204,15 @@ class Machine:
 
     def text_margins(self, texts: list[str | None]) -> np.ndarray:
         """The TOP largest unit margins of each text, in -1.5 to 1.5; missing ones are -1.5."""
+        if any(t and len(t) > PIECE for t in texts):  # the largest margins of a text are among those of its pieces
+            out = np.full((len(texts), TOP), -1.5)
+            for i, text in enumerate(texts):
+                for piece in pieces(text or ""):
+                    out[i] = -np.sort(-np.append(out[i], self._margins_of([piece])[0]))[:TOP]
+            return out
+        return self._margins_of(texts)
+
+    def _margins_of(self, texts: list[str | None]) -> np.ndarray:
         found = units(texts)
         out = np.full((len(texts), TOP), -1.5)
         if len(found.start):
@@ -382,27 +414,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30,
 def fit(docs: DataFrame, labels: DataFrame, training: str = "true", max_rows: int = 1500) -> Machine:
     """A machine from labels (doc_id, toxic) and the texts of docs; max_rows bounds the rows of each class that the driver fits on.
 
-    training is an SQL condition on the ids to learn from.
+    training is an SQL condition on the ids to learn from.  Labels that are null,
+    have no doc_id or name no document teach nothing; an id that is labelled both
+    ways counts in both classes; a null text is one without units.  Without any
+    labelled text, or with one class only, every text gets that class's constant.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IS NOT NULL").distinct()
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(training).join(known, "doc_id")
     rows = sampled_texts(docs, labelled, "toxic", [0, 1], max_rows)
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    machine = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    del rows
+    ts.release()  # the kernel's matrices
+    return machine
 
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with score double (0 to 1): every row, whole texts; null and unitless texts score near 0."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(machine)  # 64 ** 3 weights whatever the corpus
-    fields = [f for f in docs.schema.fields]
+def score(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
+    """docs with column, a double from 0 to 1: every row, whole texts; null and unitless texts score near 0.
+
+    A column of that name in docs is replaced; all others stay.
+    """
+    bound_batches(docs.sparkSession)
+    docs = docs.drop(column)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2 ** BITS weights whatever the corpus
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in ts.chunks(batch.column(at)):
                 part = batch.slice(texts.first_row, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(at).to_pylist()))], names=[*part.schema.names, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(at).to_pylist()))], names=[*part.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(ts.thrifty(run), StructType([*docs.schema.fields, StructField(column, DoubleType())]))
