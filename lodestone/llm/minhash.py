@@ -7,9 +7,9 @@
 3. A bucket's least id leads it.  Each member and the leader with which it shares
    most buckets are compared by sketch, then verified on full sets, and members
    of one leader get one label.
-4. In buckets that hold several labels, members of different labels are compared in blocks by a finer sketch (2,048 minima, one bit
-   each), and what passes is verified on full sets.  Pairs of one label need no check: they are connected.  Components
-   of all verified links follow.
+4. In buckets that hold several labels, members without the label that most have are compared in blocks with each other and
+   with those that have it, by a finer sketch (2,048 minima, one bit each), and what passes is verified on full sets.  Pairs
+   of one label need no check: they are connected.  Components of all verified links follow.
 """
 
 from __future__ import annotations
@@ -183,6 +183,25 @@ def _differing(x: str, y: str) -> Column:
     return total
 
 
+def deal(mixed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, rep, component, i, j, block) of the members of mixed (band, rep, component) in buckets of several components.
+
+    Each pair of blocks (i, j) meets once; a bucket's most frequent component is in
+    blocks of its own, which meet the others only, so a crowd with one stray is
+    dealt in proportion to its size, not to its square.
+    """
+    labels = mixed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    bands = labels.groupBy("band").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("labels")).filter("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    bands = bands.select("band", F.col("most.component").alias("major"), blocks(F.col("size") - F.col("most.n")).alias("few"), blocks(F.col("most.n")).alias("many"))
+    rows = scratch.save(mixed.join(scratch.save(bands, "mixed-bands"), "band"), "mixed-rows", like=mixed)
+    major, hashed = F.col("component") == F.col("major"), F.xxhash64("rep")
+    block = F.when(major, F.col("few") + F.pmod(hashed, "many")).otherwise(F.pmod(hashed, "few")).cast("int")
+    others = F.sequence(F.lit(0), F.when(major, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    each = rows.withColumn("block", block).withColumn("other", F.explode(others))
+    return each.select("band", "rep", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+
+
 DEALT = ["band", "i", "j", "block", "rep", "component", "n", "fine", "bands"]
 
 
@@ -257,17 +276,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.75, s
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.save(texts.mapInArrow(_signer(width), SIGNED), "signed")
+    signed = scratch.save(texts.mapInArrow(ts.thrifty(_signer(width)), SIGNED), "signed")
     filled = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["set_a", "set_b", "n_shingles"]
 
     sets = scratch.save(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), "sets")
-    owned = scratch.save(filled.join(sets, key), "owned")
+    owned = scratch.save(filled.join(sets, key), "owned", like=signed)
     reps = owned.filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands", "sketch")
 
     rows = reps.select(F.explode("bands").alias("band"), "rep")
     shared = scratch.save(rows.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).filter("size > 1"), "shared")
-    buckets = scratch.save(rows.join(shared, "band"), "buckets")
+    buckets = scratch.save(rows.join(shared, "band"), "buckets", like=signed)
 
     def side(x: str) -> DataFrame:
         return reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
@@ -276,34 +295,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.75, s
     stars = buckets.filter("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("shared"))
     stars = stars.groupBy("rep").agg(F.max(F.struct("shared", F.bitwise_not("leader").alias("reversed"))).alias("best"))
     stars = scratch.save(stars.select(F.bitwise_not("best.reversed").alias("a"), F.col("rep").alias("b")), "stars")
-    first = scratch.save(stars.join(side("b"), "b"), "stars-b").join(side("a"), "a").filter(_may_link("a", "b", similarity)).select("a", "b")
-    first = scratch.save(first, "first")
+    first = scratch.save(stars.join(side("b"), "b"), "stars-b", like=signed).join(side("a"), "a").filter(_may_link("a", "b", similarity)).select("a", "b")
+    first = scratch.save(first, "first", like=stars)
     links = _verified(texts, first, width, similarity, scratch, "first")
 
     # the same id with several texts
     several = owned.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("doc_id")
     several = owned.select("doc_id", "rep").join(several, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links = links.union(scratch.save(several.filter("a <> b").distinct(), "several"))
+    links = links.union(scratch.save(several.filter("a <> b").distinct(), "several", like=signed))
 
     # verified leaders lead down to smaller ids: two jumps give members that share a leader one label
     parent = links.groupBy(F.greatest("a", "b").alias("id")).agg(F.min(F.least("a", "b")).alias("up"))
     parent = scratch.save(parent, "parent")
     up = parent.select(F.col("id").alias("up"), F.col("up").alias("upper"))
-    found = scratch.save(parent.join(up, "up", "left").select("id", F.coalesce("upper", "up").alias("up")).join(up, "up", "left").select("id", F.coalesce("upper", "up").alias("component")), "found")
+    found = scratch.save(parent.join(up, "up", "left").select("id", F.coalesce("upper", "up").alias("up")).join(up, "up", "left").select("id", F.coalesce("upper", "up").alias("component")), "found", like=parent)
 
     # buckets that may still hold several components
-    mixed = buckets.select("band", "rep", "size").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    mixed = scratch.save(mixed.withColumn("component", F.coalesce("component", "rep")), "mixed")
-    several = scratch.save(mixed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band"), "mixed-bands")
-    mixed = scratch.save(mixed.join(several, "band"), "mixed-rows")
-    ids = scratch.save(mixed.select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
-    fine = scratch.save(texts.join(ids, "doc_id").mapInArrow(_fine_signer(width), FINE_SKETCH), "fine").filter("n > 0")
-    mixed = mixed.join(fine, "rep").join(reps.select("rep", "bands"), "rep")
-    mixed = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    mixed = buckets.select("band", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    mixed = scratch.save(mixed.withColumn("component", F.coalesce("component", "rep")), "mixed", like=buckets)
+    dealt = deal(mixed, scratch)
+    ids = scratch.save(scratch.read("mixed-rows", "rep long").select(F.col("rep").alias("doc_id")).distinct(), "mixed-ids")
+    fine = scratch.save(texts.join(ids, "doc_id").mapInArrow(ts.thrifty(_fine_signer(width)), FINE_SKETCH), "fine", like=texts).filter("n > 0")
+    dealt = dealt.join(fine, "rep").join(reps.select("rep", "bands"), "rep")
     dealt = dealt.select(*DEALT).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    rest = dealt.mapInArrow(_crosser(similarity), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    rest = scratch.save(rest, "rest")
+    rest = dealt.mapInArrow(ts.thrifty(_crosser(similarity)), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    rest = scratch.save(rest, "rest", like=buckets)
     scratch.drop("stars", "stars-b", "mixed", "mixed-rows", "mixed-bands", "mixed-ids", "fine", "shared", "buckets")
     more = _verified(texts, rest, width, similarity, scratch, "rest")
     found = scratch.save(components(links.union(more), scratch, "cc"), "components")
@@ -318,9 +334,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.75, s
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of doc_ids of which a text each has the similarity, on full shingle sets."""
     ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    made = texts.join(ids, "doc_id").mapInArrow(_set_maker(width), "id long, hashes binary")
-    full = scratch.save(made.filter("length(hashes) > 0"), f"{name}-sets")  # an id may have an empty text beside another
+    made = texts.join(ids, "doc_id").mapInArrow(ts.thrifty(_set_maker(width)), "id long, hashes binary")
+    full = scratch.save(made.filter("length(hashes) > 0"), f"{name}-sets", like=texts)  # an id may have an empty text beside another
     met = pairs.join(full.toDF("a", "hashes_a"), "a").join(full.toDF("b", "hashes_b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    links = scratch.save(met.mapInArrow(_linker(similarity), "a long, b long"), f"{name}-links")
+    links = scratch.save(met.mapInArrow(ts.thrifty(_linker(similarity)), "a long, b long"), f"{name}-links", like=full)
     scratch.drop(f"{name}-ids", f"{name}-sets")
     return links
