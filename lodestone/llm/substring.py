@@ -1,20 +1,24 @@
 """Incremental removal of repeated word windows through a log-structured fingerprint index.
 
-The index is a folder of immutable runs.  A run holds, for each bucket, the
-sorted 64-bit hashes of windows and the least doc_id in which each starts; the
-bucket comes from a second, independent hash.  A batch is ingested in one pass:
-its window hashes are dealt to buckets together with the runs' entries, each
-bucket is merged in sorted order, hits go back to the batch's documents, and what
-is new becomes a run.  ``compact`` merges runs into one.
-
-A hit is verified by the second hash: windows count as equal only if the 64-bit
-hashes and the buckets agree.  Buckets grow in number with the corpus, so a bucket
-of n windows holds a false pair with probability n * n / 2 ** 65 at any size.  The
-words themselves are not compared again; that would ship every repeated window.
+The index is a folder of immutable runs.  A run holds, for each bucket of the hash
+space, the sorted 64-bit hashes of windows and the least doc_id in which each
+starts.  All runs lie in one Parquet table that is partitioned by run and bucketed,
+so a batch is dealt to buckets, sorted and merge-joined with the runs where they
+lie: history is read, but never shuffled again.  Hits go back to the batch's
+documents, and what is new becomes a run.  ``compact`` merges runs into one.  A
+manifest with a rising number says which runs count; an index that is opened again
+goes on from there.
+
+A hit names a smaller document that has a window of the same hash.  Each stretch of
+hits is verified word for word in that document's text.  The windows of hashes for
+which this fails are told apart by their words over all documents, so the result
+does not depend on the hash.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +27,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import textscan as ts
-from lodestone.llm.scratch import Scratch
-
-#: A second word-run polynomial, for buckets and verification.
-_SECOND_BASE = 0xA24BAED4963EE407
-ENTRY = "kind int, bucket int, hashes binary, docs binary"
-_ENTRY = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
-#: Text that is combined before entries are dealt out.
-SCAN_BYTES = 2_000_000
-#: Kinds of rows: entries of a run, entries of the batch, hits, entries of a new run.
-OLD, NEW, HIT = 0, 1, 2
-
-
-def window_hashes(texts: ts.Texts, width: int, buckets: int) -> tuple[ts.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, first word of each window, texts' first windows, hash, bucket)."""
+from lodestone.llm.scratch import Scratch, exists, remove
+from lodestone.llm.scratch import joined as keyed
+
+ROW = "kind int, bucket int, hashes binary, docs binary, firsts binary"
+_ROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("firsts", pa.binary())])
+#: Kinds of rows: windows of the batch or of a new run; hits, with a smaller document for each.
+NEW, HIT = 0, 1
+#: Text that is combined before its windows are dealt out, and text for which the hash space gets one bucket more.
+SCAN_BYTES, BUCKET_BYTES = 2_000_000, 2_500_000
+#: Fewest and most buckets of an index.
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20
+#: Repeated windows that a task remembers, so that each of them is dealt out once by a task.
+REMEMBERED = 1 << 18
+#: Stretches that are verified against one copy of a text, and colliding hashes that are told apart at once.
+PACKET, COLLISIONS = 1000, 1_000_000
+
+
+def window_hashes(texts: ts.Texts, width: int, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each window, texts' first windows, hash of each window)."""
     found = ts.words(texts)
     hashes = ts.word_hashes(texts, found)
     start, first = ts.windows(found, width)
-    second = ts.run_hashes(hashes, start, start + width, _SECOND_BASE)
-    return found, start, first, ts.run_hashes(hashes, start, start + width), (second % np.uint64(buckets)).astype(np.int32)
+    return start, first, ts.run_hashes(hashes, start, start + width) & np.uint64(mask)
 
 
 def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,119 +60,232 @@ def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, heads, np.minimum.reduceat(docs[order], heads) if len(heads) else docs[:0]
 
 
-def _rows(kind: int, bucket: np.ndarray | int, hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket present."""
-    if isinstance(bucket, int):
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([hashes.tobytes()], pa.binary()), pa.array([docs.tobytes()], pa.binary())], schema=_ENTRY)
+def _spread(least: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(least, np.diff(np.append(heads, n)))
+
+
+def _look_up(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each wanted hash is among the sorted known ones, its place there)."""
+    at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+    return (known[at] == wanted) if len(known) else np.zeros(len(wanted), bool), at
+
+
+def _dealt(bucket: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """A row of kind NEW for each bucket present."""
     order = np.argsort(bucket, kind="stable")
     names, at = np.unique(bucket[order], return_index=True)
     offsets = pa.py_buffer((np.append(at, len(order)) * 8).astype(np.int32))
-    columns = [pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, offsets, pa.py_buffer(x[order])]) for x in (hashes, docs)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), kind, np.int32)), pa.array(names.astype(np.int32)), *columns], schema=_ENTRY)
+    packed = [pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, offsets, pa.py_buffer(x[order])]) for x in (hashes, docs)]
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(names), np.int32)), pa.array(names.astype(np.int32)), *packed, pa.nulls(len(names), pa.binary())], schema=_ROW)
+
+
+def _one(kind: int, bucket: int, hashes: np.ndarray, docs: np.ndarray, firsts: np.ndarray | None = None) -> pa.RecordBatch:
+    packed = [pa.array([None if x is None else x.tobytes()], pa.binary()) for x in (hashes, docs, firsts)]
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), *packed], schema=_ROW)
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    parts = [np.frombuffer(x.as_buffer(), kind) for x in column if x.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
 
+def _scanner(width: int, buckets: int, mask: int):
+    """Texts to windows by bucket.
 
-def _scanner(width: int, buckets: int):
-    """Texts to entries: of the documents of one chunk that share a window only the least is
-    entered; the others are hits at once, so a passage that everybody quotes stays small."""
+    Of the documents that share a window only the least of a chunk is dealt out; the
+    others are hits at once, and so is every later document of the task.  A passage
+    that everybody quotes thus stays small, and its hits bypass its bucket: they have
+    a negative one of their own, chunk by chunk.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, seen_doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for texts in ts.chunks(batch.column(1), SCAN_BYTES):
-                _, _, first, hashes, bucket = window_hashes(texts, width, buckets)
+                _, first, hashes = window_hashes(texts, width, mask)
                 if not len(hashes):
                     continue
                 docs = np.repeat(ids[texts.first_row : texts.first_row + len(texts)], np.diff(first))
-                key = ts.mix(hashes + bucket.astype(np.uint64))
-                order, heads, least = _least(key, docs)
-                later = docs[order] > np.repeat(least, np.diff(np.append(heads, len(order))))
+                known, at = _look_up(seen, hashes)
+                late = known.copy()
+                late[known] = docs[known] > seen_doc[at[known]]
+                rest = np.flatnonzero(~late)
+                order, heads, least = _least(hashes[rest], docs[rest])
+                order = rest[order]
+                low = _spread(least, heads, len(order))
+                later = docs[order] > low
+                again = np.unique(_spread(np.arange(len(heads)), heads, len(order))[later])
                 # in the order of the text, so that runs of one doc_id compress to nothing
                 place = np.argsort(order[heads], kind="stable")
-                own, least = order[heads][place], least[place]
-                yield _rows(NEW, bucket[own], hashes[own], least)
-                again = np.sort(order[later])
+                own = order[heads][place]
+                yield _dealt((hashes[own] % np.uint64(buckets)).astype(np.int32), hashes[own], least[place])
+                hit = np.concatenate([np.flatnonzero(late), order[later]])
+                if len(hit):
+                    firsts = np.concatenate([seen_doc[at[late]], low[later]])
+                    place = np.argsort(hit, kind="stable")
+                    name = int(ts.mix(np.array([int(docs[hit[0]]) & (2**63 - 1)], np.uint64) + np.uint64(len(hit)))[0] >> np.uint64(34))
+                    yield _one(HIT, -1 - name, hashes[hit[place]], docs[hit[place]], firsts[place])
                 if len(again):
-                    yield _rows(HIT, bucket[again], hashes[again], docs[again])
+                    # the newest come first: beyond the bound, what was seen long ago is dealt out again
+                    news = hashes[order[heads[again]]]
+                    fresh = ~_look_up(np.sort(news), seen)[0]
+                    both, both_doc = np.concatenate([news, seen[fresh]])[:REMEMBERED], np.concatenate([least[again], seen_doc[fresh]])[:REMEMBERED]
+                    place = np.argsort(both, kind="stable")
+                    seen, seen_doc = both[place], both_doc[place]
 
     return scan
 
 
-def _merger(write_run: bool):
-    """Rows sorted by bucket to hits, and to the entries that are new to the runs."""
-
-    def merge(bucket: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        entries = [p for p in parts if p[0] != HIT]
-        hits = [p for p in parts if p[0] == HIT]
-        hit_h, hit_d = [p[1] for p in hits], [p[2] for p in hits]
-        if entries:
-            hashes, docs = (np.concatenate([p[k] for p in entries]) for k in (1, 2))
-            new = np.concatenate([np.full(len(p[1]), p[0] == NEW) for p in entries])
-            order, heads, least = _least(hashes, docs)
-            later = new[order] & (docs[order] > np.repeat(least, np.diff(np.append(heads, len(order)))))
-            hit_h.append(hashes[order[later]])
-            hit_d.append(docs[order[later]])
-            if write_run:
-                unseen = np.logical_and.reduceat(new[order], heads)
-                yield _rows(NEW, bucket, hashes[order[heads]][unseen], least[unseen])
-        if sum(map(len, hit_h)):
-            yield _rows(HIT, bucket, np.concatenate(hit_h), np.concatenate(hit_d))
+def _judge(keep_run: bool):
+    """Rows of a bucket, and of the runs there, to hits and to what is new to the runs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-        for batch in batches:
-            for kind, bucket, hashes, docs in zip(*(batch.column(i) for i in range(4))):
-                bucket = bucket.as_py()
-                if bucket != now:
-                    if parts:
-                        yield from merge(now, parts)
-                    now, parts = bucket, []
-                parts.append((kind.as_py(), np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(docs.as_py(), np.int64)))
-        if parts:
-            yield from merge(now, parts)
+    def judge(key: tuple[pa.Scalar, ...], batch: pa.Table, runs: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        if bucket < 0 or not batch.num_rows:
+            return batch.select(_ROW.names).cast(_ROW)
+        hashes, docs = _unpacked(batch["hashes"], np.uint64), _unpacked(batch["docs"], np.int64)
+        order, heads, least = _least(hashes, docs)
+        low = _spread(least, heads, len(order))
+        later = docs[order] > low
+        found = hashes[order[heads]]
+        hits = [(hashes[order[later]], docs[order[later]], low[later])]
+        unseen = np.ones(len(found), bool)
+        if runs.num_rows:
+            old, old_doc = _folded(runs)
+            known, at = _look_up(old, found)
+            older = old_doc[at]
+            also = known & (older < least)
+            hits.append((found[also], least[also], older[also]))
+            unseen = ~known | (least < older)
+        out = [_one(HIT, bucket, *(np.concatenate([h[k] for h in hits]) for k in range(3)))] if sum(len(h[0]) for h in hits) else []
+        if keep_run and unseen.any():
+            out.append(_one(NEW, bucket, found[unseen], least[unseen]))
+        return pa.Table.from_batches(out, _ROW)
 
-    return run
+    return judge
+
+
+def _judge_alone(keep_run: bool):
+    """The same without runs."""
+    judge = _judge(keep_run)
+
+    def alone(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
+        return judge(key, batch, batch.slice(0, 0))
+
+    return alone
+
+
+def _folded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, the least doc of each) of several runs' rows of a bucket."""
+    hashes, docs = _unpacked(rows["hashes"], np.uint64), _unpacked(rows["docs"], np.int64)
+    order, heads, least = _least(hashes, docs)
+    return hashes[order[heads]], least
+
+
+def _fold(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_one(NEW, key[0].as_py(), *_folded(rows))], _ROW)
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hits by bucket to (doc_id, hashes), a row for each document and input row."""
+    """Hits by bucket to (doc_id, hashes, firsts), a row for each document and input row."""
     for batch in batches:
-        for hashes, docs in zip(batch.column(0), batch.column(1)):
-            h, d = np.frombuffer(hashes.as_py(), np.uint64), np.frombuffer(docs.as_py(), np.int64)
+        for h, d, f in zip(*(batch.column(k) for k in range(3))):
+            h, d, f = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(f.as_buffer(), np.int64)
             order = np.argsort(d, kind="stable")
             ids, at = np.unique(d[order], return_index=True)
             offsets = pa.py_buffer((np.append(at, len(d)) * 8).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, offsets, pa.py_buffer(h[order])])], names=["doc_id", "hits"])
+            packed = [pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, offsets, pa.py_buffer(x[order])]) for x in (h, f)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *packed], names=["doc_id", "hashes", "firsts"])
+
+
+HITS = "doc_id long, hits array<struct<hashes: binary, firsts: binary>>"
+_SPAN = pa.struct([("first_doc", pa.int64()), ("words", pa.string())])
+KEPT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first_doc: long, words: string>>"
+
+
+def _remover(width: int, mask: int, doubtful: np.ndarray | None = None):
+    """(doc_id, text, hits, exact) to KEPT: windows of doubtful hashes count if exact names their words, all others if they are hits."""
+    unsure = np.zeros(0, np.uint64) if doubtful is None else doubtful
+
+    def one(raw: np.ndarray, hits: pa.Scalar, exact: pa.Scalar) -> tuple[int, int, bytes, list[dict]]:
+        own = raw.tobytes().split()
+        if len(own) < width or not (hits.is_valid or exact.is_valid):
+            return len(own), 0, b" ".join(own), []
+        wanted, firsts = (np.concatenate([np.frombuffer(x[k].as_buffer(), kind) for x in hits] if hits.is_valid else [np.zeros(0, kind)]) for k, kind in (("hashes", np.uint64), ("firsts", np.int64)))
+        order = np.lexsort((firsts, wanted))
+        wanted, firsts = wanted[order], firsts[order]  # of several firsts the look-up finds the least
+        start, _, hashes = window_hashes(ts.Texts(raw, np.array([0, len(raw)]), 0), width, mask)
+        hit, at = _look_up(wanted, hashes)
+        spans = []
+        if len(unsure):
+            doubt = _look_up(unsure, hashes)[0]
+            known = set(exact.as_py()) if exact.is_valid else set()
+            hit = np.where(doubt, [d and b" ".join(own[k : k + width]).decode("utf-8", "surrogatepass") in known for k, d in enumerate(doubt)], hit)
+        else:
+            place = np.flatnonzero(hit)
+            first = firsts[at[place]]
+            cuts = np.flatnonzero((np.diff(place) != 1) | (np.diff(first) != 0)) + 1
+            edges = [0, *cuts.tolist(), len(place)] if len(place) else []
+            spans = [{"first_doc": int(first[a]), "words": b" ".join(own[place[a] : place[b - 1] + width]).decode("utf-8", "surrogatepass")} for a, b in zip(edges, edges[1:])]
+        edge = np.zeros(len(own) + 1, np.int64)
+        np.add.at(edge, start[hit], 1)
+        np.add.at(edge, start[hit] + width, -1)
+        stays = np.cumsum(edge[:-1]) == 0
+        return len(own), len(own) - int(stays.sum()), b" ".join(w for w, s in zip(own, stays) if s), spans
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in ts.chunks(batch.column(1)):
+                part = batch.slice(texts.first_row, len(texts))
+                rows = [one(texts.data[a:b], h, e) for a, b, h, e in zip(texts.offsets, texts.offsets[1:], part.column(2), part.column(3))]
+                count, gone, kept, spans = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
+
+    return run
+
+
+def _verifier(width: int, mask: int):
+    """(first_doc, text, words array) to (first_doc, hash) of the windows of the stretches that the text does not hold word for word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, bad = [], []
+            for doc, text, stretches in zip(*(batch.column(k) for k in range(3))):
+                held = b" " + b" ".join((text.as_py() or "").encode("utf-8", "surrogatepass").split()) + b" "
+                for words in stretches.as_py():
+                    raw = words.encode("utf-8", "surrogatepass")
+                    if b" " + raw + b" " in held:
+                        continue
+                    own = raw.split()
+                    data = np.frombuffer(raw, np.uint8)
+                    hashes = window_hashes(ts.Texts(data, np.array([0, len(data)]), 0), width, mask)[2]
+                    wrong = {int(h) for k, h in enumerate(hashes) if b" " + b" ".join(own[k : k + width]) + b" " not in held}
+                    ids += [doc.as_py()] * len(wrong)
+                    bad += sorted(wrong)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(bad, np.uint64).view(np.int64))], names=["first_doc", "hash"])
+
+    return run
 
-KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 
+def _finder(width: int, mask: int, hashes: np.ndarray):
+    """(doc_id, text) to (doc_id, words) of the windows that have one of the hashes."""
 
-def _remover(width: int, buckets: int):
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in ts.chunks(batch.column(1)):
-                n = len(texts)
-                hits = batch.column(2).slice(texts.first_row, n)
-                count, removed, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), []
-                for i in range(n):
-                    raw = texts.data[texts.offsets[i] : texts.offsets[i + 1]]
-                    own = raw.tobytes().split()
-                    count[i] = len(own)
-                    if hits[i].is_valid and len(own) >= width:
-                        wanted = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in hits[i].values])
-                        one = ts.Texts(raw, np.array([0, len(raw)]), 0)
-                        _, start, _, hashes, _ = window_hashes(one, width, buckets)
-                        edge = np.zeros(len(own) + 1, np.int64)
-                        start = start[np.isin(hashes, wanted)]
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + width, -1)
-                        stays = np.cumsum(edge[:-1]) == 0
-                        removed[i] = len(own) - int(stays.sum())
-                        own = [w for w, s in zip(own, stays) if s]
-                    kept.append(b" ".join(own).decode())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first_row, n), pa.array(count), pa.array(removed), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return remove
+                start, first, found = window_hashes(texts, width, mask)
+                ids, words = [], []
+                near = _look_up(hashes, found)[0]
+                for i in range(len(texts)):
+                    here = np.flatnonzero(near[first[i] : first[i + 1]])
+                    own = texts.data[texts.offsets[i] : texts.offsets[i + 1]].tobytes().split() if len(here) else []
+                    new = {b" ".join(own[k : k + width]) for k in here}
+                    ids += [batch.column(0)[texts.first_row + i].as_py()] * len(new)
+                    words += [w.decode("utf-8", "surrogatepass") for w in sorted(new)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], names=["doc_id", "words"])
+
+    return run
 
 
 class FingerprintIndex:
@@ -172,71 +293,175 @@ class FingerprintIndex:
 
     Batches are judged against all earlier batches and themselves.  With batches in
     ascending doc_id order the result is that of one batch.  ``buckets`` is fixed
-    for the life of an index: it bounds the memory of a merge, so choose it in
-    proportion to the corpus (some million windows a bucket).
+    for the life of an index: it bounds the memory of a merge, so choose it for the
+    corpus to come (``buckets_for``); ``parts`` is the number of tasks of a merge.
+    A folder that holds an index already is opened, and its own numbers hold.  bits
+    is the width of the hash; fewer than 64 only make more windows to tell apart.
     """
 
-    def __init__(self, spark: SparkSession, root: str, width: int = 13, buckets: int = 512) -> None:
-        self.spark, self.root, self.width, self.buckets = spark, root.rstrip("/"), width, buckets
-        self.runs: list[str] = []
+    def __init__(self, spark: SparkSession, root: str, width: int = 13, buckets: int = 512, bits: int = 64) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.state = {"width": width, "buckets": buckets, "bits": bits, "parts": max(1, min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))), "runs": [], "next": 0}
+        self.version = -1
+        while exists(spark, f"{self.root}/manifest/{self.version + 1:08d}/_SUCCESS"):
+            self.version += 1
+        if self.version >= 0:
+            known = json.loads(spark.read.text(f"{self.root}/manifest/{self.version:08d}").first()[0])
+            if known["width"] != width:
+                raise ValueError(f"the index has windows of {known['width']} words")
+            self.state = known
+        self.mask = (1 << self.state["bits"]) - 1
+        self.table = f"fingerprints_{hashlib.md5(self.root.encode()).hexdigest()}"
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        place = self.root.replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {self.table} (bucket INT, hashes BINARY, docs BINARY, run INT) USING parquet PARTITIONED BY (run) CLUSTERED BY (bucket) SORTED BY (bucket) INTO {self.state['parts']} BUCKETS LOCATION '{place}/runs'")
+        if self.runs:
+            spark.sql(f"MSCK REPAIR TABLE {self.table}")
+
+    @property
+    def runs(self) -> list[int]:
+        return self.state["runs"]
+
+    def _commit(self, runs: list[int], following: int) -> None:
+        """The next version of the manifest; older versions stay, so that the newest is found by counting."""
+        self.state |= {"runs": runs, "next": following}
+        self.version += 1
+        self.spark.createDataFrame([(json.dumps(self.state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/{self.version:08d}")
 
     def entries(self) -> DataFrame:
-        """All runs' rows (kind, bucket, hashes, docs)."""
-        reader = self.spark.read.schema(ENTRY)
-        return (reader.parquet(*self.runs) if self.runs else self.spark.createDataFrame([], ENTRY)).withColumn("kind", F.lit(OLD))
-
-    def _merged(self, rows: DataFrame, write_run: bool) -> DataFrame:
-        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merger(write_run), ENTRY)
+        """All runs' rows (bucket, hashes, docs, run), bucketed as they lie."""
+        return self.spark.table(self.table).filter(F.col("run").isin(self.runs))
+
+    def _write_run(self, rows: DataFrame, runs: list[int]) -> None:
+        """A new run that counts beside runs; a run of that number that a failed call has left goes first."""
+        k = self.state["next"]
+        self._delete([k])
+        rows.select("bucket", "hashes", "docs", F.lit(k).alias("run")).write.insertInto(self.table)
+        self._commit([*runs, k], k + 1)
+
+    def _delete(self, runs: list[int]) -> None:
+        for k in runs:
+            self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS PARTITION (run = {k})")
+            remove(self.spark, f"{self.root}/runs/run={k}")
+
+    def merge(self, docs: DataFrame, keep_run: bool = True) -> DataFrame:
+        """The plan of an ingest: rows (kind, bucket, hashes, docs, firsts) of hits and, with keep_run, of what is new."""
+        texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+        scanned = texts.mapInArrow(ts.thrifty(_scanner(self.state["width"], self.state["buckets"], self.mask)), ROW)
+        if not self.runs:
+            return scanned.groupBy("bucket").applyInArrow(_judge_alone(keep_run), ROW)
+        return scanned.groupBy("bucket").cogroup(self.entries().groupBy("bucket")).applyInArrow(_judge(keep_run), ROW)
 
     def ingest(self, docs: DataFrame, scratch: Scratch, name: str, keep_run: bool = True) -> DataFrame:
-        """(doc_id, hits) of the batch's documents with windows that start in a smaller doc_id, and a new run."""
-        scanned = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(_scanner(self.width, self.buckets), ENTRY)
-        merged = scratch.save(self._merged(self.entries().union(scanned) if self.runs else scanned, keep_run), f"{name}-merged")
-        hits = merged.filter(F.col("kind") == HIT).select("hashes", "docs").mapInArrow(_by_document, "doc_id long, hits binary")
-        hits = scratch.save(hits.groupBy("doc_id").agg(F.collect_list("hits").alias("hits")), f"{name}-hits")
+        """HITS of the batch's documents that share a hash with a smaller doc_id, and a new run."""
+        merged = scratch.save(self.merge(docs, keep_run), f"{name}-merged", like=docs)
+        hits = merged.filter(F.col("kind") == HIT).select("hashes", "docs", "firsts").mapInArrow(ts.thrifty(_by_document), "doc_id long, hashes binary, firsts binary")
+        hits = scratch.save(hits.groupBy("doc_id").agg(F.collect_list(F.struct("hashes", "firsts")).alias("hits")), f"{name}-hits")
         if keep_run:
-            path = f"{self.root}/run-{len(self.runs):05d}-{name}"
-            merged.filter(F.col("kind") == NEW).write.parquet(path)
-            self.runs.append(path)
+            self._write_run(merged.filter(F.col("kind") == NEW), self.runs)
         scratch.drop(f"{name}-merged")
         return hits
 
     def compact(self) -> None:
-        """Merge all runs into one and delete them."""
-        path = f"{self.root}/run-{len(self.runs):05d}-compact"
-        merged = self._merged(self.entries().withColumn("kind", F.lit(NEW)), True)
-        merged.filter(F.col("kind") == NEW).write.parquet(path)
-        old, self.runs = self.runs, [path]
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for run in old:
-            p = hadoop(run)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-    def apply(self, docs: DataFrame, hits: DataFrame) -> DataFrame:
-        """(doc_id, n_words, n_removed, kept_text): the batch without the words that hit windows cover."""
-        joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(hits, "doc_id", "left")
-        return joined.select("doc_id", "text", "hits").mapInArrow(_remover(self.width, self.buckets), KEPT)
-
-
-def remove_repeats(docs: DataFrame, width: int = 13, history: float = 0.25, scratch: Scratch | None = None) -> DataFrame:
+        """Merge all runs into one, bucket by bucket where they lie, and delete them."""
+        old = list(self.runs)
+        if len(old) > 1:
+            self._write_run(self.entries().groupBy("bucket").applyInArrow(_fold, ROW), [])
+            self._delete(old)
+
+    def drop(self) -> None:
+        """Delete the index."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.root)
+
+    def apply(self, docs: DataFrame, hits: DataFrame, scratch: Scratch, corpus: DataFrame | None = None) -> DataFrame:
+        """(doc_id, n_words, n_removed, kept_text): the batch without the words that verified windows cover.
+
+        corpus (doc_id, text) holds all documents that the index has taken in, to
+        verify hits in; without it docs are all there are.
+        """
+        corpus = docs if corpus is None else corpus
+        docs, corpus = (x.select(F.col("doc_id").cast("long").alias("doc_id"), "text") for x in (docs, corpus))
+        width = self.state["width"]
+        none = F.lit(None).cast("array<string>")
+        joined = docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits", none.alias("exact"))
+        kept = scratch.save(joined.mapInArrow(ts.thrifty(_remover(width, self.mask)), KEPT), "kept", like=docs)
+        bad = self._unverified(kept, corpus, scratch)
+        n = bad.count()
+        result = kept.drop("spans")
+        if not n:
+            return result
+        blocks = -(-n // COLLISIONS)
+        for k in range(blocks):  # a share of the colliding hashes at a time
+            mine = bad.filter(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k) if blocks > 1 else bad
+            hashes = np.sort(np.array([r[0] for r in mine.collect()], np.int64).view(np.uint64))
+            shared = self.spark.sparkContext.broadcast(hashes)
+            found = corpus.filter("doc_id IS NOT NULL").mapInArrow(ts.thrifty(_lazily(_finder, width, self.mask, shared)), "doc_id long, words string")
+            found = scratch.save(found.distinct(), f"found-{k}", like=corpus)
+            first = found.groupBy("words").agg(F.min("doc_id").alias("first"))
+            exact = found.join(first.hint("merge"), "words").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("words").alias("exact"))
+            scratch.save(exact, f"exact-{k}", like=found)
+        exact = scratch.read("exact-*", "doc_id long, exact array<string>").groupBy("doc_id").agg(F.flatten(F.collect_list("exact")).alias("exact"))
+        ids = scratch.save(scratch.read("found-*", "doc_id long").distinct(), "doubtful-ids")
+        doubtful = self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in bad.toLocalIterator()], np.int64).view(np.uint64)))
+        again = docs.join(ids, "doc_id", "left_semi").join(hits, "doc_id", "left").join(exact, "doc_id", "left").select("doc_id", "text", "hits", "exact")
+        again = again.mapInArrow(ts.thrifty(_lazily(_remover, width, self.mask, doubtful)), KEPT)
+        return result.join(ids, "doc_id", "left_anti").unionByName(again.drop("spans"))
+
+    def _unverified(self, kept: DataFrame, corpus: DataFrame, scratch: Scratch) -> DataFrame:
+        """(hash) of windows of kept's spans that their first document does not hold word for word."""
+        spans = scratch.save(kept.select(F.explode("spans").alias("s")).select("s.*").distinct(), "spans", like=kept)
+        counts = scratch.save(spans.groupBy("first_doc").agg(F.count("*").alias("n")), "spans-firsts")
+        packet = F.pmod(F.xxhash64("words"), F.ceil(F.col("n") / PACKET)).alias("packet")
+        packets = spans.join(counts, "first_doc").select("first_doc", "words", packet).groupBy("first_doc", "packet").agg(F.collect_list("words").alias("stretches"))
+        packets = scratch.save(packets.select("first_doc", "stretches"), "packets", like=spans)
+        wanted = counts.select(F.col("first_doc").alias("doc_id"))
+        texts = scratch.save(keyed(corpus, wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("first_doc"), "text"), "firsts", like=corpus)
+        met = texts.join(packets.hint("merge"), "first_doc").select("first_doc", "text", "stretches")
+        bad = scratch.save(met.mapInArrow(ts.thrifty(_verifier(self.state["width"], self.mask)), "first_doc long, hash long"), "failed", like=spans)
+        # an id with several texts holds what any of them holds
+        several = texts.groupBy("first_doc").agg(F.count("*").alias("texts"))
+        bad = bad.groupBy("first_doc", "hash").agg(F.count("*").alias("n")).join(several, "first_doc").filter("n >= texts")
+        bad = scratch.save(bad.select("hash").distinct(), "doubtful", like=spans)
+        scratch.drop("spans", "spans-firsts", "packets", "firsts", "failed")
+        return bad
+
+
+def _lazily(make, width: int, mask: int, shared):
+    """make(width, mask, the value of a broadcast), for mapInArrow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return make(width, mask, shared.value)(batches)
+
+    return run
+
+
+def buckets_for(n_bytes: int) -> int:
+    """How many buckets an index of texts of so many bytes in all should have: some 400,000 windows each, until there are MOST_BUCKETS."""
+    return min(max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES), MOST_BUCKETS)
+
+
+def remove_repeats(docs: DataFrame, width: int = 13, history: float = 0.25, scratch: Scratch | None = None, bits: int = 64) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of every row of docs (doc_id, text, ...).
 
     Words are runs outside [\\x20\\x09-\\x0D]; kept_text joins the kept ones by one
     space.  A null text has no words.  A row without doc_id is neither history nor
     changed.  Rows that share a doc_id are one document: windows that they share are
-    no repeats.  Other columns are ignored.  The table is ingested as two batches,
-    the least ``history`` of the doc_ids and the rest; any split gives this result.
+    no repeats.  Other columns are ignored.  The table is ingested as three batches:
+    the least ``history`` of the doc_ids in two halves, whose runs are compacted, and
+    the rest, which is merged with them; any split gives this result.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "substring")
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = FingerprintIndex(spark, scratch.path("index"), width, buckets)
-    cut = docs.agg(F.percentile_approx("doc_id", history, 1000)).first()[0]
-    hits = None
-    if cut is not None:
-        hits = index.ingest(docs.filter(F.col("doc_id") <= cut), scratch, "history")
-        hits = hits.union(index.ingest(docs.filter(F.col("doc_id") > cut), scratch, "batch", keep_run=False))
-        scratch.drop("index")
-    else:
-        hits = spark.createDataFrame([], "doc_id long, hits array<binary>")
-    return index.apply(docs, hits)
+    known = docs.agg(F.percentile_approx("doc_id", [history / 2, history], 1000).alias("cuts"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if known["cuts"] is None:
+        return FingerprintIndex(spark, scratch.path("index"), width, 1, bits).apply(docs, spark.createDataFrame([], HITS), scratch)
+    index = FingerprintIndex(spark, scratch.path("index"), width, buckets_for(known["bytes"] or 0), bits)
+    low, high = known["cuts"]
+    doc_id = F.col("doc_id")
+    hits = index.ingest(docs.filter(doc_id <= low), scratch, "first")
+    hits = hits.union(index.ingest(docs.filter((doc_id > low) & (doc_id <= high)), scratch, "second"))
+    index.compact()
+    hits = hits.union(index.ingest(docs.filter(doc_id > high), scratch, "rest", keep_run=False))
+    index.drop()
+    return index.apply(docs, hits, scratch)
