@@ -30,7 +30,7 @@ def awkward(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(awkward_rows(), SCHEMA)
-    for name in ("rep", "component", "hits", "words", "digest", "votes", "shard", "band", "keep_id"):
+    for name in ("rep", "component", "hits", "words", "digest", "votes", "shard", "band", "keep_id", "_id", "_key", "_hits", "_digest", "score", "ids", "round_trip", "lang_pred", "ambiguous", "gone_id", "GONE_RAW", "gone_key", "raw", "kept", "text_key", "spans", "exact", "decoded"):
         docs = docs.withColumn(name, F.lit("clash"))
     return docs
 

@@ -3,12 +3,15 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import awkward_rows, prose  # noqa: I001
+from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.exact import exact_duplicates, first_copies
-from lodestone.llm.minhash import near_duplicates
+from lodestone.llm.exact import ExactIndex, differing, exact_duplicates, first_copies
+from lodestone.llm.minhash import deal, near_duplicates
 from lodestone.llm.scratch import Scratch
 from lodestone.llm.substring import FingerprintIndex, remove_repeats
 
@@ -85,6 +88,16 @@ def test_near_duplicates_in_a_chain_and_a_crowd(spark):
     check_near(found, rows)
 
 
+def test_a_crowd_with_one_stray_is_dealt_in_proportion(spark):
+    """100,000 members of one component and a stray: no pairs of blocks of the crowd."""
+    rows = spark.range(100_000).selectExpr("7L AS band", "id AS rep", "if(id = 99, 99L, 0L) AS component")
+    dealt = deal(rows, Scratch(spark, "test"))
+    assert dealt.count() < 2 * 100_000 and dealt.groupBy("i", "j").count().agg({"count": "max"}).first()[0] < 700
+    met = dealt.filter("component = 0").join(dealt.filter("component = 99").selectExpr("i", "j", "rep AS stray"), ["i", "j"])
+    assert met.select("rep").distinct().count() == 99_999
+    assert deal(rows.withColumn("component", F.lit(0)), Scratch(spark, "test")).count() == 0
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows that share an id are one document: it links by any of its texts."""
     rows = [(1, prose(1, 40)), (2, prose(2, 40)), (2, prose(1, 40)), (3, prose(2, 40)), (2, ""), (3, None)]
@@ -137,6 +150,33 @@ def test_exact_duplicates_over_several_batches(spark, sf):
     assert sorted(map(tuple, exact_duplicates(docs.repartition(6), files_per_batch=1).drop("locator").collect())) == [r[:-1] for r in one]
 
 
+def test_exact_state_lasts(spark, sf, tmp_path):
+    """Two calls on one state folder, the second by an index opened anew, give what one call gives; a call made again adds nothing."""
+    documents(spark, sf).repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    scratch = Scratch(spark, "test")
+    first, second = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    ExactIndex(spark, scratch.path("index")).add(first, scratch, "a")
+    ExactIndex(spark, scratch.path("index")).add(second, Scratch(spark, "test"), "b")
+    index = ExactIndex(spark, scratch.path("index"))
+    both = [r for name, part in (("a", first), ("b", second)) for r in index.add(part, Scratch(spark, "test"), name).collect()]
+    check_exact(both, rows)
+    assert index.groups().agg({"group_size": "sum"}).first()[0] == len(rows)
+
+
+def test_exact_state_compares_earlier_texts(spark, tmp_path):
+    """A text is compared with that of an earlier call, which its locator names; one that has changed there is noticed."""
+    spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "old"))
+    scratch = Scratch(spark, "test")
+    ExactIndex(spark, scratch.path("index")).add(spark.read.parquet(str(tmp_path / "old")), scratch)
+    index = ExactIndex(spark, scratch.path("index"))
+    found = index.add(spark.createDataFrame([(3, "ab"), (4, "d")], "doc_id long, text string"), Scratch(spark, "test")).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in found) == [(3, 1, 2), (4, 4, 1)]
+    rows = spark.createDataFrame([("d", "x"), ("d", "x"), ("e", "x"), ("e", "y")], "digest string, content string")
+    assert [r[0] for r in differing(rows).collect()] == ["e"]
+
+
 def test_first_copies_keep_columns(awkward, nothing):
     kept = first_copies(awkward)
     assert kept.columns == awkward.columns
@@ -181,17 +221,54 @@ def test_remove_repeats_of_nothing(nothing):
 
 
 def test_index_compaction(spark, sf):
-    """Several batches, compacted in between, judge as one."""
+    """Several batches, compacted three times in between and opened anew for each, judge as one."""
     docs = documents(spark, sf)
     scratch = Scratch(spark, "test")
-    index = FingerprintIndex(spark, scratch.path("index"), 13, 16)
-    hits = None
-    for k, (low, high) in enumerate(((0, 50), (50, 120), (120, 10_000))):
-        batch = docs.filter(f"doc_id >= {low} AND doc_id < {high}")
-        new = index.ingest(batch, scratch, f"b{k}")
+    hits, cuts = None, (0, 20, 50, 70, 90, 10_000)
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        index = FingerprintIndex(spark, scratch.path("index"), 13, 16)
+        assert len(index.runs) == min(k, 1)
+        new = index.ingest(docs.filter(f"doc_id >= {low} AND doc_id < {high}"), scratch, f"b{k}")
         hits = new if hits is None else hits.union(new)
-        if k == 1:
+        if 0 < k < 4:
             index.compact()
             assert len(index.runs) == 1
-    assert len(index.runs) == 2
-    check_removed(index.apply(docs, hits).collect(), [tuple(r) for r in docs.select("doc_id", "text").collect()])
+    assert index.runs[0] < index.runs[1] == 7
+    check_removed(index.apply(docs, hits, scratch).collect(), [tuple(r) for r in docs.select("doc_id", "text").collect()])
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, scratch.path("index"), 12)
+    index.drop()
+
+
+def test_index_reads_history_where_it_lies(spark, sf):
+    """A batch is dealt to buckets; the runs it is merged with are not."""
+    docs = documents(spark, sf)
+    scratch = Scratch(spark, "test")
+    index = FingerprintIndex(spark, scratch.path("index"), 13, 16)
+    for k in (0, 1):
+        index.ingest(docs.filter(f"doc_id % 2 = {k}"), scratch, f"b{k}")
+    plan = index.merge(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    index.drop()
+
+
+@pytest.mark.parametrize("bits", [6, 12])
+def test_remove_repeats_does_not_depend_on_the_hash(spark, sf, awkward, bits):
+    """Windows of one hash are told apart by their words."""
+    docs, rows = (documents(spark, sf), None) if bits > 6 else (awkward, [r[:2] for r in awkward_rows()])
+    check_removed(remove_repeats(docs, bits=bits).collect(), rows or [tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_a_window_of_every_document_is_dealt_out_once_a_task(spark):
+    """Its hits bypass the bucket: what is dealt out does not grow with the documents."""
+    from lodestone.llm import substring, textscan
+
+    passage = prose(1, 13)
+    ids = pa.array(range(3000), pa.int64())
+    texts = pa.array([f"a{k} {passage} b{k}" for k in range(3000)])
+    batches = [pa.RecordBatch.from_arrays([ids.slice(k, 100), texts.slice(k, 100)], names=["doc_id", "text"]) for k in range(0, 3000, 100)]
+    rows = [b.to_pylist() for b in substring._scanner(13, 64, (1 << 64) - 1)(iter(batches))]
+    one = textscan.Texts(np.frombuffer(passage.encode(), np.uint8), np.array([0, len(passage)]), 0)
+    hot = substring.window_hashes(one, 13, (1 << 64) - 1)[2][0]
+    count = lambda kind: sum(int((np.frombuffer(r["hashes"], np.uint64) == hot).sum()) for b in rows for r in b if r["kind"] == kind)
+    assert count(substring.NEW) == 1 and count(substring.HIT) == 2999

@@ -220,13 +220,13 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_extraction(spark):
-    """What repeats in one slot of all of a host's pages is template text, even within the article."""
+    """All of the article but what is marked in it, whether other pages say the same or not."""
     rows = [(k, f"https://h{k % 2}.example/{k}", PAGE % ((k,) * 7), "clash") for k in range(20)] + [(30, None, None, None), (31, "x", "", None), (32, "https://h0.example/z", "plain < text &amp; more", None)]
     rows.append(rows[0])
     found = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
     text = {r["page_id"]: r["text"] for r in found}
     assert len(found) == len(rows)
-    assert text[3] == "Head 3\n\nFirst & 3 line\n\nSecond part 3\n\nitem 3" and text[30] == text[31] == ""
+    assert text[3] == "Head 3\n\nFirst & 3 line\n\nSecond part 3\n\nitem 3\n\nShare this story" and text[30] == text[31] == ""
     assert "plain < text & more" in text[32]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
@@ -268,11 +268,66 @@ def test_extraction_below_marked_names(spark):
         for k in range(9):
             assert found[n * 100 + k] == f"H {k}\n\n{prose(k, 30)}\n\n{prose(k + 50, 20)}", name
     assert html.main_text("<div class='sidebar'><p>all there is</p></div>", None) == "all there is"
-    assert html.spared_paths({"html/body/article/p": 200, "html/body/article/div.comments/p": 900}, {}) == frozenset()
+    comments = "html/body/article/div.comments.!"
+    assert html.spared_paths([("html/body/article/p", [], 200, 200), (f"{comments}/p", [comments], 900, 900)]) == set()
+    assert html.spared_paths([("html/body/p", [], 20, 20), (f"{comments[:9]}/div.!/p", ["html/body/div.!"], 900, 900)]) == {"html/body/div.!"}
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<body class='home has-sidebar'><article><p>Hello</p><svg class='i'/><p>World</p></article></body>", "Hello\n\nWorld"),
+        ("<article><section id='related-work'><h2>Related work</h2><p>a</p></section><div class='related-posts'>no</div></article>", "Related work\n\na"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be a value</p></article>", "Let x=1 be a value"),
+        ("<article><header><h1>T</h1><div>Home / News</div></header><p>a</p><footer>b</footer><div id='commentList'><p>c</p></div></article>", "T\n\na"),
+        ("<main><nav>n</nav><article><p>a</p><iframe src='x'/><p>b &lt; c</p></article><aside>s</aside></main>", "a\n\nb < c"),
+        ("<div class='search-open'><div class='no-comments'><p>a</p></div></div>", "a"),
+        (None, ""),
+    ],
+)
+def test_extraction_of_a_page(source, text):
+    assert html.main_text(source, None) == text
+
+
+def test_template_is_that_of_explicit_vectors(spark, sf):
+    """The deduction over partial sums against occurrence vectors written out, host by host."""
+    from collections import Counter
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
+    shop = "<html><body><div class='top'><p>Shop</p></div><div class='text'><h2>References</h2><p>%s</p><p>%s</p></div><div class='site-footer'><p>All rights reserved</p></div></body></html>"
+    rows += [(10_000 + k, "https://shop.example/", shop % (prose(k, 30), prose(k % 3, 9))) for k in range(12)]
+    hosts = {}
+    for page_id, url, source in rows:
+        hosts.setdefault(html.host_of(url), []).append(html.parse(source))
+    found = {r["host"]: r for r in html.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(found) == set(hosts)
+    for host, pages in hosts.items():
+        vectors, texts, chars = {}, {}, Counter()
+        for k, page in enumerate(pages):
+            for path, n in page.tokens.items():
+                vectors.setdefault(path, [0] * len(pages))[k] = n
+            for b in page.blocks:
+                chars[b.path] += len(b.text)
+                texts.setdefault((b.path, b.text), [0] * len(pages))[k] += 1
+        often = {p: tuple(v) for p, v in vectors.items() if 2 * sum(map(bool, v)) >= len(pages)}
+        valid = {p: v for p, v in often.items() if (same := [q for q in often if q != p and often[q] == v]) == [] or any(q.startswith(p + "/") or p.startswith(q + "/") for q in same)}
+        template = {x: v for x, v in texts.items() if sum(map(bool, v)) >= 8 and tuple(v) in set(valid.values())}
+        fixed = {html.text_key(html.Block(p, t, False)) for p, t in template}
+        assert set(found[host]["fixed"] or []) == fixed, host
+        changing = Counter(chars)
+        for (p, t), v in template.items():
+            changing[p] -= len(t) * sum(v)
+        slots = [(p, html._marks(p), n, changing[p]) for p, n in chars.items()] + [(p, [], 0, 0) for p in valid]
+        slots = [(p if p in valid else next((q for q in ["/".join(p.split("/")[:k]) for k in range(p.count("/"), 0, -1)] if q in valid), ""), m, n, c) for p, m, n, c in slots if set(m) <= set(valid)]
+        spared = html.spared_paths(slots)
+        assert (found[host]["root"], set(found[host]["spared"])) == (html.article_path(slots, spared), spared), host
+    assert found["shop.example"]["root"] == "html/body/div.text"
+    texts = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert texts[10_001] == f"References\n\n{prose(1, 30)}\n\n{prose(1, 9)}"
 
 
 def test_extraction_of_near_copies(spark):
-    """On a host of near copies of one article what the copies share is article text; what distinct articles share is not."""
+    """On a host of near copies of one article what the copies share is article text, and so is what distinct articles share below the root."""
     menu, share = '<div class="top"><p>Welcome to our site</p></div>', "<p>Tell others of it</p>"
     page = lambda paragraphs: f"<html><body>{menu}<article>{''.join(f'<p>{p}</p>' for p in paragraphs)}{share}</article></body></html>"
     same = [prose(k, 20) for k in range(4)]
@@ -281,5 +336,5 @@ def test_extraction_of_near_copies(spark):
     rows = [(k, None if k % 2 else "https://near.example/", page(p)) for k, p in enumerate(near[:20])]
     rows += [(100 + k, "https://mixed.example/", page(p)) for k, p in enumerate(near + other)]
     found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all("\n\n".join(p) in found[k] for k, p in enumerate(near[:20]))
-    assert all(found[100 + k] == "\n\n".join(p) for k, p in enumerate(near + other))
+    assert all(found[k] == "\n\n".join([*p, "Tell others of it"]) for k, p in enumerate(near[:20]))
+    assert all(found[100 + k] == "\n\n".join([*p, "Tell others of it"]) for k, p in enumerate(near + other))
