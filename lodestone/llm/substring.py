@@ -40,6 +40,8 @@ SCAN_BYTES, BUCKET_BYTES = 2_000_000, 2_500_000
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20
 #: Repeated windows that a task remembers, so that each of them is dealt out once by a task.
 REMEMBERED = 1 << 18
+#: Hits that a task puts in the order of documents at once.
+GATHERED = 1 << 20
 #: Stretches that are verified against one copy of a text, and colliding hashes that are told apart at once.
 PACKET, COLLISIONS = 1000, 1_000_000
 
@@ -74,8 +76,7 @@ def _dealt(bucket: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> pa.Recor
     """A row of kind NEW for each bucket present."""
     order = np.argsort(bucket, kind="stable")
     names, at = np.unique(bucket[order], return_index=True)
-    offsets = pa.py_buffer((np.append(at, len(order)) * 8).astype(np.int32))
-    packed = [pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, offsets, pa.py_buffer(x[order])]) for x in (hashes, docs)]
+    packed = _binaries(order, at, hashes, docs)
     return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(names), np.int32)), pa.array(names.astype(np.int32)), *packed, pa.nulls(len(names), pa.binary())], schema=_ROW)
 
 
@@ -187,19 +188,52 @@ def _fold(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_one(NEW, key[0].as_py(), *_folded(rows))], _ROW)
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hits by bucket to (doc_id, hashes, firsts), a row for each document and input row."""
-    for batch in batches:
-        for h, d, f in zip(*(batch.column(k) for k in range(3))):
-            h, d, f = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(d.as_buffer(), np.int64), np.frombuffer(f.as_buffer(), np.int64)
-            order = np.argsort(d, kind="stable")
-            ids, at = np.unique(d[order], return_index=True)
-            offsets = pa.py_buffer((np.append(at, len(d)) * 8).astype(np.int32))
-            packed = [pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, offsets, pa.py_buffer(x[order])]) for x in (h, f)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *packed], names=["doc_id", "hashes", "firsts"])
+HITS = "doc_id long, hashes binary, firsts binary"
+_PART = "part int, hashes binary, docs binary, firsts binary"
+
+
+def _binaries(order: np.ndarray, at: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    """For each of values, 8 bytes each, a binary for each stretch of the order that begins at one of at."""
+    offsets = pa.py_buffer((np.append(at, len(order)) * 8).astype(np.int32))
+    return [pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, offsets, pa.py_buffer(x[order])]) for x in values]
+
+
+def _by_part(parts: int):
+    """Hits by bucket to hits by part of the documents: a row for each part and GATHERED hits of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, d, f = (np.concatenate([x[k] for x in held]) for k in range(3))
+            held.clear()
+            part = (ts.mix(d.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            names, at = np.unique(part[order], return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array(names), *_binaries(order, at, h, d, f)], names=["part", "hashes", "docs", "firsts"])
+
+        n = 0
+        for batch in batches:
+            for h, d, f in zip(*(batch.column(k) for k in range(3))):
+                held.append(tuple(np.frombuffer(x.as_buffer(), kind).copy() for x, kind in ((h, np.uint64), (d, np.int64), (f, np.int64))))
+                n += len(held[-1][0])
+                if n >= GATHERED:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _by_document(rows: pa.Table) -> pa.Table:
+    """All hits of a part to a row for each of its documents."""
+    h, d, f = (_unpacked(rows[c], kind) for c, kind in (("hashes", np.uint64), ("docs", np.int64), ("firsts", np.int64)))
+    order = np.argsort(d, kind="stable")
+    ids, at = np.unique(d[order], return_index=True)
+    return pa.table([pa.array(ids), *_binaries(order, at, h, f)], names=["doc_id", "hashes", "firsts"])
 
 
-HITS = "doc_id long, hits array<struct<hashes: binary, firsts: binary>>"
 _SPAN = pa.struct([("first_doc", pa.int64()), ("words", pa.string())])
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first_doc: long, words: string>>"
 
@@ -208,14 +242,13 @@ def _remover(width: int, mask: int, doubtful: np.ndarray | None = None):
     """(doc_id, text, hits, exact) to KEPT: windows of doubtful hashes count if exact names their words, all others if they are hits."""
     unsure = np.zeros(0, np.uint64) if doubtful is None else doubtful
 
-    def one(raw: np.ndarray, hits: pa.Scalar, exact: pa.Scalar) -> tuple[int, int, bytes, list[dict]]:
+    def one(raw: np.ndarray, hashes: np.ndarray, hits: pa.Scalar, exact: pa.Scalar) -> tuple[int, int, bytes, list[dict]]:
         own = raw.tobytes().split()
         if len(own) < width or not (hits.is_valid or exact.is_valid):
             return len(own), 0, b" ".join(own), []
-        wanted, firsts = (np.concatenate([np.frombuffer(x[k].as_buffer(), kind) for x in hits] if hits.is_valid else [np.zeros(0, kind)]) for k, kind in (("hashes", np.uint64), ("firsts", np.int64)))
+        wanted, firsts = (np.frombuffer(hits[k].as_buffer(), kind) if hits.is_valid else np.zeros(0, kind) for k, kind in (("hashes", np.uint64), ("firsts", np.int64)))
         order = np.lexsort((firsts, wanted))
         wanted, firsts = wanted[order], firsts[order]  # of several firsts the look-up finds the least
-        start, _, hashes = window_hashes(ts.Texts(raw, np.array([0, len(raw)]), 0), width, mask)
         hit, at = _look_up(wanted, hashes)
         spans = []
         if len(unsure):
@@ -229,8 +262,8 @@ def _remover(width: int, mask: int, doubtful: np.ndarray | None = None):
             edges = [0, *cuts.tolist(), len(place)] if len(place) else []
             spans = [{"first_doc": int(first[a]), "words": b" ".join(own[place[a] : place[b - 1] + width]).decode("utf-8", "surrogatepass")} for a, b in zip(edges, edges[1:])]
         edge = np.zeros(len(own) + 1, np.int64)
-        np.add.at(edge, start[hit], 1)
-        np.add.at(edge, start[hit] + width, -1)
+        edge[: len(hit)] += hit
+        edge[width : width + len(hit)] -= hit
         stays = np.cumsum(edge[:-1]) == 0
         return len(own), len(own) - int(stays.sum()), b" ".join(w for w, s in zip(own, stays) if s), spans
 
@@ -238,7 +271,8 @@ def _remover(width: int, mask: int, doubtful: np.ndarray | None = None):
         for batch in batches:
             for texts in ts.chunks(batch.column(1)):
                 part = batch.slice(texts.first_row, len(texts))
-                rows = [one(texts.data[a:b], h, e) for a, b, h, e in zip(texts.offsets, texts.offsets[1:], part.column(2), part.column(3))]
+                _, first, hashes = window_hashes(texts, width, mask)
+                rows = [one(texts.data[a:b], hashes[i:j], h, e) for a, b, i, j, h, e in zip(texts.offsets, texts.offsets[1:], first, first[1:], part.column(2), part.column(3))]
                 count, gone, kept, spans = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
@@ -353,10 +387,10 @@ class FingerprintIndex:
         return scanned.groupBy("bucket").cogroup(self.entries().groupBy("bucket")).applyInArrow(_judge(keep_run), ROW)
 
     def ingest(self, docs: DataFrame, scratch: Scratch, name: str, keep_run: bool = True) -> DataFrame:
-        """HITS of the batch's documents that share a hash with a smaller doc_id, and a new run."""
+        """HITS of the batch's documents that share a hash with a smaller doc_id, a row for each of them, and a new run."""
         merged = scratch.save(self.merge(docs, keep_run), f"{name}-merged", like=docs)
-        hits = merged.filter(F.col("kind") == HIT).select("hashes", "docs", "firsts").mapInArrow(ts.thrifty(_by_document), "doc_id long, hashes binary, firsts binary")
-        hits = scratch.save(hits.groupBy("doc_id").agg(F.collect_list(F.struct("hashes", "firsts")).alias("hits")), f"{name}-hits")
+        hits = merged.filter(F.col("kind") == HIT).select("hashes", "docs", "firsts").mapInArrow(ts.thrifty(_by_part(self.state["buckets"])), _PART)
+        hits = scratch.save(hits.groupBy("part").applyInArrow(_by_document, HITS), f"{name}-hits", like=docs)
         if keep_run:
             self._write_run(merged.filter(F.col("kind") == NEW), self.runs)
         scratch.drop(f"{name}-merged")
@@ -378,8 +412,10 @@ class FingerprintIndex:
         """(doc_id, n_words, n_removed, kept_text): the batch without the words that verified windows cover.
 
         corpus (doc_id, text) holds all documents that the index has taken in, to
-        verify hits in; without it docs are all there are.
+        verify hits in; without it docs are all there are.  hits have a row for each
+        doc_id: what ingest() gave, or a union over batches that share no id.
         """
+        hits = hits.select("doc_id", F.struct("hashes", "firsts").alias("hits"))
         corpus = docs if corpus is None else corpus
         docs, corpus = (x.select(F.col("doc_id").cast("long").alias("doc_id"), "text") for x in (docs, corpus))
         width = self.state["width"]
