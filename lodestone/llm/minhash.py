@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.75, s
     stars = stars.groupBy("rep").agg(F.max(F.struct("shared", F.bitwise_not("leader").alias("reversed"))).alias("best"))
     stars = scratch.save(stars.select(F.bitwise_not("best.reversed").alias("a"), F.col("rep").alias("b")), "stars")
     first = scratch.save(stars.join(side("b"), "b"), "stars-b", like=signed).join(side("a"), "a").filter(_may_link("a", "b", similarity)).select("a", "b")
-    first = scratch.save(first, "first", like=stars)
+    first = scratch.save(first, "first", like=signed)
     links = _verified(texts, first, width, similarity, scratch, "first")
 
     # the same id with several texts

@@ -23,7 +23,7 @@ _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Whole texts go to Python and back: a session that has Spark's own limits of an Arrow batch gets smaller ones.
 _BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000")}
 #: A table gets a file for each so many bytes, but not less files than the cluster has cores.
-FILE_BYTES = 8 << 20
+FILE_BYTES = 4 << 20
 #: Largest table of keys, in rows of some 20 bytes, that is broadcast; beyond it a join is a shuffle.
 BROADCAST_ROWS = 400_000
 _RECORDS: list[list[Scratch]] = []
