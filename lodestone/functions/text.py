@@ -15,9 +15,11 @@ SPECIFIC = ("`::", "class ", "function ", "struct ", "#include", "score: 0.", "*
 UNSURE = ("unknown", "no results", "search failed", "not found", "no matches")
 # Words that are no function names.
 KEYWORDS = (
-    "if else for while do switch case return break continue try catch throw new delete class struct enum typedef namespace using template typename const static virtual override final auto register volatile "
-    "extern inline sizeof true false null nullptr this self import from with as in is not and or var let elif except finally raise yield lambda pass assert global nonlocal del"
-).split()
+    "if", "else", "for", "while", "do", "switch", "case", "return", "break", "continue", "try", "catch", "throw", "new", "delete", "class", "struct", "enum", "typedef",
+    "namespace", "using", "template", "typename", "const", "static", "virtual", "override", "final", "auto", "register", "volatile", "extern", "inline", "sizeof", "true",
+    "false", "null", "nullptr", "this", "self", "import", "from", "with", "as", "in", "is", "not", "and", "or", "var", "let", "elif", "except", "finally", "raise",
+    "yield", "lambda", "pass", "assert", "global", "nonlocal", "del",
+)
 # Signatures of classes and of functions by language, in the order in which they are tried.
 CLASS_SIGNATURES = (
     r"(?m)^\s*(?:class|struct)\s+(\w+)\s*(?:final\s*)?(?::\s*(?:public|protected|private)\s+[\w:]+\s*(?:,\s*(?:public|protected|private)\s+[\w:]+\s*)*)?\s*\{",
@@ -33,12 +35,24 @@ FUNCTION_SIGNATURES = (
     r"(?m)^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(",
     r"(?m)^\s*(?:public|private|protected)\s+[\w<>\[\],\s]+\s+(\w+)\s*\(",
 )
-# Verbs by which a summary tells what is called.
+# Verbs by which a summary tells what is called, without the optional ends of the patterns, which match nothing that is kept.
 CALL_PHRASES = (
     r"(?i)(?:calls?|invokes?|delegates?\s+to|forwards?\s+to)\s+`?(\w[\w:]*)",
     r"(?i)(?:via|through)\s+`?(\w[\w:]*)",
     r"(?i)(?:uses)\s+`?(\w[\w:]*)\s*\(\)",
 )
+# Qualified and plain calls in code; the owner in a qualified one; includes, imports and namespaces.
+QUALIFIED_CALL, PLAIN_CALL, OWNER = r"(?<![.\w])(\w[\w:]*(?:::\w+)+)\s*\(", r"(?<![.\w:])([a-zA-Z_]\w{2,})\s*\(", r"(\w+)::\w+\s*\("
+INCLUDE, IMPORT, NAMESPACE = r'#include\s*[<"]([^>"]+)[>"]', r"(?:from|import)\s+([\w.]+)", r"(\w+)::\w+"
+# Definitions on one line: a method with its class, a free function, def, function; words that no free function is named.
+METHOD_LINE, FREE_LINE = r"^(?:\w[\w:<>*&\s]*?\s+)?(\w+)::(\w+)\s*\(", r"^(?:\w[\w:<>*&\s]*?\s+)(\w{4,})\s*\([^)]*\)\s*(?:\{|const|override|=)"
+DEF_LINE, FUNCTION_LINE = r"^def\s+(\w{4,})\s*\(", r"^(?:export\s+)?(?:async\s+)?function\s+(\w{4,})\s*\("
+NO_FREE = ("if", "for", "while", "switch", "return", "class", "struct")
+# Source files in a diff, by suffix or name.
+SOURCE_SUFFIXES = (
+    ".c", ".h", ".cpp", ".hpp", ".cc", ".cxx", ".hxx", ".c++", ".h++", ".java", ".scala", ".kt", ".kts", ".py", ".pyx", ".pxd", ".js", ".ts", ".jsx", ".tsx", ".mjs", ".cjs", ".go", ".rs", ".rb", ".php", ".swift", ".m", ".mm",
+    ".cs", ".vb", ".fs", ".fsx", ".sh", ".bash", ".zsh", ".fish", ".sql", ".pl", ".pm", ".r", ".R", ".ml", ".mli", ".hs", ".lhs", ".elm", ".ex", ".exs", ".mk", "Makefile", ".cmake", "CMakeLists.txt",
+)
 
 
 def count_of(text: Column, part: str) -> Column:
@@ -106,21 +120,40 @@ def _first_named(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def class_name(chunk: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(_head(chunk, 10), p, 1), F.lit("")) for p in CLASS_SIGNATURES])
+    """The class that the first ten lines declare; keywords are no names."""
+    return _first_named(_head(chunk, 10), CLASS_SIGNATURES)
 
 
 def function_name(chunk: Column) -> Column:
     return _first_named(_head(chunk, 5), FUNCTION_SIGNATURES)
 
 
+def class_owner(chunk: Column) -> Column:
+    """The most frequent qualifier of a chunk's qualified calls and definitions, the first of equal ones; null without any."""
+    names = F.filter(F.regexp_extract_all(chunk, F.lit(OWNER), F.lit(1)), lambda n: ~F.lower(n).isin(*KEYWORDS))
+    counted = F.transform(F.array_distinct(names), lambda d: F.struct(F.size(F.filter(names, lambda n: n == d)).alias("n"), (-F.array_position(names, d)).alias("place"), d.alias("name")))
+    return F.array_max(counted)["name"]
+
+
 def classify_chunk(chunk: Column) -> Column:
     """struct<kind, symbol>: a class definition, a method, a function or file-level code."""
-    cls, fn = class_name(chunk), function_name(chunk)
-    owner = F.nullif(F.regexp_extract(chunk, r"(\w+)::\w+\s*\(", 1), F.lit(""))
+    cls, fn, owner = class_name(chunk), function_name(chunk), class_owner(chunk)
     kind = F.when(cls.isNotNull(), "class_definition").when(F.contains(fn, F.lit("::")), "method_implementation").when(fn.isNotNull(), "function_implementation").when(owner.isNotNull(), "method_implementation").otherwise("file_level_code")
     return F.struct(kind.alias("kind"), F.coalesce(cls, fn, owner).alias("symbol"))
 
 
+def chunk_functions(chunk: Column) -> Column:
+    """array<string>: the functions that a chunk's lines define, a line one at most, in order and with repeats."""
+
+    def named(line: Column) -> Column:
+        bare = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
+        one = lambda p, k=1: F.nullif(F.regexp_extract(bare, p, k), F.lit(""))
+        free = one(FREE_LINE)
+        return F.coalesce(F.concat(one(METHOD_LINE), F.lit("::"), one(METHOD_LINE, 2)), F.when(~free.isin(*NO_FREE), free), one(DEF_LINE), one(FUNCTION_LINE))
+
+    return F.filter(F.transform(F.split(chunk, "\n"), named), lambda n: n.isNotNull())
+
+
 def calls_from_summary(summary: Column) -> Column:
     """array<string>: what a summary says is called, distinct, in order of the phrases."""
     found = F.concat(*[F.regexp_extract_all(summary, F.lit(p), F.lit(1)) for p in CALL_PHRASES])
@@ -130,23 +163,37 @@ def calls_from_summary(summary: Column) -> Column:
 
 def calls_from_code(code: Column) -> Column:
     """array<string>: qualified calls, then plain ones; no keywords, no capitalised names, no macros."""
-    qualified = F.regexp_extract_all(code, F.lit(r"(?<![.\w])(\w[\w:]*(?:::\w+)+)\s*\("), F.lit(1))
-    plain = F.regexp_extract_all(code, F.lit(r"(?<![.\w:])([a-zA-Z_]\w{2,})\s*\("), F.lit(1))
-    plain = F.filter(plain, lambda n: ~F.lower(n).isin(*KEYWORDS) & ~n.rlike("^[A-Z]") & (n != F.upper(n)))
-    return F.array_distinct(F.concat(F.filter(qualified, lambda n: ~F.lower(F.element_at(F.split(n, "::"), -1)).isin(*KEYWORDS)), plain))
+    bare = lambda n: F.element_at(F.split(n, "::"), -1)
+    qualified = F.filter(F.regexp_extract_all(code, F.lit(QUALIFIED_CALL), F.lit(1)), lambda n: ~F.lower(bare(n)).isin(*KEYWORDS) & (F.length(bare(n)) >= 2))
+    plain = F.filter(F.regexp_extract_all(code, F.lit(PLAIN_CALL), F.lit(1)), lambda n: ~F.lower(n).isin(*KEYWORDS) & ~n.rlike("^[A-Z]") & (n != F.upper(n)))
+    return F.array_distinct(F.concat(qualified, plain))
 
 
 def cross_references(code: Column) -> Column:
     """array<string>: includes, imports (dots as slashes), namespaces, in this order and with repeats."""
-    includes = F.regexp_extract_all(code, F.lit(r'#include\s*[<"]([^>"]+)[>"]'), F.lit(1))
-    imports = F.transform(F.regexp_extract_all(code, F.lit(r"(?:from|import)\s+([\w.]+)"), F.lit(1)), lambda x: F.replace(x, F.lit("."), F.lit("/")))
-    return F.concat(includes, imports, F.regexp_extract_all(code, F.lit(r"(\w+)::\w+"), F.lit(1)))
+    imports = F.transform(F.regexp_extract_all(code, F.lit(IMPORT), F.lit(1)), lambda x: F.replace(x, F.lit("."), F.lit("/")))
+    return F.concat(F.regexp_extract_all(code, F.lit(INCLUDE), F.lit(1)), imports, F.regexp_extract_all(code, F.lit(NAMESPACE), F.lit(1)))
 
 
 def mention_sentence(text: Column, name: Column) -> Column:
-    """The first sentence with the name (200 characters at most), else the text's first 150."""
-    hit = F.get(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.instr(s, name) > 0), F.lit(0))
-    return F.when(hit.isNull(), F.substring(text, 1, 150)).when(F.length(hit) > 200, F.concat(F.substring(hit, 1, 200), F.lit("..."))).otherwise(hit)
+    """The first sentence with the name in any case (200 characters at most), else the text's first 150."""
+    hit = F.trim(F.get(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.instr(F.lower(s), F.lower(name)) > 0), F.lit(0)))
+    cut = lambda t, n: F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("..."))).otherwise(t)
+    return F.coalesce(cut(hit, 200), cut(text, 150))
+
+
+def diff_source(diff: Column, max_chars: int = 6000) -> Column:
+    """The sections of a diff whose header (two spaces and a path) names a source file, cut with a mark."""
+    ends = "|".join(x.replace(".", r"\.").replace("+", r"\+") for x in SOURCE_SUFFIXES)
+    header = lambda line: line.rlike(r"^  (?! )")
+    state = lambda on, kept: F.struct(on.alias("on"), kept.alias("kept"))
+
+    def step(s: Column, line: Column) -> Column:
+        on = F.when(header(line), F.rtrim(line).rlike(f"(?:{ends})$")).otherwise(s["on"])
+        return state(on, F.when(on, F.array_append(s["kept"], line)).otherwise(s["kept"]))
+
+    kept = F.aggregate(F.split(diff, "\n"), state(F.lit(False), F.array().cast("array<string>")), step, lambda s: F.array_join(s["kept"], "\n"))
+    return F.when(F.length(kept) > max_chars, F.concat(F.substring(kept, 1, max_chars), F.lit("\n  ... (diff truncated)"))).otherwise(kept)
 
 
 def struct_features(code: Column) -> Column:

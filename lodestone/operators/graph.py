@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import class_name, mention_sentence
+
 # Names too common to count as calls.
 NOISE = (
-    "if for while switch return sizeof typeof decltype static_cast dynamic_cast reinterpret_cast const_cast new delete throw catch try get set put add end begin size push pop find erase clear empty front back insert remove "
-    "open close read write lock unlock printf sprintf fprintf snprintf scanf sscanf malloc calloc realloc free memcpy memset memmove memcmp strlen strcmp strncmp strcpy strncpy strcat assert abort exit "
-    "make_shared make_unique make_pair make_tuple move forward swap len str int float bool list dict tuple range enumerate zip map filter sorted reversed print type isinstance issubclass hasattr getattr setattr "
-    "super property classmethod staticmethod append extend update items keys values join split strip replace format encode decode log error warn info debug then finally resolve reject splice slice concat forEach reduce "
-    "toString valueOf constructor define undef include ifdef ifndef endif elif LOG ASSERT CHECK DCHECK VLOG TRACE"
-).split()
+    "if", "for", "while", "switch", "return", "sizeof", "typeof", "decltype", "static_cast", "dynamic_cast", "reinterpret_cast", "const_cast", "new", "delete", "throw",
+    "catch", "try", "get", "set", "put", "add", "end", "begin", "size", "push", "pop", "find", "erase", "clear", "empty", "front", "back", "insert", "remove", "open",
+    "close", "read", "write", "lock", "unlock", "printf", "sprintf", "fprintf", "snprintf", "scanf", "sscanf", "malloc", "calloc", "realloc", "free", "memcpy", "memset",
+    "memmove", "memcmp", "strlen", "strcmp", "strncmp", "strcpy", "strncpy", "strcat", "assert", "abort", "exit", "make_shared", "make_unique", "make_pair", "make_tuple",
+    "move", "forward", "swap", "len", "str", "int", "float", "bool", "list", "dict", "tuple", "range", "enumerate", "zip", "map", "filter", "sorted", "reversed", "print",
+    "type", "isinstance", "issubclass", "hasattr", "getattr", "setattr", "super", "property", "classmethod", "staticmethod", "append", "extend", "update", "items",
+    "keys", "values", "join", "split", "strip", "replace", "format", "encode", "decode", "log", "error", "warn", "info", "debug", "then", "finally", "resolve", "reject",
+    "splice", "slice", "concat", "forEach", "reduce", "toString", "valueOf", "constructor", "define", "undef", "include", "ifdef", "ifndef", "endif", "elif", "LOG",
+    "ASSERT", "CHECK", "DCHECK", "VLOG", "TRACE",
+)
 #: foo(, Foo::bar(, obj.method(, obj->method(
 CALL = r"((?:\w+(?:::|\.|->))?\w+)\s*\("
 
@@ -23,13 +29,16 @@ def caller_frequency(lines: DataFrame, least_files: int = 5, least_length: int =
     Each (symbol, file) is reduced to one row before files are counted, so a call
     repeated a million times costs no more than one.
     """
+    def named(call):
+        name, qualifier = F.regexp_extract(call, r"(\w+)$", 1), F.regexp_extract(call, r"^(\w+)(?:::|\.|->)", 1)
+        return F.struct(name.alias("name"), F.when(F.length(qualifier) >= 2, F.concat(qualifier, F.lit("::"), name)).otherwise(name).alias("symbol"))
+
+    # each call is taken apart once, and filtered within its line's array
+    found = F.transform(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)), named)
+    kept = F.filter(found, lambda c: (F.length(c["name"]) >= least_length) & ~c["name"].isin(*NOISE) & (c["name"] != F.upper(c["name"])))
     # outer: an inferred filter below the generator would match every line twice
-    called = lines.select("path", F.explode_outer(F.array_distinct(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)))).alias("call"))
-    name = F.regexp_extract("call", r"(\w+)$", 1)
-    qualifier = F.regexp_extract("call", r"^(\w+)(?:::|\.|->)", 1)
-    kept = called.withColumn("name", name).filter((F.length("name") >= least_length) & ~F.col("name").isin(*NOISE) & (F.col("name") != F.upper("name")))
-    symbol = F.when(F.length(qualifier) >= 2, F.concat(qualifier, F.lit("::"), "name")).otherwise(F.col("name"))
-    return kept.select("path", symbol.alias("symbol")).distinct().groupBy("symbol").agg(F.count("*").alias("n_files")).filter(F.col("n_files") >= least_files)
+    called = lines.select("path", F.explode_outer(F.array_distinct(F.transform(kept, lambda c: c["symbol"]))).alias("symbol")).filter("symbol IS NOT NULL")
+    return called.distinct().groupBy("symbol").agg(F.count("*").alias("n_files")).filter(F.col("n_files") >= least_files)
 
 
 def call_edges(calls: DataFrame) -> DataFrame:
@@ -37,6 +46,17 @@ def call_edges(calls: DataFrame) -> DataFrame:
     return calls.filter("caller <> callee").groupBy("caller", "callee").agg(F.min("ord").alias("ord"))
 
 
+def calls_of(edges: DataFrame, last: DataFrame | None = None) -> DataFrame:
+    """(caller, callees): what each caller calls, in order; last (caller, chunk), if given with edges that have chunk, keeps only a caller's last chunk."""
+    kept = edges if last is None else edges.join(last, ["caller", "chunk"], "left_semi")
+    return kept.groupBy("caller").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "callee"))), lambda e: e["callee"]).alias("callees"))
+
+
+def registry(symbols: DataFrame) -> DataFrame:
+    """(symbol, file, module): where each symbol is defined first (by ord)."""
+    return symbols.groupBy("symbol").agg(F.min(F.struct("ord", "file", "module")).alias("first")).select("symbol", "first.file", "first.module")
+
+
 def called_by(edges: DataFrame) -> DataFrame:
     """(callee, n_callers)."""
     return edges.groupBy("callee").agg(F.count("*").alias("n_callers"))
@@ -75,3 +95,51 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     j = c.join(s, "base")
     w = Window.partitionBy("call_id").orderBy(F.desc(F.col("symbol") == F.col("callee")), F.desc(F.col("symbol_file") != F.col("file")), "ord")
     return j.withColumn("i", F.row_number().over(w)).filter("i = 1").select("call_id", "callee", "symbol")
+
+
+def declared_classes(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, name, snippet) of chunks (key, chunk) that declare a class: up to 30 lines from the first one that names it with class or struct."""
+    lines = F.split("chunk", "\n")
+    named = chunks.select(key, "chunk", class_name(F.col("chunk")).alias("name")).filter("name IS NOT NULL")
+    at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.col("name")) & (F.contains(x, F.lit("class ")) | F.contains(x, F.lit("struct ")))), True)
+    return named.withColumn("at", at.cast("int")).filter("at > 0").select(key, "name", F.array_join(F.slice(lines, F.col("at"), 30), "\n").alias("snippet"))
+
+
+def header_classes(owners: DataFrame, headers: DataFrame) -> DataFrame:
+    """(name, path, snippet): for classes (name) whose methods are seen, the declaration in a header of their name.
+
+    headers (path, content) are tried as Name.h, Name.hpp, name.h, name.hpp,
+    class_name.h and class_name.hpp, the first that declares the class wins.
+    """
+    low = F.lower("name")
+    snake = F.lower(F.regexp_replace("name", "(?<!^)(?=[A-Z])", "_"))
+    bases = F.transform(F.array(F.col("name"), low, snake), lambda n: F.array(F.concat(n, F.lit(".h")), F.concat(n, F.lit(".hpp"))))
+    wanted = owners.select("name").distinct().select("name", F.posexplode(F.array_distinct(F.flatten(bases))).alias("ord", "base"))
+    found = wanted.join(headers.select("path", "content", F.element_at(F.split("path", "/"), -1).alias("base")), "base")
+    declares = F.col("content").rlike(F.concat(F.lit(r"(?m)^\s*(?:class|struct)\s+"), F.col("name"), F.lit(r"\b")))
+    lines = F.split("content", "\n")
+    at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.col("name"))), True).cast("int")
+    best = found.filter(declares).groupBy("name").agg(F.min(F.struct("ord", "path", F.array_join(F.slice(lines, at, 30), "\n").alias("snippet"))).alias("b"))
+    return best.select("name", "b.path", "b.snippet")
+
+
+def usage_hints(functions: DataFrame, freq: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(chunk_id, hints): for each function (chunk_id, ord, fn) that freq (symbol, n_files) knows, by its name or else its last part, how many files call it, and what documents (symbol, snippet) say."""
+    bare = F.when(F.contains(F.col("fn"), F.lit("::")), F.element_at(F.split("fn", "::"), -1))
+    f = functions.withColumn("bare", bare)
+    by = lambda key, n: freq.select(F.col("symbol").alias(key), F.col("n_files").alias(n))
+    said = lambda key, n: mentions.select(F.col("symbol").alias(key), F.col("snippet").alias(n))
+    j = f.join(by("fn", "n_fn"), "fn", "left").join(by("bare", "n_bare"), "bare", "left").join(said("fn", "said_fn"), "fn", "left").join(said("bare", "said_bare"), "bare", "left")
+    n = F.coalesce("n_fn", "n_bare")
+    snippet = F.coalesce(F.when(F.col("n_fn").isNull(), F.col("said_bare")), F.col("said_fn"))
+    hint = F.concat("fn", F.lit(" is called from "), n.cast("string"), F.lit(" different files"), F.coalesce(F.concat(F.lit(". Documentation says: "), snippet), F.lit("")))
+    rows = j.filter(n.isNotNull()).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("ord", hint.alias("hint")))).alias("h"))
+    return rows.select("chunk_id", F.transform("h", lambda x: x["hint"]).alias("hints"))
+
+
+def doc_mentions(symbols: DataFrame, hits: DataFrame) -> DataFrame:
+    """(symbol, snippet): of a symbol's hits (symbol, rank, source_file, text) the first that contains its last part in any case, with the sentence that does."""
+    bare = F.element_at(F.split("symbol", "::"), -1)
+    met = symbols.select("symbol").distinct().join(hits, "symbol").filter(F.contains(F.lower("text"), F.lower(bare)))
+    snippet = F.concat(F.lit("["), F.coalesce("source_file", F.lit("docs")), F.lit("] "), mention_sentence(F.col("text"), bare))
+    return met.groupBy("symbol").agg(F.min(F.struct("rank", snippet.alias("snippet"))).alias("first")).select("symbol", "first.snippet")

@@ -38,10 +38,30 @@ def coverage(assigned: DataFrame) -> DataFrame:
 
 
 def tree_counts(files: DataFrame) -> DataFrame:
-    """(dir, direct, total): files directly in each directory, and below it; each file counts once an ancestor."""
-    parent = F.element_at(ancestors(F.col("path")), -1)
-    each = files.select(F.explode(ancestors(F.col("path"))).alias("dir"), parent.alias("parent"))
-    return each.groupBy("dir").agg(F.count_if(F.col("dir") == F.col("parent")).alias("direct"), F.count("*").alias("total"))
+    """(dir, direct, total, subdirs): files directly in each directory and below it, and its immediate subdirectories; each file counts once an ancestor."""
+    above = ancestors(F.col("path"))
+    each = files.select(F.element_at(above, -1).alias("parent"), F.posexplode(above).alias("i", "dir"), above.alias("above"))
+    child = F.get("above", F.col("i") + 1)
+    return each.groupBy("dir").agg(F.count_if(F.col("dir") == F.col("parent")).alias("direct"), F.count("*").alias("total"), F.countDistinct(child).alias("subdirs"))
+
+
+def tree_view(files: DataFrame, depth: int = 3, expand: tuple[str, ...] = (), small: int = 200) -> DataFrame:
+    """(place, line): the tree as text, sorted by place: up to so many files all of them, else directories to a depth, where the rest is counted.
+
+    A directory above or below one of expand is shown two levels deeper.
+    """
+    n = files.count()
+    if n <= small:
+        return files.select(F.col("path").alias("place"), F.concat(F.repeat(F.lit("  "), F.size(F.split("path", "/"))), F.element_at(F.split("path", "/"), -1)).alias("line"))
+    level, d = F.size(F.split("dir", "/")), F.col("dir")
+    deep = F.lit(depth)
+    for e in expand:
+        deep = F.when(d.startswith(e) | F.startswith(F.lit(e), d), F.lit(depth + 2)).otherwise(deep)
+    name = F.concat(F.repeat(F.lit("  "), level), F.element_at(F.split("dir", "/"), -1), F.lit("/"))
+    more = F.concat(F.lit("  ("), F.col("total").cast("string"), F.lit(" files"), F.when(F.col("subdirs") > 0, F.concat(F.lit(", "), F.col("subdirs").cast("string"), F.lit(" subdirs"))).otherwise(""), F.lit(")"))
+    here = F.when(F.col("direct") > 0, F.concat(F.lit("\n"), F.repeat(F.lit("  "), level), F.lit("  ("), F.col("direct").cast("string"), F.lit(" files here)"))).otherwise("")
+    shown = tree_counts(files).withColumn("deep", deep).filter(level <= F.col("deep"))
+    return shown.select(F.replace(d, F.lit("/"), F.lit("\x01")).alias("place"), F.when((level >= F.col("deep")) & (F.col("total") > F.col("direct")), F.concat(name, more)).otherwise(F.concat(name, here)).alias("line"))
 
 
 def flag_large(stats: DataFrame, dirs: int = 3, pct: float = 25.0, files: int = 60) -> DataFrame:
@@ -51,11 +71,27 @@ def flag_large(stats: DataFrame, dirs: int = 3, pct: float = 25.0, files: int =
     return stats.withColumn("why", why).withColumn("too_large", ~other & (F.col("why") != ""))
 
 
-def validate(claims: DataFrame, total_files: int | Column, top_dirs: int | Column) -> DataFrame:
-    """claims (module, top) to (module, n_top, catch_all): a module over 40 % of the top directories, if there are more than 4."""
+def validate(claims: DataFrame, total_files: int, top_dirs: int) -> DataFrame:
+    """claims (module, top) to (module, n_top, catch_all, too_few).
+
+    catch_all: a module over 40 % of the top directories, if there are more than 4.
+    too_few: more than 500 files and fewer modules than half the top directories,
+    which asks for 3 at least and 8 at most.
+    """
     g = claims.groupBy("module").agg(F.countDistinct("top").alias("n_top"))
-    top = F.lit(top_dirs) if isinstance(top_dirs, int) else top_dirs
-    return g.withColumn("catch_all", (F.col("n_top") > top * 0.4) & (top > 4))
+    least = max(3, min(top_dirs // 2, 8))
+    n = g.agg(F.count("*").alias("modules"))
+    return g.crossJoin(F.broadcast(n)).select("module", "n_top", ((F.col("n_top") > top_dirs * 0.4) & F.lit(top_dirs > 4)).alias("catch_all"), ((F.col("modules") < least) & F.lit(total_files > 500)).alias("too_few"))  # one row
+
+
+def file_samples(files: DataFrame, most: int = 40) -> DataFrame:
+    """(module, dir, path): all files (module, dir, path) of a module of at most 40, else a quota of each directory, 3 or 30 shared out, until there are 40."""
+    size = files.groupBy("module").agg(F.count("*").alias("n"), F.countDistinct("dir").alias("dirs"))
+    quota = F.greatest(F.lit(3), F.floor(F.lit(30) / F.greatest("dirs", F.lit(1))))
+    i = F.row_number().over(Window.partitionBy("module", "dir").orderBy("path"))
+    some = files.join(size, "module").withColumn("i", i).filter((F.col("n") <= most) | (F.col("i") <= quota))
+    place = F.row_number().over(Window.partitionBy("module").orderBy("dir", "i"))
+    return some.withColumn("place", place).filter(F.col("place") <= most).select("module", "dir", "path")
 
 
 def gaps(entries: DataFrame, short: int = 80) -> DataFrame:

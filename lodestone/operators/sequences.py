@@ -42,9 +42,26 @@ def line_windows(files: DataFrame, step: int = 60, length: int = 70, max_chars:
     return each.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), F.substring(text, 1, max_chars).alias("text")).filter(F.trim(F.col("text")) != "")
 
 
-def pack_paragraphs(text: Column, max_chars: int, delimiter: str = "\n", joiner: str = "\n") -> Column:
-    """array<string>: paragraphs packed greedily into chunks of at most max_chars; longer ones are cut into pieces first."""
-    parts = F.filter(F.split(text, delimiter), lambda p: F.trim(p) != "")
+def stripped(text: Column) -> Column:
+    """A text without white space of any script before and behind it."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def document_chunks(sections: Column, text: Column, max_chars: int = 4000) -> Column:
+    """array<struct<heading, text>> of a document's sections (heading, level, content): one that fits is one chunk, a longer one is packed; without headings the whole text is.
+
+    A document always has one chunk.
+    """
+    one = lambda t, h: F.struct(h.alias("heading"), t.alias("text"))
+    packed = lambda t, h: F.transform(pack_paragraphs(t, max_chars), lambda c: one(c, h))
+    own = F.flatten(F.transform(F.filter(sections, lambda s: stripped(s["content"]) != ""), lambda s: F.when(F.length(stripped(s["content"])) <= max_chars, F.array(one(stripped(s["content"]), s["heading"]))).otherwise(packed(stripped(s["content"]), s["heading"]))))
+    found = F.when(F.exists(sections, lambda s: s["level"] > 0), own).otherwise(packed(stripped(text), F.lit("")))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(one(F.substring(F.coalesce(text, F.lit("")), 1, max_chars), F.lit(""))))
+
+
+def pack_paragraphs(text: Column, max_chars: int, delimiter: str = "\n\n", joiner: str = "\n\n") -> Column:
+    """array<string>: paragraphs, set apart by blank lines, packed greedily into chunks of at most max_chars; longer ones are cut into pieces first."""
+    parts = F.filter(F.transform(F.split(text, delimiter), stripped), lambda p: p != "")
     pieces = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / max_chars).cast("int")), lambda i: F.substring(p, i * max_chars + 1, F.lit(max_chars)))))
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 

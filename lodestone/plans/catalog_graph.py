@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as x
+from lodestone.operators import build, explore, review
 from lodestone.operators import graph as g
 from lodestone.operators import modules as m
-from lodestone.operators import review
+from lodestone.plans import catalog_text as t
 from lodestone.plans import views as v
 from lodestone.plans.registry import query
 
@@ -32,9 +34,17 @@ def edges(spark, d):
     return g.call_edges(calls)
 
 
-@query("agg_call_graph", f"WITH {EDGES} SELECT callee, count(*) AS n_callers FROM ed GROUP BY 1")
+@query("agg_call_graph", f"""WITH l AS (SELECT 'order_' || l_orderkey AS caller, 'part_' || l_partkey AS callee, l_linenumber AS ord, l_linenumber % 2 AS chunk FROM lineitem), last AS (SELECT caller, max(chunk) AS chunk FROM l GROUP BY 1),
+    e AS (SELECT caller, callee, min(ord) AS ord FROM l JOIN last USING (caller, chunk) GROUP BY 1, 2), {EDGES}
+    SELECT 'calls' AS kind, caller AS symbol, count(*) AS n, list(callee ORDER BY ord, callee) AS names FROM e GROUP BY 2 UNION ALL SELECT 'called_by', callee, count(*), list(caller ORDER BY caller)[1:5] FROM ed GROUP BY 2""")
 def agg_call_graph(spark, d):
-    return g.called_by(edges(spark, d))
+    """What each caller calls (of several chunks the last counts), and who calls each symbol, the first five by name."""
+    li = v.table(spark, d, "lineitem")
+    calls = li.select(F.concat(F.lit("order_"), F.col("l_orderkey").cast("string")).alias("caller"), F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("callee"), F.col("l_linenumber").alias("ord"), (F.col("l_linenumber") % 2).alias("chunk"))
+    last = calls.groupBy("caller").agg(F.max("chunk").alias("chunk"))
+    own = g.calls_of(calls.groupBy("caller", "callee", "chunk").agg(F.min("ord").alias("ord")), last).select(F.lit("calls").alias("kind"), F.col("caller").alias("symbol"), F.size("callees").cast("long").alias("n"), F.col("callees").alias("names"))
+    by = g.first_callers(edges(spark, d)).select(F.lit("called_by").alias("kind"), F.col("callee").alias("symbol"), F.col("n_callers").alias("n"), F.col("callers").alias("names"))
+    return own.unionByName(by)
 
 
 @query("agg_called_by_suffix", f"""WITH {EDGES}, r AS (SELECT callee, caller, row_number() OVER (PARTITION BY callee ORDER BY caller) AS i, count(*) OVER (PARTITION BY callee) AS n FROM ed), t AS (SELECT callee, string_agg(caller, ', ' ORDER BY caller) AS names, max(n) AS n FROM r WHERE i <= 5 GROUP BY 1)
@@ -80,20 +90,29 @@ def jn_class_context(spark, d):
     return e.join(local, ["source_file", "chunk_category"], "left").join(everywhere, "chunk_category", "left").select("doc_id", F.coalesce("local", "anywhere").alias("context"))
 
 
-@query("jn_usage_hints", f"""WITH {_FREQ} SELECT p_partkey, coalesce(n_files, 0) AS n_files, CASE WHEN n_files >= 35 THEN 'widely used' WHEN n_files >= 20 THEN 'used' ELSE '' END AS hint FROM part LEFT JOIN fq ON symbol = 'handler_' || p_partkey""")
+@query("jn_usage_hints", f"""WITH {_FREQ}, f AS (SELECT p_partkey, n_files FROM part JOIN fq ON symbol = 'handler_' || p_partkey WHERE p_partkey % 5 > 0)
+    SELECT p_partkey AS chunk_id, [CASE WHEN p_partkey % 2 = 0 THEN 'Ns::' ELSE '' END || 'handler_' || p_partkey || ' is called from ' || n_files || ' different files' || CASE WHEN p_partkey % 3 = 0 THEN '. Documentation says: see ' || p_partkey ELSE '' END] AS hints FROM f""")
 def jn_usage_hints(spark, d):
-    freq = g.caller_frequency(v.code_lines(spark, d), least_files=1)
-    p = v.table(spark, d, "part").select("p_partkey", F.concat(F.lit("handler_"), F.col("p_partkey").cast("string")).alias("symbol"))
-    n = F.coalesce("n_files", F.lit(0))
-    return p.join(freq, "symbol", "left").select("p_partkey", n.alias("n_files"), F.when(n >= 35, "widely used").when(n >= 20, "used").otherwise("").alias("hint"))
+    """Functions that chunks define, by their whole or last name, with how many files call them."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("handler_"), k.cast("string"))
+    part = v.table(spark, d, "part")
+    functions = part.select(k.alias("chunk_id"), F.lit(0).alias("ord"), F.when(k % 5 == 0, F.lit("unknown_fn")).when(k % 2 == 0, F.concat(F.lit("Ns::"), name)).otherwise(name).alias("fn"))
+    mentions = part.filter("p_partkey % 3 = 0").select(name.alias("symbol"), F.concat(F.lit("see "), k.cast("string")).alias("snippet"))
+    return g.usage_hints(functions, g.caller_frequency(v.code_lines(spark, d), least_files=1), mentions)
 
 
-@query("jn_doc_mentions", """WITH s AS (SELECT n_nationkey, lower(substr(n_name, 1, 3)) AS name FROM nation), h AS (SELECT n_nationkey, min(doc_id) AS doc_id FROM s JOIN documents ON contains(lower(text), name) GROUP BY 1) SELECT * FROM h""")
+@query("jn_doc_mentions", """WITH s AS (SELECT DISTINCT 'Ns::' || upper(regexp_extract(text, '[a-z]{5,9}', 0)) AS symbol FROM documents WHERE doc_id % 50 = 0 AND regexp_extract(text, '[a-z]{5,9}', 0) <> ''), h AS (SELECT symbol, doc_id, text FROM s JOIN documents ON contains(lower(text), lower(substr(symbol, 5)))), f AS (SELECT symbol, arg_min(text, doc_id) AS text, min(doc_id) AS doc_id FROM h GROUP BY 1),
+    m AS (SELECT symbol, doc_id, trim(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda y: contains(lower(y), lower(substr(symbol, 5))))[1]) AS hit FROM f) SELECT symbol, '[d' || doc_id || '] ' || CASE WHEN length(hit) > 200 THEN substr(hit, 1, 200) || '...' ELSE hit END AS snippet FROM m""")
 def jn_doc_mentions(spark, d):
-    """The first document that names each symbol; the symbols are the 25 nations, a table of fixed size."""
-    s = v.table(spark, d, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 3)).alias("name"))
-    docs = v.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
-    return docs.join(F.broadcast(s), F.contains(F.col("low"), F.col("name"))).groupBy("n_nationkey").agg(F.min("doc_id").alias("doc_id"))
+    """For each symbol (a word of the documents whose ids are divisible by 50) the first document that names it, with the sentence."""
+    docs = v.table(spark, d, "documents").select("doc_id", "text")
+    word = F.regexp_extract("text", "[a-z]{5,9}", 0)
+    symbols = docs.filter("doc_id % 50 = 0").select(F.concat(F.lit("Ns::"), F.upper(word)).alias("symbol"), word.alias("word")).filter("word <> ''").distinct()
+    symbols = F.broadcast(symbols) if symbols.count() <= 50_000 else symbols  # words of one language family; a comparison either way
+    hits = docs.join(symbols, F.contains(F.lower("text"), F.col("word"))).select("symbol", F.col("doc_id").alias("rank"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_file"), "text")
+    first = hits.groupBy("symbol").agg(F.min(F.struct("rank", "source_file", "text")).alias("h")).select("symbol", "h.*")
+    return g.doc_mentions(first.select("symbol"), first)
 
 
 MODULES = "md AS (SELECT 'd' || (n_nationkey % 7) AS sub, n_nationkey AS ord, 'M' || n_regionkey AS module, CASE n_nationkey % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'lib' ELSE 'core' END AS top FROM nation), mod AS (SELECT CASE WHEN ord % 4 = 0 THEN top ELSE top || '/' || sub END AS dir, module, ord FROM md)"
@@ -135,14 +154,16 @@ def agg_module_coverage(spark, d):
 _ANC = f"{v.FILES}, an AS (SELECT path, array_to_string(p[1:n], '/') AS dir, n = len(p) - 1 AS own FROM (SELECT path, string_split(path, '/') AS p, unnest(generate_series(1, len(string_split(path, '/')) - 1)) AS n FROM fl))"
 
 
-@query("agg_dir_tree_counts", f"WITH {_ANC} SELECT dir, count(*) FILTER (own) AS direct, count(*) AS total FROM an GROUP BY 1")
+@query("agg_dir_tree_counts", f"WITH {_ANC}, c AS (SELECT DISTINCT dir FROM an), k AS (SELECT array_to_string(string_split(dir, '/')[1:-2], '/') AS dir, count(*) AS subdirs FROM c WHERE contains(dir, '/') GROUP BY 1) SELECT an.dir, count(*) FILTER (own) AS direct, count(*) AS total, coalesce(max(subdirs), 0) AS subdirs FROM an LEFT JOIN k ON k.dir = an.dir GROUP BY 1")
 def agg_dir_tree_counts(spark, d):
     return m.tree_counts(v.files(spark, d))
 
 
 @query("flt_module_files", f"WITH {v.FILES} SELECT path FROM fl WHERE starts_with(path, 'src/d1/')")
 def flt_module_files(spark, d):
-    return v.files(spark, d).filter(F.col("path").startswith("src/d1/")).select("path")
+    from lodestone.sources.files import module_files
+
+    return module_files(v.files(spark, d).select("path"), "./src/d1/")
 
 
 @query("set_unexplored", f"WITH {v.FILES}, c AS (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS dir, count(*) AS n FROM fl GROUP BY 1) SELECT dir FROM c WHERE n >= 30 AND NOT starts_with(dir, 'src') ")
@@ -152,11 +173,12 @@ def set_unexplored(spark, d):
     return dirs.exceptAll(explored)
 
 
-@query("grp_coverage_gate", f"WITH {v.FILES}, c AS (SELECT split_part(path, '/', 1) AS top, count(*) AS n FROM fl GROUP BY 1) SELECT top, n, top IN ('src', 'lib') AS explored, n >= 30 AND top NOT IN ('src', 'lib') AS blocks FROM c")
+@query("grp_coverage_gate", f"WITH {v.FILES}, c AS (SELECT split_part(path, '/', 1) AS top, count(*) AS n FROM fl GROUP BY 1), e AS (SELECT DISTINCT split_part(path, '/', 1) AS top FROM fl WHERE file_id % 1000 = 1) SELECT top, n, top IN (SELECT top FROM e) AS explored, n >= 30 AND top NOT IN (SELECT top FROM e) AS blocks FROM c")
 def grp_coverage_gate(spark, d):
-    c = v.files(spark, d).groupBy(F.substring_index("path", "/", 1).alias("top")).agg(F.count("*").alias("n"))
-    seen = F.col("top").isin("src", "lib")
-    return c.select("top", "n", seen.alias("explored"), ((F.col("n") >= 30) & ~seen).alias("blocks"))
+    """Large directories block until a file of theirs has been read."""
+    f = v.files(spark, d)
+    top = F.substring_index("path", "/", 1).alias("top")
+    return explore.coverage_gate(f.groupBy(top).agg(F.count("*").alias("n")), f.filter("file_id % 1000 = 1").select(top), F.lit(False))
 
 
 @query("grp_fallback_map", f"WITH {v.FILES} SELECT split_part(path, '/', 1) AS module, count(*) AS n_files FROM fl GROUP BY 1")
@@ -165,10 +187,10 @@ def grp_fallback_map(spark, d):
     return v.files(spark, d).groupBy(top.alias("module")).agg(F.count("*").alias("n_files"))
 
 
-@query("grp_import_map", f"WITH {_ASSIGNED} SELECT coalesce(asg.module, 'other') AS module, count(*) AS n_files FROM fl LEFT JOIN asg USING (path) GROUP BY 1")
+@query("grp_import_map", f"WITH {_ASSIGNED}, p AS (SELECT coalesce(asg.module, 'other') AS module, count(*) AS n FROM (SELECT DISTINCT path FROM fl) LEFT JOIN asg USING (path) GROUP BY 1), d AS (SELECT DISTINCT module FROM mod UNION SELECT module FROM p) SELECT module, coalesce(n, 0) AS n_files, (SELECT CAST(sum(n) FILTER (module <> 'other') AS BIGINT) * 100 // CAST(sum(n) AS BIGINT) FROM p) AS coverage FROM d LEFT JOIN p USING (module)")
 def grp_import_map(spark, d):
     f = v.files(spark, d)
-    return f.join(m.assign_exclusive(f, modules(spark, d)), "path", "left").groupBy(F.coalesce("module", F.lit("other")).alias("module")).agg(F.count("*").alias("n_files"))
+    return build.import_map(f, m.assign_exclusive(f, modules(spark, d)), modules(spark, d))
 
 
 @query("grp_discover", f"WITH {_ASSIGNED}, o AS (SELECT path FROM fl WHERE path NOT IN (SELECT path FROM asg)) SELECT module, count(*) AS n_files FROM (SELECT module FROM asg UNION ALL SELECT 'other' FROM o) GROUP BY 1")
@@ -180,10 +202,10 @@ def grp_discover(spark, d):
     return done.unionByName(rest).groupBy("module").agg(F.count("*").alias("n_files"))
 
 
-@query("grp_validate_modules", f"WITH {MODULES}, t AS (SELECT module, count(DISTINCT split_part(dir, '/', 2)) AS n_top FROM mod GROUP BY 1) SELECT module, n_top, n_top > 7 * 0.4::DOUBLE AND 7 > 4 AS catch_all FROM t")
+@query("grp_validate_modules", f"WITH {MODULES}, t AS (SELECT module, count(DISTINCT split_part(dir, '/', 2)) AS n_top FROM mod GROUP BY 1) SELECT module, n_top, n_top > 13 * 0.4::DOUBLE AS catch_all, (SELECT count(*) FROM t) < 6 AS too_few FROM t")
 def grp_validate_modules(spark, d):
     claims = modules(spark, d).select("module", F.coalesce(F.nullif(F.split_part(F.col("dir"), F.lit("/"), F.lit(2)), F.lit("~")), F.lit("")).alias("top"))
-    return m.validate(claims, 0, 7)
+    return m.validate(claims, 501, 13)
 
 
 @query("grp_flag_large", f"""WITH {_ASSIGNED}, s AS (SELECT module, count(DISTINCT split_part(path, '/', 2)) AS n_dirs, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM asg) AS pct, count(*) AS n_files FROM asg GROUP BY 1)
@@ -195,11 +217,11 @@ def grp_flag_large(spark, d):
     return m.flag_large(s).select("module", "n_dirs", "n_files", "why", "too_large")
 
 
-@query("top_file_samples", f"WITH {v.FILES}, r AS (SELECT path, split_part(path, '/', 1) AS module, split_part(path, '/', 2) AS dir, row_number() OVER (PARTITION BY split_part(path, '/', 1), split_part(path, '/', 2) ORDER BY path) AS i FROM fl) SELECT module, dir, path FROM r WHERE i <= greatest(3, 30 // 7)")
+@query("top_file_samples", f"""WITH {v.FILES}, f AS (SELECT path, split_part(path, '/', 1) AS module, split_part(path, '/', 2) AS dir FROM fl), s AS (SELECT module, count(*) AS n, count(DISTINCT dir) AS dirs FROM f GROUP BY 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY module, dir ORDER BY path) AS i FROM f JOIN s USING (module)), p AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY dir, i) AS place FROM r WHERE n <= 40 OR i <= greatest(3, 30 // greatest(dirs, 1))) SELECT module, dir, path FROM p WHERE place <= 40""")
 def top_file_samples(spark, d):
-    """A quota of sample files for each directory of a module."""
-    f = v.files(spark, d).select(F.split_part(F.col("path"), F.lit("/"), F.lit(1)).alias("module"), F.split_part(F.col("path"), F.lit("/"), F.lit(2)).alias("dir"), "path")
-    return f.withColumn("i", F.row_number().over(Window.partitionBy("module", "dir").orderBy("path"))).filter(F.col("i") <= max(3, 30 // 7)).drop("i")
+    part = lambda k: F.split_part(F.col("path"), F.lit("/"), F.lit(k))
+    return m.file_samples(v.files(spark, d).select(part(1).alias("module"), part(2).alias("dir"), "path"))
 
 
 @query("set_known_classes", f"WITH {v.ENTRIES} SELECT DISTINCT module AS name FROM en UNION SELECT DISTINCT chunk_category FROM en")
@@ -208,11 +230,10 @@ def set_known_classes(spark, d):
     return e.select(F.col("module").alias("name")).union(e.select("chunk_category")).distinct()
 
 
-@query("agg_class_owner", f"WITH e AS (SELECT o_custkey, o_orderstatus AS owner, count(*) AS n, min(o_orderkey) AS seen FROM orders GROUP BY 1, 2) SELECT o_custkey, arg_max(owner, (n, -seen)) AS owner FROM e GROUP BY 1")
+@query("agg_class_owner", f"WITH {t.CHUNKS} SELECT doc_id, {t._OWNER} AS owner FROM ck")
 def agg_class_owner(spark, d):
     """The commonest qualifier of each chunk; ties to the first seen."""
-    e = v.table(spark, d, "orders").groupBy("o_custkey", F.col("o_orderstatus").alias("owner")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("seen"))
-    return e.groupBy("o_custkey").agg(F.max_by("owner", F.struct("n", -F.col("seen"))).alias("owner"))
+    return t.chunks(spark, d).select("doc_id", x.class_owner(F.col("chunk")).alias("owner"))
 
 
 @query("agg_kb_gap", f"WITH {v.ENTRIES} SELECT module, count(*) AS entries, CAST(sum(length(summary)) AS BIGINT) AS total_len, CAST(sum(length(summary)) // count(*) AS BIGINT) AS avg_len, count(DISTINCT source_file) AS files, count(*) FILTER (length(summary) < 80) AS weak FROM en GROUP BY 1")
@@ -226,11 +247,21 @@ def agg_category_counts(spark, d):
     return spark.sql("SELECT coalesce(chunk_category, '*') AS category, coalesce(search_value, '*') AS value, count(*) AS n FROM _entries GROUP BY GROUPING SETS ((chunk_category), (search_value), ())")
 
 
-@query("grp_work_items", f"""WITH {v.MANIFEST}, w AS (SELECT cur.doc_id, CASE WHEN old.hash IS NULL THEN 'new' WHEN old.hash = cur.hash THEN 'reuse' ELSE 'redo' END AS action, cur.hash FROM cur LEFT JOIN old USING (path)) SELECT action, count(*) AS items, count(DISTINCT hash) AS distinct_items FROM w GROUP BY 1""")
+_WORK = f"""{t.CHUNKS}, w AS (SELECT 'f' || (doc_id % 20) AS path, doc_id AS chunk_index, chunk, doc_id % 3 AS known, CASE WHEN doc_id % 9 IN (0, 3) AND NOT {t._KEY} THEN w ELSE {t._OWNER} END AS class FROM ck), todo AS (SELECT * FROM w WHERE known <> 1),
+    u AS (SELECT *, row_number() OVER (PARTITION BY trim(chunk) ORDER BY path, chunk_index) AS i FROM todo)"""
+
+
+@query("grp_work_items", f"""WITH {_WORK} SELECT path, chunk_index, concat_ws(chr(10), CASE WHEN path <> 'f3' THEN 'file ' || path END, CASE WHEN class IN ('Foo', 'B') THEN 'Class ' || class || ': ' || CASE WHEN class = 'Foo' AND path = 'f2' THEN 'own' ELSE 'about ' || class END END, CASE WHEN chunk_index % 2 = 0 THEN 'c' || chunk_index END) AS context FROM u WHERE i = 1""")
 def grp_work_items(spark, d):
-    old = v.manifest(spark, d).select("path", F.col("hash").alias("old"))
-    w = v.current(spark, d).join(old, "path", "left").withColumn("action", F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("hash"), "reuse").otherwise("redo"))
-    return w.groupBy("action").agg(F.count("*").alias("items"), F.countDistinct("hash").alias("distinct_items"))
+    """New and changed chunks, once each, with the context that a model gets."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("f"), (i % 20).cast("string"))
+    every = t.chunks(spark, d).select(path.alias("path"), i.alias("chunk_index"), "chunk")
+    done = every.filter("chunk_index % 3 > 0").select("path", "chunk_index", F.when(F.col("chunk_index") % 3 == 1, build.chunk_hash(F.col("chunk"))).otherwise(F.lit("stale")).alias("hash"))
+    files = every.select("path").distinct().filter("path <> 'f3'").select("path", F.concat(F.lit("file "), "path").alias("summary"))
+    classes = spark.createDataFrame([("h", "Foo", "about Foo"), ("f2", "Foo", "own"), ("h", "B", "about B")], "path string, class string, summary string")
+    own = every.filter("chunk_index % 2 = 0").select("path", "chunk_index", F.concat(F.lit("c"), F.col("chunk_index").cast("string")).alias("context"))
+    return build.work_items(every, done, files, classes, own).select("path", "chunk_index", "context")
 
 
 @query("grp_overview_rows", f"WITH {v.ENTRIES} SELECT source_file, -1 AS chunk_index, 'file_overview' AS chunk_type, min(module) AS module FROM en GROUP BY 1 UNION ALL SELECT source_file, -2, 'class_overview', min(module) FROM en WHERE chunk_type = 'class_overview' GROUP BY 1")
@@ -243,13 +274,16 @@ def grp_overview_rows(spark, d):
 _ISLANDS = "ls AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS st FROM conversations), isl AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM ls)"
 
 
-@query("grp_function_cards", f"WITH {_ISLANDS} SELECT conv_id, CAST(island AS BIGINT) AS island, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM isl GROUP BY 1, 2 HAVING count(*) > 1")
+@query("grp_function_cards", f"""WITH {_ISLANDS}, k AS (SELECT conv_id, CAST(island AS BIGINT) AS island, string_agg(text, chr(10) ORDER BY turn) AS code, list('Chunk ' || turn || ': s' ORDER BY turn) FILTER (turn % 4 < 3) AS summaries, count(*) AS n FROM isl GROUP BY 1, 2)
+    SELECT 'c' || conv_id AS path, island, -3 AS chunk_index, summaries, CASE WHEN length(code) > 6000 THEN substr(code, 1, 3000) || chr(10) || chr(10) || '... [truncated] ...' || chr(10) || chr(10) || right(code, 2000) ELSE code END AS code FROM k WHERE n > 1 AND summaries IS NOT NULL""")
 def grp_function_cards(spark, d):
-    """One card for each function (run of one role) of several chunks."""
+    """A card for each function (here: run of turns of one role) of several chunks."""
     from lodestone.operators.sequences import islands
 
     i = islands(v.table(spark, d, "conversations"), ["conv_id"], ["turn"], F.col("_prev.role") == F.col("role"))
-    return i.groupBy("conv_id", "island").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars")).filter("chunks > 1")
+    chunks = i.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("chunk_index"), "island", F.col("text").alias("chunk"))
+    said = chunks.filter("chunk_index % 4 < 3").select("path", "chunk_index", F.lit("s").alias("summary"))
+    return build.function_cards(chunks, said).drop("name")
 
 
 @query("grp_func_prepass", f"WITH {_ISLANDS}, r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) AS i FROM isl) SELECT conv_id, turn, '[Continuation of ' || role || '()]' AS context FROM r WHERE i > 1")
@@ -261,29 +295,43 @@ def grp_func_prepass(spark, d):
     return r.filter("i > 1").select("conv_id", "turn", F.concat(F.lit("[Continuation of "), "role", F.lit("()]")).alias("context"))
 
 
-@query("grp_explorer_state", """WITH s AS (SELECT n_regionkey AS module, 0.2::DOUBLE AS c FROM nation GROUP BY 1), u AS (SELECT r_regionkey AS module, 0.1::DOUBLE * (r_regionkey + 5) AS delta FROM region) SELECT module, least(0.95::DOUBLE, c + delta) AS confidence FROM s JOIN u USING (module)""")
+@query("grp_explorer_state", """WITH s AS (SELECT n_regionkey AS k, list('f' || n_nationkey ORDER BY 'f' || n_nationkey) AS files FROM nation WHERE n_nationkey < 15 GROUP BY 1)
+    SELECT 'M' || k AS module, CASE WHEN k % 2 = 0 THEN list_sort(list_distinct(list_concat(files, ['f0', 'x' || k]))) ELSE files END AS files, CASE WHEN k % 2 = 0 THEN least(0.95::DOUBLE, 0.5::DOUBLE + CASE WHEN k = 0 THEN 0.1::DOUBLE ELSE k / 4.0::DOUBLE END) ELSE 0.5::DOUBLE END AS confidence FROM s
+    UNION ALL SELECT 'N' || r_regionkey, ['a', 'b'], 0.2::DOUBLE FROM region""")
 def grp_explorer_state(spark, d):
-    """Confidence of known modules grows by the update's delta, to 0.95 at most."""
-    state = v.table(spark, d, "nation").select(F.col("n_regionkey").alias("module")).distinct().withColumn("c", F.lit(0.2))
-    updates = v.table(spark, d, "region").select(F.col("r_regionkey").alias("module"), (F.lit(0.1) * (F.col("r_regionkey") + 5)).alias("delta"))
-    return state.join(updates, "module").select("module", F.least(F.lit(0.95), F.col("c") + F.col("delta")).alias("confidence"))
-
-
-@query("grp_review_queue", "SELECT CASE turn % 4 WHEN 0 THEN 'queue' WHEN 1 THEN 'log' WHEN 2 THEN 'queue' ELSE 'rejected' END AS route, count(*) AS n FROM conversations GROUP BY 1")
+    """Known modules grow by what an update says, new ones come in with little confidence, unknown ones' updates are dropped."""
+    n, r = v.table(spark, d, "nation"), v.table(spark, d, "region")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    state = n.filter("n_nationkey < 15").groupBy(name("M", "n_regionkey").alias("module")).agg(F.array_sort(F.collect_list(name("f", "n_nationkey"))).alias("files")).withColumn("confidence", F.lit(0.5))
+    new = r.select(name("N", "r_regionkey").alias("module"), F.array(F.lit("b"), F.lit("a")).alias("files")).union(state.select("module", F.array(F.lit("not there")).alias("files")))
+    k = F.col("r_regionkey")
+    known = r.filter(k % 2 == 0).select(name("M", "r_regionkey").alias("module"), F.array(F.lit("f0"), name("x", "r_regionkey")).alias("additional_files"), F.when(k > 0, k / 4.0).alias("confidence_delta"))
+    unknown = r.select(name("U", "r_regionkey").alias("module"), F.array(F.lit("f0")).alias("additional_files"), F.lit(0.1).alias("confidence_delta"))
+    return explore.apply_updates(state, new, known.union(unknown))
+
+
+@query("grp_review_queue", """WITH s AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'indexed' WHEN 2 THEN 'index_error' ELSE 'rejected' END AS status FROM conversations), j AS (SELECT *, CASE WHEN status <> 'pending' THEN NULL WHEN conv_id % 5 = 0 THEN 'reject' WHEN conv_id % 5 = 1 THEN 'approve' WHEN conv_id % 5 = 2 THEN 'edit' ELSE 'reject' END AS decision FROM s),
+    a AS (SELECT *, CASE WHEN decision IS NULL THEN status WHEN decision = 'reject' THEN 'rejected' ELSE decision END AS after FROM j) SELECT CASE WHEN after IN ('pending', 'index_error') THEN 'queue' WHEN after IN ('indexed', 'approve', 'edit') THEN 'log' ELSE 'rejected' END AS route, after AS status, decision, count(*) AS n FROM a GROUP BY 1, 2, 3""")
 def grp_review_queue(spark, d):
+    """Pending rows are judged, the rest go where their status says; a path that leaves the tree is rejected."""
     from lodestone.plans.catalog_store import staged
 
-    return review.route(staged(spark, d)).groupBy("route").agg(F.count("*").alias("n"))
+    k = F.col("conv_id") % 5
+    rows = staged(spark, d).withColumn("summary", F.col("text")).withColumn("source_files", F.array(F.when(k == 0, "../etc/passwd").otherwise("a/b.py")))
+    answer = F.when(k == 1, '{"decision": "approve"}').when(k == 2, '{"decision": "EDIT it", "final_summary": "better"}').when(k == 0, '{"decision": "approve"}').otherwise("no JSON")
+    return review.route(review.decide(rows, answer)).groupBy("route", "status", "decision").agg(F.count("*").alias("n"))
 
 
-@query("grp_audit", f"""WITH {v.KB}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE source_type = 'doc' AND doc_id % 50 = 0), s AS (SELECT query_id, max(floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6) AS best FROM q, kb WHERE source_type = 'code' GROUP BY 1)
-    SELECT query_id, best, query_id % 100 = 0 AS stale, best >= 0.05 AND query_id % 100 = 0 AS suspect FROM s""")
+@query("grp_audit", f"""WITH {v.KB}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE source_type = 'doc' AND doc_id % 50 = 0), s AS (SELECT query_id, doc_id, floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6 AS score FROM q, kb WHERE source_type = 'code'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s), p AS (SELECT *, query_id % 100 = 0 AS stale FROM r WHERE rank <= 3 AND score >= 0.05)
+    SELECT count(DISTINCT query_id) AS docs, count(*) AS pairs, count(*) FILTER (stale) AS suspects, count(*) FILTER (stale AND doc_id % 3 > 0) AS conflicts FROM p""")
 def grp_audit(spark, d):
-    """Documents of the stated set with close code that are old: what a judge would look at."""
+    """Documents of the stated set (ids divisible by 50) with close code: old ones are shown to a judge, who finds conflicts."""
+    from lodestone.functions import answers
     from lodestone.operators import search
 
     k = v.kb(spark, d)
     docs = k.filter("source_type = 'doc' AND doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
-    best = search.top_k(k.filter("source_type = 'code'"), docs, 1).select("query_id", F.col("score").alias("best"))
-    stale = F.col("query_id") % 100 == 0
-    return best.select("query_id", "best", stale.alias("stale"), ((F.col("best") >= 0.05) & stale).alias("suspect"))
+    pairs = search.top_k(k.filter("source_type = 'code'"), docs, 3).filter("score >= 0.05").withColumn("stale", F.col("query_id") % 100 == 0)
+    said = F.when(F.col("doc_id") % 3 == 0, '{"consistent": true}').when(F.col("doc_id") % 3 == 1, '{"consistent": false, "explanation": "x"}').otherwise("no JSON")
+    return review.audit_report(pairs, answers.verdict(said))

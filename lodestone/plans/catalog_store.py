@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import search
+from lodestone.functions import render
+from lodestone.operators import build, search
 from lodestone.operators import store as st
+from lodestone.operators.models import lesson_allowed
 from lodestone.plans import views as v
-from lodestone.plans.registry import query
+from lodestone.plans.registry import folder, query
+from lodestone.streaming import flows
 
 KIND = "CASE WHEN chunk_category = 'contract' THEN 'specification' WHEN chunk_category = 'error_handling' THEN 'operational' WHEN chunk_type = 'function_card' THEN 'specification' WHEN chunk_type IN ('file_overview', 'class_overview') THEN 'overview' ELSE 'reference' END"
 SKIP = "(chunk_category = 'boilerplate' AND search_value = 'low')"
@@ -25,12 +27,16 @@ def snk_code_entry(spark, d):
     return st.entry_rows(v.entries(spark, d)).select("doc_id", "chunk_type", "source_kind", "text")
 
 
-@query("snk_upsert_local", f"""WITH {v.ENTRIES}, k AS (SELECT substr(sha256(summary || '|' || module), 1, 24) AS id, max(doc_id) AS doc_id FROM en WHERE NOT {SKIP} AND trim(summary) <> '' GROUP BY 1) SELECT id, doc_id FROM k""")
+_META = "array_to_string(list_filter(['chunk_type=' || chunk_type, 'module=' || nullif(module, ''), 'search_value=' || nullif(search_value, ''), 'source_file=' || source_file, 'source_kind=' || kind, 'source_type=code'], lambda y: y IS NOT NULL), ',')"
+
+
+@query("snk_upsert_local", f"""WITH {v.ENTRIES}, k AS (SELECT *, {KIND} AS kind FROM en WHERE NOT {SKIP} AND trim(summary) <> ''), r AS (SELECT DISTINCT substr(sha256(trim(summary) || '|' || {_META}), 1, 24) AS id, source_file, doc_id % 3 = 0 AS late FROM k)
+    SELECT id, min(source_file) AS source_file, 3 - CAST(bool_or(late) AS INTEGER) AS version FROM r GROUP BY 1""")
 def snk_upsert_local(spark, d):
-    """Entries by stable id, the last of equal ids wins; upserting a batch onto itself changes nothing."""
-    e = v.entries(spark, d).filter(~st.skip_index(F.col("chunk_category"), F.col("search_value"))).filter("trim(summary) <> ''")
-    rows = e.select(st.stable_id(F.col("summary"), F.col("module")).alias("id"), "doc_id").groupBy("id").agg(F.max("doc_id").alias("doc_id"))
-    return st.upsert(rows, rows, ["id"])
+    """Entries as rows of the store, of which a third comes again: the later version takes the place of the earlier one, and nothing is there twice."""
+    rows = st.knowledge_rows(v.entries(spark, d), "code").select("id", F.col("meta")["source_file"].alias("source_file")).withColumn("version", F.lit(3))
+    late = st.knowledge_rows(v.entries(spark, d).filter("doc_id % 3 = 0"), "code").select("id", F.col("meta")["source_file"].alias("source_file")).withColumn("version", F.lit(2))
+    return st.upsert(st.upsert(rows, late, ["id"]), late, ["id"])
 
 
 @query("snk_doc_chunks", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'summary of ' || doc_id END AS text, 'documentation' AS module, 'doc_summary' AS chunk_type FROM documents")
@@ -60,14 +66,18 @@ def snk_user_entries(spark, d):
     return kept.select("doc_id", F.when(F.col("topic") != "", F.concat(F.lit("["), "topic", F.lit("] "), "s")).otherwise(F.col("s")).alias("text"), F.coalesce(F.get("files", F.lit(0)), F.lit("unknown")).alias("source_file"))
 
 
-@query("snk_create_or_replace", "SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) || '-0000-4000-8000-000000000000' AS existing FROM documents WHERE doc_id % 2 = 0")
+_UID = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) || '-0000-4000-8000-000000000000'"
+
+
+@query("snk_create_or_replace", f"SELECT CASE WHEN doc_id % 3 = 0 THEN 'new' || doc_id ELSE {_UID} END AS id FROM documents")
 def snk_create_or_replace(spark, d):
-    """The id that an "already exists" error names, which the replacement deletes first."""
+    """Creating a third of the documents anew fails, as they exist under another id: that one goes; other failures change nothing."""
     i = F.col("doc_id")
     uid = F.concat(F.substring(F.md5(i.cast("string")), 1, 8), F.lit("-0000-4000-8000-000000000000"))
-    err = F.when(i % 2 == 0, F.concat(F.lit("Document "), uid, F.lit(" already exists"))).otherwise(F.lit("timeout"))
-    r = v.table(spark, d, "documents").select("doc_id", F.regexp_extract(err, "([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}) already exists", 1).alias("existing"))
-    return r.filter("existing <> ''")
+    docs = v.table(spark, d, "documents").select("doc_id", uid.alias("uid"), F.concat(F.lit("new"), i.cast("string")).alias("new"))
+    tried = docs.filter("doc_id % 3 < 2")
+    errors = tried.select(F.col("new").alias("id"), F.when(i % 3 == 0, F.concat(F.lit("Document "), "uid", F.lit(" already exists"))).otherwise("timeout").alias("error"))
+    return st.create_or_replace(docs.select(F.col("uid").alias("id")), tried.select(F.col("new").alias("id")), errors)
 
 
 @query("snk_purge", f"WITH {v.ENTRIES} SELECT doc_id, source_file FROM en WHERE source_file NOT IN (SELECT DISTINCT source_file FROM en WHERE doc_id % 10 = 0)")
@@ -83,42 +93,64 @@ def snk_purge_orphans(spark, d):
     return v.table(spark, d, "customer").select("c_custkey").join(gone, "c_custkey", "left_anti")
 
 
-@query("snk_add_to_kb", """SELECT doc_id, '[' || lang || '] ' || substr(text, 1, 100) AS text, 'function_summary' AS chunk_type FROM documents WHERE doc_id % 5 = 0
-    UNION ALL SELECT doc_id, substr(text, 1, 60), 'raw_code' FROM documents WHERE doc_id % 5 = 0 AND length(trim(substr(text, 1, 60))) > 30""")
+@query("snk_add_to_kb", """SELECT doc_id, source AS source_file, 'indexed' AS status, '[' || lang || '] ' || text AS text, 'function_summary' AS chunk_type FROM documents
+    UNION ALL SELECT doc_id, source, 'indexed', text, 'raw_code' FROM documents WHERE doc_id % 2 = 0 AND length(trim(text)) > 30""")
 def snk_add_to_kb(spark, d):
-    c = v.table(spark, d, "documents").filter("doc_id % 5 = 0")
-    a = c.select("doc_id", F.concat(F.lit("["), "lang", F.lit("] "), F.substring("text", 1, 100)).alias("text"), F.lit("function_summary").alias("chunk_type"))
-    raw = F.substring("text", 1, 60)
-    return a.union(c.filter(F.length(F.trim(raw)) > 30).select("doc_id", raw, F.lit("raw_code")))
+    """Contributions, indexed at once, and a line each in the audit log, which is read back."""
+    i = F.col("doc_id")
+    c = v.table(spark, d, "documents").select("doc_id", F.col("lang").alias("topic"), F.col("text").alias("summary"), F.array("source").alias("source_files"), F.when(i % 2 == 0, F.col("text")).otherwise("").alias("raw_code"))
+    log = folder(spark)
+    st.audit(c.select("doc_id", "topic", "source_files"), log)
+    seen = spark.read.schema("doc_id long, status string").json(log)
+    return st.add_to_kb(c).drop("status").join(seen, "doc_id").select("doc_id", "source_file", "status", "text", "chunk_type")
 
 
-@query("snk_lesson_md", f"""WITH {v.TICKETS} SELECT key, '---' || chr(10) || 'ticket: ' || key || chr(10) || 'status: ' || status || chr(10) || '---' || chr(10) || '# ' || title AS md FROM tk WHERE length(description) >= 30""")
+@query("snk_lesson_md", f"""WITH {v.TICKETS} SELECT key, '---' || chr(10) || 'ticket: ' || key || chr(10) || 'title: "' || title || '"' || chr(10) || 'category: ' || CASE WHEN conv_id % 2 = 0 THEN 'root_cause' ELSE 'general' END || chr(10) || 'date: ' || CASE conv_id % 3 WHEN 0 THEN '2024-05-06' WHEN 1 THEN '2023-01-02' ELSE '' END
+    || chr(10) || '---' || chr(10) || chr(10) || '# Lesson from ' || key || ': ' || title || chr(10) || chr(10) || description || chr(10) AS md FROM tk WHERE title <> '' AND resolution <> '' AND length(description) >= 30""")
 def snk_lesson_md(spark, d):
-    t = v.tickets(spark, d).filter(F.length("description") >= 30)
-    return t.select("key", F.concat_ws("\n", F.lit("---"), F.concat(F.lit("ticket: "), "key"), F.concat(F.lit("status: "), "status"), F.lit("---"), F.concat(F.lit("# "), "title")).alias("md"))
+    """Lessons as Markdown files, one each, written and read back."""
+    i = F.col("conv_id")
+    t = v.tickets(spark, d).filter(lesson_allowed(F.col("title"), F.col("resolution"), F.col("description")))
+    md = render.lesson_md(F.col("key"), F.col("title"), F.when(i % 2 == 0, "root_cause").otherwise(""), F.when(i % 3 == 0, "2024-05-06T07:08:09Z").otherwise(""), F.when(i % 3 == 1, "2023-01-02 10:00").otherwise(""), F.col("description"))
+    at = folder(spark)
+    t.select("key", md.alias("md")).write.parquet(at)
+    return spark.read.schema("key string, md string").parquet(at)
 
 
-@query("snk_manifest_queue", f"WITH {v.MANIFEST} SELECT path, hash FROM cur")
+@query("snk_manifest_queue", f"WITH {v.MANIFEST} SELECT path, hash, CAST(doc_id % 3 AS INTEGER) AS n_ids FROM cur")
 def snk_manifest_queue(spark, d):
-    """The manifest that a run saves is what it has seen: deleted files vanish from it."""
-    return v.current(spark, d).select("path", "hash")
+    """A manifest that is not there is empty; the one that a run saves is what it has seen: deleted files vanish from it."""
+    at = folder(spark)
+    first = st.load_manifest(spark, f"{at}/manifest")
+    now = v.current(spark, d).select("path", "hash", (F.col("doc_id") % 3).cast("int").alias("n_ids"))
+    st.save_manifest(now.unionByName(first), f"{at}/manifest")
+    return st.load_manifest(spark, f"{at}/manifest")
 
 
-@query("snk_bulk_load", f"""WITH {v.ENTRIES}, {v.TICKETS} SELECT 'code' AS source, count(*) AS n FROM en WHERE NOT {SKIP} AND trim(summary) <> '' UNION ALL SELECT 'doc', count(*) FROM documents UNION ALL SELECT 'ticket', count(*) FROM tk UNION ALL SELECT 'user', count(*) FROM documents WHERE doc_id % 3 <> 2""")
+@query("snk_bulk_load", f"""WITH {v.ENTRIES}, {v.TICKETS}, k AS (SELECT *, {KIND} AS kind FROM en WHERE NOT {SKIP} AND trim(summary) <> '') SELECT 'code' AS source_type, count(DISTINCT substr(sha256(trim(summary) || '|' || {_META}), 1, 24)) AS n FROM k
+    UNION ALL SELECT 'doc', count(DISTINCT (text, source)) FROM documents UNION ALL SELECT 'ticket', count(DISTINCT (concat_ws(chr(10), nullif(title, ''), 'Solution: ' || nullif(resolution, '')), key)) FROM tk WHERE title <> '' OR resolution <> ''
+    UNION ALL SELECT 'user', count(DISTINCT (text, source)) FROM documents WHERE doc_id % 3 <> 2""")
 def snk_bulk_load(spark, d):
-    e = v.entries(spark, d).filter(~st.skip_index(F.col("chunk_category"), F.col("search_value"))).filter("trim(summary) <> ''")
+    """Code, documents, tickets and contributions in one store, by content: how many rows each source has there."""
     docs = v.table(spark, d, "documents")
-    parts = [e.select(F.lit("code").alias("source")), docs.select(F.lit("doc").alias("source")), v.tickets(spark, d).select(F.lit("ticket").alias("source")), docs.filter("doc_id % 3 <> 2").select(F.lit("user").alias("source"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.groupBy("source").agg(F.count("*").alias("n"))
-
-
-@query("snk_index_replay", f"WITH {v.ENTRIES} SELECT source_file, count(*) AS entries, min(chunk_index) AS first_chunk FROM en WHERE NOT {SKIP} GROUP BY 1")
+    row = lambda text, place, kind: (st.stable_id(text, place, F.lit(kind)).alias("id"), text.alias("text"), F.lit(kind).alias("source_type"))
+    code = st.knowledge_rows(v.entries(spark, d), "code").select("id", "text", F.lit("code").alias("source_type"))
+    t = v.tickets(spark, d).filter("title <> '' OR resolution <> ''")
+    solved = F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Solution: "), F.nullif(F.col("resolution"), F.lit(""))))
+    parts = [code, docs.select(*row(F.col("text"), F.col("source"), "doc")), t.select(*row(solved, F.col("key"), "ticket")), docs.filter("doc_id % 3 <> 2").select(*row(F.col("text"), F.col("source"), "user"))]
+    store = parts[0]
+    for part in parts[1:]:
+        store = st.upsert(store, part, ["id"])
+    return store.groupBy("source_type").agg(F.count("*").alias("n"))
+
+
+@query("snk_index_replay", f"WITH {v.ENTRIES}, k AS (SELECT *, {KIND} AS kind FROM en WHERE NOT {SKIP} AND trim(summary) <> '') SELECT source_file, count(DISTINCT substr(sha256(trim(summary) || '|' || {_META}), 1, 24)) AS entries FROM k GROUP BY 1")
 def snk_index_replay(spark, d):
-    e = v.entries(spark, d).filter(~st.skip_index(F.col("chunk_category"), F.col("search_value")))
-    return e.groupBy("source_file").agg(F.count("*").alias("entries"), F.min("chunk_index").alias("first_chunk"))
+    """Saved summaries indexed again without a model: what a file had before goes, what it has now comes."""
+    e = v.entries(spark, d)
+    old = e.filter("doc_id % 2 = 0").select(F.concat(F.lit("old"), F.col("doc_id").cast("string")).alias("id"), "source_file")
+    new = st.knowledge_rows(e, "code").select("id", F.col("meta")["source_file"].alias("source_file"))
+    return st.upsert(st.purge(old, e.select("source_file").distinct(), ["source_file"]), new, ["id"]).groupBy("source_file").agg(F.count("*").alias("entries"))
 
 
 @query("set_union_sources", """SELECT 'doc' AS kind, CAST(doc_id AS VARCHAR) AS id FROM documents UNION ALL SELECT 'page', CAST(page_id AS VARCHAR) FROM pages UNION ALL SELECT 'item', CAST(item_id AS VARCHAR) FROM benchmark""")
@@ -163,9 +195,12 @@ def flt_metadata(spark, d):
     return v.kb(spark, d).filter(F.col("source_type").isin("code", "doc") & (F.col("module") == "m3")).select("doc_id")
 
 
-@query("flt_orphan_audit_doc", f"WITH {v.ENTRIES} SELECT doc_id, source_file FROM en WHERE chunk_type = 'raw'")
+@query("flt_orphan_audit_doc", "SELECT doc_id FROM documents WHERE doc_id % 3 = 1 AND doc_id % 2 = 0")
 def flt_orphan_audit_doc(spark, d):
-    return v.entries(spark, d).filter("chunk_type = 'raw'").select("doc_id", "source_file")
+    """Documents that an audit looks at: summaries of documents."""
+    i = F.col("doc_id")
+    kinds = v.table(spark, d, "documents").select("doc_id", F.when(i % 3 == 0, "code").when(i % 3 == 1, "doc").otherwise("ticket").alias("source_type"), F.when(i % 2 == 0, "doc_summary").otherwise("raw_code").alias("chunk_type"))
+    return kinds.filter("source_type = 'doc' AND chunk_type = 'doc_summary'").select("doc_id")
 
 
 _STAGED = "sg AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'indexed' WHEN 2 THEN 'index_error' ELSE 'rejected' END AS status FROM conversations)"
@@ -181,13 +216,13 @@ def flt_pending(spark, d):
     return staged(spark, d).filter(F.col("status").isin("pending", "index_error")).select("conv_id", "turn", "status")
 
 
-_KNN = """q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE doc_id < 20), s AS (SELECT query_id, doc_id, source_type, module, source_file, floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6 AS score FROM q, kb {where}),
+_KNN = """q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE doc_id % 50 = 0), s AS (SELECT query_id, doc_id, source_type, module, source_file, floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6 AS score FROM q, kb {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
 def _queries(spark, d):
-    """A stated query set: the store's first 20 rows."""
-    return v.kb(spark, d).filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), "embedding")
+    """The stated query set: every row whose id is divisible by 50."""
+    return v.kb(spark, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
 
 
 def hits(spark, d, k, store=None):
@@ -196,10 +231,9 @@ def hits(spark, d, k, store=None):
     return search.top_k(store, _queries(spark, d), k).join(meta, "doc_id")
 
 
-@query("top_vector_search", f"WITH {v.KB}, {_KNN.format(where='')} SELECT doc_id, score, rank FROM r WHERE query_id = 0 AND rank <= 10")
+@query("top_vector_search", f"WITH {v.KB}, {_KNN.format(where='')} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
 def top_vector_search(spark, d):
-    one = v.kb(spark, d).filter("doc_id = 0").select(F.col("doc_id").alias("query_id"), "embedding")
-    return search.top_k(v.kb(spark, d), one, 10).select("doc_id", "score", "rank")
+    return search.top_k(v.kb(spark, d), _queries(spark, d), 10).select("query_id", "doc_id", "score", "rank")
 
 
 @query("top_batch_search", f"WITH {v.KB}, {_KNN.format(where='')} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5")
@@ -207,25 +241,50 @@ def top_batch_search(spark, d):
     return search.top_k(v.kb(spark, d), _queries(spark, d), 5).select("query_id", "doc_id", "score", "rank")
 
 
-@query("win_rank_hits", f"""WITH {v.KB}, {_KNN.format(where="WHERE source_type = 'code'")} SELECT query_id, doc_id, rank, 'Result ' || rank AS header FROM r WHERE rank <= 3""")
+@query("win_rank_hits", f"""WITH {v.KB}, {_KNN.format(where="WHERE source_type = 'code'")} SELECT query_id, doc_id, rank, '## Result ' || rank || '  [code/function_summary]' AS header FROM r WHERE rank <= 3""")
 def win_rank_hits(spark, d):
     code = v.kb(spark, d).filter("source_type = 'code'")
-    return search.top_k(code, _queries(spark, d), 3).select("query_id", "doc_id", "rank", F.concat(F.lit("Result "), F.col("rank").cast("string")).alias("header"))
+    block = render.result_block(F.col("rank"), F.lit(""), F.col("score"), F.lit("code"), F.lit(""), F.lit("function_summary"), F.lit("f"), F.lit("m"))
+    return search.top_k(code, _queries(spark, d), 3).select("query_id", "doc_id", "rank", F.split(block, "  \\(score")[0].alias("header"))
+
 
+#: The store with its texts, and queries: the texts' first sentences.
+_TEXTS = "ts AS (SELECT kb.doc_id, text FROM kb JOIN documents USING (doc_id)), qt AS (SELECT doc_id AS query_id, string_split(text, '.')[1] AS text FROM ts WHERE doc_id % 50 = 0)"
+#: BM25 over ASCII words, said in SQL.
+_BM25 = """dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS terms FROM ts), sz AS (SELECT count(*) AS docs, avg(len(terms)) AS mean FROM dw), tf AS (SELECT doc_id, len(terms) AS n, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM dw) GROUP BY 1, 2, 3),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), asked AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM qt)),
+    b AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 6) AS score FROM asked JOIN tf USING (term) JOIN df USING (term), sz GROUP BY 1, 2),
+    br AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b)"""
 
-@query("top_hybrid_search", f"""WITH {v.KB}, {_KNN.format(where='')}, t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(doc_id - query_id * 7), doc_id) AS rank FROM q, kb), u AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 20 UNION ALL SELECT * FROM t WHERE rank <= 20),
+
+def texts(spark, d):
+    """(doc_id, text, embedding, ...): the store's rows with the texts of the documents of their ids."""
+    return v.kb(spark, d).join(v.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def text_queries(spark, d):
+    return texts(spark, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.split("text", r"\.")[0].alias("text"), "embedding")
+
+
+@query("top_text_search", f"WITH {v.KB}, {_TEXTS}, {_BM25} SELECT query_id, doc_id, rank FROM br WHERE rank <= 5")
+def top_text_search(spark, d):
+    """The full-text half of the hybrid search."""
+    return search.text_rank(texts(spark, d), text_queries(spark, d), 5).select("query_id", "doc_id", "rank")
+
+
+@query("top_hybrid_search", f"""WITH {v.KB}, {_TEXTS}, {_BM25}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb JOIN ts USING (doc_id) WHERE doc_id % 50 = 0), s AS (SELECT query_id, doc_id, floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6 AS score FROM q, (SELECT kb.* FROM kb JOIN ts USING (doc_id))),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s), u AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM br WHERE rank <= 20),
     f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY 1, 2) SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 5""")
 def top_hybrid_search(spark, d):
-    """Reciprocal-rank fusion of the vector ranking with another one (here: by distance of ids)."""
-    qs = F.broadcast(_queries(spark, d).select("query_id"))  # 20 rows
-    far = v.kb(spark, d).select("doc_id").crossJoin(qs).withColumn("far", F.abs(F.col("doc_id") - F.col("query_id") * 7))
-    other = far.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "doc_id")).cast("long")).filter("rank <= 20")
-    return search.fuse(search.top_k(v.kb(spark, d), _queries(spark, d), 20), other, 5).select("query_id", "doc_id", "rank")
+    """Reciprocal-rank fusion of the rankings by vector and by text (BM25)."""
+    return search.hybrid(texts(spark, d), text_queries(spark, d), 5).select("query_id", "doc_id", "rank")
 
 
-@query("jn_cross_source", f"WITH {v.KB}, {_KNN.format(where='')} SELECT query_id, min(source_type) AS only_type FROM r WHERE rank <= 2 GROUP BY 1 HAVING count(DISTINCT source_type) = 1")
+@query("jn_cross_source", f"""WITH {v.KB}, {_KNN.format(where='')}, h AS (SELECT query_id, min(source_type) AS only_type FROM r WHERE rank <= 2 GROUP BY 1 HAVING count(DISTINCT source_type) = 1),
+    o AS (SELECT query_id, s.source_type, arg_max(doc_id, (score, -doc_id)) AS doc_id, max(score) AS score FROM s JOIN h USING (query_id) WHERE s.source_type <> only_type GROUP BY 1, 2) SELECT query_id, source_type, doc_id, score FROM o WHERE score > 0.3""")
 def jn_cross_source(spark, d):
-    return search.cross_source(hits(spark, d, 2)).select("query_id", "only_type")
+    """Where all hits have one source type, the best row of each other type, if it is close."""
+    return search.cross_source_probe(hits(spark, d, 2), v.kb(spark, d), _queries(spark, d))
 
 
 @query("jn_doc_code", f"""WITH {v.KB}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE source_type = 'doc' AND doc_id % 50 = 0), s AS (SELECT query_id, doc_id, floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6 AS score FROM q, kb WHERE source_type = 'code'),
@@ -257,13 +316,12 @@ def set_result_files(spark, d):
     return g.select("query_id", F.array_join(F.array_distinct(F.transform("h", lambda h: h["source_file"])), ",").alias("files"))
 
 
-@query("set_file_overlap", "SELECT doc_id, 2 - CAST(doc_id % 3 = 0 AS INTEGER) AS overlap, 1 + CAST(doc_id % 3 = 0 AS INTEGER) AS new, 1 + CAST(doc_id % 3 = 0 AS INTEGER) AS lost FROM documents")
+@query("set_file_overlap", f"""WITH {v.KB}, {_KNN.format(where='')}, a AS (SELECT query_id, list(DISTINCT source_file) AS a FROM r WHERE rank <= 8 GROUP BY 1), b AS (SELECT query_id, list(DISTINCT source_file) AS b FROM r WHERE rank BETWEEN 4 AND 12 GROUP BY 1)
+    SELECT query_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS overlap, CAST(len(list_filter(b, lambda y: NOT list_contains(a, y))) AS INTEGER) AS new, CAST(len(list_filter(a, lambda y: NOT list_contains(b, y))) AS INTEGER) AS lost FROM a JOIN b USING (query_id)""")
 def set_file_overlap(spark, d):
-    i = F.col("doc_id")
-    a = F.array(F.lit("f1"), F.lit("f2"), F.lit("lost"))
-    b = F.array(F.lit("f1"), F.when(i % 3 == 0, F.lit("x")).otherwise(F.lit("f2")), F.lit("new"))
-    r = v.table(spark, d, "documents").select("doc_id", a.alias("a"), b.alias("b"))
-    return r.select("doc_id", F.size(F.array_intersect("a", "b")).alias("overlap"), F.size(F.array_except("b", "a")).alias("new"), F.size(F.array_except("a", "b")).alias("lost"))
+    """The files that two sets of hits of one query share, and that only one has."""
+    h = hits(spark, d, 12).groupBy("query_id").agg(F.collect_set(F.when(F.col("rank") <= 8, F.col("source_file"))).alias("a"), F.collect_set(F.when(F.col("rank") >= 4, F.col("source_file"))).alias("b"))
+    return h.filter("size(b) > 0").select("query_id", F.size(F.array_intersect("a", "b")).alias("overlap"), F.size(F.array_except("b", "a")).alias("new"), F.size(F.array_except("a", "b")).alias("lost"))
 
 
 @query("set_dedup_queries", f"WITH {v.QUERY_LOG} SELECT query, min(event_id) AS first_seen FROM qlog WHERE query <> '' GROUP BY 1")
@@ -271,9 +329,14 @@ def set_dedup_queries(spark, d):
     return v.query_log(spark, d).filter("query <> ''").groupBy("query").agg(F.min("event_id").alias("first_seen"))
 
 
-@query("stm_dedup", "SELECT text, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+@query("stm_dedup", "SELECT substr(sha256(coalesce(text, '') || '|' || coalesce(source, '')), 1, 24) AS id FROM documents GROUP BY 1")
 def stm_dedup(spark, d):
-    return v.table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    """Entries that come as a stream, in two runs of one checkpoint: of equal ids the first stays, for good."""
+    at = folder(spark)
+    for _ in range(2):
+        stream = spark.readStream.schema(v.table(spark, d, "documents").schema).parquet(f"{d}/documents.parque[t]")
+        flows.run_available(flows.deduplicate(stream.select(st.stable_id(F.coalesce("text", F.lit("")), F.col("source")).alias("id")), ["id"]), f"{at}/out", f"{at}/check")
+    return spark.read.schema("id string").parquet(f"{at}/out")
 
 
 @query("jn_existing_summaries", f"WITH {v.ENTRIES}, new AS (SELECT source_file, chunk_index, max(doc_id) AS doc_id FROM en WHERE doc_id % 3 = 0 GROUP BY 1, 2), old AS (SELECT source_file, chunk_index, max(doc_id) AS doc_id FROM en WHERE doc_id % 2 = 0 GROUP BY 1, 2) SELECT * FROM new UNION ALL SELECT * FROM old WHERE (source_file, chunk_index) NOT IN (SELECT (source_file, chunk_index) FROM new)")
@@ -296,8 +359,10 @@ def jn_stale_chunks(spark, d):
     return v.current(spark, d).join(old, "path", "left").select("path", F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("hash"), "reuse").otherwise("redo").alias("action"))
 
 
-@query("jn_chunk_summary", f"WITH {v.ENTRIES}, g AS (SELECT source_file, chunk_index, doc_id FROM en) SELECT a.doc_id, b.summary FROM g a JOIN en b ON a.source_file = b.source_file AND a.chunk_index = b.chunk_index AND a.doc_id = b.doc_id")
+@query("jn_chunk_summary", f"WITH {v.ENTRIES}, c AS (SELECT doc_id % 40 AS island, 'f' || (doc_id % 8) AS path, doc_id AS chunk_index, summary FROM en) SELECT path, island, list('Chunk ' || chunk_index || ': ' || summary ORDER BY chunk_index) AS summaries FROM c WHERE chunk_index % 3 > 0 GROUP BY 1, 2")
 def jn_chunk_summary(spark, d):
-    e = v.entries(spark, d)
-    keys = ["source_file", "chunk_index", "doc_id"]
-    return e.select(*keys).join(e.select(*keys, "summary"), keys).select("doc_id", "summary")
+    """The summaries of each function's chunks, looked up by file and chunk, in order."""
+    i = F.col("doc_id")
+    e = v.entries(spark, d).select(F.concat(F.lit("f"), (i % 8).cast("string")).alias("path"), i.alias("chunk_index"), (i % 40).alias("island"), F.col("raw_code").alias("chunk"), "summary")
+    said = e.filter("chunk_index % 3 > 0").select("path", "chunk_index", "summary")
+    return build.function_cards(e.drop("summary"), said, least=1).select("path", "island", "summaries")

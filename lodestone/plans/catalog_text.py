@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import answers
+from lodestone.functions import render as r
 from lodestone.functions import text as x
+from lodestone.operators import graph as g
 from lodestone.operators import sequences as seq
 from lodestone.plans import views as v
 from lodestone.plans.registry import query
@@ -14,14 +16,14 @@ _Q = lambda s: s.replace("'", "''")
 _contained = lambda low, parts: " + ".join(f"CAST(contains({low}, '{_Q(p)}') AS INTEGER)" for p in parts)
 _IN = lambda xs: ", ".join(f"'{k}'" for k in xs)
 
-#: Summaries of documents, some with vague and generic phrases put before them.
-SUMMARY = "sm AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'It presumably delegates to another component. ' WHEN 1 THEN 'This function handles errors, likely. ' WHEN 2 THEN 'Unclear. ' ELSE '' END || substr(text, 1, 60 + CAST(doc_id % 5 AS INTEGER) * 50) AS summary FROM documents)"
+#: Documents as summaries, some with vague and generic phrases put before them.
+SUMMARY = "sm AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'It presumably delegates to another component. ' WHEN 1 THEN 'This function handles errors, likely. ' WHEN 2 THEN 'Unclear. ' ELSE '' END || text AS summary FROM documents)"
 
 
 def summaries(spark, d):
     i = F.col("doc_id")
     lead = F.when(i % 9 == 0, "It presumably delegates to another component. ").when(i % 9 == 1, "This function handles errors, likely. ").when(i % 9 == 2, "Unclear. ").otherwise("")
-    return v.table(spark, d, "documents").select("doc_id", F.concat(lead, F.substring("text", F.lit(1), 60 + (i % 5).cast("int") * 50)).alias("summary"))
+    return v.table(spark, d, "documents").select("doc_id", F.concat(lead, "text").alias("summary"))
 
 
 @query("flt_vague", f"WITH {SUMMARY} SELECT doc_id, CASE {' '.join(f'WHEN contains(lower(summary), {chr(39)}{m}{chr(39)}) THEN {chr(39)}{m}{chr(39)}' for m in x.VAGUE)} END AS marker FROM sm")
@@ -77,64 +79,66 @@ def str_prefix_summary(spark, d):
     return y.select("doc_id", x.prefix_summary(F.col("summary"), F.col("symbol")).alias("summary"))
 
 
-#: Code chunks of several languages around words of the documents.
-_WORD = "regexp_extract(text, '[a-z]{3,8}', 0)"
-CHUNKS = f"""ck AS (SELECT doc_id, w, CASE doc_id % 7 WHEN 0 THEN 'class ' || w || '(Base):' || chr(10) || '    pass' WHEN 1 THEN 'def ' || w || '(a, b):' || chr(10) || '    return a' WHEN 2 THEN 'int Foo::' || w || '(int a) {{' || chr(10) || '  return Bar::run(a);'
-    WHEN 3 THEN 'struct ' || w || ' {{' WHEN 4 THEN '#include <' || w || '.h>' || chr(10) || 'x = Foo::' || w || '(helper(1))' WHEN 5 THEN 'import a.' || w || chr(10) || 'if (x) run_' || w || '(1)' ELSE w || ' = 1' END AS chunk
+#: Code chunks of several languages around a word of the document.
+_WORD = "coalesce(nullif(regexp_extract(text, '[a-z]{3,8}', 0), ''), 'none')"
+CHUNKS = f"""ck AS (SELECT doc_id, w, CASE doc_id % 9 WHEN 0 THEN 'class ' || w || '(Base):' || chr(10) || '    pass' WHEN 1 THEN 'def ' || w || '(a, b):' || chr(10) || '    return a' WHEN 2 THEN 'int Foo::' || w || '(int a) {{' || chr(10) || '  return Bar::run(a);'
+    WHEN 3 THEN 'struct ' || w || ' {{' WHEN 4 THEN '#include <' || w || '.h>' || chr(10) || 'x = Foo::' || w || '(helper(1))' WHEN 5 THEN 'import a.' || w || chr(10) || 'if (x) run_' || w || '(1)' WHEN 6 THEN w || ' = 1' WHEN 7 THEN 'enum class ' || w || ' {{' ELSE 'A::x(1); B::y(1); B::' || w || '(2)' END AS chunk
     FROM (SELECT doc_id, {_WORD} AS w FROM documents))"""
 
 
 def chunks(spark, d):
     i, w, nl = F.col("doc_id"), F.col("w"), F.lit("\n")
     c = lambda *p: F.concat(*[q if not isinstance(q, str) else F.lit(q) for q in p])
-    chunk = (
-        F.when(i % 7 == 0, c("class ", w, "(Base):", nl, "    pass")).when(i % 7 == 1, c("def ", w, "(a, b):", nl, "    return a")).when(i % 7 == 2, c("int Foo::", w, "(int a) {", nl, "  return Bar::run(a);"))
-        .when(i % 7 == 3, c("struct ", w, " {")).when(i % 7 == 4, c("#include <", w, ".h>", nl, "x = Foo::", w, "(helper(1))")).when(i % 7 == 5, c("import a.", w, nl, "if (x) run_", w, "(1)")).otherwise(c(w, " = 1"))
+    kinds = (
+        c("class ", w, "(Base):", nl, "    pass"), c("def ", w, "(a, b):", nl, "    return a"), c("int Foo::", w, "(int a) {", nl, "  return Bar::run(a);"), c("struct ", w, " {"), c("#include <", w, ".h>", nl, "x = Foo::", w, "(helper(1))"),
+        c("import a.", w, nl, "if (x) run_", w, "(1)"), c(w, " = 1"), c("enum class ", w, " {"), c("A::x(1); B::y(1); B::", w, "(2)"),
     )
-    return v.table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "[a-z]{3,8}", 0).alias("w")).select("doc_id", "w", chunk.alias("chunk"))
+    chunk = F.coalesce(*[F.when(i % 9 == k, x) for k, x in enumerate(kinds)])
+    return v.table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.regexp_extract("text", "[a-z]{3,8}", 0), F.lit("")), F.lit("none")).alias("w")).select("doc_id", "w", chunk.alias("chunk"))
 
 
 # what the patterns find in these chunks, said independently: the classes' and functions' names are the chunk's word
-_FN = f"CASE WHEN doc_id % 7 = 1 AND w <> '' AND w NOT IN ({_IN(x.KEYWORDS)}) THEN w WHEN doc_id % 7 = 2 AND w NOT IN ({_IN(x.KEYWORDS)}) THEN 'Foo::' || w END"
+_KEY = f"w IN ({_IN(x.KEYWORDS)})"
+_CLASS = f"CASE WHEN doc_id % 9 IN (0, 3) AND NOT {_KEY} THEN w END"
+_FN = f"CASE WHEN {_KEY} THEN NULL WHEN doc_id % 9 = 1 THEN w WHEN doc_id % 9 = 2 THEN 'Foo::' || w END"
+_OWNER = "CASE doc_id % 9 WHEN 2 THEN 'Foo' WHEN 4 THEN 'Foo' WHEN 8 THEN 'B' END"
 
 
-@query("str_class_name", f"WITH {CHUNKS} SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 3) AND w <> '' THEN w END AS name FROM ck WHERE w <> ''")
+@query("str_class_name", f"WITH {CHUNKS} SELECT doc_id, {_CLASS} AS name FROM ck")
 def str_class_name(spark, d):
-    return chunks(spark, d).filter("w <> ''").select("doc_id", x.class_name(F.col("chunk")).alias("name"))
+    return chunks(spark, d).select("doc_id", x.class_name(F.col("chunk")).alias("name"))
 
 
-@query("str_function_name", f"WITH {CHUNKS} SELECT doc_id, {_FN} AS name FROM ck WHERE w <> '' AND doc_id % 7 IN (0, 1, 2, 6)")
+@query("str_function_name", f"WITH {CHUNKS} SELECT doc_id, {_FN} AS name FROM ck")
 def str_function_name(spark, d):
-    return chunks(spark, d).filter("w <> '' AND doc_id % 7 IN (0, 1, 2, 6)").select("doc_id", x.function_name(F.col("chunk")).alias("name"))
+    return chunks(spark, d).select("doc_id", x.function_name(F.col("chunk")).alias("name"))
 
 
-@query("str_classify_chunk", f"""WITH {CHUNKS} SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 3) THEN 'class_definition' WHEN doc_id % 7 = 2 THEN 'method_implementation' WHEN doc_id % 7 = 1 AND {_FN} IS NOT NULL THEN 'function_implementation' ELSE 'file_level_code' END AS kind
-    FROM ck WHERE w <> '' AND doc_id % 7 IN (0, 1, 2, 3, 6) AND w NOT IN ({_IN(x.KEYWORDS)})""")
+@query("str_classify_chunk", f"""WITH {CHUNKS}, n AS (SELECT doc_id, {_CLASS} AS c, {_FN} AS f, {_OWNER} AS o FROM ck)
+    SELECT doc_id, CASE WHEN c IS NOT NULL THEN 'class_definition' WHEN f LIKE '%::%' THEN 'method_implementation' WHEN f IS NOT NULL THEN 'function_implementation' WHEN o IS NOT NULL THEN 'method_implementation' ELSE 'file_level_code' END AS kind, coalesce(c, f, o) AS symbol FROM n""")
 def str_classify_chunk(spark, d):
-    c = chunks(spark, d).filter("w <> '' AND doc_id % 7 IN (0, 1, 2, 3, 6)").filter(~F.col("w").isin(*x.KEYWORDS))
-    return c.select("doc_id", x.classify_chunk(F.col("chunk"))["kind"].alias("kind"))
+    return chunks(spark, d).select("doc_id", x.classify_chunk(F.col("chunk")).alias("c")).select("doc_id", "c.kind", "c.symbol")
 
 
-@query("str_chunk_functions", f"""WITH {CHUNKS} SELECT doc_id, w AS name FROM ck WHERE doc_id % 7 = 1 AND w <> ''""")
+@query("str_chunk_functions", f"""WITH {CHUNKS} SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN CASE WHEN length(w) >= 4 THEN [w] ELSE [] END WHEN 2 THEN ['Foo::' || w, 'Bar::run'] WHEN 8 THEN ['A::x'] ELSE [] END AS names FROM ck""")
 def str_chunk_functions(spark, d):
-    """Names of functions defined on any line."""
-    lines = chunks(spark, d).filter("w <> ''").select("doc_id", F.explode(F.split("chunk", "\n")).alias("line"))
-    return lines.select("doc_id", F.regexp_extract("line", r"^\s*(?:async\s+)?def\s+(\w+)\s*\(", 1).alias("name")).filter("name <> ''")
+    return chunks(spark, d).select("doc_id", x.chunk_functions(F.col("chunk")).alias("names"))
 
 
-_SAYS = f"sy AS (SELECT doc_id, w, 'It calls `Foo::' || w || '()` and invokes run_' || w || ', via Gate::in_' || w || '; uses open_' || w || '() and uses the cache.' AS summary FROM ck WHERE w <> '')"
+_SAYS = f"sy AS (SELECT doc_id, w, 'It calls `Foo::' || w || '()` and invokes run_' || w || ', via Gate::in_' || w || '; uses open_' || w || '() and uses the cache.' AS summary FROM ck)"
 
 
 @query("str_calls_from_summary", f"WITH {CHUNKS}, {_SAYS} SELECT doc_id, CASE WHEN w IN ({_IN(x.KEYWORDS)}) THEN ['run_' || w, 'Gate::in_' || w, 'open_' || w] ELSE ['Foo::' || w, 'run_' || w, 'Gate::in_' || w, 'open_' || w] END AS calls FROM sy")
 def str_calls_from_summary(spark, d):
     w = F.col("w")
     says = F.concat(F.lit("It calls `Foo::"), w, F.lit("()` and invokes run_"), w, F.lit(", via Gate::in_"), w, F.lit("; uses open_"), w, F.lit("() and uses the cache."))
-    return chunks(spark, d).filter("w <> ''").select("doc_id", x.calls_from_summary(says).alias("calls"))
+    return chunks(spark, d).select("doc_id", x.calls_from_summary(says).alias("calls"))
 
 
-@query("str_calls_from_code", f"""WITH {CHUNKS} SELECT doc_id, CASE doc_id % 7 WHEN 4 THEN CASE WHEN w IN ({_IN(x.KEYWORDS)}) THEN ['helper'] ELSE ['Foo::' || w, 'helper'] END WHEN 5 THEN ['run_' || w] WHEN 2 THEN CASE WHEN w IN ({_IN(x.KEYWORDS)}) THEN ['Bar::run'] ELSE ['Foo::' || w, 'Bar::run'] END ELSE [] END AS calls FROM ck WHERE w <> '' AND doc_id % 7 IN (2, 3, 4, 5, 6)""")
+@query("str_calls_from_code", f"""WITH {CHUNKS} SELECT doc_id, list_concat(CASE WHEN {_KEY} THEN [] WHEN doc_id % 9 IN (0, 1) THEN [w] WHEN doc_id % 9 IN (2, 4) THEN ['Foo::' || w] WHEN doc_id % 9 = 8 THEN ['B::' || w] ELSE [] END,
+    CASE doc_id % 9 WHEN 2 THEN ['Bar::run'] WHEN 4 THEN ['helper'] WHEN 5 THEN ['run_' || w] ELSE [] END) AS calls FROM ck""")
 def str_calls_from_code(spark, d):
-    return chunks(spark, d).filter("w <> '' AND doc_id % 7 IN (2, 3, 4, 5, 6)").select("doc_id", x.calls_from_code(F.col("chunk")).alias("calls"))
+    return chunks(spark, d).select("doc_id", x.calls_from_code(F.col("chunk")).alias("calls"))
 
 
 @query("str_cross_refs", f"""WITH {CHUNKS} SELECT doc_id, list_concat(list_concat(regexp_extract_all(chunk, '#include\\s*[<"]([^>"]+)[>"]', 1), list_transform(regexp_extract_all(chunk, '(?:from|import)\\s+([\\w.]+)', 1), lambda r: replace(r, '.', '/'))), regexp_extract_all(chunk, '(\\w+)::\\w+', 1)) AS refs FROM ck""")
@@ -149,10 +153,10 @@ def str_struct_features(spark, d):
     return chunks(spark, d).select("doc_id", x.struct_features(F.col("chunk")).alias("f")).select("doc_id", "f.*")
 
 
-@query("str_mention_sentence", r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{5,9}', 0) AS name FROM documents), s AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: contains(y, name))[1] AS hit FROM m WHERE name <> '')
-    SELECT doc_id, CASE WHEN hit IS NULL THEN substr(text, 1, 150) WHEN length(hit) > 200 THEN substr(hit, 1, 200) || '...' ELSE hit END AS sentence FROM s""")
+@query("str_mention_sentence", r"""WITH m AS (SELECT doc_id, text, upper(regexp_extract(text, '[a-z]{5,9}', 0)) AS name FROM documents), s AS (SELECT doc_id, text, trim(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: contains(lower(y), lower(name)))[1]) AS hit FROM m WHERE name <> '')
+    SELECT doc_id, CASE WHEN hit IS NULL THEN substr(text, 1, 150) || CASE WHEN length(text) > 150 THEN '...' ELSE '' END WHEN length(hit) > 200 THEN substr(hit, 1, 200) || '...' ELSE hit END AS sentence FROM s""")
 def str_mention_sentence(spark, d):
-    m = v.table(spark, d, "documents").select("doc_id", "text", F.regexp_extract("text", "[a-z]{5,9}", 0).alias("name")).filter("name <> ''")
+    m = v.table(spark, d, "documents").select("doc_id", "text", F.upper(F.regexp_extract("text", "[a-z]{5,9}", 0)).alias("name")).filter("name <> ''")
     return m.select("doc_id", x.mention_sentence(F.col("text"), F.col("name")).alias("sentence"))
 
 
@@ -179,15 +183,21 @@ def str_parse_html(spark, d):
     return s.filter("level = 1").select("page_id", "heading")
 
 
-@query("str_parse_plain", "SELECT doc_id, source || '-' || doc_id AS title, 1 AS n_sections, length(text) AS n_chars FROM documents")
+@query("str_parse_plain", r"""WITH f AS (SELECT doc_id, string_split(replace(replace(source || '-' || doc_id, '_', ' '), '-', ' '), ' ') AS words, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content FROM documents)
+    SELECT doc_id, array_to_string(list_transform(words, lambda y: upper(substr(y, 1, 1)) || lower(substr(y, 2))), ' ') AS title, content FROM f""")
 def str_parse_plain(spark, d):
-    return v.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("title"), F.lit(1).alias("n_sections"), F.length("text").cast("long").alias("n_chars"))
+    """Plain texts: one section, a title from the file's name."""
+    stem = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"))
+    return v.table(spark, d, "documents").select("doc_id", F.initcap(F.translate(stem, "_-", "  ")).alias("title"), seq.stripped(F.col("text")).alias("content"))
 
 
-@query("str_safe_trim_prompt", "SELECT doc_id, CASE WHEN length(text) > 1000 THEN substr(text, 1, CAST(floor(length(text) * 0.85::DOUBLE) AS INTEGER)) || ' [trimmed]' ELSE text END AS prompt FROM documents")
+@query("str_safe_trim_prompt", "SELECT doc_id, 'be short' AS system, CASE WHEN length(text) >= 5 THEN substr(text, 1, CAST(floor(length(text) * 0.85::DOUBLE) AS INTEGER)) || chr(10) || '[...truncated to fit context window...]' ELSE text END AS question, CASE WHEN length(text) >= 5 THEN 'hint' ELSE 'hin' || chr(10) || '[...truncated to fit context window...]' END AS hint FROM documents")
 def str_safe_trim_prompt(spark, d):
-    n = F.length("text")
-    return v.table(spark, d, "documents").select("doc_id", F.when(n > 1000, F.concat(F.substring("text", F.lit(1), F.floor(n * 0.85).cast("int")), F.lit(" [trimmed]"))).otherwise(F.col("text")).alias("prompt"))
+    """Of a conversation only the longest user message is cut."""
+    say = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    talk = F.array(say("system", F.lit("be short")), say("user", F.lit("hint")), say("user", F.col("text")))
+    m = v.table(spark, d, "documents").select("doc_id", r.trim_messages(talk).alias("m"))
+    return m.select("doc_id", *[F.col("m")[k]["content"].alias(n) for k, n in ((0, "system"), (2, "question"), (1, "hint"))])
 
 
 @query("flt_error_class", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'quota' WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'overflow' ELSE 'other' END AS kind FROM documents")
@@ -206,12 +216,14 @@ def js_json_strip_fence(spark, d):
     return v.table(spark, d, "documents").select("doc_id", F.coalesce(F.from_json(x.strip_fence(raw), "summary string")["summary"], F.lit("n/a")).alias("summary"))
 
 
-@query("js_llm_defaults", "SELECT doc_id, doc_id % 2 = 0 AS useful, CASE WHEN doc_id % 2 = 0 THEN 'c' || doc_id ELSE 'general' END AS category FROM documents")
+@query("js_llm_defaults", """SELECT doc_id, doc_id % 4 = 0 AS useful, CASE WHEN doc_id % 4 = 0 THEN 'S' || doc_id ELSE '' END AS summary, '' AS solution, CASE doc_id % 4 WHEN 0 THEN 'c' || doc_id WHEN 3 THEN '' ELSE 'general' END AS category,
+    CASE doc_id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'edit' ELSE 'reject' END AS decision FROM documents""")
 def js_llm_defaults(spark, d):
-    i = F.col("doc_id")
-    raw = F.when(i % 2 == 0, F.concat(F.lit('{"useful": true, "category": "c'), i.cast("string"), F.lit('"}'))).otherwise("{}")
-    j = F.from_json(raw, "useful boolean, category string")
-    return v.table(spark, d, "documents").select("doc_id", F.coalesce(j["useful"], F.lit(False)).alias("useful"), F.coalesce(j["category"], F.lit("general")).alias("category"))
+    """Answers of several kinds as typed rows."""
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    raw = F.when(i % 4 == 0, F.concat(F.lit('```json\n{"useful": true, "summary": "S'), s, F.lit('", "category": "c'), s, F.lit('"}\n```'))).when(i % 4 == 1, "{}").when(i % 4 == 2, '{"useful": null, "summary": null}').otherwise("sorry, no JSON")
+    said = F.when(i % 3 == 0, '{"decision": " Approved "}').when(i % 3 == 1, '{"decision": "please EDIT or reject"}').otherwise("?")
+    return v.table(spark, d, "documents").select("doc_id", answers.extraction(raw).alias("e"), answers.decision(said).alias("decision")).select("doc_id", "e.*", "decision")
 
 
 @query("dt_parse_iso", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN DATE '2024-06-01' ELSE CAST(o_orderdate AS DATE) END AS day FROM orders")
@@ -228,10 +240,10 @@ def dt_staleness(spark, d):
 
 
 @query("win_line_chunks", """WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), w AS (SELECT doc_id, lines, unnest(generate_series(1, len(lines), 4)) AS start FROM f),
-    t AS (SELECT CAST(doc_id AS VARCHAR) AS path, (start - 1) // 4 AS chunk_index, substr(array_to_string(lines[start:start + 5], chr(10)), 1, 400) AS text FROM w) SELECT * FROM t WHERE trim(text) <> ''""")
+    t AS (SELECT CAST(doc_id AS VARCHAR) AS path, (start - 1) // 4 AS chunk_index, substr(array_to_string(lines[start:start + 5], chr(10)), 1, 4000) AS text FROM w) SELECT * FROM t WHERE trim(text) <> ''""")
 def win_line_chunks(spark, d):
     f = v.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    return seq.line_windows(f, step=4, length=6, max_chars=400)
+    return seq.line_windows(f, step=4, length=6)
 
 
 @query("str_chunk_code_ast", """WITH f AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), w AS (SELECT doc_id, lines, unnest(generate_series(1, len(lines), 60)) AS start FROM f),
@@ -242,28 +254,23 @@ def str_chunk_code_ast(spark, d):
     return seq.line_windows(f).select("path", "chunk_index", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("win_paragraph_pack", """WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda y: trim(y) <> '') AS ps FROM documents),
+@query("win_paragraph_pack", r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g')), lambda y: y <> '') AS ps FROM documents),
     pc AS (SELECT doc_id, flatten(list_transform(ps, lambda y: list_transform(generate_series(0, (length(y) - 1) // 300), lambda i: substr(y, i * 300 + 1, 300)))) AS xs FROM p),
     step AS (SELECT doc_id, xs, 1 AS pos, 1 AS chunk, length(xs[1]) AS used FROM pc WHERE len(xs) > 0
-        UNION ALL SELECT doc_id, xs, pos + 1, CASE WHEN used + 1 + length(xs[pos + 1]) <= 300 THEN chunk ELSE chunk + 1 END, CASE WHEN used + 1 + length(xs[pos + 1]) <= 300 THEN used + 1 + length(xs[pos + 1]) ELSE length(xs[pos + 1]) END FROM step WHERE pos < len(xs))
-    SELECT doc_id, CAST(max(chunk) AS INTEGER) AS n_chunks FROM step GROUP BY doc_id""")
+        UNION ALL SELECT doc_id, xs, pos + 1, CASE WHEN used + 2 + length(xs[pos + 1]) <= 300 THEN chunk ELSE chunk + 1 END, CASE WHEN used + 2 + length(xs[pos + 1]) <= 300 THEN used + 2 + length(xs[pos + 1]) ELSE length(xs[pos + 1]) END FROM step WHERE pos < len(xs)),
+    sized AS (SELECT doc_id, chunk, max(used) AS n FROM step GROUP BY 1, 2)
+    SELECT doc_id, list(CAST(n AS INTEGER) ORDER BY chunk) AS sizes FROM sized GROUP BY doc_id""")
 def win_paragraph_pack(spark, d):
-    return v.table(spark, d, "documents").select("doc_id", F.size(seq.pack_paragraphs(F.col("text"), 300)).alias("n_chunks")).filter("n_chunks > 0")
+    """The sizes of each document's chunks of at most 300 characters."""
+    packed = v.table(spark, d, "documents").select("doc_id", seq.pack_paragraphs(F.col("text"), 300).alias("c"))
+    return packed.filter(F.size("c") > 0).select("doc_id", F.transform("c", lambda y: F.length(y)).alias("sizes"))
 
 
-@query("str_chunk_document", "SELECT doc_id, CASE WHEN length(text) <= 4000 THEN 1 ELSE NULL END AS n_chunks FROM documents WHERE length(text) <= 4000 AND trim(text) <> ''")
+@query("str_chunk_document")
 def str_chunk_document(spark, d):
-    """A section that fits is one chunk, a longer one is packed."""
-    t = v.table(spark, d, "documents").filter("length(text) <= 4000 AND trim(text) <> ''")
-    return t.select("doc_id", F.greatest(F.when(F.length("text") <= 4000, F.lit(1)).otherwise(F.size(seq.pack_paragraphs(F.col("text"), 4000))), F.lit(1)).alias("n_chunks"))
-
-
-@query("str_chunk_document_whole")
-def str_chunk_document_whole(spark, d):
-    """Chunks of every document, long ones too: paragraphs (set apart by blank lines) packed up to 4,000 characters, one chunk at least."""
-    text = F.regexp_replace(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), r"(?U)\s*\n\n\s*", "\n\n")
-    chunks = F.size(seq.pack_paragraphs(text, 4000, "\n\n", "\n\n"))
-    return v.table(spark, d, "documents").select("doc_id", F.greatest(chunks, F.lit(1)).alias("n_chunks"))
+    """The number of chunks of every document, and of the characters in them: sections that fit are one chunk, longer ones are packed."""
+    chunks = seq.document_chunks(x.sections(F.col("text")), F.coalesce("text", F.lit("")))
+    return v.table(spark, d, "documents").select("doc_id", F.coalesce(chunks, F.array(F.struct(F.lit("").alias("heading"), F.lit("").alias("text")))).alias("c")).select("doc_id", F.size("c").alias("n_chunks"), F.aggregate("c", F.lit(0), lambda n, y: n + F.length(y["text"])).alias("n_chars"))
 
 
 @query("win_chunk_dedup", r"""WITH s AS (SELECT doc_id, substr(sha256(trim(text)), 1, 16) AS h, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n, len(string_split(text, chr(10))) AS l FROM documents)
@@ -308,38 +315,45 @@ def str_ticket_context(spark, d):
     return v.tickets(spark, d).select("key", x.ticket_context(*map(F.col, ("key", "title", "description", "resolution", "comments"))).alias("context"))
 
 
-@query("str_format_results", f"WITH {v.ENTRIES} SELECT doc_id, '## Result ' || (doc_id % 5 + 1) || chr(10) || '**File**: ' || source_file || chr(10) || '**Type**: ' || CASE WHEN chunk_type = 'function_card' THEN 'specification' ELSE chunk_type END || chr(10) || summary AS text FROM en")
+@query("str_format_results", f"""WITH {v.ENTRIES} SELECT doc_id, '## Result ' || (doc_id % 5 + 1) || '  [code/' || CASE WHEN doc_id % 2 = 0 THEN 'reference' ELSE CASE WHEN doc_id % 3 = 0 THEN 'raw_code' ELSE chunk_type END END || ']  (score: 0.' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || ')' || chr(10)
+    || '**File**: `' || source_file || '`  |  **Module**: `' || module || '`' || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '**Source code**:' || chr(10) || '```' || chr(10) || raw_code || chr(10) || '```' ELSE '**Summary**:' || chr(10) || summary END AS text FROM en""")
 def str_format_results(spark, d):
-    e = v.entries(spark, d)
-    tag = F.when(F.col("chunk_type") == "function_card", "specification").otherwise(F.col("chunk_type"))
-    return e.select("doc_id", F.concat_ws("\n", F.concat(F.lit("## Result "), (F.col("doc_id") % 5 + 1).cast("string")), F.concat(F.lit("**File**: "), "source_file"), F.concat(F.lit("**Type**: "), tag), "summary").alias("text"))
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, "raw_code").otherwise(F.col("chunk_type"))
+    block = r.result_block(i % 5 + 1, F.col("summary"), (i % 1000) / 1000, F.lit("code"), F.when(i % 2 == 0, "reference"), kind, F.col("source_file"), F.col("module"))
+    return v.entries(spark, d).select("doc_id", block.alias("text"))
 
 
-@query("str_func_card_text", "SELECT p_partkey, p_name || chr(10) || 'Parameters: ' || array_to_string(list_transform(generate_series(1, least(p_size, 8)), lambda i: 'p' || i), ', ') || chr(10) || 'Complexity: ' || p_size AS text FROM part")
+@query("str_func_card_text", """SELECT p_partkey, '[Function card: ' || p_name || ' in f.py]' || chr(10) || 'Purpose: unknown' || chr(10) || 'Parameters: ' || array_to_string(list_transform(generate_series(1, least(p_size, 8)), lambda i: 'p' || i), '; ') || chr(10) || 'Returns: ' || p_size
+    || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Phases: ' || array_to_string(list_transform(generate_series(1, least(p_size, 6)), lambda i: 'n' || i || ': ?'), ' → ') ELSE '' END
+    || chr(10) || 'Called by: ' || array_to_string(list_transform(generate_series(1, least(p_size, 5)), lambda i: 'c' || i), ', ') || chr(10) || 'Complexity: high' AS text FROM part""")
 def str_func_card_text(spark, d):
-    """A function card as text: at most 8 parameters."""
-    params = F.slice(F.transform(F.sequence(F.lit(1), "p_size"), lambda i: F.concat(F.lit("p"), i.cast("string"))), 1, 8)
-    return v.table(spark, d, "part").select("p_partkey", F.concat_ws("\n", "p_name", F.concat(F.lit("Parameters: "), F.array_join(params, ", ")), F.concat(F.lit("Complexity: "), F.col("p_size").cast("string"))).alias("text"))
+    n = F.col("p_size")
+    some = lambda letter, c=None: F.transform(F.sequence(F.lit(1), n if c is None else c), lambda i: F.concat(F.lit(letter), i.cast("string")))
+    phases = F.when(n % 2 == 0, F.transform(some("n"), lambda p: F.struct(p.alias("name"), F.lit(None).cast("string").alias("description"))))
+    contract = F.struct(some("p").alias("params"), n.cast("string").alias("returns"))
+    card = F.from_json(F.to_json(F.struct(F.col("p_name").alias("name"), contract.alias("contract"), phases.alias("phases"), F.lit("high").alias("complexity"))), r.CARD)
+    return v.table(spark, d, "part").select("p_partkey", r.function_card(card, F.lit("f.py"), some("c"), F.array().cast("array<string>")).alias("text"))
 
 
-@query("str_detect_classes", f"WITH {CHUNKS} SELECT w AS name, count(*) AS n FROM ck WHERE doc_id % 7 IN (0, 3) AND w <> '' GROUP BY 1")
+@query("str_detect_classes", f"""WITH {CHUNKS} SELECT doc_id, {_CLASS} AS name, chunk AS snippet FROM ck WHERE doc_id % 9 IN (0, 3) AND NOT {_KEY}""")
 def str_detect_classes(spark, d):
-    c = chunks(spark, d).filter("w <> ''").select(x.class_name(F.col("chunk")).alias("name")).filter("name IS NOT NULL")
-    return c.groupBy("name").agg(F.count("*").alias("n"))
+    """Classes that chunks declare, with up to 30 lines from the declaration on."""
+    return g.declared_classes(chunks(spark, d).select("doc_id", "chunk"), "doc_id").select("doc_id", "name", "snippet")
 
 
-@query("str_pass2_prompt", f"WITH {SUMMARY} SELECT doc_id, 'Summarise the chunk.' || chr(10) || 'Questions:' || chr(10) || '- what does it do' || chr(10) || 'Chunk:' || chr(10) || summary AS prompt FROM sm")
+@query("str_pass2_prompt", f"""WITH {SUMMARY} SELECT doc_id, 'Project: P' || chr(10) || 'Module: m — about m' || chr(10) || chr(10) || 'Questions that the module answers:' || chr(10) || '- q1' || chr(10) || '- q2' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Context:' || chr(10) || 'file does x' ELSE '' END
+    || chr(10) || chr(10) || 'Source file: f.py' || chr(10) || '```' || chr(10) || summary || chr(10) || '```' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'Called from many files:' || chr(10) || '- h' ELSE '' END || chr(10)
+    || chr(10) || 'Summarise what the code does, in the project''s words; say its category and how useful it is to search for.' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'Also answer:' || chr(10) || '- why ' || doc_id ELSE '' END AS prompt FROM sm""")
 def str_pass2_prompt(spark, d):
-    return summaries(spark, d).select("doc_id", F.concat_ws("\n", F.lit("Summarise the chunk."), F.lit("Questions:"), F.lit("- what does it do"), F.lit("Chunk:"), "summary").alias("prompt"))
+    i, one = F.col("doc_id"), lambda *xs: F.array(*map(F.lit, xs))
+    context = F.when(i % 2 == 0, F.concat(F.lit("file does x\nFocus on: why "), i.cast("string")))
+    hints = F.when(i % 3 == 0, one("h")).otherwise(F.array().cast("array<string>"))
+    return summaries(spark, d).select("doc_id", r.chunk_prompt(F.lit("P"), F.lit("m"), F.lit("about m"), one("q1", "q2"), F.lit("f.py"), F.col("summary"), context, hints).alias("prompt"))
 
 
-@query("flt_diff_source", r"""WITH x AS (SELECT page_id, unnest(['a.py', 'b.md', 'c.cpp']) AS file, unnest([1, 2, 3]) AS pos FROM pages) SELECT page_id, string_agg('  ' || file || chr(10) || '+line ' || pos, chr(10) ORDER BY pos) AS diff FROM x WHERE regexp_matches(file, '\.(py|cpp|h|java|go|rs|js|ts)$') GROUP BY 1""")
+@query("flt_diff_source", "SELECT page_id, '  a' || page_id || '.py' || chr(10) || '+line 1' || chr(10) || '   deep' || chr(10) || '  CMakeLists.txt' || chr(10) || '+x' || chr(10) || '  c.hpp' || CASE WHEN page_id % 3 = 0 THEN chr(10) || url ELSE '' END AS diff FROM pages")
 def flt_diff_source(spark, d):
-    """Of a diff the sections whose header names a source file; lines carry their section's flag forward."""
-    diff = F.lit("  a.py\n+line 1\n  b.md\n+line 2\n  c.cpp\n+line 3")
-    lines = v.table(spark, d, "pages").select("page_id", F.posexplode(F.split(diff, "\n")).alias("pos", "line"))
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_header = F.col("line").rlike(r"^  \S+\.\w+$")
-    kept = lines.withColumn("source", F.last(F.when(is_header, F.col("line").rlike(r"\.(py|cpp|h|java|go|rs|js|ts)$")), ignorenulls=True).over(w)).filter("source")
-    joined = kept.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    return joined.select("page_id", F.substring(F.array_join(F.transform("l", lambda y: y["line"]), "\n"), 1, 6000).alias("diff"))
+    """Of a diff the sections whose header names a source file."""
+    diff = F.concat(F.lit("lead\n  a"), F.col("page_id").cast("string"), F.lit(".py\n+line 1\n   deep\n  b.md\n+line 2\n  CMakeLists.txt\n+x\n  notes.txt\n-y\n  c.hpp"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("\n"), "url")).otherwise(""))
+    return v.table(spark, d, "pages").select("page_id", x.diff_source(diff).alias("diff"))

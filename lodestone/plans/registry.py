@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,3 +25,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; where that is unset, in local mode, a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return f"{root.rstrip('/')}/query-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":  # local-cluster has executors of its own
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp()

@@ -94,8 +94,8 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     return table(spark, d, "documents").select(
         "doc_id",
-        F.substring("text", 1, 200).alias("summary"),
-        F.substring("text", 1, F.lit(60)).alias("raw_code"),
+        F.col("text").alias("summary"),
+        F.col("text").alias("raw_code"),
         F.concat_ws("/", "source", F.concat((i % 50).cast("string"), F.lit(".py"))).alias("source_file"),
         F.col("source").alias("module"),
         pick(("function_summary", "function_card", "file_overview", "class_overview", "raw"), i).alias("chunk_type"),
@@ -110,7 +110,7 @@ def _case(values: tuple[str, ...], by: str) -> str:
 
 
 ENTRIES = f"""en AS (
-    SELECT doc_id, substr(text, 1, 200) AS summary, substr(text, 1, 60) AS raw_code, source || '/' || (doc_id % 50) || '.py' AS source_file, source AS module,
+    SELECT doc_id, text AS summary, text AS raw_code, source || '/' || (doc_id % 50) || '.py' AS source_file, source AS module,
            {_case(("function_summary", "function_card", "file_overview", "class_overview", "raw"), "doc_id")} AS chunk_type,
            {_case(("algorithm", "contract", "glue", "error_handling", "data_model", "boilerplate", "unknown"), "doc_id")} AS chunk_category,
            {_case(("high", "medium", "low", ""), "doc_id")} AS search_value, CAST(floor(doc_id / 50) AS BIGINT) AS chunk_index

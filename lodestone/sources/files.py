@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # What scans skip, and languages by suffix.
@@ -18,8 +18,8 @@ TEST_PHRASES = ("unit test", "integration test", "test suite", "test harness", "
 LANGUAGES = {".py": "python", ".cpp": "cpp", ".cc": "cpp", ".h": "cpp", ".hpp": "cpp", ".java": "java", ".go": "go", ".rs": "rust", ".js": "javascript", ".ts": "typescript"}
 DOC_SUFFIXES = (".md", ".rst", ".txt", ".html", ".htm", ".pdf")
 
-#: Directory names of tests: test..., a known prefix with test(s), or mock-like beginnings; "latest" and "contest" are none.
-TEST_DIR = "^(?:tests?|testing)(?:[_ -]|$|[a-z])|^(?:" + "|".join(TEST_PREFIXES) + ")tests?(?:[_-]|$)|^(?:mock|fake|stub|fixture|benchmark)"
+# Fixed value: directory names of tests: test..., a known prefix with test(s), or mock-like beginnings; "latest" and "contest" are none.
+TEST_DIR = r"^(?:tests?|testing)(?:[_\-s]|$|[a-z])|^(?:" + "|".join(sorted(TEST_PREFIXES, key=len, reverse=True)) + r")tests?(?:[_\-]|$)|^(?:mock|fake|stub|fixture|benchmark)"
 
 
 def suffix(path: Column) -> Column:
@@ -61,6 +61,86 @@ def detect_language(paths: DataFrame, depth: int = 3) -> DataFrame:
     return near.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1)
 
 
+# Manifests at the root and index files, in the order of a bundle; what a bundle skips besides names with a dot.
+MANIFESTS = ("package.json", "Cargo.toml", "go.mod", "setup.py", "pyproject.toml", "setup.cfg", "pom.xml", "build.gradle", "CMakeLists.txt", "pubspec.yaml", "composer.json", "Gemfile", "mix.exs", "project.clj")
+INDEX_FILES = ("__init__.py", "index.ts", "index.js", "lib.rs", "mod.rs", "lib.py", "main.py", "index.py")
+BUNDLE_SKIP = (
+    ".git", "node_modules", "__pycache__", ".venv", "venv", ".env", "target", "build", "dist", ".idea", ".vscode", "vendor", ".cache", "coverage", ".mypy_cache", ".pytest_cache", ".tox", "eggs", ".eggs", "htmlcov", ".hypothesis", "buck-out", "_build",
+    ".stack-work",
+)
+
+
+def in_bundle(path: Column) -> Column:
+    """No part of the path is skipped or begins with a dot."""
+    return ~F.exists(F.split(path, "/"), lambda p: p.isin(*BUNDLE_SKIP) | p.startswith("."))
+
+
+def tree_lines(paths: DataFrame, max_depth: int = 4) -> DataFrame:
+    """(place, line): a directory tree to max_depth levels below the first, directories before files, each in order of lower-case names; sorting by place gives the tree."""
+    parts = F.split("path", "/")
+    entry = lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("at"), (n < F.size(parts)).alias("is_dir"), (n - 1).alias("depth"))
+    every = paths.filter(in_bundle(F.col("path"))).select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max_depth + 2))), entry)).alias("e")).select("e.*").distinct()
+    own = F.split("at", "/")
+    # a directory sorts before the files beside it: every part but a file's own is marked 0
+    place = F.array_join(F.transform(own, lambda p, i: F.concat(F.when(F.col("is_dir") | (i < F.size(own) - 1), "0").otherwise("1"), F.lower(p), F.lit("\x01"), p)), "\x00")
+    name = F.concat(F.element_at(own, -1), F.when(F.col("is_dir"), "/").otherwise(""))
+    return every.filter(F.col("depth") <= max_depth).select(place.alias("place"), F.concat(F.repeat(F.lit("  "), F.col("depth")), name).alias("line"))
+
+
+def context_bundle(files: DataFrame) -> DataFrame:
+    """(part, rank, path, body) of files (path, content): what to show of a tree: manifests, the 8 shallowest readmes, 20 of each kind of index file.
+
+    Manifests lie at the root, are smaller than 20,000 bytes and give 3,000
+    characters; readmes give 2,000, index files of more than 50 give 1,500.
+    """
+    name, depth = F.element_at(F.split("path", "/"), -1), F.size(F.split("path", "/"))
+    kind = F.when((depth == 1) & name.isin(*MANIFESTS) & (F.octet_length("content") < 20_000), F.concat(F.lit("1 manifest "), name)).when(name.startswith("README"), "2 readme").when(name.isin(*INDEX_FILES), F.concat(F.lit("3 index "), name))
+    body = F.when(kind.startswith("1"), F.substring("content", 1, 3000)).when(kind.startswith("2"), F.substring("content", 1, 2000)).otherwise(F.trim(F.substring("content", 1, 1500)))
+    some = files.filter(in_bundle(F.col("path"))).select("path", kind.alias("part"), body.alias("body"), depth.alias("depth")).filter("part IS NOT NULL")
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("depth", "path")).cast("long"))
+    most = F.when(F.col("part") == "2 readme", 8).otherwise(20)
+    return ranked.filter((F.col("rank") <= most) & (~F.col("part").startswith("3") | (F.length("body") > 50))).select("part", "rank", "path", "body")
+
+
+def bundle_text(files: DataFrame) -> DataFrame:
+    """One row: the tree and the parts of context_bundle() as one text; a prompt, so it is gathered."""
+    fence = lambda c: F.concat(F.lit("```\n"), c, F.lit("\n```"))
+    tree = tree_lines(files.select("path")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    tree = tree.select(F.lit("0").alias("part"), F.lit(0).cast("long").alias("rank"), F.concat(F.lit("## Directory Tree\n"), fence(F.col("t"))).alias("text"))
+    title = F.concat(F.lit("## "), F.col("path"), F.lit("\n"))
+    parts = context_bundle(files).select("part", "rank", F.concat(title, F.when(F.col("part") == "2 readme", F.col("body")).otherwise(fence(F.col("body")))).alias("text"))
+    order = F.struct(F.col("part"), F.col("rank"), F.col("text"))
+    return tree.unionByName(parts).agg(F.array_join(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["text"]), "\n\n---\n\n").alias("bundle"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without ./ before it and / behind it; an empty one is "."."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(path), r"^\./", ""), "/+$", "")
+    return F.when(bare == "", ".").otherwise(bare)
+
+
+def module_files(paths: DataFrame, directory: str) -> DataFrame:
+    """The paths at or below a directory, of "." those at the root only."""
+    p, d = F.col("path"), normal_path(F.lit(directory))
+    return paths.filter(F.when(d == ".", ~F.contains(p, F.lit("/"))).otherwise(p.startswith(F.concat(d, F.lit("/"))) | (p == d)))
+
+
+def read_files(files: DataFrame, wanted: DataFrame, max_lines: int = 200) -> DataFrame:
+    """(path, window) of wanted (path): the file there, else the first one of that base name, else a note that there is none.
+
+    A path that leaves the tree is blocked.
+    """
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    one = wanted.select("path").distinct().withColumn("base", base(F.col("path")))
+    escapes = F.col("path").startswith("/") | F.aggregate(F.split("path", "/"), F.struct(F.lit(0).alias("at"), F.lit(0).alias("least")), lambda s, p: F.struct((s["at"] + F.when(p == "..", -1).when(p.isin(".", ""), 0).otherwise(1)).alias("at"), F.least(s["least"], s["at"] + F.when(p == "..", -1).otherwise(0)).alias("least")), lambda s: s["least"] < 0)
+    exact = files.select("path", F.lit(True).alias("there")).distinct()
+    first = files.groupBy(base(F.col("path")).alias("base")).agg(F.min("path").alias("by_name"))
+    found = one.join(exact, "path", "left").join(first, "base", "left").select("path", escapes.alias("escapes"), F.when(F.col("there"), F.col("path")).otherwise(F.col("by_name")).alias("read"))
+    met = found.join(read_window(files, max_lines).withColumnRenamed("path", "read"), "read", "left")
+    blocked, missing = (F.concat(F.lit(a), F.col("path"), F.lit("]")) for a in ("[error: path traversal blocked: ", "[file not found: "))
+    return met.select("path", F.when(F.col("escapes"), blocked).otherwise(F.coalesce("window", missing)).alias("window"))
+
+
 def list_dir(paths: DataFrame, rel: str = "") -> DataFrame:
     """(name, is_dir, n_files) of what lies directly in the directory rel."""
     prefix = f"{rel}/" if rel else ""

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 ISSUE = (
     "key string, fields struct<summary: string, description: string, status: struct<name: string>, resolution: struct<name: string>, issuetype: struct<name: string>, priority: struct<name: string>, "
@@ -15,16 +19,38 @@ ISSUE = (
 )
 
 
-def jql(projects: list[str], since: str | None = None, statuses: list[str] | None = None) -> str:
-    """A query: projects first, then statuses, then a lower bound of the update day, joined by AND."""
-    parts = []
-    if projects:
-        parts.append("project in (" + ", ".join(projects) + ")")
-    if statuses:
-        parts.append("status in (" + ", ".join(f'"{s}"' for s in statuses) + ")")
-    if since:
-        parts.append(f'updated >= "{since}"')
-    return " AND ".join(parts)
+def jql(projects: Column, since: Column, statuses: Column) -> Column:
+    """A query: projects (array) first, then statuses (array), then the day since which tickets were updated, joined by AND; what is null or empty has no part."""
+    project = F.when(F.size(projects) == 1, F.concat(F.lit("project = "), F.get(projects, F.lit(0)))).when(F.size(projects) > 1, F.concat(F.lit("project in ("), F.array_join(projects, ", "), F.lit(")")))
+    status = F.when(F.size(statuses) > 0, F.concat(F.lit("status in ("), F.array_join(statuses, ", "), F.lit(")")))
+    return F.concat_ws(" AND ", project, status, F.when(since != "", F.concat(F.lit("updated >= "), since)))
+
+
+def fetch_pages(search: Callable[[str | None], tuple[list[str], str | None]], spark: SparkSession) -> DataFrame:
+    """(value): the issues' JSON of all pages of a cursor: search(token) gives a page's issues and the next token, null at the end.
+
+    The cursor is walked by the driver, as it must be; an empty page ends it.
+    """
+    token, pages = None, []
+    while True:
+        issues, token = search(token)
+        if issues:
+            pages.append(spark.createDataFrame([(i,) for i in issues], "value string"))
+        if not issues or token is None:
+            break
+    return reduce(DataFrame.union, pages) if pages else spark.createDataFrame([], "value string")
+
+
+def changed_tickets(fetched: DataFrame, stored: DataFrame) -> DataFrame:
+    """The tickets of fetched (key, ...) that stored does not hold just so; when they were fetched (_fetched_at) does not count."""
+    columns = [c for c in fetched.columns if c not in ("key", "_fetched_at")]
+    content = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    return fetched.withColumn("_content", content).join(stored.select("key", content.alias("_content")), ["key", "_content"], "left_anti").drop("_content")
+
+
+def newest(fetched: DataFrame, updated: str = "updated") -> DataFrame:
+    """One row: the newest update, from whose day the next fetch reads on; null if nothing came."""
+    return fetched.agg(F.max(F.nullif(F.col(updated), F.lit(""))).alias("last_updated"))
 
 
 def normalise(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -69,23 +95,36 @@ def request_refs(text: Column, gitlab: str = "https://gitlab.com") -> Column:
     return F.array_distinct(F.concat(refs("(?i)" + GITHUB, "github:"), refs("(?i)" + GITLAB, f"gitlab:{gitlab}/")))
 
 
+# Nodes of a rich-text tree whose parts stand on lines of their own.
+LINES = ("paragraph", "heading", "listItem", "bulletList", "orderedList")
+
+
 def rich_text(node: str | None) -> str:
-    """The plain text of a rich-text JSON tree: block nodes end lines, others join by a space."""
-    blocks = {"paragraph", "heading", "listItem", "bulletList", "orderedList"}
+    """The plain text of a rich-text JSON tree; a text that is no JSON is its own."""
 
     def walk(x) -> str:
         if isinstance(x, str):
             return x
-        if isinstance(x, list):
-            return " ".join(filter(None, map(walk, x)))
         if not isinstance(x, dict):
             return ""
         if x.get("type") == "text":
             return x.get("text", "")
-        parts = [walk(c) for c in x.get("content", [])]
-        return ("\n" if x.get("type") in blocks else " ").join(p for p in parts if p).strip()
+        parts = filter(None, map(walk, x.get("content", [])))
+        return ("\n" if x.get("type") in LINES else " ").join(parts).strip()
 
     try:
-        return walk(json.loads(node or "")).strip()
+        return walk(json.loads(node or '""'))
     except ValueError:
         return node or ""
+
+
+def rich_texts(rows: DataFrame, column: str) -> DataFrame:
+    """rows with text: the plain text of the column's trees, in Arrow batches; a null gives an empty text."""
+    rows = rows.drop("text") if column != "text" else rows
+    at = rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([rich_text(x) for x in batch.column(at).to_pylist()], pa.string())], names=[*batch.schema.names, "text"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("text", StringType())]))

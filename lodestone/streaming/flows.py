@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def hourly(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(hour, event_type, n) over tumbling windows of event time; rows later than `late` are dropped."""
+    """(hour, event_type, n) over tumbling windows of event time; rows later than `late` are dropped, and windows that old leave the state."""
     s = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return s.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
+def latest_counts(updates: DataFrame) -> DataFrame:
+    """(hour, event_type, n) of the updates (hour, event_type, n, batch) that hourly() gave: the last count of each window."""
+    return updates.groupBy("hour", "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
 def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, start, end, n): queries of one user with pauses below the gap."""
     s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -19,9 +24,11 @@ def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return s.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def deduplicate(stream: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """The first row of each key; state lasts as long as duplicates may come."""
-    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if stream.isStreaming else stream.dropDuplicates(keys)
+def deduplicate(stream: DataFrame, keys: list[str], ts: str | None = None, late: str = "1 day") -> DataFrame:
+    """The first row of each key, for good: the state keeps every key; with ts only as long as duplicates may come late."""
+    if ts is None or not stream.isStreaming:
+        return stream.dropDuplicates(keys)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "append") -> None:
@@ -48,3 +55,19 @@ def process_queue(spark: SparkSession, source: DataFrame, judge, table: str, che
 def high_watermark(rows: DataFrame, column: str = "updated") -> DataFrame:
     """One row: the newest day, from which the next run reads again."""
     return rows.agg(F.date_trunc("day", F.max(column)).cast("date").alias("since"))
+
+
+def read_since(rows: DataFrame, state: str, column: str = "updated") -> DataFrame:
+    """The rows from the day on that the last run has saved in the folder state (all, if none has); saves the newest day for the next run.
+
+    That day is read again, which idempotent writes make harmless.  A state that
+    cannot be parsed counts as none; a run without rows leaves it as it is.
+    """
+    spark = rows.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    last = spark.read.schema("since date").option("mode", "DROPMALFORMED").json(state).agg(F.max("since").alias("since")).first()["since"] if there else None
+    new = rows.filter(F.col(column) >= F.lit(last)) if last else rows
+    if (since := high_watermark(new, column).first()["since"]) is not None:
+        spark.createDataFrame([(since,)], "since date").coalesce(1).write.mode("overwrite").json(state)
+    return new

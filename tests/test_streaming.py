@@ -12,9 +12,11 @@ def stream_of(spark, folder, df, parts):
 
 def test_duplicates_across_batches(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/events.parquet").select("ts", "user_id", "event_type").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    flows.run_available(flows.deduplicate(stream_of(spark, tmp_path, e, 4), ["user_id", "event_type"]), str(tmp_path / "out"), str(tmp_path / "check"))
-    found = spark.read.parquet(str(tmp_path / "out"))
-    assert found.count() == e.select("user_id", "event_type").distinct().count()
+    for name, ts in (("late", "ts"), ("good", None)):
+        (tmp_path / name).mkdir()
+        flows.run_available(flows.deduplicate(stream_of(spark, tmp_path / name, e, 4), ["user_id", "event_type"], ts), str(tmp_path / name / "out"), str(tmp_path / name / "check"))
+        found = spark.read.parquet(str(tmp_path / name / "out"))
+        assert found.count() == e.select("user_id", "event_type").distinct().count()
 
 
 def test_queue_runs_pending_rows_once(spark, tmp_path):
@@ -34,3 +36,12 @@ def test_sessions_close_at_gaps(spark):
 
 def test_high_watermark_of_nothing(spark):
     assert flows.high_watermark(spark.createDataFrame([], "updated timestamp")).first()["since"] is None
+
+
+def test_reading_goes_on_from_the_saved_day(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00"), (3, "2024-01-02 23:00:00")], "id int, updated string").withColumn("updated", F.col("updated").cast("timestamp"))
+    state = f"file://{tmp_path}/state"
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(flows.read_since(rows.filter("false"), state)) == [] and ids(flows.read_since(rows.filter("id < 3"), state)) == [1, 2]
+    assert ids(flows.read_since(rows, state)) == [2, 3] and ids(flows.read_since(rows.filter("id = 1"), state)) == []
+    assert ids(flows.read_since(rows, state)) == [2, 3]

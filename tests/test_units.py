@@ -38,9 +38,10 @@ def test_rich_text():
     assert tickets.rich_text(json.dumps(node)) == "a\nb" and tickets.rich_text("plain") == "plain" and tickets.rich_text(None) == ""
 
 
-def test_query_language():
-    assert tickets.jql(["A", "B"], "2024-01-02", ["Done"]) == 'project in (A, B) AND status in ("Done") AND updated >= "2024-01-02"'
-    assert tickets.jql([]) == ""
+def test_query_language(spark):
+    make = lambda p, since, st: spark.range(1).select(tickets.jql(F.array(*map(F.lit, p)).cast("array<string>"), F.lit(since), F.array(*map(F.lit, st)).cast("array<string>"))).first()[0]
+    assert make(["A", "B"], "-5d", ["Done", "Closed"]) == "project in (A, B) AND status in (Done, Closed) AND updated >= -5d"
+    assert make(["A"], "", []) == "project = A" and make([], None, []) == ""
 
 
 @pytest.mark.parametrize("path,expected", [("src/a.py", False), ("tests/a.py", True), ("jtest/a", True), ("latest/a", False), ("contest/a", False), ("x/testutil/a", True), ("mock_x/a", True), ("a/unittest/b", True)])
@@ -65,7 +66,7 @@ def test_sections(spark):
 
 def test_paragraphs(spark):
     pack = lambda t, n: spark.range(1).select(sequences.pack_paragraphs(F.lit(t), n)).first()[0]
-    assert pack("aa\nbb\ncccccc\n\ndd", 5) == ["aa\nbb", "ccccc", "c\ndd"]
+    assert pack("aa\n\nbb\n\ncccccccc\n \n\n dd ", 6) == ["aa\n\nbb", "cccccc", "cc\n\ndd"]
     assert pack("", 5) == [] and pack("abc", 5) == ["abc"]
 
 
@@ -88,7 +89,7 @@ def test_chunks_of_whole_documents(spark, tmp_path):
     para = lambda n: "word " * (n // 5)
     texts = ["", " \n\n ", None, "short", "x" * 4000, "x" * 4001, "x" * 9000, para(30_000), "\n\n".join(map(para, [1500, 2400, 100, 90, 3900, 8100, 5])), "\n \n".join([para(3000)] * 3), "\n\n \n\n".join([para(1999)] * 9) + "\n"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: r["n_chunks"] for r in QUERIES["str_chunk_document_whole"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r["n_chunks"] for r in QUERIES["str_chunk_document"](spark, str(tmp_path)).collect()}
     assert found == {k: pack(t or "") for k, t in enumerate(texts)} and max(found.values()) > 3
 
 
