@@ -116,7 +116,7 @@ def header_classes(owners: DataFrame, headers: DataFrame) -> DataFrame:
     bases = F.transform(F.array(F.col("name"), low, snake), lambda n: F.array(F.concat(n, F.lit(".h")), F.concat(n, F.lit(".hpp"))))
     wanted = owners.select("name").distinct().select("name", F.posexplode(F.array_distinct(F.flatten(bases))).alias("ord", "base"))
     found = wanted.join(headers.select("path", "content", F.element_at(F.split("path", "/"), -1).alias("base")), "base")
-    declares = F.col("content").rlike(F.concat(F.lit(r"(?m)^\s*(?:class|struct)\s+"), F.col("name"), F.lit(r"\b")))
+    declares = F.rlike("content", F.concat(F.lit(r"(?m)^\s*(?:class|struct)\s+"), F.col("name"), F.lit(r"\b")))
     lines = F.split("content", "\n")
     at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.col("name"))), True).cast("int")
     best = found.filter(declares).groupBy("name").agg(F.min(F.struct("ord", "path", F.array_join(F.slice(lines, at, 30), "\n").alias("snippet"))).alias("b"))

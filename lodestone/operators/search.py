@@ -96,6 +96,8 @@ def top_k(store: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fal
     store = store.select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").filter("embedding IS NOT NULL")
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").filter("embedding IS NOT NULL")
     some = queries.limit(QUERY_BLOCK + 1).collect()
+    if not some:
+        return spark.createDataFrame([], f"{HIT}, rank long")
     if len(some) > QUERY_BLOCK:
         out = _in_blocks(store, queries, queries.count(), k, exclude_self)
     else:
@@ -106,7 +108,7 @@ def top_k(store: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fal
             found = None
             ids, q = shared.value
             for batch in batches:
-                if batch.num_rows and len(ids):
+                if batch.num_rows:
                     found = _joined(found, _best(ids, q, batch.column(0).to_numpy(), _vectors(batch.column(1)), k, exclude_self), k)
             if found is not None:
                 yield _batch(found)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udf
 
+from lodestone.functions import render
 from lodestone.plans import views as v
-from lodestone.plans.registry import query
+from lodestone.plans.registry import folder, query
 from lodestone.sources import files as s
 from lodestone.sources import tickets as t
+from lodestone.sources import wiki
 
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _TEST_PART = f"(lower(p) IN ({_IN(s.TEST_DIRS)}) OR regexp_matches(lower(p), '{s.TEST_DIR}'))"
@@ -61,16 +62,24 @@ def _doc_files(spark, d):
 _DOCS = "df AS (SELECT source || '/' || doc_id || '.' || lang AS path, text AS content, doc_id, string_split(text, chr(10)) AS lines FROM documents)"
 
 
-@query("src_docs_local", "SELECT source || '/' || doc_id || '.md' AS path, length(text) AS n_chars FROM documents WHERE doc_id % 3 = 0")
+@query("src_docs_local", "SELECT source || '/' || doc_id || '.md' AS path, text AS content FROM documents WHERE doc_id % 50 = 0")
 def src_docs_local(spark, d):
-    """The document filter over paths; the reader itself is lodestone.sources.files.read_documents."""
-    p = v.table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, F.lit(".md")).otherwise(F.lit(".bin"))).alias("path"), F.length("text").cast("long").alias("n_chars"))
-    return p.filter(s.suffix(F.lower("path")).isin(*s.DOC_SUFFIXES))
+    """A tree of documents (those whose ids are divisible by 50, with files that are none beside them), written and read by the reader."""
+    at = folder(spark)
+    docs = v.table(spark, d, "documents").filter("doc_id % 50 = 0").select("source", F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("content"))
+    kinds = docs.withColumn("ext", F.explode(F.array(F.lit("md"), F.lit("bin")))).withColumn("place", F.concat_ws("/", "source", F.concat_ws(".", "name", "ext")))
+    s.write_tree(kinds.select(F.col("place").alias("path"), "content").unionByName(kinds.select(F.concat(F.lit("node_modules/"), "place").alias("path"), "content")), at)
+    return s.read_documents(spark, at).select(F.substring_index("path", f"/{at.rsplit('/', 1)[1]}/", -1).alias("path"), "content")
 
 
-@query("src_file_read_window", f"WITH {_DOCS} SELECT path, CASE WHEN len(lines) > 3 THEN array_to_string(lines[1:3], chr(10)) || chr(10) || '... (' || (len(lines) - 3) || ' more lines)' ELSE content END AS \"window\" FROM df")
+@query("src_file_read_window", f"""WITH {_DOCS}, w AS (SELECT path, CASE doc_id % 4 WHEN 0 THEN path WHEN 1 THEN 'elsewhere/' || doc_id || '.' || split_part(path, '.', 2) WHEN 2 THEN 'gone/' || doc_id || '.none' ELSE '../' || path END AS wanted, doc_id % 4 AS k, content, lines FROM df)
+    SELECT wanted AS path, CASE k WHEN 2 THEN '[file not found: ' || wanted || ']' WHEN 3 THEN '[error: path traversal blocked: ' || wanted || ']' ELSE CASE WHEN len(lines) > 3 THEN array_to_string(lines[1:3], chr(10)) || chr(10) || '... (' || (len(lines) - 3) || ' more lines)' ELSE content END END AS \"window\" FROM w""".replace('\\"', '"'))
 def src_file_read_window(spark, d):
-    return s.read_window(_doc_files(spark, d), 3)
+    """Files by path, by base name, not there, and outside the tree."""
+    files = _doc_files(spark, d)
+    i, base = F.col("doc_id"), F.element_at(F.split("path", "/"), -1)
+    wanted = files.select(F.when(i % 4 == 0, F.col("path")).when(i % 4 == 1, F.concat(F.lit("elsewhere/"), base)).when(i % 4 == 2, F.concat(F.lit("gone/"), i.cast("string"), F.lit(".none"))).otherwise(F.concat(F.lit("../"), "path")).alias("path"))
+    return s.read_files(files.select("path", "content"), wanted, 3)
 
 
 @query("src_file_stats", f"WITH {_DOCS} SELECT path, len(lines) AS lines, CAST(strlen(content) AS BIGINT) AS size_bytes, {_SUFFIX} AS extension FROM df")
@@ -87,14 +96,18 @@ def src_grep(spark, d):
     return s.grep(_doc_files(spark, d), "th[aeiou]{2}")
 
 
-@query("src_context_bundle", f"""WITH {v.FILES}, r AS (SELECT path, len(string_split(path, '/')) AS depth, split_part(path, '/', 1) AS kind FROM fl),
-    k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY depth, path) AS rank FROM r) SELECT kind, path, rank FROM k WHERE rank <= 8""")
-def src_context_bundle(spark, d):
-    """The 8 shallowest files of each kind."""
-    from pyspark.sql import Window
+_INDEX = f"[{_IN(s.INDEX_FILES)}]"
+
 
-    p = v.files(spark, d).select("path", F.size(F.split("path", "/")).alias("depth"), F.substring_index("path", "/", 1).alias("kind"))
-    return p.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("depth", "path")).cast("long")).filter("rank <= 8").select("kind", "path", "rank")
+@query("src_context_bundle", f"""WITH b AS (SELECT doc_id, text AS content, CASE doc_id % 5 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'a' || (doc_id % 7) || '/README' || doc_id || '.md' WHEN 2 THEN 'src/p' || doc_id || '/__init__.py' WHEN 3 THEN 'node_modules/README' || doc_id ELSE 'lib/x' || doc_id || '.py' END AS path FROM documents WHERE doc_id % 5 > 0 OR doc_id = 0),
+    k AS (SELECT path, content, doc_id, len(string_split(path, '/')) AS depth, CASE doc_id % 5 WHEN 0 THEN '1 manifest pyproject.toml' WHEN 1 THEN '2 readme' WHEN 2 THEN '3 index __init__.py' END AS part FROM b WHERE doc_id % 5 < 3 AND (doc_id <> 0 OR strlen(content) < 20000)), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY depth, path) AS rank FROM k),
+    o AS (SELECT part, rank, path, CASE WHEN part LIKE '1%' THEN substr(content, 1, 3000) WHEN part LIKE '2%' THEN substr(content, 1, 2000) ELSE trim(substr(content, 1, 1500)) END AS body FROM r WHERE rank <= CASE WHEN part = '2 readme' THEN 8 ELSE 20 END) SELECT * FROM o WHERE NOT starts_with(part, '3') OR length(body) > 50""")
+def src_context_bundle(spark, d):
+    """What to show of a tree: a manifest, readmes, index files; the tree itself is tested with the text of all."""
+    i = F.col("doc_id")
+    n = lambda a, b: F.concat(F.lit(a), i.cast("string"), F.lit(b))
+    path = F.when(i % 5 == 0, "pyproject.toml").when(i % 5 == 1, F.concat(F.lit("a"), (i % 7).cast("string"), n("/README", ".md"))).when(i % 5 == 2, n("src/p", "/__init__.py")).when(i % 5 == 3, n("node_modules/README", "")).otherwise(n("lib/x", ".py"))
+    return s.context_bundle(v.table(spark, d, "documents").filter("doc_id % 5 > 0 OR doc_id = 0").select(path.alias("path"), F.col("text").alias("content")))
 
 
 @query("src_ticket_normalise", """SELECT 'T-' || n_nationkey AS key, n_name AS title, '' AS description, CASE WHEN n_nationkey % 2 = 0 THEN 'Done' ELSE '' END AS status, n_regionkey AS n_labels,
@@ -129,40 +142,49 @@ def src_mr_refs(spark, d):
     return v.table(spark, d, "nation").select("n_nationkey", t.request_refs(text).alias("refs"))
 
 
-@query("src_mr_fetch", """WITH p AS (SELECT o_custkey % 50 AS ref, l_orderkey, l_linenumber, l_partkey, l_suppkey, least(CAST(l_quantity * 30 AS BIGINT), 800) AS size FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-    r AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, size) AS idx FROM p), c AS (SELECT *, sum(size) OVER (PARTITION BY ref ORDER BY idx ROWS UNBOUNDED PRECEDING) AS upto FROM r WHERE idx <= 20)
-    SELECT ref, count(*) FILTER (upto <= 4000) AS files, CAST(coalesce(sum(size) FILTER (upto <= 4000), 0) AS BIGINT) AS chars, bool_or(upto > 4000) AS truncated FROM c GROUP BY 1""")
-def src_mr_fetch(spark, d):
-    """At most 20 files of a merge request, patches cut to 800 characters, until 4,000 are used."""
-    from lodestone.operators.sequences import running_budget
+_PATCH = "'  f' || l_linenumber || '.py (+' || l_linenumber || '/-0)' || chr(10) || rpad('', CAST(l_quantity * 30 AS INTEGER), 'x')[1:800]"
 
-    o = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 50).alias("ref"))
-    p = v.table(spark, d, "lineitem").join(o, "l_orderkey").withColumn("size", F.least((F.col("l_quantity") * 30).cast("long"), F.lit(800)))
-    kept = running_budget(p, ["ref"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "size"], "size", cap=4000, max_rows=20)
-    return kept.groupBy("ref").agg(F.count_if("within").alias("files"), F.coalesce(F.sum(F.when(F.col("within"), F.col("size"))), F.lit(0)).alias("chars"), F.bool_or(~F.col("within")).alias("truncated"))
+
+@query("src_mr_fetch", f"""WITH RECURSIVE p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i, {_PATCH} AS line FROM lineitem), f AS (SELECT l_orderkey, i, line, sum(length(line)) OVER (PARTITION BY l_orderkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM p WHERE i <= 20),
+    c AS (SELECT l_orderkey, min(i) FILTER (upto > 2000) AS stop FROM f GROUP BY 1)
+    SELECT l_orderkey, 'PR #' || l_orderkey || ': t' || chr(10) || 'body' || chr(10) || 'Changed files:' || chr(10) || concat_ws(chr(10), string_agg(line, chr(10) ORDER BY i) FILTER (stop IS NULL OR i < stop), CASE WHEN max(stop) IS NOT NULL THEN '  ... (diff truncated)' END) AS text FROM f JOIN c USING (l_orderkey) GROUP BY 1""")
+def src_mr_fetch(spark, d):
+    """Merge requests in brief: at most 20 files, patches cut to 800 characters, until the first file that would pass the limit (2,000 here)."""
+    n = F.col("l_linenumber")
+    file = F.struct(F.concat(F.lit("f"), n.cast("string"), F.lit(".py")).alias("filename"), n.alias("additions"), F.lit(0).alias("deletions"), F.repeat(F.lit("x"), (F.col("l_quantity") * 30).cast("int")).alias("patch"))
+    g = v.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", file.alias("f")))).alias("fs"))
+    return g.select("l_orderkey", render.request_text("PR #", F.col("l_orderkey"), F.lit("t"), F.lit("body"), F.transform("fs", lambda y: y["f"]), 2000).alias("text"))
 
 
-@query("src_jira_jql", """SELECT n_regionkey, 'project in (R' || n_regionkey || ') AND status in ("Done", "Closed") AND updated >= "2024-01-0' || (n_regionkey + 1) || '"' AS jql FROM (SELECT r_regionkey AS n_regionkey FROM region)""")
+@query("src_jira_jql", """SELECT r_regionkey, CASE r_regionkey % 3 WHEN 0 THEN 'project = R0 AND ' WHEN 1 THEN 'project in (R0, R' || r_regionkey || ') AND ' ELSE '' END || 'status in (Done, Closed)' || CASE WHEN r_regionkey % 2 = 0 THEN ' AND updated >= -' || r_regionkey || 'd' ELSE '' END AS jql FROM region""")
 def src_jira_jql(spark, d):
-    make = udf(lambda r: t.jql([f"R{r}"], f"2024-01-0{r + 1}", ["Done", "Closed"]), "string")
-    return v.table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), make("r_regionkey").alias("jql"))
+    k = F.col("r_regionkey")
+    own = F.concat(F.lit("R"), k.cast("string"))
+    projects = F.when(k % 3 == 0, F.array(F.lit("R0"))).when(k % 3 == 1, F.array(F.lit("R0"), own)).otherwise(F.array().cast("array<string>"))
+    since = F.when(k % 2 == 0, F.concat(F.lit("-"), k.cast("string"), F.lit("d"))).otherwise("")
+    return v.table(spark, d, "region").select("r_regionkey", t.jql(projects, since, F.array(F.lit("Done"), F.lit("Closed"))).alias("jql"))
 
 
-@query("src_adf_text")
+@query("src_adf_text", """SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || ' and' || ' more' WHEN 1 THEN n_name || chr(10) || 'and' || ' last' ELSE n_name END AS text FROM nation""")
 def src_adf_text(spark, d):
-    """A recursive tree has no relational form: the text of rich-text JSON by a Python function."""
-    plain = udf(t.rich_text, "string")
-    node = F.to_json(F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.lit("paragraph").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.col("n_name").alias("text"))).alias("content"))).alias("content")))
-    return v.table(spark, d, "nation").select("n_nationkey", plain(node).alias("text"))
+    """The text of rich-text trees, which have no relational form, in Arrow batches: paragraphs, lists, plain texts."""
+    k = F.col("n_nationkey")
+    leaf = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
+    node = lambda kind, *xs: F.struct(F.lit(kind).alias("type"), F.array(*xs).alias("content"))
+    name = F.col("n_name")
+    flat = F.to_json(node("doc", node("span", leaf(name), leaf(F.lit("and"))), node("span", leaf(F.lit("more")))))
+    listed = F.to_json(node("doc", node("bulletList", leaf(name), leaf(F.lit("and"))), node("bulletList", leaf(F.lit("last")), leaf(F.lit("")))))
+    trees = v.table(spark, d, "nation").select("n_nationkey", F.when(k % 3 == 0, flat).when(k % 3 == 1, listed).otherwise(name).alias("node"))
+    return t.rich_texts(trees, "node").select("n_nationkey", "text")
 
 
-@query("src_confluence", """WITH p AS (SELECT page_id, url, page_id % 5 AS version FROM pages WHERE page_id < 200), m AS (SELECT page_id, page_id % 4 AS version FROM pages WHERE page_id % 2 = 0)
-    SELECT p.page_id, p.url FROM p LEFT JOIN m USING (page_id) WHERE NOT regexp_matches(p.url, '/de/') AND (m.version IS NULL OR m.version <> p.version)""")
+@query("src_confluence", r"""WITH p AS (SELECT page_id, url, page_id % 5 AS version FROM pages ORDER BY page_id LIMIT 500), m AS (SELECT page_id, page_id % 4 AS version FROM pages WHERE page_id % 2 = 0)
+    SELECT p.page_id, p.url FROM p LEFT JOIN m USING (page_id) WHERE regexp_matches(p.url, '(?i)EXAMPLE') AND NOT regexp_matches(p.url, '(?i)/DE/') AND (m.version IS NULL OR m.version <> p.version)""")
 def src_confluence(spark, d):
-    """Pages up to the cut, title filters after it, without those whose version the manifest has."""
-    p = v.table(spark, d, "pages").filter("page_id < 200").select("page_id", "url", (F.col("page_id") % 5).alias("version"))
-    m = v.table(spark, d, "pages").filter("page_id % 2 = 0").select("page_id", (F.col("page_id") % 4).alias("version"))
-    return p.filter(~F.col("url").rlike("/de/")).join(m, ["page_id", "version"], "left_anti").select("page_id", "url")
+    """Of a listing's first 500 pages (the limit of a fetch) those whose title fits and whose version is not there yet."""
+    listing = v.table(spark, d, "pages").select("page_id", "url", F.col("url").alias("title"), (F.col("page_id") % 5).alias("version"))
+    manifest = v.table(spark, d, "pages").filter("page_id % 2 = 0").select("page_id", (F.col("page_id") % 4).alias("version"))
+    return wiki.pages_to_fetch(listing, manifest, "EXAMPLE", "/DE/").select("page_id", "url")
 
 
 @query("src_html_to_md", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s{3,}', chr(10) || chr(10), 'g')) AS md FROM pages""")
@@ -172,15 +194,23 @@ def src_html_to_md(spark, d):
     return v.table(spark, d, "pages").select("page_id", strip_html(F.col("html")).alias("md"))
 
 
-@query("src_page_frontmatter", r"""SELECT page_id, '---' || chr(10) || 'title: Page ' || page_id || chr(10) || 'path: Home > ' || regexp_extract(url, '//([^/]+)', 1) || chr(10) || '---' AS header, substr(trim(regexp_replace(url, '[^\w\s-]', '', 'g')), 1, 60) AS file FROM pages""")
+@query("src_page_frontmatter", r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '//([^/]+)', 1) AS host FROM pages) SELECT page_id, '---' || chr(10) || 'confluence_id: ' || page_id || chr(10) || 'confluence_url: https://w/wiki/spaces/ENG/pages/' || page_id || chr(10) || 'space: ENG' || chr(10) || 'title: ' || url || chr(10) || 'version: ' || (page_id % 5) || chr(10) || 'last_modified: 2024-01-02' || chr(10) || 'last_modified_by: unknown'
+    || chr(10) || 'breadcrumb: ' || CASE WHEN page_id % 2 = 0 THEN 'Home > ' || host || ' > ' ELSE '' END || url || CASE WHEN page_id % 3 = 0 THEN chr(10) || 'labels: a, b' ELSE '' END || chr(10) || 'downloaded_at: now' || chr(10) || '---' AS header,
+    page_id || '_' || substr(regexp_replace(trim(regexp_replace(url, '[^\w\s-]', '', 'g')), '[\s-]+', '_', 'g'), 1, 60) || '.md' AS file FROM p""")
 def src_page_frontmatter(spark, d):
-    host = F.regexp_extract("url", "//([^/]+)", 1)
-    header = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: Page "), F.col("page_id").cast("string")), F.concat(F.lit("path: "), F.concat_ws(" > ", F.lit("Home"), host)), F.lit("---"))
-    return v.table(spark, d, "pages").select("page_id", header.alias("header"), F.substring(F.trim(F.regexp_replace("url", r"[^\w\s-]", "")), 1, 60).alias("file"))
+    i, url, host = F.col("page_id"), F.col("url"), F.regexp_extract("url", "//([^/]+)", 1)
+    none = F.array().cast("array<string>")
+    crumbs, labels = F.when(i % 2 == 0, F.array(F.lit("Home"), host)).otherwise(none), F.when(i % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none)
+    header = render.page_header("https://w", F.lit("ENG"), i, url, i % 5, F.lit("2024-01-02"), F.lit(None).cast("string"), crumbs, labels, F.lit("now"))
+    return v.table(spark, d, "pages").select("page_id", header.alias("header"), render.safe_filename(url, i).alias("file"))
 
 
-@query("src_jira_paged", """WITH a AS (SELECT conv_id, CAST(max(turn) AS BIGINT) AS updated, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id // 25 AS page, count(*) AS fetched, count(*) FILTER (n % 3 > 0) AS changed, max(updated) AS newest FROM a GROUP BY 1""")
+@query("src_jira_paged", "SELECT count(*) AS fetched, count(*) FILTER (conv_id % 3 <> 1) AS updated, max('2024-01-' || lpad(CAST(1 + conv_id % 28 AS VARCHAR), 2, '0')) AS newest FROM (SELECT DISTINCT conv_id FROM conversations)")
 def src_jira_paged(spark, d):
-    """Pages of 25 issues: how many came, how many differ from what is stored, and the newest update."""
-    a = v.table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").cast("long").alias("updated"), F.count("*").alias("n"))
-    return a.groupBy(F.floor(F.col("conv_id") / 25).cast("long").alias("page")).agg(F.count("*").alias("fetched"), F.count_if(F.col("n") % 3 > 0).alias("changed"), F.max("updated").alias("newest"))
+    """Fetched tickets against those that are stored: how many came, how many are new or changed (not by when they were fetched), and the newest update."""
+    i = F.col("conv_id")
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + i % 28).cast("string"), 2, "0"))
+    fetched = v.tickets(spark, d).select("key", "conv_id", "title", "comments", day.alias("updated"), F.lit("today").alias("_fetched_at"))
+    stored = fetched.filter("conv_id % 3 > 0").withColumn("title", F.when(i % 3 == 1, F.col("title")).otherwise("old")).withColumn("_fetched_at", F.lit("yesterday"))
+    counted = fetched.agg(F.count("*").alias("fetched")).crossJoin(t.changed_tickets(fetched, stored).agg(F.count("*").alias("updated")))  # a row each
+    return counted.crossJoin(t.newest(fetched)).select("fetched", "updated", F.col("last_updated").alias("newest"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -173,6 +176,24 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return raw.select("path", F.decode(F.col("content"), "UTF-8").alias("content"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write files (path, content) below root, each under its path, by the tasks that hold them."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = f"{base}/{path}"
+                where.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(target) as f:
+                    f.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    files.select("path", "content").mapInArrow(put, "n long").agg(F.sum("n")).collect()
+
+
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """The tree's documents: known suffixes, no skipped directories."""
     skip = "/(?:" + "|".join(d.replace(".", r"\.") for d in SKIP_DIRS) + ")/"

@@ -1,13 +1,14 @@
 """Operators on inline rows with results worked out by hand."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.api import KnowledgeBase, call_tool
 from lodestone.functions import text as x
-from lodestone.operators import graph, metrics, models, modules, review, search, sequences, store
+from lodestone.operators import explore, graph, metrics, models, modules, review, search, sequences, store
 from lodestone.sources import files, tickets
 from lodestone.sources.html_sections import sections
 
@@ -114,7 +115,7 @@ def test_modules(spark):
     m = spark.createDataFrame([("a", "A", 2), ("a/b", "B", 1)], "dir string, module string, ord int")
     assert values(modules.assign_exclusive(f, m)) == [("a/b/x.py", "B"), ("a/y.py", "A")]
     assert values(modules.orphan_prefix(f, m)) == [("a/b/x.py", "B", 3), ("a/y.py", "A", 1), ("z.py", "other", 0)]
-    assert values(modules.tree_counts(f)) == [("a", 1, 2), ("a/b", 1, 1)]
+    assert values(modules.tree_counts(f)) == [("a", 1, 2, 1), ("a/b", 1, 1, 0)]
 
 
 def test_search(spark):
@@ -162,3 +163,122 @@ def test_knowledge_base(spark):
     assert kb.remove(rows.select("doc_id").filter("doc_id = 1")).rows.count() == 1
     with pytest.raises(ValueError):
         call_tool(kb, "drop_everything")
+
+
+def test_search_in_blocks_is_that_at_once(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, [rng.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for k in range(150)]  # many ties
+    s = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    q = s.filter("doc_id % 3 = 0").withColumnRenamed("doc_id", "query_id")
+    for exclude in (False, True):
+        once = values(search.top_k(s, q, 4, exclude))
+        monkeypatch.setattr(search, "QUERY_BLOCK", 20)
+        monkeypatch.setattr(search, "STORE_BLOCK", 40)
+        assert values(search.top_k(s, q, 4, exclude)) == once and len(once) == 200
+        monkeypatch.undo()
+
+
+def test_text_ranking(spark):
+    rows = [(1, "the cat sat"), (2, "the dog sat on the Cat"), (3, None), (4, "dogs"), (5, "the cat sat")]
+    s = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(10, "CAT, cat!"), (11, "nothing here"), (12, None)], "query_id long, text string")
+    found = search.text_rank(s, q, 2).collect()
+    assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in found) == [(10, 1, 1), (10, 5, 2)]
+    both = search.hybrid(s.withColumn("embedding", F.array(F.lit(1.0))), q.withColumn("embedding", F.array(F.lit(1.0))), 3).collect()
+    assert {r["query_id"] for r in both} == {10, 11, 12}
+
+
+def test_probes_of_other_sources(spark):
+    rows = [(1, "code", [1.0, 0.0]), (2, "code", [0.9, 0.1]), (3, "doc", [0.5, 0.5]), (4, "ticket", [0.0, 1.0])]
+    s = spark.createDataFrame(rows, "doc_id long, source_type string, embedding array<double>")
+    q = s.filter("doc_id = 1").select(F.col("doc_id").alias("query_id"), "embedding")
+    hits = search.top_k(s, q, 2).join(s, "doc_id")
+    assert [(r["source_type"], r["doc_id"]) for r in search.cross_source_probe(hits, s, q).collect()] == [("doc", 3)]
+    kb = KnowledgeBase(spark, s.withColumn("text", F.lit("t")).withColumn("chunk_type", F.lit("raw_code")).withColumn("source_file", F.lit("f")).withColumn("module", F.lit("m")))
+    answer = kb.search_codebase(q.withColumn("query", F.lit("?")), 2).first()
+    assert answer["num_results"] == 2 and answer["result_files"] == ["f"] and answer["answer"].endswith("**Related knowledge in other sources:**\n- **Documentation**: `f`") and "```\nt\n```" in answer["answer"]
+    assert kb.search_codebase(q.limit(0).withColumn("query", F.lit("?"))).collect() == []
+
+
+def test_store_keys(spark):
+    old = spark.createDataFrame([(None, 1), ("a", 1)], "id string, v int")
+    new = spark.createDataFrame([(None, 2)], "id string, v int")
+    assert values(store.upsert(store.upsert(old, new, ["id"]), new, ["id"])) == [("a", 1), (None, 2)]
+    assert spark.range(1).select(store.metadata(b=F.lit("x"), a=F.lit(""), c=F.lit(None), d=F.lit(3))).first()[0] == {"b": "x", "d": "3"}
+
+
+def test_tool_loop():
+    said = []
+
+    def speak(messages, tools):
+        said.append(len(messages[0]["content"]))
+        if len(messages[0]["content"]) > 80:
+            raise ValueError("maximum context length")
+        return "", [("accept", {"x": 1})] if len(messages) > 1 else [("fail", {}), ("none", {"y": 2})]
+
+    def fail():
+        raise ValueError("no")
+
+    talk, end = models.tool_loop(speak, [{"role": "user", "content": "w" * 100}], {"accept": lambda x: models.ACCEPTED, "fail": fail}, max_rounds=4, trim=0.3)
+    assert end == {"x": 1} and [m["content"] for m in talk if m["role"] == "tool"] == ["error: no", "error: unknown tool none", models.ACCEPTED]
+    assert said[:3] == [100, 110, 80]  # as it is, then cut by 30 and 60 per cent, with a mark
+    with pytest.raises(ValueError):
+        models.tool_loop(lambda m, t: fail(), [], {})
+    assert models.tool_loop(lambda m, t: ("hi", []), [], {})[1] is None
+
+
+def test_reviews(spark):
+    rows = spark.createDataFrame([(1, "weak"), (2, "x" * 300), (3, "weaker")], "doc_id int, summary string")
+    say = lambda ts: ['{"keep": false, "improved": " better "}' if t == "weak" else "no JSON" for t in ts]
+    found = models.reviewed(rows, x.review_score(F.col("summary")), say)
+    assert values(found.select("doc_id", "edited", F.substring("summary", 1, 6))) == [(1, True, "better"), (2, False, "xxxxxx"), (3, False, "weaker")]
+    staged = spark.createDataFrame([(k, f"s{k}", [p], s) for k, p, s in ((1, "a/b", "pending"), (2, "a/../../b", "pending"), (3, "a", "indexed"), (4, None, "pending"))], "id int, summary string, source_files array<string>, status string")
+    decided = review.decide(staged, F.lit('{"decision": "edit", "final_summary": "new"}'))
+    assert values(decided.select("id", "decision", "summary", "status")) == [(1, "edit", "new", "edit"), (2, "reject", "s2", "rejected"), (3, None, "s3", "indexed"), (4, "edit", "new", "edit")]
+
+
+def test_trees(spark):
+    paths = ["setup.py", "README.md", "src/__init__.py", "src/Deep/er/and/more/still/x.py", ".git/config", "docs/README", "zz/index.js", "build/README"]
+    files_ = spark.createDataFrame([(p, "x" * 60) for p in paths], "path string, content string")
+    lines = [r["line"] for r in files.tree_lines(files_).orderBy("place").collect()]
+    assert lines[:8] == ["docs/", "  README", "src/", "  Deep/", "    er/", "      and/", "        more/", "  __init__.py"] and lines[-2:] == ["README.md", "setup.py"]
+    text = files.bundle_text(files_).first()[0]
+    titles = [p.split("\n")[0] for p in text.split("\n\n---\n\n")]
+    assert titles == ["## Directory Tree", "## setup.py", "## README.md", "## docs/README", "## src/__init__.py", "## zz/index.js"]
+    assert sorted(r[0] for r in files.module_files(files_.select("path"), ".").collect()) == ["README.md", "setup.py"]
+    assert [r[0] for r in files.module_files(files_.select("path"), "./docs/").collect()] == ["docs/README"]
+    many = spark.range(300).select(F.concat(F.lit("a/b"), (F.col("id") % 3).cast("string"), F.lit("/c/f"), F.col("id").cast("string")).alias("path"))
+    view = [r["line"] for r in modules.tree_view(many, 2, ("a/b1",)).orderBy("place").collect()]
+    assert view == ["  a/", "    b0/  (100 files, 1 subdirs)", "    b1/", "      c/\n        (100 files here)", "    b2/  (100 files, 1 subdirs)"]
+    assert modules.tree_view(files_.select("path")).count() == len(paths)
+
+
+def test_headers_of_classes(spark):
+    owners = spark.createDataFrame([("FooBar",), ("Gone",)], "name string")
+    headers = spark.createDataFrame([("inc/foo_bar.h", "// FooBar\nclass FooBar {\n};"), ("inc/foobar.hpp", "struct Other {};"), ("gone.h", "class Went {};")], "path string, content string")
+    found = graph.header_classes(owners, headers).collect()
+    assert [(r["name"], r["path"], r["snippet"].split("\n")[0]) for r in found] == [("FooBar", "inc/foo_bar.h", "// FooBar")]
+
+
+def test_explorer(spark):
+    tree = spark.createDataFrame([("src/a.py", "one\ntwo"), ("src/b/c.py", "three"), ("top.md", "four")], "path string, content string")
+    e = explore.Explorer(tree)
+    assert values(e.act("list_dir", ".")) == [("src", True, 2), ("top.md", False, 1)]
+    assert [r["window"] for r in e.act("read_files", ["src/a.py", "else/c.py", "../x", "no.py"]).orderBy("path").collect()] == ["[error: path traversal blocked: ../x]", "three", "[file not found: no.py]", "one\ntwo"]
+    assert values(e.act("search", "t[wh]")) == [("src/a.py", 2, "two"), ("src/b/c.py", 1, "three")]
+    assert [r["path"] for r in e.act("done").collect()] == [".", "../x", "else/c.py", "no.py", "src/a.py"]
+    with pytest.raises(ValueError):
+        e.act("delete")
+    one = lambda *xs: spark.createDataFrame([(q,) for q in xs], "question string")
+    assert values(explore.apply_questions(one("Where is A?", "why b"), one("why b", "", "new"), one("is a"))) == [("new",), ("why b",)]
+    gate = explore.coverage_gate(spark.createDataFrame([("a", 40), ("b", 40), ("c", 2)], "top string, n int"), spark.createDataFrame([("b",)], "top string"), F.lit(False))
+    assert [r["top"] for r in gate.filter("blocks").collect()] == ["a"]
+
+
+def test_paged_tickets(spark):
+    pages = {None: (['{"key": "A-1"}'], "t"), "t": (['{"key": "A-2"}', '{"key": "A-3"}'], None)}
+    raw = tickets.fetch_pages(pages.__getitem__, spark)
+    now = tickets.normalise(raw).withColumn("_fetched_at", F.lit("now"))
+    stored = now.filter("key <> 'A-3'").withColumn("_fetched_at", F.lit("then")).withColumn("title", F.when(F.col("key") == "A-1", "old").otherwise(F.col("title")))
+    assert sorted(r["key"] for r in tickets.changed_tickets(now, stored).collect()) == ["A-1", "A-3"]
+    assert tickets.newest(now).first()["last_updated"] is None and tickets.fetch_pages(lambda t: ([], "more"), spark).count() == 0
