@@ -95,6 +95,56 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A public byte-level vocabulary, whose id 1 ends a document.
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op11_harmonic(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_TOKENIZER) -> DataFrame:
+    from lodestone.llm.packing import pack
+    from lodestone.llm.sentencepiece import read_model
+
+    pieces = pack(_table(spark, sf_dir, "documents"), read_model(spark, tokenizer), 2048, end=1)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where a tenth of the documents, by the hash of their id, go on periodically from some word on."""
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\x20\x09-\x0D]+', 0)"))
+    counted = hashed.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    placed = counted.withColumn("a", F.expr("CAST(IF(n > 0, g % n, 0) AS INT)")).withColumn("p", F.expr("CAST(1 + (n - a) DIV (3 + g % 8) AS INT)"))
+    tail = "flatten(array_repeat(slice(words, a + 1, p), CAST(ceil((n - a) / p) AS INT)))"
+    return placed.select("doc_id", F.expr(f"CASE WHEN n > 0 THEN array_join(slice(concat(slice(words, 1, a), {tail}), 1, n), ' ') ELSE text END AS text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.periodic import collapse
+
+    found = collapse(_planted(_table(spark, sf_dir, "documents")), 24, 3, text=False)
+    best = F.expr(
+        "aggregate(runs, CAST(NULL AS STRUCT<start: BIGINT, length: BIGINT, period: BIGINT>), (best, r) -> IF(best IS NULL OR r.length * best.period > best.length * r.period, r, best))"
+    )
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, chr(10))), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.col("kept_sha256").alias("collapsed_sha256"),
+    )
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.negatives import mine
+
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings").withColumn("label", label), vec_id % 100 == 0, 5, 5, 80, 100, scale=256)
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_html": op2_html,
@@ -106,6 +156,9 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_exact": op9_exact,
     "op10_decontam": op10_decontam,
+    "op11_harmonic": op11_harmonic,
+    "op12_periodic": op12_periodic,
+    "op13_negatives": op13_negatives,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: DuckDB SQL for those that SQL can express over whole tables.
@@ -164,4 +217,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
         FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op13_negatives": r"""
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS alike, CAST(list_sum(list_transform(list_zip(a.v, e.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM e AS a JOIN e ON a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), n AS (
+            SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+            FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
 }
