@@ -110,7 +110,7 @@ def op11_harmonic(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_TOKENI
 def _planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text) where a tenth of the documents, by the hash of their id, go on periodically from some word on."""
     hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    words = F.when(F.col("h") % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\x20\x09-\x0D]+', 0)"))
+    words = F.when(F.col("h") % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)"))
     counted = hashed.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
     placed = counted.withColumn("a", F.expr("CAST(IF(n > 0, g % n, 0) AS INT)")).withColumn("p", F.expr("CAST(1 + (n - a) DIV (3 + g % 8) AS INT)"))
     tail = "flatten(array_repeat(slice(words, a + 1, p), CAST(ceil((n - a) / p) AS INT)))"

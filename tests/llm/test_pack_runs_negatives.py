@@ -236,9 +236,14 @@ def test_periodic_query(spark, tmp_path):
 
 
 def test_runs_of_awkward_rows(spark, awkward, nothing):
-    rows = periodic.collapse(awkward).collect()
-    docs = sorted(((i, " ".join((t or "").split())) for i, t, *_ in awkward_rows()), key=repr)
-    assert sorted(((r["doc_id"], r["kept_text"]) for r in rows), key=repr) == docs  # none repeats that long
+    want = []
+    for i, t, *_ in awkward_rows():
+        words = (t or "").split()
+        q = next((q for q in range(1, len(words) // 3) if words[q : 20_000] == words[: min(len(words), 20_000) - q]), None) if len(words) > 1000 else None
+        runs = [(0, 20_000, q)] if q else runs_of(words) if len(words) <= 1000 else []
+        want.append((i, runs, collapsed(words, runs)))
+    rows = [(r["doc_id"], [tuple(x) for x in r["runs"]], r["kept_text"]) for r in periodic.collapse(awkward).collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr) and sum(bool(r) for _, r, _ in want) == 2
     assert periodic.collapse(nothing).collect() == [] and periodic.collapse(awkward, text=False).schema == periodic.collapse(awkward).schema
 
 
