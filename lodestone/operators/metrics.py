@@ -102,3 +102,10 @@ def format_tokens(n: Column) -> Column:
         t = F.floor(n / F.lit(unit) * 10 + 0.5).cast("long")
         return F.concat(F.floor(t / 10).cast("long").cast("string"), F.lit("."), (t % 10).cast("string"))
     return F.when(n >= 1_000_000, F.concat(scaled(1e6), F.lit("M"))).when(n >= 1_000, F.concat(scaled(1e3), F.lit("K"))).otherwise(n.cast("string"))
+
+
+def store_counts(rows: DataFrame, types: tuple[str, ...] = ("code", "doc", "ticket")) -> DataFrame:
+    """(source_type, n): a store's rows of each type, 0 included, and in all as total."""
+    of = [F.count_if(F.col("source_type") == t).alias(t) for t in types]
+    counts = rows.agg(*of, F.count("*").alias("total"))
+    return counts.unpivot([], [*types, "total"], "source_type", "n")

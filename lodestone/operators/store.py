@@ -82,13 +82,6 @@ def replacement_id(error: Column) -> Column:
     return F.nullif(F.regexp_extract(error, "([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}) already exists", 1), F.lit(""))
 
 
-def create_or_replace(rows: DataFrame, new: DataFrame, errors: DataFrame) -> DataFrame:
-    """rows (id, ...) with new (id, ...) created; where creating failed with errors (id, error) that name a document, that one goes and new's row comes; other failures leave rows as they are."""
-    named = errors.select("id", replacement_id(F.col("error")).alias("existing"))
-    failed = named.filter("existing IS NULL").select("id")
-    return upsert(rows.join(named.filter("existing IS NOT NULL").select(F.col("existing").alias("id")), "id", "left_anti"), new.join(failed, "id", "left_anti"), ["id"])
-
-
 def add_to_kb(contributions: DataFrame) -> DataFrame:
     """contributions (doc_id, topic, summary, source_files, raw_code) to the rows that are indexed at once: (doc_id, text, source_file, chunk_type, status)."""
     file = F.coalesce(F.get("source_files", F.lit(0)), F.lit("unknown"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import metrics as m
+from lodestone.operators.ledger import Ledger
 from lodestone.plans import views as v
-from lodestone.plans.registry import query
+from lodestone.plans.registry import folder, query
 
 WITHOUT = "CASE WHEN num_results = 0 THEN 6500 ELSE greatest(n_files, 2) * 3000 + 1000 END"
 COSTED = f"{v.QUERY_LOG}, costed AS (SELECT *, CAST({WITHOUT} AS BIGINT) AS without_kb, CAST(approx_tokens + 200 AS BIGINT) AS with_kb FROM qlog)"
@@ -138,9 +139,14 @@ def top_modules_saved(spark, d):
     return g.select("module", (F.col("without_kb") - F.col("with_kb")).alias("saved")).orderBy(F.desc("saved"), "module").limit(3)
 
 
-@query("snk_clear_stats", f"WITH {v.KB} SELECT coalesce(source_type, 'total') AS source_type, count(*) AS n FROM kb GROUP BY GROUPING SETS ((source_type), ())")
+@query("snk_clear_stats", f"""WITH {v.KB}, k AS (SELECT unnest(['code', 'doc', 'ticket', 'total']) AS source_type), t AS (SELECT coalesce(source_type, 'total') AS source_type, count(*) AS n FROM kb GROUP BY GROUPING SETS ((source_type), ()))
+    SELECT 'filled' AS stage, source_type, coalesce(n, 0) AS n FROM k LEFT JOIN t USING (source_type) UNION ALL SELECT 'cleared', source_type, 0 FROM k""")
 def snk_clear_stats(spark, d):
-    return v.kb(spark, d).groupBy("source_type").agg(F.count("*").alias("n")).union(v.kb(spark, d).agg(F.lit("total"), F.count("*").alias("n")))
+    """Rows of a store by source type and in all, before and after it is cleared."""
+    store = Ledger(spark, folder(spark), ["doc_id"])
+    filled = store.upsert(v.kb(spark, d).select("doc_id", "source_type", "module"))
+    store.clear()
+    return m.store_counts(store.read(filled.version)).withColumn("stage", F.lit("filled")).unionByName(m.store_counts(store.read()).withColumn("stage", F.lit("cleared")))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import render
 from lodestone.operators import build, search
 from lodestone.operators import store as st
+from lodestone.operators.ledger import Ledger, create_or_replace
 from lodestone.operators.models import lesson_allowed
 from lodestone.plans import views as v
 from lodestone.plans.registry import folder, query
@@ -33,10 +34,14 @@ _META = "array_to_string(list_filter(['chunk_type=' || chunk_type, 'module=' ||
 @query("snk_upsert_local", f"""WITH {v.ENTRIES}, k AS (SELECT *, {KIND} AS kind FROM en WHERE NOT {SKIP} AND trim(summary) <> ''), r AS (SELECT DISTINCT substr(sha256(trim(summary) || '|' || {_META}), 1, 24) AS id, source_file, doc_id % 3 = 0 AS late FROM k)
     SELECT id, min(source_file) AS source_file, 3 - CAST(bool_or(late) AS INTEGER) AS version FROM r GROUP BY 1""")
 def snk_upsert_local(spark, d):
-    """Entries as rows of the store, of which a third comes again: the later version takes the place of the earlier one, and nothing is there twice."""
-    rows = st.knowledge_rows(v.entries(spark, d), "code").select("id", F.col("meta")["source_file"].alias("source_file")).withColumn("version", F.lit(3))
-    late = st.knowledge_rows(v.entries(spark, d).filter("doc_id % 3 = 0"), "code").select("id", F.col("meta")["source_file"].alias("source_file")).withColumn("version", F.lit(2))
-    return st.upsert(st.upsert(rows, late, ["id"]), late, ["id"])
+    """Entries put into a store that persists, of which a third comes again: the later version takes the place of the earlier one, in the buckets that it touches, and nothing is there twice."""
+    kb = Ledger(spark, folder(spark), ["id"])
+    rows = lambda e, version: st.knowledge_rows(e, "code").select("id", "text", "meta", F.lit(version).alias("version"))
+    kb.upsert(rows(v.entries(spark, d), 3))
+    late = rows(v.entries(spark, d).filter("doc_id % 3 = 0"), 2)
+    kb.upsert(late)
+    kb.upsert(late)
+    return kb.read().select("id", F.col("meta")["source_file"].alias("source_file"), "version")
 
 
 @query("snk_doc_chunks", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'summary of ' || doc_id END AS text, 'documentation' AS module, 'doc_summary' AS chunk_type FROM documents")
@@ -69,28 +74,42 @@ def snk_user_entries(spark, d):
 _UID = "substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) || '-0000-4000-8000-000000000000'"
 
 
-@query("snk_create_or_replace", f"SELECT CASE WHEN doc_id % 3 = 0 THEN 'new' || doc_id ELSE {_UID} END AS id FROM documents")
+@query("snk_create_or_replace", f"SELECT CASE doc_id % 3 WHEN 0 THEN 'new' || doc_id ELSE {_UID} END AS id, text FROM documents UNION ALL SELECT 'new' || doc_id, text FROM documents WHERE doc_id % 3 = 1")
 def snk_create_or_replace(spark, d):
-    """Creating a third of the documents anew fails, as they exist under another id: that one goes; other failures change nothing."""
+    """Every document is created anew: for a third that fails, as they exist under another id, which goes; a third is new; a third fails for another reason and stays as it is."""
     i = F.col("doc_id")
     uid = F.concat(F.substring(F.md5(i.cast("string")), 1, 8), F.lit("-0000-4000-8000-000000000000"))
-    docs = v.table(spark, d, "documents").select("doc_id", uid.alias("uid"), F.concat(F.lit("new"), i.cast("string")).alias("new"))
-    tried = docs.filter("doc_id % 3 < 2")
-    errors = tried.select(F.col("new").alias("id"), F.when(i % 3 == 0, F.concat(F.lit("Document "), "uid", F.lit(" already exists"))).otherwise("timeout").alias("error"))
-    return st.create_or_replace(docs.select(F.col("uid").alias("id")), tried.select(F.col("new").alias("id")), errors)
+    docs = v.table(spark, d, "documents").select("doc_id", uid.alias("uid"), F.concat(F.lit("new"), i.cast("string")).alias("new"), "text")
+    kb = Ledger(spark, folder(spark), ["id"])
+    kb.upsert(docs.select(F.col("uid").alias("id"), "text"))
+    error = F.when(i % 3 == 0, F.concat(F.lit("Document "), "uid", F.lit(" already exists"))).when(i % 3 == 2, "timeout")
+    errors = docs.select(F.col("new").alias("id"), error.alias("error")).filter("error IS NOT NULL")
+    create_or_replace(kb, docs.select(F.col("new").alias("id"), "text"), errors, st.replacement_id)
+    return kb.read()
 
 
 @query("snk_purge", f"WITH {v.ENTRIES} SELECT doc_id, source_file FROM en WHERE source_file NOT IN (SELECT DISTINCT source_file FROM en WHERE doc_id % 10 = 0)")
 def snk_purge(spark, d):
-    e = v.entries(spark, d)
-    return st.purge(e, e.filter("doc_id % 10 = 0").select("source_file").distinct(), ["source_file"]).select("doc_id", "source_file")
+    """The entries of files that were indexed again go from the store, and only the buckets that hold some are rewritten."""
+    e = v.entries(spark, d).select("doc_id", "source_file", "summary")
+    kb = Ledger(spark, folder(spark), ["source_file", "doc_id"])
+    kb.upsert(e)
+    kb.purge(e.filter("doc_id % 10 = 0"), by=["source_file"])
+    return kb.read().select("doc_id", "source_file")
 
 
-@query("snk_purge_orphans", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("snk_purge_orphans", """SELECT doc_id, source_file FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'drafts/' || doc_id || '.md' ELSE source || '/' || doc_id END AS source_file, doc_id % 2 = 1 AS contributed FROM documents)
+    WHERE NOT contributed OR source_file IS NULL OR source_file IN (SELECT source || '/' || doc_id FROM documents)""")
 def snk_purge_orphans(spark, d):
-    """Contributions whose source is gone (customers without orders)."""
-    gone = v.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return v.table(spark, d, "customer").select("c_custkey").join(gone, "c_custkey", "left_anti")
+    """Contributions whose source file is gone leave the store; those without a file, and what was no contribution, stay."""
+    i = F.col("doc_id")
+    file = F.when(i % 4 == 1, F.concat(F.lit("drafts/"), i.cast("string"), F.lit(".md"))).when(i % 4 != 0, F.concat_ws("/", "source", i.cast("string")))
+    kind = F.when(i % 2 == 1, "user_contribution").otherwise("reference")
+    kb = Ledger(spark, folder(spark), ["doc_id"])
+    kb.upsert(v.table(spark, d, "documents").select("doc_id", file.alias("source_file"), kind.alias("source_kind"), "text"))
+    contributed = kb.read().filter("source_kind = 'user_contribution' AND source_file <> ''")
+    kb.purge(contributed.join(v.current(spark, d).select(F.col("path").alias("source_file")), "source_file", "left_anti"))
+    return kb.read().select("doc_id", "source_file")
 
 
 @query("snk_add_to_kb", """SELECT doc_id, source AS source_file, 'indexed' AS status, '[' || lang || '] ' || text AS text, 'function_summary' AS chunk_type FROM documents
