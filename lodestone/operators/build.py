@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import render
@@ -60,6 +60,33 @@ def function_cards(chunks: DataFrame, summaries: DataFrame, least: int = 2) -> D
     return g.select("path", "island", name.alias("name"), F.lit(-3).alias("chunk_index"), listed.alias("summaries"), render.head_and_tail(code).alias("code")).filter(F.size("summaries") > 0)
 
 
+#: What a model says of a function of several chunks; questions of a chunk are a list or one text.
+PREPASS = "summary STRING, params ARRAY<STRING>, chunk_questions ARRAY<STRING>"
+
+
+def function_contexts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """(path, chunk_index, context) for the chunks of functions of several: what their summaries should know.
+
+    chunks (path, chunk_index, island, chunk); answers (path, island, answer): JSON of
+    PREPASS, fenced or not.  Each chunk gets the function's summary, parameters and its
+    own questions.  Where there is no answer, or none that can be read, the chunks
+    after the first are told what they continue.
+    """
+    w = Window.partitionBy("path", "island").orderBy("chunk_index")
+    named = chunks.select("path", "island", "chunk_index", F.row_number().over(w).alias("i"), F.first(F.coalesce(x.function_name(F.col("chunk")), F.lit("unknown"))).over(w).alias("name"))
+    said = named.join(answers.select("path", "island", F.from_json(x.strip_fence(F.col("answer")), PREPASS).alias("a")), ["path", "island"], "left")
+    read = F.col("a.summary").isNotNull() | F.col("a.params").isNotNull() | F.col("a.chunk_questions").isNotNull()
+    several = said.withColumn("n", F.max("i").over(Window.partitionBy("path", "island"))).filter("n > 1")
+    summary = F.coalesce("a.summary", F.concat("name", F.lit(": unknown purpose")))
+    own = F.when(F.col("i") == 1, F.concat(F.lit("[Function: "), "name", F.lit("] "))).otherwise(F.concat(F.lit("[Continuation of "), "name", F.lit("()] ")))
+    params = F.when(F.size("a.params") > 0, F.concat(F.lit("Parameters: "), F.array_join("a.params", "; ")))
+    asked = F.get("a.chunk_questions", F.col("i") - 1)
+    questions = F.when(F.startswith(asked, F.lit("[")), F.array_join(F.from_json(asked, "ARRAY<STRING>"), "; ")).otherwise(asked)
+    full = F.concat_ws("\n", F.concat(own, summary), params, F.concat(F.lit("Focus on: "), F.nullif(questions, F.lit(""))))
+    fallback = F.when(F.col("i") > 1, F.concat(F.lit("[Continuation of "), "name", F.lit("()]")))
+    return several.select("path", "chunk_index", F.when(F.coalesce(read, F.lit(False)), full).otherwise(fallback).alias("context")).filter("context IS NOT NULL")
+
+
 def import_map(files: DataFrame, assigned: DataFrame, definitions: DataFrame) -> DataFrame:
     """(module, n_files, coverage): the files of each definition (module, ...), also of those without any, and of "other"; coverage is the whole per cent of files that have a definition."""
     placed = files.select("path").distinct().join(assigned.select("path", "module"), "path", "left")

@@ -42,6 +42,28 @@ def line_windows(files: DataFrame, step: int = 60, length: int = 70, max_chars:
     return each.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), F.substring(text, 1, max_chars).alias("text")).filter(F.trim(F.col("text")) != "")
 
 
+def function_groups(chunks: DataFrame, name: Column, keys: list[str], order: str, text: str = "text", overlap: int = 10) -> DataFrame:
+    """chunks with island, which numbers the functions of a key in order, each of one chunk or several.
+
+    A chunk goes on with the function of the one before if both have the same name, or
+    if its first ``overlap`` lines, white space around them aside, stand within the
+    last ones of the chunk before and the line after them is indented.  name is an
+    expression over a chunk; a chunk of no more lines than overlap goes on by name only.
+    """
+    lines = F.filter(F.split(F.regexp_replace(F.col(text), r"\n$", ""), r"\r\n|\n|\r"), lambda x: x.isNotNull())
+    join = lambda x: F.array_join(x, "\n")
+    last = F.slice("_lines", F.greatest(F.size("_lines") - (overlap - 1), F.lit(1)), F.lit(overlap))
+    said = chunks.withColumn("_lines", lines).withColumns({
+        "_name": name, "_head": stripped(join(F.slice("_lines", 1, overlap))), "_tail": join(last), "_inside": F.coalesce(F.get("_lines", F.lit(overlap)).rlike(r"^[ \t]"), F.lit(False)),
+    }).drop("_lines")
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = said.withColumn("_prev", F.lag(F.struct("_name", "_tail")).over(w))
+    overlaps = F.col("_inside") & (F.col("_head") != "") & F.contains(F.col("_prev._tail"), F.col("_head"))
+    start = F.when(F.coalesce((F.col("_prev._name") == F.col("_name")), F.lit(False)) | F.coalesce(overlaps, F.lit(False)), 0).otherwise(1)
+    numbered = before.withColumn("_start", start).withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.drop("_name", "_head", "_tail", "_inside", "_prev", "_start")
+
+
 def stripped(text: Column) -> Column:
     """A text without white space of any script before and behind it."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -9,6 +9,7 @@ from lodestone.functions import text as x
 from lodestone.operators import build, explore, review
 from lodestone.operators import graph as g
 from lodestone.operators import modules as m
+from lodestone.operators import sequences as seq
 from lodestone.plans import catalog_text as t
 from lodestone.plans import views as v
 from lodestone.plans.registry import query
@@ -271,28 +272,28 @@ def grp_overview_rows(spark, d):
     return row(e, -1, "file_overview").unionByName(row(e.filter("chunk_type = 'class_overview'"), -2, "class_overview"))
 
 
-_ISLANDS = "ls AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS st FROM conversations), isl AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS island FROM ls)"
+def _grouped(spark, d):
+    return seq.function_groups(v.functions(spark, d), x.function_name(F.col("text")), ["path"], "chunk_index").withColumnRenamed("text", "chunk")
 
 
-@query("grp_function_cards", f"""WITH {_ISLANDS}, k AS (SELECT conv_id, CAST(island AS BIGINT) AS island, string_agg(text, chr(10) ORDER BY turn) AS code, list('Chunk ' || turn || ': s' ORDER BY turn) FILTER (turn % 4 < 3) AS summaries, count(*) AS n FROM isl GROUP BY 1, 2)
-    SELECT 'c' || conv_id AS path, island, -3 AS chunk_index, summaries, CASE WHEN length(code) > 6000 THEN substr(code, 1, 3000) || chr(10) || chr(10) || '... [truncated] ...' || chr(10) || chr(10) || right(code, 2000) ELSE code END AS code FROM k WHERE n > 1 AND summaries IS NOT NULL""")
+@query("grp_function_cards", f"""WITH {v.FUNCTIONS}, k AS (SELECT path, island, coalesce(first(name ORDER BY chunk_index), 'unknown') AS name, string_agg(text, chr(10) ORDER BY chunk_index) AS code, list('Chunk ' || chunk_index || ': s' ORDER BY chunk_index) FILTER (chunk_index % 4 < 3) AS summaries, count(*) AS n FROM fng GROUP BY 1, 2)
+    SELECT path, island, CASE WHEN name IS NULL THEN 'unknown' ELSE name END AS name, -3 AS chunk_index, summaries, CASE WHEN length(code) > 6000 THEN substr(code, 1, 3000) || chr(10) || chr(10) || '... [truncated] ...' || chr(10) || chr(10) || right(code, 2000) ELSE code END AS code FROM k WHERE n > 1 AND summaries IS NOT NULL""")
 def grp_function_cards(spark, d):
-    """A card for each function (here: run of turns of one role) of several chunks."""
-    from lodestone.operators.sequences import islands
-
-    i = islands(v.table(spark, d, "conversations"), ["conv_id"], ["turn"], F.col("_prev.role") == F.col("role"))
-    chunks = i.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.col("turn").alias("chunk_index"), "island", F.col("text").alias("chunk"))
+    """A card for each function of several windows, of which a quarter has no summary."""
+    chunks = _grouped(spark, d)
     said = chunks.filter("chunk_index % 4 < 3").select("path", "chunk_index", F.lit("s").alias("summary"))
-    return build.function_cards(chunks, said).drop("name")
+    return build.function_cards(chunks, said)
 
 
-@query("grp_func_prepass", f"WITH {_ISLANDS}, r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, island ORDER BY turn) AS i FROM isl) SELECT conv_id, turn, '[Continuation of ' || role || '()]' AS context FROM r WHERE i > 1")
+@query("grp_func_prepass", f"""WITH {v.FUNCTIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY path, island ORDER BY chunk_index) AS i, first_value(coalesce(name, 'unknown')) OVER (PARTITION BY path, island ORDER BY chunk_index) AS fn, count(*) OVER (PARTITION BY path, island) AS n FROM fng)
+    SELECT path, chunk_index, CASE WHEN island % 3 = 0 THEN CASE WHEN i = 1 THEN '[Function: ' || fn || '] ' ELSE '[Continuation of ' || fn || '()] ' END || 'reads ' || path || chr(10) || 'Parameters: x: input; y: output' || CASE i WHEN 1 THEN chr(10) || 'Focus on: what is checked' WHEN 2 THEN chr(10) || 'Focus on: when it ends; what is left' ELSE '' END
+        ELSE '[Continuation of ' || fn || '()]' END AS context FROM r WHERE n > 1 AND (i > 1 OR island % 3 = 0)""")
 def grp_func_prepass(spark, d):
-    from lodestone.operators.sequences import islands
-
-    i = islands(v.table(spark, d, "conversations"), ["conv_id"], ["turn"], F.col("_prev.role") == F.col("role"))
-    r = i.withColumn("i", F.row_number().over(Window.partitionBy("conv_id", "island").orderBy("turn")))
-    return r.filter("i > 1").select("conv_id", "turn", F.concat(F.lit("[Continuation of "), "role", F.lit("()]")).alias("context"))
+    """What the windows of a function should know; a model has spoken of a third of the functions, of another third in no JSON."""
+    chunks = _grouped(spark, d)
+    told = F.to_json(F.struct(F.concat(F.lit("reads "), "path").alias("summary"), F.array(F.lit("x: input"), F.lit("y: output")).alias("params"), F.array(F.array(F.lit("what is checked")), F.array(F.lit("when it ends"), F.lit("what is left"))).alias("chunk_questions")))
+    answer = F.when(F.col("island") % 3 == 0, F.concat(F.lit("```json\n"), told, F.lit("\n```"))).otherwise("I cannot tell")
+    return build.function_contexts(chunks, chunks.filter("island % 3 < 2").select("path", "island", answer.alias("answer")).distinct())
 
 
 @query("grp_explorer_state", """WITH s AS (SELECT n_regionkey AS k, list('f' || n_nationkey ORDER BY 'f' || n_nationkey) AS files FROM nation WHERE n_nationkey < 15 GROUP BY 1)

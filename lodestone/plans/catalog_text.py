@@ -279,12 +279,10 @@ def win_chunk_dedup(spark, d):
     return seq.dedup_chunks(v.table(spark, d, "documents"), "text", "doc_id").select("doc_id", "first_id", "is_duplicate")
 
 
-@query("win_function_groups", """WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations), s AS (SELECT *, CASE WHEN prev = role THEN 0 ELSE 1 END AS start FROM l)
-    SELECT conv_id, turn, CAST(sum(start) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM s""")
+@query("win_function_groups", f"WITH {v.FUNCTIONS} SELECT path, chunk_index, island FROM fng")
 def win_function_groups(spark, d):
-    """Consecutive chunks of one name (here: turns of one role) form an island."""
-    t = v.table(spark, d, "conversations").select("conv_id", "turn", "role")
-    return seq.islands(t, ["conv_id"], ["turn"], F.col("_prev.role") == F.col("role")).select("conv_id", "turn", "island")
+    """Windows of source files that go on with the function of the window before, by its name or by what they share with it."""
+    return seq.function_groups(v.functions(spark, d), x.function_name(F.col("text")), ["path"], "chunk_index").select("path", "chunk_index", "island")
 
 
 @query("win_recent_comments", """WITH c AS (SELECT conv_id, turn, substr(text, 1, 300) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE turn > 0)

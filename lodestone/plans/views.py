@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import sequences as seq
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -164,3 +166,22 @@ def current(spark: SparkSession, d: str) -> DataFrame:
 MANIFEST = """old AS (
     SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN 'stale' ELSE substr(sha256(text), 1, 16) END AS hash, CASE WHEN doc_id % 4 > 0 THEN 1 ELSE 0 END AS n_ids
     FROM documents WHERE doc_id % 10 <> 0), cur AS (SELECT source || '/' || doc_id AS path, substr(sha256(text), 1, 16) AS hash, doc_id FROM documents)"""
+
+
+def functions(spark: SparkSession, d: str) -> DataFrame:
+    """(path, chunk_index, text): overlapping windows of a source tree whose files hold the words of `documents`, a line each, in functions of some 97 lines."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\n]+"), F.lit(0))
+    line = lambda w, i: F.when(i % 97 == 0, F.concat(F.lit("def f"), F.floor(i / 97).cast("string"), F.lit("(x):"))).when(i % 13 == 5, w).otherwise(F.concat(F.lit("    "), w))
+    files = table(spark, d, "documents").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.array_join(F.transform(words, line), "\n").alias("content"))
+    return seq.line_windows(files)
+
+
+FUNCTIONS = r"""fnl AS (
+    SELECT concat_ws('/', source, CAST(doc_id AS VARCHAR)) AS path, list_transform(regexp_extract_all(coalesce(text, ''), '[^ \n]+'),
+           lambda w, i: CASE WHEN (i - 1) % 97 = 0 THEN 'def f' || ((i - 1) // 97) || '(x):' WHEN (i - 1) % 13 = 5 THEN w ELSE '    ' || w END) AS lines FROM documents),
+    fnw AS (SELECT path, lines, unnest(generate_series(1, greatest(len(lines), 1), 60)) AS start FROM fnl),
+    fnc AS (SELECT path, (start - 1) // 60 AS chunk_index, substr(array_to_string(lines[start:start + 69], chr(10)), 1, 4000) AS text FROM fnw),
+    fnx AS (SELECT *, string_split(text, chr(10)) AS ls FROM fnc WHERE trim(text) <> ''),
+    fnp AS (SELECT *, nullif(regexp_extract(array_to_string(ls[1:5], chr(10)), 'def (f[0-9]+)', 1), '') AS name, trim(array_to_string(ls[1:10], chr(10))) AS head, array_to_string(ls[greatest(len(ls) - 9, 1):len(ls)], chr(10)) AS tail, coalesce(ls[11], '') LIKE ' %' AS inside FROM fnx),
+    fno AS (SELECT *, lag(name) OVER o AS pname, lag(tail) OVER o AS ptail FROM fnp WINDOW o AS (PARTITION BY path ORDER BY chunk_index)),
+    fng AS (SELECT path, chunk_index, text, name, CAST(sum(CASE WHEN name = pname OR (inside AND head <> '' AND contains(ptail, head)) THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM fno)"""
