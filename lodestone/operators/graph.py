@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import class_name, mention_sentence
+from lodestone.operators.modules import ancestors
 
 # Names too common to count as calls.
 NOISE = (
@@ -83,18 +84,28 @@ def called_by_suffix(summaries: DataFrame, edges: DataFrame, k: int = 5) -> Data
     return j.withColumn("summary", F.when(F.col("callee").isNotNull() & ~said, new).otherwise(F.col("summary"))).drop("callee", "callers", "n_callers")
 
 
+def _first_two(symbols: DataFrame, key: str) -> DataFrame:
+    """(key, first, second) of symbols (key, ord, file, symbol): the first one, and the first in another file than that."""
+    by_file = symbols.groupBy(key, "file").agg(F.min(F.struct("ord", "file", "symbol")).alias("s"))
+    ranked = by_file.withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy("s"))).filter("i <= 2")
+    return ranked.groupBy(key).agg(F.min("s").alias("first"), F.max(F.when(F.col("i") == 2, F.col("s"))).alias("second"))
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """calls (call_id, file, callee) with the known symbol (symbol, file, ord) that they mean.
 
     Exact names first; else the only one of that base name; else one in another
-    file, then the first.  Unknown callees are dropped.
+    file, then the first.  Unknown callees are dropped.  A name's symbols are folded
+    to two before the join, so it gives no more rows than there are calls.
     """
     bare = lambda c: F.element_at(F.split(c, "::"), -1)
-    c = calls.withColumn("base", bare(F.col("callee")))
-    s = symbols.select("symbol", F.col("file").alias("symbol_file"), "ord", bare(F.col("symbol")).alias("base"))
-    j = c.join(s, "base")
-    w = Window.partitionBy("call_id").orderBy(F.desc(F.col("symbol") == F.col("callee")), F.desc(F.col("symbol_file") != F.col("file")), "ord")
-    return j.withColumn("i", F.row_number().over(w)).filter("i = 1").select("call_id", "callee", "symbol")
+    known = symbols.select("symbol", "file", "ord", bare(F.col("symbol")).alias("base"))
+    exact = _first_two(known.withColumn("callee", F.col("symbol")), "callee").select("callee", F.struct("first", "second").alias("_exact"))
+    alike = _first_two(known, "base").select("base", F.struct("first", "second").alias("_alike"))
+    j = calls.withColumn("base", bare(F.col("callee"))).join(exact, "callee", "left").join(alike, "base", "left")
+    found = F.coalesce("_exact", "_alike")
+    meant = F.when((found["first"]["file"] != F.col("file")) | found["second"].isNull(), found["first"]["symbol"]).otherwise(found["second"]["symbol"])
+    return j.select("call_id", "callee", meant.alias("symbol")).filter("symbol IS NOT NULL")
 
 
 def declared_classes(chunks: DataFrame, key: str) -> DataFrame:
@@ -143,3 +154,85 @@ def doc_mentions(symbols: DataFrame, hits: DataFrame) -> DataFrame:
     met = symbols.select("symbol").distinct().join(hits, "symbol").filter(F.contains(F.lower("text"), F.lower(bare)))
     snippet = F.concat(F.lit("["), F.coalesce("source_file", F.lit("docs")), F.lit("] "), mention_sentence(F.col("text"), bare))
     return met.groupBy("symbol").agg(F.min(F.struct("rank", snippet.alias("snippet"))).alias("first")).select("symbol", "first.snippet")
+
+
+#: Letters of a gram by which names meet words.
+GRAM = 3
+
+
+def _grams(word: Column, sizes: list[int]) -> Column:
+    """array<string>: the distinct substrings of a word of these sizes."""
+    of = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def first_mentions(names: DataFrame, docs: DataFrame) -> DataFrame:
+    """(name, doc_id) for each of names (name) that some document (doc_id, text) contains in any case, also within words: the first one.
+
+    A name of letters, digits and underscores lies within one such word of a text.  So
+    the documents are folded to their words with the first document of each, and names
+    meet words, not texts: by the gram of a name that the fewest words have.  A name of
+    other characters is looked for by its longest word, then in the texts that have it;
+    one without any in no text.
+    """
+    low = names.select("name", F.lower("name").alias("low")).distinct()
+    longest = F.array_max(F.transform(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    low = low.withColumn("probe", longest).filter("probe IS NOT NULL")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
+    vocabulary = words.groupBy("word").agg(F.min("doc_id").alias("doc_id"))
+
+    sizes = list(range(1, GRAM + 1))
+    met = vocabulary.select("word", "doc_id", F.explode(_grams(F.col("word"), sizes)).alias("gram"))
+    asked = low.select("name", "low", "probe", F.explode(_grams(F.col("probe"), sizes)).alias("gram")).filter(F.length("gram") == F.least(F.length("probe"), F.lit(GRAM)))
+    counted = met.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counted, "gram").groupBy("name", "low", "probe").agg(F.min(F.struct("n", "gram")).alias("r")).select("name", "low", "probe", "r.gram")
+    found = met.join(rarest, "gram").filter(F.contains("word", "probe")).select("name", "low", "probe", "word", "doc_id")
+    plain = found.filter("low = probe").select("name", "doc_id")
+    rest = found.filter("low <> probe").select("name", "low", "word").join(words, "word").select("name", "low", "doc_id").distinct()
+    rest = rest.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains(F.lower("text"), "low")).select("name", "doc_id")
+    return plain.unionByName(rest).groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty, "." and ".." parts; what leads above the root is null."""
+    none = F.array().cast("array<string>")
+    step = lambda a, p: F.when(p.isin("", "."), a).when(p != "..", F.array_append(a, p)).when(F.size(a) > 0, F.slice(a, 1, F.size(a) - 1))
+    return F.aggregate(F.split(path, "/"), none, step, lambda a: F.array_join(a, "/"))
+
+
+def resolve_references(references: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = ("", ".h", ".hpp")) -> DataFrame:
+    """(path, ref, target): the file or directory that each reference (path, ref) of a file means; without one none.
+
+    Tried in this order: the reference as a path, the reference beside the file with
+    each suffix, the first file of its base name with each suffix.  Lookups are by
+    equality, each pair of directory and reference once.
+    """
+    asked = references.select("path", "ref", F.coalesce(F.nullif(F.regexp_extract("path", "^(.*)/", 1), F.lit("")), F.lit("")).alias("home"))
+    pairs = asked.select("home", "ref").distinct()
+    base = F.element_at(F.split("ref", "/"), -1)
+    beside = F.concat_ws("/", F.nullif(F.col("home"), F.lit("")), "ref")
+    tries = [(normal_path(F.col("ref")), False), *((normal_path(F.concat(beside, F.lit(s))), False) for s in suffixes), *((F.concat(base, F.lit(s)), True) for s in suffixes)]
+    each = pairs.select("home", "ref", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), t.alias("key"), F.lit(by).alias("by_name")) for k, (t, by) in enumerate(tries)])))
+    paths = files.select("path").distinct()
+    places = paths.select(F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("key")).distinct().select("key", F.col("key").alias("target"))
+    names = paths.groupBy(F.element_at(F.split("path", "/"), -1).alias("key")).agg(F.min("path").alias("target"))
+    index = places.withColumn("by_name", F.lit(False)).unionByName(names.withColumn("by_name", F.lit(True)))
+    best = each.join(index, ["key", "by_name"]).groupBy("home", "ref").agg(F.min(F.struct("k", "target")).alias("b"))
+    return asked.join(best, ["home", "ref"]).select("path", "ref", "b.target")
+
+
+def reference_context(chunks: DataFrame, files: DataFrame, most: int = 3, first: int = 6, lines: int = 40) -> DataFrame:
+    """(id, context) of chunks (id, path, refs): the heads of the files that a chunk's references mean.
+
+    Of the first references, each once, up to ``most`` whose file (path, content) says
+    more than 20 characters give its first lines, and how many more it has.
+    """
+    numbered = chunks.select("id", "path", F.posexplode(F.array_distinct(F.slice("refs", 1, first))).alias("i", "ref"))
+    meant = resolve_references(numbered.select("path", "ref").distinct(), files)
+    split = F.split(F.regexp_replace("content", r"\n$", ""), "\n")
+    more = F.when(F.size(split) > lines, F.concat(F.lit("\n... ("), (F.size(split) - lines).cast("string"), F.lit(" more lines)"))).otherwise("")
+    heads = files.select(F.col("path").alias("target"), F.concat(F.array_join(F.slice(split, 1, lines), "\n"), more).alias("head")).filter(F.length(F.regexp_replace("head", r"(?U)^\s+|\s+$", "")) > 20)
+    told = numbered.join(meant, ["path", "ref"]).join(heads.select("target"), "target", "left_semi")
+    kept = told.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("i"))).filter(F.col("k") <= most)
+    part = F.concat(F.lit("["), "target", F.lit("]\n"), "head")
+    return kept.join(heads, "target").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", part.alias("part")))).alias("p")).select("id", F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("context"))

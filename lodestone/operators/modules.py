@@ -24,11 +24,32 @@ def assign_exclusive(files: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def orphan_prefix(files: DataFrame, modules: DataFrame) -> DataFrame:
-    """(path, module, score): the module with the longest directory above the path, by characters; else "other"."""
-    near = files.select("path", F.explode_outer(ancestors(F.col("path"))).alias("dir"))
-    j = near.join(modules.select("dir", "module", "ord"), "dir", "left")
-    best = j.groupBy("path").agg(F.max(F.when(F.col("module").isNotNull(), F.struct(F.length("dir").alias("n"), (-F.col("ord")).alias("o"), F.col("module")))).alias("m"))
-    return best.select("path", F.coalesce("m.module", F.lit("other")).alias("module"), F.coalesce("m.n", F.lit(0)).alias("score"))
+    """(path, module, score): the module (dir, module, ord) that is nearest to each path; "other" and 0 where none is near.
+
+    A directory that is the path or one above it scores its characters; any other
+    scores the leading components that it has in common with the path.  The highest
+    score wins, then the smallest ord.  Both are looked up by equality: the first
+    among a path's ancestors, the second in a trie of the directories, a table with a
+    row for each directory's ancestors that names the first directories below it,
+    of two different children, as one of them may be on the path's own way.
+    """
+    whole = F.concat(ancestors(F.col("path")), F.array("path"))
+    paths = files.select("path").distinct()
+    near = paths.select("path", F.posexplode(whole).alias("i", "dir"))
+    first = modules.groupBy("dir").agg(F.min(F.struct("ord", "module")).alias("m"))
+    above = near.join(first, "dir").select("path", F.length("dir").alias("score"), "m.ord", "m.module")
+
+    steps = modules.select(F.posexplode(F.concat(ancestors(F.col("dir")), F.array("dir"))).alias("n", "child"), "dir", "ord", "module")
+    below = steps.filter("n > 0").select(F.regexp_replace("child", "/[^/]*$", "").alias("node"), "child", "ord", "module")
+    least = below.groupBy("node", "child").agg(F.min(F.struct("ord", "module")).alias("m"))
+    ranked = least.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("m", "child"))).filter("k <= 2")
+    trie = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "child", "m"))).alias("least"))
+    way = paths.select("path", whole.alias("way")).select("path", F.posexplode("way").alias("i", "node"), "way")
+    other = F.get(F.filter("least", lambda x: ~x["child"].eqNullSafe(F.get("way", F.col("i") + 1))), F.lit(0))
+    beside = way.join(trie, "node").select("path", (F.col("i") + 1).alias("score"), other.alias("x")).filter("x IS NOT NULL").select("path", "score", "x.m.ord", "x.m.module")
+
+    best = above.unionByName(beside).groupBy("path").agg(F.max(F.struct("score", (-F.col("ord")).alias("o"), "module")).alias("b"))
+    return paths.join(best, "path", "left").select("path", F.coalesce("b.module", F.lit("other")).alias("module"), F.coalesce("b.score", F.lit(0)).alias("score"))
 
 
 def coverage(assigned: DataFrame) -> DataFrame:

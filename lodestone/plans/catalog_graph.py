@@ -109,11 +109,9 @@ def jn_doc_mentions(spark, d):
     """For each symbol (a word of the documents whose ids are divisible by 50) the first document that names it, with the sentence."""
     docs = v.table(spark, d, "documents").select("doc_id", "text")
     word = F.regexp_extract("text", "[a-z]{5,9}", 0)
-    symbols = docs.filter("doc_id % 50 = 0").select(F.concat(F.lit("Ns::"), F.upper(word)).alias("symbol"), word.alias("word")).filter("word <> ''").distinct()
-    symbols = F.broadcast(symbols) if symbols.count() <= 50_000 else symbols  # words of one language family; a comparison either way
-    hits = docs.join(symbols, F.contains(F.lower("text"), F.col("word"))).select("symbol", F.col("doc_id").alias("rank"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_file"), "text")
-    first = hits.groupBy("symbol").agg(F.min(F.struct("rank", "source_file", "text")).alias("h")).select("symbol", "h.*")
-    return g.doc_mentions(first.select("symbol"), first)
+    symbols = docs.filter("doc_id % 50 = 0").select(F.concat(F.lit("Ns::"), F.upper(word)).alias("symbol"), word.alias("name")).filter("name <> ''").distinct()
+    first = g.first_mentions(symbols, docs).join(symbols, "name").join(docs, "doc_id")
+    return g.doc_mentions(symbols, first.select("symbol", F.col("doc_id").alias("rank"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_file"), "text"))
 
 
 MODULES = "md AS (SELECT 'd' || (n_nationkey % 7) AS sub, n_nationkey AS ord, 'M' || n_regionkey AS module, CASE n_nationkey % 3 WHEN 0 THEN 'src' WHEN 1 THEN 'lib' ELSE 'core' END AS top FROM nation), mod AS (SELECT CASE WHEN ord % 4 = 0 THEN top ELSE top || '/' || sub END AS dir, module, ord FROM md)"
@@ -134,9 +132,24 @@ def jn_assign_exclusive(spark, d):
     return m.assign_exclusive(v.files(spark, d), modules(spark, d))
 
 
-@query("jn_orphan_prefix", f"WITH {v.FILES}, {MODULES}, b AS (SELECT path, arg_max(module, (length(dir), -ord, module)) AS module, max(length(dir)) AS score FROM fl JOIN mod ON starts_with(path, dir || '/') GROUP BY 1) SELECT path, coalesce(module, 'other') AS module, coalesce(CAST(score AS INTEGER), 0) AS score FROM (SELECT DISTINCT path FROM fl) LEFT JOIN b USING (path)")
+#: The module's own directories, and deeper ones that no file is in.
+_DEEP = "deep AS (SELECT dir, module, ord FROM mod UNION ALL SELECT dir || '/d1/x' || ord, 'D' || ord, ord + 100 FROM mod UNION ALL SELECT 'tests/d' || (ord % 7) || '/deep', 'T' || ord, ord + 200 FROM mod)"
+_NEAREST = """sc AS (SELECT path, module, ord, CASE WHEN path = dir OR starts_with(path, dir || '/') THEN length(dir) ELSE
+        coalesce(list_position(list_transform(list_zip(string_split(path, '/'), string_split(dir, '/')), lambda z: z[1] = z[2] AND z[1] IS NOT NULL AND z[2] IS NOT NULL), false), 1) - 1 END AS score FROM (SELECT DISTINCT path FROM fl), deep),
+    best AS (SELECT path, arg_max(module, (score, -ord, module)) AS module, max(score) AS score FROM sc WHERE score > 0 GROUP BY 1)"""
+
+
+def _deep(spark, d):
+    own, o = modules(spark, d), F.col("ord")
+    under = own.select(F.concat("dir", F.lit("/d1/x"), o.cast("string")).alias("dir"), F.concat(F.lit("D"), o.cast("string")).alias("module"), (o + 100).alias("ord"))
+    tests = own.select(F.concat(F.lit("tests/d"), (o % 7).cast("string"), F.lit("/deep")).alias("dir"), F.concat(F.lit("T"), o.cast("string")).alias("module"), (o + 200).alias("ord"))
+    return own.unionByName(under).unionByName(tests)
+
+
+@query("jn_orphan_prefix", f"WITH {v.FILES}, {MODULES}, {_DEEP}, {_NEAREST} SELECT path, coalesce(module, 'other') AS module, coalesce(CAST(score AS INTEGER), 0) AS score FROM (SELECT DISTINCT path FROM fl) LEFT JOIN best USING (path)")
 def jn_orphan_prefix(spark, d):
-    return m.orphan_prefix(v.files(spark, d), modules(spark, d))
+    """Files to the module whose directory is above them, else to the one with the most leading components in common."""
+    return m.orphan_prefix(v.files(spark, d), _deep(spark, d))
 
 
 @query("jn_map_merge", f"WITH {_ASSIGNED}, new AS (SELECT path, 'N' || length(path) % 3 AS module FROM fl WHERE file_id % 5 = 0) SELECT module, count(*) AS n_files FROM (SELECT path, module FROM new UNION ALL SELECT path, module FROM asg WHERE path NOT IN (SELECT path FROM new)) GROUP BY 1")
@@ -194,12 +207,12 @@ def grp_import_map(spark, d):
     return build.import_map(f, m.assign_exclusive(f, modules(spark, d)), modules(spark, d))
 
 
-@query("grp_discover", f"WITH {_ASSIGNED}, o AS (SELECT path FROM fl WHERE path NOT IN (SELECT path FROM asg)) SELECT module, count(*) AS n_files FROM (SELECT module FROM asg UNION ALL SELECT 'other' FROM o) GROUP BY 1")
+@query("grp_discover", f"WITH {_ASSIGNED}, {_DEEP}, {_NEAREST}, o AS (SELECT DISTINCT path FROM fl WHERE path NOT IN (SELECT path FROM asg)) SELECT module, count(*) AS n_files FROM (SELECT module FROM asg UNION ALL SELECT coalesce(module, 'other') FROM o LEFT JOIN best USING (path)) GROUP BY 1")
 def grp_discover(spark, d):
     """Assign, give orphans to the nearest module, else to "other"; persist as a map."""
     f = v.files(spark, d)
     done = m.assign_exclusive(f, modules(spark, d))
-    rest = m.orphan_prefix(f.join(done.select("path"), "path", "left_anti"), modules(spark, d)).select("path", "module")
+    rest = m.orphan_prefix(f.join(done.select("path"), "path", "left_anti"), _deep(spark, d)).select("path", "module")
     return done.unionByName(rest).groupBy("module").agg(F.count("*").alias("n_files"))
 
 

@@ -141,9 +141,23 @@ def str_calls_from_code(spark, d):
     return chunks(spark, d).select("doc_id", x.calls_from_code(F.col("chunk")).alias("calls"))
 
 
-@query("str_cross_refs", f"""WITH {CHUNKS} SELECT doc_id, list_concat(list_concat(regexp_extract_all(chunk, '#include\\s*[<"]([^>"]+)[>"]', 1), list_transform(regexp_extract_all(chunk, '(?:from|import)\\s+([\\w.]+)', 1), lambda r: replace(r, '.', '/'))), regexp_extract_all(chunk, '(\\w+)::\\w+', 1)) AS refs FROM ck""")
+@query("str_cross_refs", rf"""WITH {v.TREE}, r AS (SELECT path, list_concat(list_concat(regexp_extract_all(content, '#include\s*[<"]([^>"]+)[>"]', 1), list_transform(regexp_extract_all(content, '(?:from|import)\s+([\w.]+)', 1), lambda r: replace(r, '.', '/'))), regexp_extract_all(content, '(\w+)::\w+', 1)) AS refs FROM tr),
+    u AS (SELECT path, i, refs[i] AS ref FROM (SELECT *, unnest(generate_series(1, least(6, len(refs)))) AS i FROM r) WHERE list_position(refs, refs[i]) = i),
+    dirs AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/') AS key FROM (SELECT path, unnest(generate_series(1, len(string_split(path, '/')))) AS n FROM tr)),
+    nm AS (SELECT string_split(path, '/')[-1] AS key, min(path) AS target FROM tr GROUP BY 1),
+    c AS (SELECT path, i, ref, k, CASE WHEN k = 0 THEN ref WHEN k < 4 THEN regexp_replace(regexp_extract(path, '^(.*)/', 1) || '/' || ref || ['', '.h', '.hpp'][k], '[^/]+/[.][.]/', '') ELSE string_split(ref, '/')[-1] || ['', '.h', '.hpp'][k - 3] END AS key FROM (SELECT *, unnest(generate_series(0, 6)) AS k FROM u)),
+    h AS (SELECT c.path, i, k, coalesce(dirs.key, nm.target) AS target FROM c LEFT JOIN dirs ON k < 4 AND dirs.key = c.key LEFT JOIN nm ON k >= 4 AND nm.key = c.key),
+    b AS (SELECT path, i, arg_min(target, k) AS target FROM h WHERE target IS NOT NULL GROUP BY 1, 2),
+    s AS (SELECT path AS target, array_to_string(string_split(regexp_replace(content, '\n$', ''), chr(10))[1:40], chr(10)) || CASE WHEN len(string_split(regexp_replace(content, '\n$', ''), chr(10))) > 40 THEN chr(10) || '... (' || (len(string_split(regexp_replace(content, '\n$', ''), chr(10))) - 40) || ' more lines)' ELSE '' END AS head FROM tr),
+    t AS (SELECT path, target, head, row_number() OVER (PARTITION BY path ORDER BY i) AS k FROM b JOIN s USING (target)),
+    x AS (SELECT path, string_agg('[' || target || ']' || chr(10) || head, chr(10) || chr(10) ORDER BY k) AS context FROM t WHERE k <= 3 GROUP BY 1)
+    SELECT r.path, refs, context FROM r LEFT JOIN x ON x.path = r.path""")
 def str_cross_refs(spark, d):
-    return chunks(spark, d).select("doc_id", x.cross_references(F.col("chunk")).alias("refs"))
+    """The references of each source file, and the heads of the files that they mean."""
+    files = v.tree(spark, d)
+    chunks = files.select(F.col("path").alias("id"), "path", x.cross_references(F.col("content")).alias("refs"))
+    context = g.reference_context(chunks, files)
+    return chunks.join(context, "id", "left").select("path", "refs", "context")
 
 
 @query("str_struct_features", rf"""WITH {CHUNKS}, l AS (SELECT doc_id, string_split(chunk, chr(10)) AS lines FROM ck)

@@ -185,3 +185,18 @@ FUNCTIONS = r"""fnl AS (
     fnp AS (SELECT *, nullif(regexp_extract(array_to_string(ls[1:5], chr(10)), 'def (f[0-9]+)', 1), '') AS name, trim(array_to_string(ls[1:10], chr(10))) AS head, array_to_string(ls[greatest(len(ls) - 9, 1):len(ls)], chr(10)) AS tail, coalesce(ls[11], '') LIKE ' %' AS inside FROM fnx),
     fno AS (SELECT *, lag(name) OVER o AS pname, lag(tail) OVER o AS ptail FROM fnp WINDOW o AS (PARTITION BY path ORDER BY chunk_index)),
     fng AS (SELECT path, chunk_index, text, name, CAST(sum(CASE WHEN name = pname OR (inside AND head <> '' AND contains(ptail, head)) THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY chunk_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM fno)"""
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): source files of `documents` that include and import one another, by path, by place and by a name that several have."""
+    i = F.col("doc_id")
+    s = lambda *p: F.concat(*[F.lit(q) if isinstance(q, str) else q.cast("string") for q in p])
+    name = F.when(i % 5 == 0, s("util", i % 40, ".h")).when(i % 5 == 1, s("m", i, ".py")).when(i % 5 == 2, s("m", i % 40, ".hpp")).when(i % 5 == 3, s("Cls", i % 40, ".h")).otherwise(s("sub/n", i, ".h"))
+    head = s('#include "util', (i + 5) % 40, '.h"\n#include "../p0/Cls3.h"\n#include <sub/n', i + 4 - i % 5, '.h>\nimport p', F.floor(i / 80), ".m", i % 40, "\nCls", i % 90, "::run();\nimport p1\n")
+    return table(spark, d, "documents").select(s("p", F.floor(i / 40), "/", name).alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("content"))
+
+
+TREE = """tr AS (
+    SELECT 'p' || (doc_id // 40) || '/' || CASE doc_id % 5 WHEN 0 THEN 'util' || (doc_id % 40) || '.h' WHEN 1 THEN 'm' || doc_id || '.py' WHEN 2 THEN 'm' || (doc_id % 40) || '.hpp' WHEN 3 THEN 'Cls' || (doc_id % 40) || '.h' ELSE 'sub/n' || doc_id || '.h' END AS path,
+           '#include "util' || ((doc_id + 5) % 40) || '.h"' || chr(10) || '#include "../p0/Cls3.h"' || chr(10) || '#include <sub/n' || (doc_id + 4 - doc_id % 5) || '.h>' || chr(10) || 'import p' || (doc_id // 80) || '.m' || (doc_id % 40) || chr(10) || 'Cls' || (doc_id % 90) || '::run();' || chr(10) || 'import p1' || chr(10) || coalesce(text, '') AS content
+    FROM documents)"""
