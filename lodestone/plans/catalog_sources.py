@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import render
+from lodestone.operators.ledger import Ledger
 from lodestone.plans import views as v
 from lodestone.plans.registry import folder, query
 from lodestone.sources import files as s
@@ -146,14 +147,14 @@ _PATCH = "'  f' || l_linenumber || '.py (+' || l_linenumber || '/-0)' || chr(10)
 
 
 @query("src_mr_fetch", f"""WITH RECURSIVE p AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS i, {_PATCH} AS line FROM lineitem), f AS (SELECT l_orderkey, i, line, sum(length(line)) OVER (PARTITION BY l_orderkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM p WHERE i <= 20),
-    c AS (SELECT l_orderkey, min(i) FILTER (upto > 2000) AS stop FROM f GROUP BY 1)
+    c AS (SELECT l_orderkey, min(i) FILTER (upto > 4000) AS stop FROM f GROUP BY 1)
     SELECT l_orderkey, 'PR #' || l_orderkey || ': t' || chr(10) || 'body' || chr(10) || 'Changed files:' || chr(10) || concat_ws(chr(10), string_agg(line, chr(10) ORDER BY i) FILTER (stop IS NULL OR i < stop), CASE WHEN max(stop) IS NOT NULL THEN '  ... (diff truncated)' END) AS text FROM f JOIN c USING (l_orderkey) GROUP BY 1""")
 def src_mr_fetch(spark, d):
-    """Merge requests in brief: at most 20 files, patches cut to 800 characters, until the first file that would pass the limit (2,000 here)."""
+    """Merge requests in brief: at most 20 files, patches cut to 800 characters, until the first file that would pass the limit."""
     n = F.col("l_linenumber")
     file = F.struct(F.concat(F.lit("f"), n.cast("string"), F.lit(".py")).alias("filename"), n.alias("additions"), F.lit(0).alias("deletions"), F.repeat(F.lit("x"), (F.col("l_quantity") * 30).cast("int")).alias("patch"))
     g = v.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", file.alias("f")))).alias("fs"))
-    return g.select("l_orderkey", render.request_text("PR #", F.col("l_orderkey"), F.lit("t"), F.lit("body"), F.transform("fs", lambda y: y["f"]), 2000).alias("text"))
+    return g.select("l_orderkey", render.request_text("PR #", F.col("l_orderkey"), F.lit("t"), F.lit("body"), F.transform("fs", lambda y: y["f"]), 4000).alias("text"))
 
 
 @query("src_jira_jql", """SELECT r_regionkey, CASE r_regionkey % 3 WHEN 0 THEN 'project = R0 AND ' WHEN 1 THEN 'project in (R0, R' || r_regionkey || ') AND ' ELSE '' END || 'status in (Done, Closed)' || CASE WHEN r_regionkey % 2 = 0 THEN ' AND updated >= -' || r_regionkey || 'd' ELSE '' END AS jql FROM region""")
@@ -181,8 +182,11 @@ def src_adf_text(spark, d):
 @query("src_confluence", r"""WITH p AS (SELECT page_id, url, page_id % 5 AS version FROM pages ORDER BY page_id LIMIT 500), m AS (SELECT page_id, page_id % 4 AS version FROM pages WHERE page_id % 2 = 0)
     SELECT p.page_id, p.url FROM p LEFT JOIN m USING (page_id) WHERE regexp_matches(p.url, '(?i)EXAMPLE') AND NOT regexp_matches(p.url, '(?i)/DE/') AND (m.version IS NULL OR m.version <> p.version)""")
 def src_confluence(spark, d):
-    """Of a listing's first 500 pages (the limit of a fetch) those whose title fits and whose version is not there yet."""
-    listing = v.table(spark, d, "pages").select("page_id", "url", F.col("url").alias("title"), (F.col("page_id") % 5).alias("version"))
+    """Of a paged listing's first 500 pages (the limit of a fetch) those whose title fits and whose version is not there yet."""
+    at = folder(spark)
+    told = v.table(spark, d, "pages").select(F.expr("page_id DIV 50").alias("page"), F.to_json(F.struct("page_id", "url", (F.col("page_id") % 5).alias("version"))).alias("value"))
+    told.write.partitionBy("page").text(at)
+    listing = wiki.listing(spark, at, "page_id long, url string, version long").withColumn("title", F.col("url"))
     manifest = v.table(spark, d, "pages").filter("page_id % 2 = 0").select("page_id", (F.col("page_id") % 4).alias("version"))
     return wiki.pages_to_fetch(listing, manifest, "EXAMPLE", "/DE/").select("page_id", "url")
 
@@ -205,12 +209,36 @@ def src_page_frontmatter(spark, d):
     return v.table(spark, d, "pages").select("page_id", header.alias("header"), render.safe_filename(url, i).alias("file"))
 
 
-@query("src_jira_paged", "SELECT count(*) AS fetched, count(*) FILTER (conv_id % 3 <> 1) AS updated, max('2024-01-' || lpad(CAST(1 + conv_id % 28 AS VARCHAR), 2, '0')) AS newest FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query("src_jira_paged", """WITH t AS (SELECT DISTINCT conv_id, conv_id // 100 AS page FROM conversations), h AS (SELECT max(page) // 2 AS half FROM t)
+    SELECT count(*) AS fetched, count(*) FILTER (page > half) AS resumed, count(*) FILTER (page > half OR conv_id % 3 = 1) AS updated, max('2024-01-' || lpad(CAST(1 + conv_id % 28 AS VARCHAR), 2, '0')) AS newest FROM t, h""")
 def src_jira_paged(spark, d):
-    """Fetched tickets against those that are stored: how many came, how many are new or changed (not by when they were fetched), and the newest update."""
+    """A paged interface, followed as a stream into a store: half of the pages come, then all others with what a third of the first half's tickets has changed to.
+
+    How many tickets are fetched in all, how many came after the restart, how many are new or changed then, and the newest update.
+    """
     i = F.col("conv_id")
     day = F.concat(F.lit("2024-01-"), F.lpad((1 + i % 28).cast("string"), 2, "0"))
-    fetched = v.tickets(spark, d).select("key", "conv_id", "title", "comments", day.alias("updated"), F.lit("today").alias("_fetched_at"))
-    stored = fetched.filter("conv_id % 3 > 0").withColumn("title", F.when(i % 3 == 1, F.col("title")).otherwise("old")).withColumn("_fetched_at", F.lit("yesterday"))
-    counted = fetched.agg(F.count("*").alias("fetched")).crossJoin(t.changed_tickets(fetched, stored).agg(F.count("*").alias("updated")))  # a row each
-    return counted.crossJoin(t.newest(fetched)).select("fetched", "updated", F.col("last_updated").alias("newest"))
+    issue = lambda title: F.to_json(F.struct("key", F.struct(title.alias("summary"), F.col("description"), F.struct(F.col("status").alias("name")).alias("status"), day.alias("updated")).alias("fields")))
+    rows = v.tickets(spark, d).withColumn("page", F.expr("conv_id DIV 100"))
+    half = rows.agg(F.expr("max(page) DIV 2")).first()[0] or 0
+    at = folder(spark)
+    store = Ledger(spark, f"{at}/store", ["key"])
+
+    def land(some, title, shift):
+        some.select((F.col("page") + shift).alias("page"), issue(title).alias("value")).write.mode("append").partitionBy("page").text(f"{at}/pages")
+
+    def follow(number):
+        keep = lambda batch, _: t.keep_changed(t.normalise(batch), store, run=F.lit(number))
+        q = t.follow_pages(spark, f"{at}/pages").writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    first = rows.filter(F.col("page") <= half)
+    land(first, F.col("title"), 0)
+    follow(1)
+    land(rows.filter(F.col("page") > half), F.col("title"), 0)
+    last = rows.agg(F.max("page")).first()[0] or 0
+    land(first.filter("conv_id % 3 < 2"), F.when(i % 3 == 1, "changed").otherwise(F.col("title")), last + 1)
+    follow(2)
+    kept = store.read()
+    came = kept.agg(F.count("*").alias("fetched"), F.count_if((F.col("run") == 2) & (F.col("title") != "changed")).alias("resumed"), F.count_if(F.col("run") == 2).alias("updated"))
+    return came.crossJoin(t.newest(kept)).select("fetched", "resumed", "updated", F.col("last_updated").alias("newest"))  # a row each

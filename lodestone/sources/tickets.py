@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lodestone.operators.ledger import Ledger
+from lodestone.operators.store import latest
+from lodestone.sources import paged
+
 ISSUE = (
     "key string, fields struct<summary: string, description: string, status: struct<name: string>, resolution: struct<name: string>, issuetype: struct<name: string>, priority: struct<name: string>, "
     "assignee: struct<displayName: string>, reporter: struct<displayName: string>, labels: array<string>, components: array<struct<name: string>>, fixVersions: array<struct<name: string>>, parent: struct<key: string>, "
@@ -26,19 +29,29 @@ def jql(projects: Column, since: Column, statuses: Column) -> Column:
     return F.concat_ws(" AND ", project, status, F.when(since != "", F.concat(F.lit("updated >= "), since)))
 
 
-def fetch_pages(search: Callable[[str | None], tuple[list[str], str | None]], spark: SparkSession) -> DataFrame:
-    """(value): the issues' JSON of all pages of a cursor: search(token) gives a page's issues and the next token, null at the end.
+def fetch_pages(spark: SparkSession, url: str, **options: str) -> DataFrame:
+    """(cursor, place, value): the issues' JSON of all pages of a paged interface; see lodestone.sources.paged."""
+    paged.register(spark)
+    return spark.read.format("paged").options(url=url, **options).load()
+
+
+def follow_pages(spark: SparkSession, url: str, **options: str) -> DataFrame:
+    """As fetch_pages, as a stream that goes on where its checkpoint stands."""
+    paged.register(spark)
+    return spark.readStream.format("paged").options(url=url, **options).load()
 
-    The cursor is walked by the driver, as it must be; an empty page ends it.
-    """
-    token, pages = None, []
-    while True:
-        issues, token = search(token)
-        if issues:
-            pages.append(spark.createDataFrame([(i,) for i in issues], "value string"))
-        if not issues or token is None:
-            break
-    return reduce(DataFrame.union, pages) if pages else spark.createDataFrame([], "value string")
+
+def keep_changed(batch: DataFrame, store: Ledger, **extra: Column) -> None:
+    """Put a batch of normalised tickets (key, ...) into the store, but for those that it holds just so; of a key that comes twice, the newest stays."""
+    new = latest(batch, ["key"], "updated").persist()  # pages are fetched once, unless an executor is lost
+    try:
+        changed = new
+        if store.snapshot().schema is not None:
+            known = store.lookup(new)
+            changed = changed_tickets(new, known.select(*[c for c in known.columns if c not in extra]))
+        store.upsert(changed.withColumns(extra))
+    finally:
+        new.unpersist()
 
 
 def changed_tickets(fetched: DataFrame, stored: DataFrame) -> DataFrame:

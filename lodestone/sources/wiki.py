@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources import paged
+
+
+def listing(spark: SparkSession, url: str, schema: str, **options: str) -> DataFrame:
+    """The pages of a space that a paged interface lists, with the fields of schema; its pages are fetched side by side."""
+    paged.register(spark)
+    raw = spark.read.format("paged").options(url=url, **options).load()
+    return raw.select(F.from_json("value", schema).alias("x")).select("x.*")
+
 
 def pages_to_fetch(listing: DataFrame, manifest: DataFrame, include: str | None = None, exclude: str | None = None, max_pages: int = 500) -> DataFrame:
     """The rows of listing (page_id, title, version, ...) to fetch.
