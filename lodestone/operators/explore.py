@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import modules
+from lodestone.operators.graph import GRAM, grams
 from lodestone.sources import files as source
 
 #: What a module is known by at first, and at most.
@@ -30,11 +31,13 @@ def apply_updates(state: DataFrame, new: DataFrame, updates: DataFrame) -> DataF
 def apply_questions(open_questions: DataFrame, new: DataFrame, resolved: DataFrame) -> DataFrame:
     """(question): the open ones and the new ones, once each, without those that contain a resolved one in any case.
 
-    Resolved questions are those of one observation, a handful.
+    Both meet by a gram of the resolved one, so neither needs to be small.
     """
     every = open_questions.select("question").unionByName(new.select("question")).filter("question <> ''").distinct()
-    done = F.broadcast(resolved.select(F.lower("question").alias("done")).filter("done <> ''").limit(1000))  # of one observation
-    return every.join(done, F.contains(F.lower("question"), F.col("done")), "left_anti")
+    done = resolved.select(F.lower("question").alias("done")).filter("done <> ''").distinct()
+    first = done.select("done", F.substring("done", 1, GRAM).alias("gram"))
+    met = every.select("question", F.explode(grams(F.lower("question"), list(range(1, GRAM + 1)))).alias("gram")).join(first, "gram")
+    return every.join(met.filter(F.contains(F.lower("question"), F.col("done"))).select("question").distinct(), "question", "left_anti")
 
 
 class Explorer:

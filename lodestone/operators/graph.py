@@ -160,7 +160,7 @@ def doc_mentions(symbols: DataFrame, hits: DataFrame) -> DataFrame:
 GRAM = 3
 
 
-def _grams(word: Column, sizes: list[int]) -> Column:
+def grams(word: Column, sizes: list[int]) -> Column:
     """array<string>: the distinct substrings of a word of these sizes."""
     of = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - (n - 1)), lambda i: F.substring(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(*[of(n) for n in sizes]))
@@ -182,8 +182,8 @@ def first_mentions(names: DataFrame, docs: DataFrame) -> DataFrame:
     vocabulary = words.groupBy("word").agg(F.min("doc_id").alias("doc_id"))
 
     sizes = list(range(1, GRAM + 1))
-    met = vocabulary.select("word", "doc_id", F.explode(_grams(F.col("word"), sizes)).alias("gram"))
-    asked = low.select("name", "low", "probe", F.explode(_grams(F.col("probe"), sizes)).alias("gram")).filter(F.length("gram") == F.least(F.length("probe"), F.lit(GRAM)))
+    met = vocabulary.select("word", "doc_id", F.explode(grams(F.col("word"), sizes)).alias("gram"))
+    asked = low.select("name", "low", "probe", F.explode(grams(F.col("probe"), sizes)).alias("gram")).filter(F.length("gram") == F.least(F.length("probe"), F.lit(GRAM)))
     counted = met.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asked.join(counted, "gram").groupBy("name", "low", "probe").agg(F.min(F.struct("n", "gram")).alias("r")).select("name", "low", "probe", "r.gram")
     found = met.join(rarest, "gram").filter(F.contains("word", "probe")).select("name", "low", "probe", "word", "doc_id")

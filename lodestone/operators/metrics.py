@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Dollars per million input and output tokens by model; token estimates of a question.
@@ -109,3 +109,16 @@ def store_counts(rows: DataFrame, types: tuple[str, ...] = ("code", "doc", "tick
     of = [F.count_if(F.col("source_type") == t).alias(t) for t in types]
     counts = rows.agg(*of, F.count("*").alias("total"))
     return counts.unpivot([], [*types, "total"], "source_type", "n")
+
+
+COST = "agent string, phase string, prompt long, completion long, ts timestamp"
+
+
+def append_cost(calls: DataFrame, path: str) -> None:
+    """Append calls (agent, phase, prompt, completion, ts) to the cost log, a JSON line each."""
+    calls.select("agent", "phase", F.col("prompt").cast("long"), F.col("completion").cast("long"), "ts").write.mode("append").json(path)
+
+
+def read_cost(spark: SparkSession, path: str) -> DataFrame:
+    """The cost log; lines that cannot be parsed are dropped."""
+    return spark.read.schema(COST).option("mode", "DROPMALFORMED").json(path)

@@ -257,8 +257,9 @@ def agg_kb_gap(spark, d):
 
 @query("agg_category_counts", f"WITH {v.ENTRIES} SELECT coalesce(chunk_category, '*') AS category, coalesce(search_value, '*') AS value, count(*) AS n FROM en GROUP BY GROUPING SETS ((chunk_category), (search_value), ())")
 def agg_category_counts(spark, d):
-    v.entries(spark, d).createOrReplaceTempView("_entries")
-    return spark.sql("SELECT coalesce(chunk_category, '*') AS category, coalesce(search_value, '*') AS value, count(*) AS n FROM _entries GROUP BY GROUPING SETS ((chunk_category), (search_value), ())")
+    c, y = F.col("chunk_category"), F.col("search_value")
+    grouped = v.entries(spark, d).groupingSets([[c], [y], []], c, y).agg(F.count("*").alias("n"))
+    return grouped.select(F.coalesce(c, F.lit("*")).alias("category"), F.coalesce(y, F.lit("*")).alias("value"), "n")
 
 
 _WORK = f"""{t.CHUNKS}, w AS (SELECT 'f' || (doc_id % 20) AS path, doc_id AS chunk_index, chunk, doc_id % 3 AS known, CASE WHEN doc_id % 9 IN (0, 3) AND NOT {t._KEY} THEN w ELSE {t._OWNER} END AS class FROM ck), todo AS (SELECT * FROM w WHERE known <> 1),
@@ -311,9 +312,9 @@ def grp_func_prepass(spark, d):
 
 @query("grp_explorer_state", """WITH s AS (SELECT n_regionkey AS k, list('f' || n_nationkey ORDER BY 'f' || n_nationkey) AS files FROM nation WHERE n_nationkey < 15 GROUP BY 1)
     SELECT 'M' || k AS module, CASE WHEN k % 2 = 0 THEN list_sort(list_distinct(list_concat(files, ['f0', 'x' || k]))) ELSE files END AS files, CASE WHEN k % 2 = 0 THEN least(0.95::DOUBLE, 0.5::DOUBLE + CASE WHEN k = 0 THEN 0.1::DOUBLE ELSE k / 4.0::DOUBLE END) ELSE 0.5::DOUBLE END AS confidence FROM s
-    UNION ALL SELECT 'N' || r_regionkey, ['a', 'b'], 0.2::DOUBLE FROM region""")
+    UNION ALL SELECT 'N' || r_regionkey, ['a', 'b'], 0.2::DOUBLE FROM region UNION ALL SELECT DISTINCT 'Where is ' || n_name || '?', NULL::VARCHAR[], NULL::DOUBLE FROM nation WHERE NOT EXISTS (SELECT * FROM region WHERE contains(lower(n_name), lower(substr(r_name, 1, 2))))""")
 def grp_explorer_state(spark, d):
-    """Known modules grow by what an update says, new ones come in with little confidence, unknown ones' updates are dropped."""
+    """Known modules grow by what an update says, new ones come in with little confidence, unknown ones' updates are dropped; questions stay until one that they contain is resolved."""
     n, r = v.table(spark, d, "nation"), v.table(spark, d, "region")
     name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     state = n.filter("n_nationkey < 15").groupBy(name("M", "n_regionkey").alias("module")).agg(F.array_sort(F.collect_list(name("f", "n_nationkey"))).alias("files")).withColumn("confidence", F.lit(0.5))
@@ -321,7 +322,9 @@ def grp_explorer_state(spark, d):
     k = F.col("r_regionkey")
     known = r.filter(k % 2 == 0).select(name("M", "r_regionkey").alias("module"), F.array(F.lit("f0"), name("x", "r_regionkey")).alias("additional_files"), F.when(k > 0, k / 4.0).alias("confidence_delta"))
     unknown = r.select(name("U", "r_regionkey").alias("module"), F.array(F.lit("f0")).alias("additional_files"), F.lit(0.1).alias("confidence_delta"))
-    return explore.apply_updates(state, new, known.union(unknown))
+    asked = n.select("n_nationkey", F.concat(F.lit("Where is "), "n_name", F.lit("?")).alias("question"))
+    left = explore.apply_questions(asked.filter("n_nationkey < 20"), asked.filter("n_nationkey > 5"), r.select(F.substring("r_name", 1, 2).alias("question")))
+    return explore.apply_updates(state, new, known.union(unknown)).unionByName(left.withColumnRenamed("question", "module"), allowMissingColumns=True)
 
 
 @query("grp_review_queue", """WITH s AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'indexed' WHEN 2 THEN 'index_error' ELSE 'rejected' END AS status FROM conversations), j AS (SELECT *, CASE WHEN status <> 'pending' THEN NULL WHEN conv_id % 5 = 0 THEN 'reject' WHEN conv_id % 5 = 1 THEN 'approve' WHEN conv_id % 5 = 2 THEN 'edit' ELSE 'reject' END AS decision FROM s),

@@ -63,13 +63,13 @@ def _doc_files(spark, d):
 _DOCS = "df AS (SELECT source || '/' || doc_id || '.' || lang AS path, text AS content, doc_id, string_split(text, chr(10)) AS lines FROM documents)"
 
 
-@query("src_docs_local", "SELECT source || '/' || doc_id || '.md' AS path, text AS content FROM documents WHERE doc_id % 50 = 0")
+@query("src_docs_local", "SELECT source || '/' || doc_id || '.md' AS path, text AS content FROM documents")
 def src_docs_local(spark, d):
-    """A tree of documents (those whose ids are divisible by 50, with files that are none beside them), written and read by the reader."""
+    """All documents as files of a tree, with some beside them that are no documents or lie where none is looked for, written and read by the reader."""
     at = folder(spark)
-    docs = v.table(spark, d, "documents").filter("doc_id % 50 = 0").select("source", F.col("doc_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("content"))
-    kinds = docs.withColumn("ext", F.explode(F.array(F.lit("md"), F.lit("bin")))).withColumn("place", F.concat_ws("/", "source", F.concat_ws(".", "name", "ext")))
-    s.write_tree(kinds.select(F.col("place").alias("path"), "content").unionByName(kinds.select(F.concat(F.lit("node_modules/"), "place").alias("path"), "content")), at)
+    docs = v.table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("name"), F.coalesce("text", F.lit("")).alias("content"))
+    other = docs.filter("doc_id % 10 = 0").select(F.explode(F.array(F.concat("name", F.lit(".bin")), F.concat(F.lit("node_modules/"), "name", F.lit(".md")))).alias("path"), "content")
+    s.write_tree(docs.select(F.concat("name", F.lit(".md")).alias("path"), "content").unionByName(other), at)
     return s.read_documents(spark, at).select(F.substring_index("path", f"/{at.rsplit('/', 1)[1]}/", -1).alias("path"), "content")
 
 
@@ -100,15 +100,15 @@ def src_grep(spark, d):
 _INDEX = f"[{_IN(s.INDEX_FILES)}]"
 
 
-@query("src_context_bundle", f"""WITH b AS (SELECT doc_id, text AS content, CASE doc_id % 5 WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'a' || (doc_id % 7) || '/README' || doc_id || '.md' WHEN 2 THEN 'src/p' || doc_id || '/__init__.py' WHEN 3 THEN 'node_modules/README' || doc_id ELSE 'lib/x' || doc_id || '.py' END AS path FROM documents WHERE doc_id % 5 > 0 OR doc_id = 0),
-    k AS (SELECT path, content, doc_id, len(string_split(path, '/')) AS depth, CASE doc_id % 5 WHEN 0 THEN '1 manifest pyproject.toml' WHEN 1 THEN '2 readme' WHEN 2 THEN '3 index __init__.py' END AS part FROM b WHERE doc_id % 5 < 3 AND (doc_id <> 0 OR strlen(content) < 20000)), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY depth, path) AS rank FROM k),
+@query("src_context_bundle", f"""WITH b AS (SELECT doc_id, text AS content, CASE CASE WHEN doc_id = 0 THEN 0 ELSE coalesce(nullif(doc_id % 5, 0), 4) END WHEN 0 THEN 'pyproject.toml' WHEN 1 THEN 'a' || (doc_id % 7) || '/README' || doc_id || '.md' WHEN 2 THEN 'src/p' || doc_id || '/__init__.py' WHEN 3 THEN 'node_modules/README' || doc_id ELSE 'lib/x' || doc_id || '.py' END AS path FROM documents),
+    k AS (SELECT path, content, doc_id, len(string_split(path, '/')) AS depth, CASE doc_id % 5 WHEN 0 THEN '1 manifest pyproject.toml' WHEN 1 THEN '2 readme' WHEN 2 THEN '3 index __init__.py' END AS part FROM b WHERE doc_id = 0 AND strlen(content) < 20000 OR doc_id % 5 IN (1, 2)), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY depth, path) AS rank FROM k),
     o AS (SELECT part, rank, path, CASE WHEN part LIKE '1%' THEN substr(content, 1, 3000) WHEN part LIKE '2%' THEN substr(content, 1, 2000) ELSE trim(substr(content, 1, 1500)) END AS body FROM r WHERE rank <= CASE WHEN part = '2 readme' THEN 8 ELSE 20 END) SELECT * FROM o WHERE NOT starts_with(part, '3') OR length(body) > 50""")
 def src_context_bundle(spark, d):
     """What to show of a tree: a manifest, readmes, index files; the tree itself is tested with the text of all."""
     i = F.col("doc_id")
     n = lambda a, b: F.concat(F.lit(a), i.cast("string"), F.lit(b))
-    path = F.when(i % 5 == 0, "pyproject.toml").when(i % 5 == 1, F.concat(F.lit("a"), (i % 7).cast("string"), n("/README", ".md"))).when(i % 5 == 2, n("src/p", "/__init__.py")).when(i % 5 == 3, n("node_modules/README", "")).otherwise(n("lib/x", ".py"))
-    return s.context_bundle(v.table(spark, d, "documents").filter("doc_id % 5 > 0 OR doc_id = 0").select(path.alias("path"), F.col("text").alias("content")))
+    path = F.when(i == 0, "pyproject.toml").when(i % 5 == 1, F.concat(F.lit("a"), (i % 7).cast("string"), n("/README", ".md"))).when(i % 5 == 2, n("src/p", "/__init__.py")).when(i % 5 == 3, n("node_modules/README", "")).otherwise(n("lib/x", ".py"))
+    return s.context_bundle(v.table(spark, d, "documents").select(path.alias("path"), F.col("text").alias("content")))
 
 
 @query("src_ticket_normalise", """SELECT 'T-' || n_nationkey AS key, n_name AS title, '' AS description, CASE WHEN n_nationkey % 2 = 0 THEN 'Done' ELSE '' END AS status, n_regionkey AS n_labels,
@@ -123,9 +123,9 @@ def src_ticket_normalise(spark, d):
     return x.select("key", "title", "description", "status", F.size("labels").alias("n_labels"), F.size("comments").alias("n_comments"), F.get("comments", F.lit(0))["author"].alias("first_author"))
 
 
-@query("src_ticket_comments", """SELECT 'CONV-' || conv_id AS key, turn, coalesce(nullif(role, ''), '?') AS author, substr(text, 1, 50) AS body FROM conversations WHERE turn > 0""")
+@query("src_ticket_comments", """SELECT 'CONV-' || conv_id AS key, turn, coalesce(nullif(role, ''), '?') AS author, text AS body FROM conversations WHERE turn > 0""")
 def src_ticket_comments(spark, d):
-    return v.tickets(spark, d).select("key", F.explode("comments").alias("c")).select("key", "c.turn", F.coalesce(F.nullif(F.col("c.author"), F.lit("")), F.lit("?")).alias("author"), F.substring("c.body", 1, 50).alias("body"))
+    return v.tickets(spark, d).select("key", F.explode("comments").alias("c")).select("key", "c.turn", F.coalesce(F.nullif(F.col("c.author"), F.lit("")), F.lit("?")).alias("author"), "c.body")
 
 
 @query("src_linked_prs", """SELECT n_nationkey, list_filter(['http://x/pull/' || n_nationkey, 'http://x/issue/' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'http://y/merge_requests/1' ELSE 'http://z' END], lambda u: u LIKE '%pull%' OR u LIKE '%merge_request%') AS links FROM nation""")

@@ -60,13 +60,22 @@ def snk_ticket_entries(spark, d):
     return t.select("key", text.alias("text"), F.col("category").alias("module"), st.ticket_kind(F.col("category")).alias("source_kind"))
 
 
-@query("snk_user_entries", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[' || lang || '] ' ELSE '' END || trim(substr(text, 1, 80)) AS text, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE source END AS source_file
-    FROM documents WHERE doc_id % 3 <> 2 AND trim(substr(text, 1, 80)) <> ''""")
+#: Contributions: documents, rejected where they are labelled toxic, approved where they are labelled good.
+_CONTRIBUTED = "lb AS (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY 1), cb AS (SELECT d.*, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' END AS status FROM documents AS d LEFT JOIN lb USING (doc_id))"
+
+
+def _contributed(spark, d):
+    labels = v.table(spark, d, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"))
+    return v.table(spark, d, "documents").join(labels, "doc_id", "left").withColumn("status", F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved"))
+
+
+@query("snk_user_entries", f"""WITH {_CONTRIBUTED} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[' || lang || '] ' ELSE '' END || trim(text) AS text, CASE WHEN doc_id % 4 = 0 THEN 'unknown' ELSE source END AS source_file
+    FROM cb WHERE coalesce(status, '') <> 'rejected' AND trim(text) <> ''""")
 def snk_user_entries(spark, d):
+    """Contributions that were not rejected, with their topic and their first source file."""
     i = F.col("doc_id")
-    status = F.when(i % 3 == 0, F.lit("indexed")).when(i % 3 == 2, F.lit("rejected"))
     files = F.when(i % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("source"))
-    e = v.table(spark, d, "documents").select("doc_id", status.alias("status"), F.when(i % 2 == 0, F.col("lang")).otherwise(F.lit("")).alias("topic"), F.trim(F.substring("text", 1, 80)).alias("s"), files.alias("files"))
+    e = _contributed(spark, d).select("doc_id", "status", F.when(i % 2 == 0, F.col("lang")).otherwise(F.lit("")).alias("topic"), F.trim("text").alias("s"), files.alias("files"))
     kept = e.filter("(status IN ('indexed', 'approved') OR status IS NULL) AND s <> ''")
     return kept.select("doc_id", F.when(F.col("topic") != "", F.concat(F.lit("["), "topic", F.lit("] "), "s")).otherwise(F.col("s")).alias("text"), F.coalesce(F.get("files", F.lit(0)), F.lit("unknown")).alias("source_file"))
 
@@ -146,9 +155,9 @@ def snk_manifest_queue(spark, d):
     return st.load_manifest(spark, f"{at}/manifest")
 
 
-@query("snk_bulk_load", f"""WITH {v.ENTRIES}, {v.TICKETS}, k AS (SELECT *, {KIND} AS kind FROM en WHERE NOT {SKIP} AND trim(summary) <> '') SELECT 'code' AS source_type, count(DISTINCT substr(sha256(trim(summary) || '|' || {_META}), 1, 24)) AS n FROM k
+@query("snk_bulk_load", f"""WITH {v.ENTRIES}, {v.TICKETS}, {_CONTRIBUTED}, k AS (SELECT *, {KIND} AS kind FROM en WHERE NOT {SKIP} AND trim(summary) <> '') SELECT 'code' AS source_type, count(DISTINCT substr(sha256(trim(summary) || '|' || {_META}), 1, 24)) AS n FROM k
     UNION ALL SELECT 'doc', count(DISTINCT (text, source)) FROM documents UNION ALL SELECT 'ticket', count(DISTINCT (concat_ws(chr(10), nullif(title, ''), 'Solution: ' || nullif(resolution, '')), key)) FROM tk WHERE title <> '' OR resolution <> ''
-    UNION ALL SELECT 'user', count(DISTINCT (text, source)) FROM documents WHERE doc_id % 3 <> 2""")
+    UNION ALL SELECT 'user', count(DISTINCT (text, source)) FROM cb WHERE coalesce(status, '') <> 'rejected'""")
 def snk_bulk_load(spark, d):
     """Code, documents, tickets and contributions in one store, by content: how many rows each source has there."""
     docs = v.table(spark, d, "documents")
@@ -156,11 +165,11 @@ def snk_bulk_load(spark, d):
     code = st.knowledge_rows(v.entries(spark, d), "code").select("id", "text", F.lit("code").alias("source_type"))
     t = v.tickets(spark, d).filter("title <> '' OR resolution <> ''")
     solved = F.concat_ws("\n", F.nullif(F.col("title"), F.lit("")), F.concat(F.lit("Solution: "), F.nullif(F.col("resolution"), F.lit(""))))
-    parts = [code, docs.select(*row(F.col("text"), F.col("source"), "doc")), t.select(*row(solved, F.col("key"), "ticket")), docs.filter("doc_id % 3 <> 2").select(*row(F.col("text"), F.col("source"), "user"))]
-    store = parts[0]
-    for part in parts[1:]:
-        store = st.upsert(store, part, ["id"])
-    return store.groupBy("source_type").agg(F.count("*").alias("n"))
+    parts = [code, docs.select(*row(F.col("text"), F.col("source"), "doc")), t.select(*row(solved, F.col("key"), "ticket")), _contributed(spark, d).filter("coalesce(status, '') <> 'rejected'").select(*row(F.col("text"), F.col("source"), "user"))]
+    store = Ledger(spark, folder(spark), ["id"])
+    for part in parts:
+        store.upsert(part)
+    return store.read().groupBy("source_type").agg(F.count("*").alias("n"))
 
 
 @query("snk_index_replay", f"WITH {v.ENTRIES}, k AS (SELECT *, {KIND} AS kind FROM en WHERE NOT {SKIP} AND trim(summary) <> '') SELECT source_file, count(DISTINCT substr(sha256(trim(summary) || '|' || {_META}), 1, 24)) AS entries FROM k GROUP BY 1")
@@ -307,21 +316,21 @@ def jn_cross_source(spark, d):
 
 
 @query("jn_doc_code", f"""WITH {v.KB}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE source_type = 'doc' AND doc_id % 50 = 0), s AS (SELECT query_id, doc_id, floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6 AS score FROM q, kb WHERE source_type = 'code'),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score FROM r WHERE rank <= 3 AND score >= 0.05""")
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, score FROM r WHERE rank <= 3 AND score >= 0.3""")
 def jn_doc_code(spark, d):
     """Up to 3 code hits of enough similarity for each document of the stated query set (ids divisible by 50)."""
     k = v.kb(spark, d)
     docs = k.filter("source_type = 'doc' AND doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
-    return search.top_k(k.filter("source_type = 'code'"), docs, 3).filter("score >= 0.05").select("query_id", "doc_id", "score")
+    return search.top_k(k.filter("source_type = 'code'"), docs, 3).filter("score >= 0.3").select("query_id", "doc_id", "score")
 
 
-@query("jn_ticket_dedup", f"""WITH {v.KB}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE source_type = 'ticket' AND doc_id % 50 = 0), s AS (SELECT query_id, max(floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6) AS best FROM q, kb WHERE source_type <> 'ticket' GROUP BY 1) SELECT query_id FROM s WHERE best <= 0.3""")
+@query("jn_ticket_dedup", f"""WITH {v.KB}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE source_type = 'ticket' AND doc_id % 50 = 0), st AS (SELECT * FROM kb WHERE source_type <> 'ticket' OR doc_id % 4 = 0), s AS (SELECT query_id, max(floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6) AS best FROM q, st GROUP BY 1) SELECT query_id FROM s WHERE best <= 0.85""")
 def jn_ticket_dedup(spark, d):
-    """Tickets without a close entry in the store (threshold 0.3 here, 0.85 by default)."""
+    """New tickets without a close entry in the store, which has some of them already."""
     k = v.kb(spark, d)
     new = k.filter("source_type = 'ticket' AND doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
-    best = search.top_k(k.filter("source_type <> 'ticket'"), new, 1)
-    return new.select("query_id").join(best.filter("score > 0.3"), "query_id", "left_anti")
+    best = search.top_k(k.filter("source_type <> 'ticket' OR doc_id % 4 = 0"), new, 1)
+    return new.select("query_id").join(best.filter("score > 0.85"), "query_id", "left_anti")
 
 
 @query("top_list_documents", f"WITH {v.KB} SELECT doc_id, source_type, module, source_file FROM kb")

@@ -206,14 +206,18 @@ def api_cli(spark, d):
     return kb.kb_status()
 
 
-@query("src_tickets_json", "SELECT n_nationkey AS id, n_name AS title FROM nation")
+@query("src_tickets_json", "SELECT DISTINCT conv_id AS id, 'ticket ' || conv_id AS title FROM conversations")
 def src_tickets_json(spark, d):
-    """JSON files of single objects, read back; what cannot be parsed is dropped."""
+    """Ticket files of one object or of an array, read back; broken files beside them are dropped."""
     from lodestone.sources.files import read_json
 
     at = folder(spark)
-    v.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title")).write.json(f"{at}/json")
-    return read_json(spark, f"{at}/json", "id int, title string")
+    t = v.table(spark, d, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("id"), F.concat(F.lit("ticket "), F.col("conv_id").cast("string")).alias("title"))
+    one = F.to_json(F.struct("id", "title"))
+    t.filter("id % 10 = 0").select(F.col("id").alias("file"), one.alias("value")).write.partitionBy("file").text(f"{at}/objects")
+    t.filter("id % 10 <> 0").groupBy((F.col("id") % 50).alias("file")).agg(F.to_json(F.collect_list(F.struct("id", "title"))).alias("value")).write.partitionBy("file").text(f"{at}/arrays")
+    t.filter("id % 25 = 0").select(F.col("id").alias("file"), F.concat(F.lit("{"), one).alias("value")).write.partitionBy("file").text(f"{at}/broken")
+    return read_json(spark, at, "id long, title string", lines=False)
 
 
 @query("src_json_jsonl", "SELECT r_regionkey AS id FROM region")
