@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from lodestone.llm import textscan as ts
 from lodestone.llm.scratch import Scratch
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Quotes mean something at the start of a value only; a comment may be <!--> or <!--->, and end with --!>.
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*)(?:>|$)", re.S
+)
+_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 #: Elements whose content is no text.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "canvas", "object", "title", "head", "select", "option", "button", "annotation", "annotation-xml"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -57,6 +60,10 @@ AFFIXES = set(
 ARTICLE_WORDS = {"article", "main"}
 #: Elements that hold the article whatever their names say.
 WHOLE = {"html", "body", "main", "article"}
+#: Elements of RAW that end a block; the others stand in a line of text.
+RAW_BLOCK = {"head", "title"}
+#: Elements deeper than this stand in the path of the last one above.
+DEPTH = 256
 #: Elements of RAW whose content is markup; where the end tag is missing, a block element ends them.
 RAW_MARKUP = {"noscript", "template", "svg", "canvas", "object", "select", "option", "button", "annotation-xml"}
 _BREAKOUT = r"</?(?:address|article|aside|blockquote|body|center|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul{more})(?=[\s/>])"
@@ -137,12 +144,15 @@ def parse(page: str | None) -> Page:
         if not name:
             continue
         if name in INLINE:
-            if name in ("br", "img", "wbr"):
+            if name in ("br", "img"):
                 text.append(" ")
             continue
         closing = bool(m[1])
+        if name in RAW and name not in RAW_BLOCK and closing:
+            continue  # an end tag without its start
         if not closing and name in RAW:
-            flush()
+            if name in RAW_BLOCK:
+                flush()
             if name == "head":
                 out.tokens["head"] += 1
                 continue
@@ -168,7 +178,7 @@ def parse(page: str | None) -> Page:
             elif stack and stack[-1][0] == "p":
                 stack.pop()  # a block element ends an open paragraph
             label, hidden = _label(name, m[3])
-            path = f"{stack[-1][1]}/{label}" if stack else label
+            path = label if not stack else f"{stack[-1][1]}/{label}" if len(stack) < DEPTH else stack[-1][1]
             stack.append((name, path, hidden or (bool(stack) and stack[-1][2])))
             out.tokens[path] += 1
             if m[3].rstrip().endswith("/"):

@@ -338,3 +338,28 @@ def test_extraction_of_near_copies(spark):
     found = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(found[k] == "\n\n".join([*p, "Tell others of it"]) for k, p in enumerate(near[:20]))
     assert all(found[100 + k] == "\n\n".join([*p, "Tell others of it"]) for k, p in enumerate(near + other))
+
+
+@pytest.mark.parametrize(
+    "source,texts",
+    [
+        ("<p title=it's>Hello</p><p>it's fine</p><p>third's</p>", ["Hello", "it's fine", "third's"]),
+        ("<p>Click <svg width='1'/> the icon.</p>", ["Click the icon."]),
+        ("<p>One <script>var a = '<p>';</script>two.</p>", ["One two."]),
+        (r"<p>Let <math><mi>x</mi><annotation>\x</annotation></math> be given.</p>", ["Let x be given."]),
+        ("<p>a <select><option>1<option>2</select> b <button>no</button>c</p>", ["a b c"]),
+        ("<p>before<!-->after</p><p>more", ["beforeafter", "more"]),
+        ("a<!--->b<!-- c --!>d<!-- e -->f", ["abdf"]),
+        ("<p a='x>y' b=\"u>v\" c=z'q d>T</p>", ["T"]),
+        ("<p =\">x</p><div title=\"open>y</div>", ["x", "y"]),
+        ("<p>super<wbr>cali</p></script><p>x<br>y", ["supercali", "x y"]),
+    ],
+)
+def test_quotes_comments_and_elements_in_a_line(source, texts):
+    assert [b.text for b in html.parse(source).blocks] == texts
+
+
+def test_deep_nesting_costs_no_more_than_its_depth():
+    page = html.parse("<div class=abc>" * 20_000 + "text" + "</div>" * 20_000)
+    assert [b.text for b in page.blocks] == ["text"] and len(page.tokens) == html.DEPTH
+    assert sum(len(t) for t in page.tokens) < 300_000
