@@ -21,6 +21,8 @@ from lodestone.llm.scratch import Scratch, fresh, joined
 #: What separates words once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Words of a document that are looked through at once.
+STRETCH = 1024
 #: Largest table of benchmark grams, in rows, that is broadcast; beyond it the join is a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -44,8 +46,13 @@ def _hashed_grams(starts: Column, g: int, m: int) -> Column:
 
 
 def _spans(starts: Column, m: int) -> Column:
-    """(at, words): the m words from each 0-based start."""
-    return F.transform(starts, lambda i: F.struct(i.cast("int").alias("at"), F.slice("words", i + 1, m).alias("words")))
+    """(at, words): the m words from each 0-based start of a stretch, at counted over the document."""
+    return F.transform(starts, lambda i: F.struct((F.col("base") + i).cast("int").alias("at"), F.slice("words", i + 1, m).alias("words")))
+
+
+def _key(docs: DataFrame) -> tuple[Column, Column]:
+    """(doc_id, text_key) that tell a document's text; with the text's hash beside it, any id does for a null one."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("doc_id"), F.xxhash64(docs["text"]).alias("text_key")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
@@ -57,8 +64,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
 
 
 def hit_documents(docs: DataFrame, windows: DataFrame, lengths: list[int], scratch: Scratch) -> DataFrame:
-    """(doc_id) of the documents that have a gram of some window at a probed position."""
-    tokens = docs.select("doc_id", words(F.col("text")).alias("words"))
+    """(doc_id, text_key) of the documents that have a gram of some window at a probed position."""
+    tokens = docs.select(*_key(docs), words(F.col("text")).alias("words"))
     probes, grams = [], []
     for m in lengths:
         g, stride = _gram(m)
@@ -76,35 +83,36 @@ def hit_documents(docs: DataFrame, windows: DataFrame, lengths: list[int], scrat
         known = F.broadcast(known)
     every = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<bigint>")) for p in probes])) if len(probes) > 1 else probes[0]
     # explode() would have its input's size tested in a filter below, and there the words anew for every gram
-    probed = tokens.select("doc_id", every.alias("probes")).select("doc_id", F.explode_outer("probes").alias("gram"))
-    return probed.join(known, "gram", "left_semi").select("doc_id").distinct()
+    probed = tokens.select("doc_id", "text_key", every.alias("probes")).select("doc_id", "text_key", F.explode_outer("probes").alias("gram"))
+    return probed.join(known, "gram", "left_semi").select("doc_id", "text_key").distinct()
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, hit_positions array<int>, item_ids array<string>) of the documents that hold a window of an item.
+    """(doc_id, text_key, n_words, hit_positions array<int>, item_ids array<string>) of the documents that hold a window of an item.
 
     hit_positions are the 0-based positions, ascending, of the words inside any
-    occurrence.  Rows without doc_id or text hold nothing.  Rows that share a
-    doc_id are taken apart by their text.  An empty benchmark gives no rows.
+    occurrence.  Rows without text hold nothing.  Rows that share a doc_id are taken
+    apart by their text, of which text_key is the hash; a null doc_id is 0 here.  An
+    empty benchmark gives no rows.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontam")
     windows = scratch.save(benchmark_windows(benchmark, window), "windows")
     lengths = sorted(r[0] for r in windows.select("m").distinct().collect())  # at most `window` numbers
     if not lengths:
-        scratch.save(spark.createDataFrame([], "doc_id long, text_key long, words array<string>"), "tokens")
-        return spark.createDataFrame([], "doc_id long, text_key long, hit_positions array<int>, item_ids array<string>")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
+        return spark.createDataFrame([], "doc_id long, text_key long, n_words long, hit_positions array<int>, item_ids array<string>")
     suspects = scratch.save(hit_documents(docs, windows, lengths, scratch), "suspects")
-    # few documents are left: here every window is compared, word for word
-    tokens = docs.join(suspects, "doc_id").select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
+    # few documents are left: here every window is compared, word for word, a stretch of the document at a time
+    tokens = docs.select(*_key(docs), "text").join(suspects, ["doc_id", "text_key"]).select("doc_id", "text_key", words(F.col("text")).alias("words"))
+    stretch = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRETCH)), lambda i: F.struct(i.cast("int").alias("base"), F.slice("words", i + 1, F.lit(STRETCH + window - 1)).alias("words")))
+    tokens = tokens.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), stretch.alias("stretches")).select("doc_id", "text_key", "n_words", F.inline("stretches"))
     tokens = scratch.save(tokens, "tokens")
     # a window that many items share is met once, and its items are looked up once a document
     kinds = scratch.save(windows.select("m", "words").distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
     owners = scratch.save(windows.join(kinds, ["m", "words"]).select("kind", "item_id"), "owners", like=windows)
     found = None
     for m in lengths:
-        starts = F.when(F.size("words") >= m, F.sequence(F.lit(0), F.size("words") - m))
+        starts = F.when(F.size("words") >= m, F.sequence(F.lit(0), F.least(F.size("words") - m, F.lit(STRETCH - 1))))
         spans = _spans(starts, m)
         each = tokens.select("doc_id", "text_key", F.inline_outer(spans))
         met = each.join(kinds.filter(F.col("m") == m).select("kind", "words"), "words")
@@ -115,7 +123,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     positions = covered.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("at")).alias("hit_positions"))
     items = found.select("doc_id", "text_key", "kind").distinct().join(owners, "kind").select("doc_id", "text_key", "item_id").distinct()
     items = items.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"))
-    return positions.join(items, ["doc_id", "text_key"])
+    counts = tokens.select("doc_id", "text_key", "n_words").distinct()
+    return positions.join(items, ["doc_id", "text_key"]).join(counts, ["doc_id", "text_key"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -126,30 +135,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, perce
     """
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
     found = scratch.save(contaminated_words(docs, benchmark, window, scratch), "verdicts")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
+    own_id, text_key = _key(docs)
+    own = docs.select(F.col("doc_id").cast("long").alias("own_id"), own_id, text_key, F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
     own = own.withColumn("n_words", F.greatest("n_words", F.lit(0)))
-    joined = own.join(found, ["doc_id", "text_key"], "left").drop("text_key")
+    joined = own.join(found.drop("n_words"), ["doc_id", "text_key"], "left").drop("text_key", "doc_id").withColumnRenamed("own_id", "doc_id")
     none = F.array().cast("array<int>")
     joined = joined.withColumn("hit_positions", F.coalesce("hit_positions", none)).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
-    hits = F.size("hit_positions")
-    return joined.withColumn("contaminated", (hits > 0) & (hits * 100 >= F.col("n_words") * percent))
+    hits = F.size("hit_positions").cast("long")
+    return joined.withColumn("contaminated", (hits > 0) & (hits * 100 >= F.col("n_words") * percent)).select("doc_id", "n_words", "hit_positions", "item_ids", "contaminated")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, percent: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of docs, with all their columns whatever their names, that are not contaminated; rows without doc_id stay."""
+    """The rows of docs, with all their columns whatever their names, that are not contaminated."""
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
-    found = scratch.save(contaminated_words(docs, benchmark, window, scratch).select("doc_id", "text_key", F.size("hit_positions").alias("n_hit")), "verdicts")
-    # the words of what has hits were kept when it was looked through
-    counted = scratch.read("tokens", "doc_id long, text_key long, words array<string>").select("doc_id", "text_key", F.size("words").alias("n_words")).distinct().join(found, ["doc_id", "text_key"])
+    found = contaminated_words(docs, benchmark, window, scratch).select("doc_id", "text_key", "n_words", F.size("hit_positions").cast("long").alias("n_hit"))
     gone_id, gone_key = fresh(docs, "gone_id"), fresh(docs, "gone_key")
-    gone = counted.filter(F.col("n_hit") * 100 >= F.col("n_words") * percent).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
+    gone = found.filter(F.col("n_hit") * 100 >= F.col("n_words") * percent).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key))
     gone = scratch.save(gone, "gone", like=found)
-    return joined(docs, gone, (F.col("doc_id").cast("long") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_key)), "left_anti")
+    own_id, text_key = _key(docs)
+    return joined(docs, gone, (own_id == F.col(gone_id)) & (text_key == F.col(gone_key)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 13, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, words): the normalised words of every row outside the hits, for span removal instead of document removal."""
     found = contaminated_words(docs, benchmark, window, scratch)
-    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words")).join(found, ["doc_id", "text_key"], "left")
+    own_id, text_key = _key(docs)
+    own = docs.select(F.col("doc_id").alias("own_id"), own_id, text_key, words(F.col("text")).alias("words")).join(found, ["doc_id", "text_key"], "left")
     hits = F.coalesce("hit_positions", F.array().cast("array<int>"))
-    return own.select("doc_id", F.filter("words", lambda w, i: ~F.array_contains(hits, i)).alias("words"))
+    return own.select(F.col("own_id").alias("doc_id"), F.filter("words", lambda w, i: ~F.array_contains(hits, i)).alias("words"))

@@ -35,7 +35,7 @@ from lodestone.llm.scratch import Scratch
 
 #: Quotes mean something at the start of a value only; a comment may be <!--> or <!--->, and end with --!>.
 _TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|$))|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*)(?:>|$)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]*=)?(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?)*)(?:>|$)", re.S
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*))")
 #: Elements whose content is no text.

@@ -32,7 +32,7 @@ def check_hits(found, rows, items):
     expected = []
     for i, t in rows:
         w, pos, ids = norm(t), set(), set()
-        for m in {len(k) for k in windows} if i is not None else ():
+        for m in {len(k) for k in windows}:
             for k in range(len(w) - m + 1):
                 if x := windows.get(tuple(w[k : k + m])):
                     ids |= x
@@ -62,6 +62,20 @@ def test_decontamination_of_awkward_rows(spark, awkward, nothing):
     assert spans[14] == norm(prose(4, 40))[14:] and spans[7] == []
 
 
+def test_decontamination_of_long_texts_and_rows_without_id(spark):
+    """Stretches join without a seam; a row without id is judged by its text."""
+    item = prose(3, 40)
+    words = [f"w{k}" for k in range(5000)]
+    rows = [(None, item), (None, "clean words"), (0, "clean words"), (0, item), (1, None)]
+    rows += [(k + 10, " ".join([*words[:k], *item.split(), *words[k:]])) for k in (1000, 1010, 1023, 1024, 1025, 2040, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = [(1, item), (2, "clean words")]
+    found = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    check_hits(found.collect(), rows, items)
+    kept = decontam.clean_documents(docs, spark.createDataFrame(items[:1], "item_id long, text string"))
+    assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=repr)[:2] == [(0, "clean words"), (1, "")] and kept.count() == 3 + 7
+
+
 def test_shards(spark, awkward, nothing):
     rows = [r[:2] for r in awkward_rows()]
     found = sharding.assign(awkward, 4).collect()
