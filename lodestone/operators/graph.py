@@ -236,3 +236,17 @@ def reference_context(chunks: DataFrame, files: DataFrame, most: int = 3, first:
     kept = told.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("i"))).filter(F.col("k") <= most)
     part = F.concat(F.lit("["), "target", F.lit("]\n"), "head")
     return kept.join(heads, "target").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", part.alias("part")))).alias("p")).select("id", F.array_join(F.transform("p", lambda x: x["part"]), "\n\n").alias("context"))
+
+
+#: log2 of the registers of a sketch: its standard error is 1.04 / sqrt(2 ** REGISTERS), 1.6 %.
+REGISTERS = 12
+
+
+def sketch_callers(calls: DataFrame, path: str) -> None:
+    """Append one run's sketches to a table: of each symbol of calls (symbol, path) the files that call it, in a few kilobytes whatever their number."""
+    calls.groupBy("symbol").agg(F.hll_sketch_agg("path", F.lit(REGISTERS)).alias("files")).write.mode("append").parquet(path)
+
+
+def estimated_callers(sketches: DataFrame) -> DataFrame:
+    """(symbol, n_files): about how many different files of all runs call each symbol; a file of several runs counts once."""
+    return sketches.groupBy("symbol").agg(F.hll_sketch_estimate(F.hll_union_agg("files")).alias("n_files"))

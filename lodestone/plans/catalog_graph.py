@@ -12,7 +12,7 @@ from lodestone.operators import modules as m
 from lodestone.operators import sequences as seq
 from lodestone.plans import catalog_text as t
 from lodestone.plans import views as v
-from lodestone.plans.registry import query
+from lodestone.plans.registry import folder, query
 
 _FREQ = f"{v.CODE}, fq AS (SELECT 'handler_' || l_partkey AS symbol, count(DISTINCT path) AS n_files FROM code GROUP BY 1)"
 
@@ -35,6 +35,19 @@ def edges(spark, d):
     return g.call_edges(calls)
 
 
+@query("agg_caller_sketch", f"""WITH {_FREQ} SELECT symbol, n_files, true AS within FROM fq""")
+def agg_caller_sketch(spark, d):
+    """Two runs over overlapping halves of the files store their sketches; whether the estimate over both is within three standard errors of the exact count."""
+    at = folder(spark)
+    calls = v.code_lines(spark, d).select(F.regexp_extract("line", r"(\w+)\(", 1).alias("symbol"), "path", "l_orderkey")
+    for mine in ("l_orderkey % 3 < 2", "l_orderkey % 3 > 0"):
+        g.sketch_callers(calls.filter(mine), at)
+    exact = calls.groupBy("symbol").agg(F.countDistinct("path").alias("n_files"))
+    about = g.estimated_callers(spark.read.parquet(at)).select("symbol", F.col("n_files").alias("about"))
+    error = 3 * 1.04 / 2 ** (g.REGISTERS / 2)
+    return exact.join(about, "symbol").select("symbol", "n_files", (F.abs(F.col("about") - F.col("n_files")) <= F.col("n_files") * error + 1).alias("within"))
+
+
 @query("agg_call_graph", f"""WITH l AS (SELECT 'order_' || l_orderkey AS caller, 'part_' || l_partkey AS callee, l_linenumber AS ord, l_linenumber % 2 AS chunk FROM lineitem), last AS (SELECT caller, max(chunk) AS chunk FROM l GROUP BY 1),
     e AS (SELECT caller, callee, min(ord) AS ord FROM l JOIN last USING (caller, chunk) GROUP BY 1, 2), {EDGES}
     SELECT 'calls' AS kind, caller AS symbol, count(*) AS n, list(callee ORDER BY ord, callee) AS names FROM e GROUP BY 2 UNION ALL SELECT 'called_by', callee, count(*), list(caller ORDER BY caller)[1:5] FROM ed GROUP BY 2""")

@@ -38,7 +38,21 @@ def stm_append_log(spark, d):
 @query("stm_session", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS st FROM events), s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stm_session(spark, d):
-    return flows.sessions(v.table(spark, d, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    """The log as a stream of three runs of one checkpoint, the last a heartbeat that closes what is open; each batch writes the sessions that it closes."""
+    at, e = folder(spark), v.table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    half = e.agg(F.percentile_approx(F.col("ts").cast("double"), 0.5, 1000).alias("t")).first()["t"]
+    heartbeat = e.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select(F.lit(None).cast(e.schema["user_id"].dataType).alias("user_id"), "ts", F.lit("heartbeat").alias("kind"))
+    early = F.col("ts").cast("double") <= half if half is not None else F.lit(True)
+
+    def put(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={batch_id}")
+
+    for part in (e.filter(early), e.filter(~early), heartbeat):
+        part.write.mode("append").parquet(f"{at}/in")
+        stories = flows.session_stories(spark.readStream.schema(part.schema).parquet(f"{at}/in"))
+        stories.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(flows.STORY).parquet(f"{at}/out").filter("user_id IS NOT NULL")
+    return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @query("stm_high_watermark", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM events WHERE event_id % 2 = 0) GROUP BY 1")
@@ -49,13 +63,32 @@ def stm_high_watermark(spark, d):
     return flows.read_since(events, state, "ts").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("stm_poll_queue", "SELECT event_id, 'indexed' AS status FROM events WHERE event_id % 4 = 0")
+@query("stm_poll_queue", """SELECT event_id, CASE WHEN event_id % 40 < 20 THEN CASE WHEN event_id % 8 = 0 THEN 'approve' ELSE 'reject' END ELSE 'pending' END AS decision, CASE WHEN event_id % 40 >= 20 THEN 'pending' WHEN event_id % 8 = 0 THEN 'indexed' ELSE 'rejected' END AS status FROM events WHERE event_id % 4 = 0""")
 def stm_poll_queue(spark, d):
-    """Pending rows of a stream, judged batch by batch."""
-    at = folder(spark)
-    source = _stream(spark, d, "events").withColumn("status", F.when(F.col("event_id") % 4 == 0, "pending").otherwise("indexed"))
-    flows.process_queue(spark, source, lambda b: b.select("event_id", F.lit("indexed").alias("status")), f"{at}/out", f"{at}/check")
-    return spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out").select("event_id", "status")
+    """Suggestions and decisions as two streams: decisions come in time, too late or before what they are about; what was decided runs through the queue, the rest stays pending."""
+    at, i = folder(spark), F.col("event_id")
+    asked = v.table(spark, d, "events").filter("event_id % 4 = 0").select(i.alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    k = F.col("id") % 40
+    shift = F.when(k < 20, k * 60).when(k < 30, F.lit(3600)).otherwise(-60)
+    told = asked.select("id", F.timestamp_micros(F.unix_micros("ts") + shift * 1_000_000).alias("ts"), F.when(F.col("id") % 8 == 0, "approve").otherwise("reject").alias("decision"))
+    end = asked.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    nobody = F.lit(-1).cast(asked.schema["id"].dataType).alias("id")
+
+    def put(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{at}/judged/batch={batch_id}")
+
+    for s, j in ((asked, told), (end.select(nobody, "ts"), end.select(nobody, "ts", F.lit("").alias("decision")))):  # the second run is a heartbeat
+        s.write.mode("append").parquet(f"{at}/asked")
+        j.write.mode("append").parquet(f"{at}/told")
+        joined = flows.reviewed(spark.readStream.schema(asked.schema).parquet(f"{at}/asked"), spark.readStream.schema(told.schema).parquet(f"{at}/told"))
+        joined.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    judged = spark.read.schema("id long, ts timestamp, decision string").parquet(f"{at}/judged").drop("batch").filter("id >= 0")
+    judged.select(F.col("id").alias("event_id"), "decision", F.when(F.col("decision") == "pending", "waiting").otherwise("pending").alias("status")).write.parquet(f"{at}/queue")
+    queue = spark.readStream.schema("event_id long, decision string, status string").parquet(f"{at}/queue")
+    after = F.when(F.col("decision") == "approve", "indexed").otherwise("rejected")
+    flows.process_queue(spark, queue, lambda b: b.withColumn("status", after), f"{at}/out", f"{at}/queued")
+    done = spark.read.schema("event_id long, decision string, status string").parquet(f"{at}/out").drop("batch")
+    return done.unionByName(judged.filter("decision = 'pending'").select(F.col("id").alias("event_id"), "decision", F.lit("pending").alias("status")))
 
 
 @query("stm_resume", "SELECT count(*) AS n, count(DISTINCT event_id) AS distinct_ids FROM events")
