@@ -33,6 +33,8 @@ UNKNOWN_PENALTY = 10.0
 CACHE_UNITS = 150_000
 #: Characters, or ids, of a very long text that are taken apart at once.
 PART = 1_000_000
+#: Characters that the search keeps scores and starts of at once.
+SEARCHED = 1 << 18
 _NEVER = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -73,17 +75,48 @@ class Encoder:
                     self.unknown_id = i
         self.automaton.make_automaton()
         self.singles = {p for p in pieces if len(p) == 1}
+        self.longest = max(map(len, pieces), default=1)
         self.unknown_score = min(self.scores) - UNKNOWN_PENALTY
         # may a text be cut before a mark that follows something else, and around line feeds?
         self.divisible = not any("\n" in p or any(b == MARK != a for a, b in zip(p, p[1:])) for p in pieces)
         self._young: dict[str, tuple[int, ...]] = {}
         self._old: dict[str, tuple[int, ...]] = {}
 
-    def segment(self, text: str) -> tuple[int, ...]:
-        """Ids of the best segmentation of text, in which marks stand for spaces."""
+    def segment(self, text: str) -> Sequence[int]:
+        """Ids of the best segmentation of text, in which marks stand for spaces.
+
+        A text of more than SEARCHED characters is searched in parts.  No piece reaches
+        over ``longest`` positions, so the best way through the text leads to one of
+        the last so many of a part; where the ways to all of them have come together,
+        the ids until there are settled, and the search goes on from there.
+        """
+        if len(text) <= SEARCHED:
+            best, start, piece = self._search(text, 0.0)
+            return tuple(self._ids_to(text, len(text), start, piece))
+        out, at, size, reached = array("i"), 0, SEARCHED, 0.0
+        while at < len(text):
+            part = text[at : at + size]
+            best, start, piece = self._search(part, reached)
+            to = len(part)
+            if at + to < len(text):
+                ways = {p for p in range(max(0, to - self.longest + 1), to + 1) if best[p] > _NEVER}
+                while len(ways) > 1:
+                    last = max(ways)
+                    ways.remove(last)
+                    ways.add(start[last])
+                to = ways.pop()
+            if not to:  # they have not come together yet
+                size *= 2
+                continue
+            out.extend(self._ids_to(part, to, start, piece))
+            at, size, reached = at + to, SEARCHED, best[to]
+        return out
+
+    def _search(self, text: str, reached: float) -> tuple[list[float], list[int], list[int]]:
+        """Of each position the best score, that of the first being given, and the start and piece that lead to it."""
         n = len(text)
         best = [_NEVER] * (n + 1)
-        best[0] = 0.0
+        best[0] = reached
         start, piece = [0] * (n + 1), [-1] * (n + 1)
         if self.singles.issuperset(text):
             # of equal scores the piece that starts first stays: pieces that end together come longest first
@@ -103,8 +136,10 @@ class Encoder:
                 end += 1
                 if length and (s := best[end - length] + score) > best[end]:
                     best[end], start[end], piece[end] = s, end - length, i
+        return best, start, piece
+
+    def _ids_to(self, text: str, at: int, start: list[int], piece: list[int]) -> list[int]:
         out: list[int] = []
-        at = n
         while at:
             if piece[at] >= 0:
                 out.append(piece[at])
@@ -113,9 +148,9 @@ class Encoder:
                 out += [self.byte_ids[b] for b in reversed(raw)] if self.byte_ids else [self.unknown_id]
             at = start[at]
         out.reverse()
-        return tuple(out)
+        return out
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
+    def _unit(self, unit: str) -> Sequence[int]:
         ids = self._young.get(unit)
         if ids is None:
             ids = self._old.get(unit)
@@ -150,20 +185,20 @@ class Encoder:
                 out.extend(self._unit(unit))
             return out
         for part in _parts(text):
-            own: list[int] = []
+            own: list[int] | array = [] if len(part) <= 4 * PART else array("i")
             for word in part.split(" "):
                 ids = known.get(MARK + word)
                 if ids is None:
                     if "\n" in word:
                         for unit in _units(MARK + word):
-                            own += self._unit(unit)
+                            own.extend(self._unit(unit))
                         continue
                     ids = self._unit(MARK + word)
                     known = self._young
-                own += ids
+                own.extend(ids)
             if len(text) <= PART:
                 return own
-            out.extend(array("i", own))
+            out.extend(own)
         return out
 
     def decode(self, ids: Sequence[int]) -> str:

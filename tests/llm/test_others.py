@@ -377,3 +377,14 @@ def test_deep_nesting_costs_no_more_than_its_depth():
     page = html.parse("<div class=abc>" * 20_000 + "text" + "</div>" * 20_000)
     assert [b.text for b in page.blocks] == ["text"] and len(page.tokens) == html.DEPTH
     assert sum(len(t) for t in page.tokens) < 300_000
+
+
+@pytest.mark.parametrize("searched", [64, 101, 257])
+def test_sentencepiece_of_unbroken_texts_in_parts(monkeypatch, searched):
+    """A search in parts gives what a search of the whole text gives."""
+    pick = random.Random(searched)
+    texts = ["".join(pick.choice(a) for _ in range(2000)) for a in ("abcdefgh", "日本語テキスト", "abcXYZ019+/", "x", "é☃a\n", "ab☃𝄞\n▁ ")]
+    whole = [list(sentencepiece.Encoder(queries.TOKENIZER).ids(t)) for t in texts]
+    monkeypatch.setattr(sentencepiece, "SEARCHED", searched)
+    encoder = sentencepiece.Encoder(queries.TOKENIZER)
+    assert [list(encoder.ids(t)) for t in texts] == whole
