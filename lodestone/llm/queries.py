@@ -71,8 +71,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.substring import remove_repeats
 
-    kept = remove_repeats(_table(spark, sf_dir, "documents"), 13)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return remove_repeats(_table(spark, sf_dir, "documents"), 13, text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -235,11 +236,11 @@ def _by_document(rows: pa.Table) -> pa.Table:
 
 
 _SPAN = pa.struct([("first_doc", pa.int64()), ("words", pa.string())])
-KEPT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<first_doc: long, words: string>>"
+KEPT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<first_doc: long, words: string>>"
 
 
-def _remover(width: int, mask: int, doubtful: np.ndarray | None = None):
-    """(doc_id, text, hits, exact) to KEPT: windows of doubtful hashes count if exact names their words, all others if they are hits."""
+def _remover(width: int, mask: int, doubtful: np.ndarray | None = None, text: bool = True):
+    """(doc_id, text, hits, exact) to KEPT: windows of doubtful hashes count if exact names their words, all others if they are hits; without text, its hash only."""
     unsure = np.zeros(0, np.uint64) if doubtful is None else doubtful
 
     def one(raw: np.ndarray, hashes: np.ndarray, hits: pa.Scalar, exact: pa.Scalar) -> tuple[int, int, bytes, list[dict]]:
@@ -274,7 +275,10 @@ def _remover(width: int, mask: int, doubtful: np.ndarray | None = None):
                 _, first, hashes = window_hashes(texts, width, mask)
                 rows = [one(texts.data[a:b], hashes[i:j], h, e) for a, b, i, j, h, e in zip(texts.offsets, texts.offsets[1:], first, first[1:], part.column(2), part.column(3))]
                 count, gone, kept, spans = zip(*rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "n_words", "n_removed", "kept_text", "spans"])
+                said = pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()) if text else pa.nulls(len(kept), pa.string())
+                digests = pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())
+                columns = [part.column(0), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), said, digests, pa.array(spans, pa.list_(_SPAN))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"])
 
     return run
 
@@ -408,8 +412,8 @@ class FingerprintIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         remove(self.spark, self.root)
 
-    def apply(self, docs: DataFrame, hits: DataFrame, scratch: Scratch, corpus: DataFrame | None = None) -> DataFrame:
-        """(doc_id, n_words, n_removed, kept_text): the batch without the words that verified windows cover.
+    def apply(self, docs: DataFrame, hits: DataFrame, scratch: Scratch, corpus: DataFrame | None = None, text: bool = True) -> DataFrame:
+        """(doc_id, n_words, n_removed, kept_text, kept_sha256): the batch without the words that verified windows cover; without text, kept_text is null.
 
         corpus (doc_id, text) holds all documents that the index has taken in, to
         verify hits in; without it docs are all there are.  hits have a row for each
@@ -421,7 +425,7 @@ class FingerprintIndex:
         width = self.state["width"]
         none = F.lit(None).cast("array<string>")
         joined = docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits", none.alias("exact"))
-        kept = scratch.save(joined.mapInArrow(ts.thrifty(_remover(width, self.mask)), KEPT), "kept", like=docs)
+        kept = scratch.save(joined.mapInArrow(ts.thrifty(_remover(width, self.mask, text=text)), KEPT), "kept", like=docs)
         bad = self._unverified(kept, corpus, scratch)
         n = bad.count()
         result = kept.drop("spans")
@@ -441,7 +445,7 @@ class FingerprintIndex:
         ids = scratch.save(scratch.read("found-*", "doc_id long").distinct(), "doubtful-ids")
         doubtful = self.spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in bad.toLocalIterator()], np.int64).view(np.uint64)))
         again = docs.join(ids, "doc_id", "left_semi").join(hits, "doc_id", "left").join(exact, "doc_id", "left").select("doc_id", "text", "hits", "exact")
-        again = again.mapInArrow(ts.thrifty(_lazily(_remover, width, self.mask, doubtful)), KEPT)
+        again = again.mapInArrow(ts.thrifty(_lazily(partial(_remover, text=text), width, self.mask, doubtful)), KEPT)
         return result.join(ids, "doc_id", "left_anti").unionByName(again.drop("spans"))
 
     def _unverified(self, kept: DataFrame, corpus: DataFrame, scratch: Scratch) -> DataFrame:
@@ -477,11 +481,12 @@ def buckets_for(n_bytes: int) -> int:
     return min(max(LEAST_BUCKETS, n_bytes // BUCKET_BYTES), MOST_BUCKETS)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, history: float = 0.25, scratch: Scratch | None = None, bits: int = 64) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of every row of docs (doc_id, text, ...).
+def remove_repeats(docs: DataFrame, width: int = 13, history: float = 0.25, scratch: Scratch | None = None, bits: int = 64, text: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text, kept_sha256) of every row of docs (doc_id, text, ...).
 
     Words are runs outside [\\x20\\x09-\\x0D]; kept_text joins the kept ones by one
-    space.  A null text has no words.  A row without doc_id is neither history nor
+    space, kept_sha256 is its SHA-256; without text kept_text is null, and none is
+    written.  A null text has no words.  A row without doc_id is neither history nor
     changed.  Rows that share a doc_id are one document: windows that they share are
     no repeats.  Other columns are ignored.  The table is ingested as three batches:
     the least ``history`` of the doc_ids in two halves, whose runs are compacted, and
@@ -491,7 +496,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, history: float = 0.25, scra
     scratch = scratch or Scratch(spark, "substring")
     known = docs.agg(F.percentile_approx("doc_id", [history / 2, history], 1000).alias("cuts"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if known["cuts"] is None:
-        return FingerprintIndex(spark, scratch.path("index"), width, 1, bits).apply(docs, spark.createDataFrame([], HITS), scratch)
+        return FingerprintIndex(spark, scratch.path("index"), width, 1, bits).apply(docs, spark.createDataFrame([], HITS), scratch, text=text)
     index = FingerprintIndex(spark, scratch.path("index"), width, buckets_for(known["bytes"] or 0), bits)
     low, high = known["cuts"]
     doc_id = F.col("doc_id")
@@ -500,4 +505,4 @@ def remove_repeats(docs: DataFrame, width: int = 13, history: float = 0.25, scra
     index.compact()
     hits = hits.union(index.ingest(docs.filter(doc_id > high), scratch, "rest", keep_run=False))
     index.drop()
-    return index.apply(docs, hits, scratch)
+    return index.apply(docs, hits, scratch, text=text)

@@ -216,6 +216,11 @@ def test_remove_repeats_is_the_same_for_any_split(spark, sf, history):
     check_removed(remove_repeats(docs, history=history).collect(), [tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_remove_repeats_by_hash_alone(awkward):
+    hashed = {(r["doc_id"], r["kept_sha256"]) for r in remove_repeats(awkward, text=False).collect()}
+    assert hashed == {(r["doc_id"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in remove_repeats(awkward).collect()}
+
+
 def test_remove_repeats_of_nothing(nothing):
     assert remove_repeats(nothing).collect() == []
 
