@@ -26,7 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 #: Most queries that are sent to every task at once; beyond, blocks of queries meet blocks of the store.
-QUERY_BLOCK, STORE_BLOCK = 4096, 65_536
+QUERY_BLOCK, STORE_BLOCK, SLICE = 4096, 65_536, 1024
 HIT = "query_id long, doc_id long, score double"
 Hits = tuple[np.ndarray, np.ndarray, np.ndarray]
 
@@ -65,7 +65,8 @@ def _batch(hits: Hits) -> pa.RecordBatch:
 
 def _in_blocks(store: DataFrame, queries: DataFrame, n: int, k: int, exclude_self: bool) -> DataFrame:
     """Blocks of the store and of the queries, each pair met by one task; neither side passes the driver."""
-    q_blocks, s_blocks = -(-n // QUERY_BLOCK), max(1, -(-store.count() // STORE_BLOCK))
+    # as large on either side as a task can hold: the store is shuffled once for each block of queries
+    q_blocks, s_blocks = -(-n // STORE_BLOCK), max(1, -(-store.count() // STORE_BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     own = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     left = store.select("doc_id", "embedding", own("doc_id", s_blocks).alias("s"), every(q_blocks).alias("q"))
@@ -74,12 +75,15 @@ def _in_blocks(store: DataFrame, queries: DataFrame, n: int, k: int, exclude_sel
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_batches([], pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())]))
-        a, b = a.combine_chunks(), b.combine_chunks()
-        ids, vectors, found = b["query_id"].to_numpy(), _vectors(b["embedding"].combine_chunks()), None
-        for start in range(0, a.num_rows, 4096):
-            part = a.slice(start, 4096)
-            found = _joined(found, _best(ids, vectors, part["doc_id"].to_numpy(), _vectors(part["embedding"].combine_chunks()), k, exclude_self), k)
-        return pa.Table.from_batches([_batch(found)])
+        a, b, found = a.combine_chunks(), b.combine_chunks(), []
+        for q in range(0, b.num_rows, SLICE):
+            own, best = b.slice(q, SLICE), None
+            ids, vectors = own["query_id"].to_numpy(), _vectors(own["embedding"].combine_chunks())
+            for start in range(0, a.num_rows, 4 * SLICE):
+                part = a.slice(start, 4 * SLICE)
+                best = _joined(best, _best(ids, vectors, part["doc_id"].to_numpy(), _vectors(part["embedding"].combine_chunks()), k, exclude_self), k)
+            found.append(_batch(best))
+        return pa.Table.from_batches(found)
 
     return left.groupBy("s", "q").cogroup(right.groupBy("s", "q")).applyInArrow(meet, HIT)
 
@@ -132,7 +136,7 @@ def text_rank(store: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b:
     terms = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM), F.lit(0))
     docs = store.select("doc_id", terms(F.col("text")).alias("terms")).withColumn("n", F.size("terms"))
     size = docs.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))  # one row
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct()
     tf = docs.select("doc_id", "n", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "n").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weighed = tf.join(df, "term").join(F.broadcast(size))
@@ -143,9 +147,12 @@ def text_rank(store: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b:
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def hybrid(store: DataFrame, queries: DataFrame, k: int, depth: int = 20) -> DataFrame:
-    """(query_id, doc_id, score, rank): the k rows of store (doc_id, text, embedding) that the rankings by vector and by text, depth deep, put highest together."""
-    return fuse(top_k(store, queries, depth), text_rank(store, queries, depth), k)
+def hybrid(store: DataFrame, queries: DataFrame, k: int, depth: int = 20, by_text: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k rows of store (doc_id, text, embedding) that the rankings by vector and by text, depth deep, put highest together.
+
+    by_text is the ranking by text where an index has made it; see textindex.
+    """
+    return fuse(top_k(store, queries, depth), text_rank(store, queries, depth) if by_text is None else by_text, k)
 
 
 def fuse(a: DataFrame, b: DataFrame, k: int, constant: int = 60) -> DataFrame:

@@ -9,6 +9,8 @@ from lodestone.operators import build, search
 from lodestone.operators import store as st
 from lodestone.operators.ledger import Ledger, create_or_replace
 from lodestone.operators.models import lesson_allowed
+from lodestone.operators.textindex import TextIndex
+from lodestone.operators.vectorindex import VectorIndex
 from lodestone.plans import views as v
 from lodestone.plans.registry import folder, query
 from lodestone.streaming import flows
@@ -264,6 +266,13 @@ def top_vector_search(spark, d):
     return search.top_k(v.kb(spark, d), _queries(spark, d), 10).select("query_id", "doc_id", "score", "rank")
 
 
+@query("top_ann_search", f"WITH {v.KB}, {_KNN.format(where='')} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10")
+def top_ann_search(spark, d):
+    """The same through inverted lists, with the exact finish."""
+    index = VectorIndex.build(v.kb(spark, d), folder(spark))
+    return index.search(_queries(spark, d), 10).select("query_id", "doc_id", "score", "rank")
+
+
 @query("top_batch_search", f"WITH {v.KB}, {_KNN.format(where='')} SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5")
 def top_batch_search(spark, d):
     return search.top_k(v.kb(spark, d), _queries(spark, d), 5).select("query_id", "doc_id", "score", "rank")
@@ -296,16 +305,17 @@ def text_queries(spark, d):
 
 @query("top_text_search", f"WITH {v.KB}, {_TEXTS}, {_BM25} SELECT query_id, doc_id, rank FROM br WHERE rank <= 5")
 def top_text_search(spark, d):
-    """The full-text half of the hybrid search."""
-    return search.text_rank(texts(spark, d), text_queries(spark, d), 5).select("query_id", "doc_id", "rank")
+    """The full-text half of the hybrid search, by the stored index."""
+    return TextIndex.build(texts(spark, d), folder(spark)).search(text_queries(spark, d), 5).select("query_id", "doc_id", "rank")
 
 
 @query("top_hybrid_search", f"""WITH {v.KB}, {_TEXTS}, {_BM25}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb JOIN ts USING (doc_id) WHERE doc_id % 50 = 0), s AS (SELECT query_id, doc_id, floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6 AS score FROM q, (SELECT kb.* FROM kb JOIN ts USING (doc_id))),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s), u AS (SELECT query_id, doc_id, rank FROM r WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM br WHERE rank <= 20),
     f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY 1, 2) SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 5""")
 def top_hybrid_search(spark, d):
-    """Reciprocal-rank fusion of the rankings by vector and by text (BM25)."""
-    return search.hybrid(texts(spark, d), text_queries(spark, d), 5).select("query_id", "doc_id", "rank")
+    """Reciprocal-rank fusion of the rankings by vector and by text (BM25), the latter by the stored index."""
+    store, asked = texts(spark, d), text_queries(spark, d)
+    return search.hybrid(store, asked, 5, by_text=TextIndex.build(store, folder(spark)).search(asked, 20)).select("query_id", "doc_id", "rank")
 
 
 @query("jn_cross_source", f"""WITH {v.KB}, {_KNN.format(where='')}, h AS (SELECT query_id, min(source_type) AS only_type FROM r WHERE rank <= 2 GROUP BY 1 HAVING count(DISTINCT source_type) = 1),
