@@ -334,13 +334,14 @@ def jn_doc_code(spark, d):
     return search.top_k(k.filter("source_type = 'code'"), docs, 3).filter("score >= 0.3").select("query_id", "doc_id", "score")
 
 
-@query("jn_ticket_dedup", f"""WITH {v.KB}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE source_type = 'ticket' AND doc_id % 50 = 0), st AS (SELECT * FROM kb WHERE source_type <> 'ticket' OR doc_id % 4 = 0), s AS (SELECT query_id, max(floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6) AS best FROM q, st GROUP BY 1) SELECT query_id FROM s WHERE best <= 0.85""")
+@query("jn_ticket_dedup", f"""WITH {v.KB}, q AS (SELECT doc_id AS query_id, embedding AS qe FROM kb WHERE source_type = 'ticket' AND doc_id % 50 = 0), st AS (SELECT * FROM kb WHERE source_type <> 'ticket' OR doc_id % 4 = 0), s AS (SELECT query_id, max(floor(greatest(0, list_cosine_similarity(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * 1e6 + 0.5) / 1e6) AS best FROM q, st GROUP BY 1) SELECT query_id, best <= 0.85 AS new FROM s""")
 def jn_ticket_dedup(spark, d):
-    """New tickets without a close entry in the store, which has some of them already."""
+    """Whether each ticket is new: without a close entry in the store, which has some of them already."""
     k = v.kb(spark, d)
     new = k.filter("source_type = 'ticket' AND doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
     best = search.top_k(k.filter("source_type <> 'ticket' OR doc_id % 4 = 0"), new, 1)
-    return new.select("query_id").join(best.filter("score > 0.85"), "query_id", "left_anti")
+    known = best.filter("score > 0.85").select("query_id", F.lit(False).alias("new"))
+    return new.select("query_id").join(known, "query_id", "left").select("query_id", F.coalesce("new", F.lit(True)).alias("new"))
 
 
 @query("top_list_documents", f"WITH {v.KB} SELECT doc_id, source_type, module, source_file FROM kb")
