@@ -181,7 +181,7 @@ def first_mentions(names: DataFrame, docs: DataFrame) -> DataFrame:
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("word"))
     vocabulary = words.groupBy("word").agg(F.min("doc_id").alias("doc_id"))
 
-    sizes = list(range(1, GRAM + 1))
+    sizes = sorted(r[0] for r in low.select(F.least(F.length("probe"), F.lit(GRAM))).distinct().collect()) or [GRAM]  # GRAM numbers at most
     met = vocabulary.select("word", "doc_id", F.explode(grams(F.col("word"), sizes)).alias("gram"))
     asked = low.select("name", "low", "probe", F.explode(grams(F.col("probe"), sizes)).alias("gram")).filter(F.length("gram") == F.least(F.length("probe"), F.lit(GRAM)))
     counted = met.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
