@@ -242,9 +242,12 @@ class Ledger:
 
 
 def create_or_replace(ledger: Ledger, new: DataFrame, errors: DataFrame, existing: Callable[[Column], Column]) -> Snapshot:
-    """Put new into the ledger; where creating a row failed with errors (its key, error), the one that ``existing`` finds in the error goes first, and rows with other errors stay out."""
-    (key,) = ledger.keys
-    named = errors.select(F.col(key), existing(F.col("error")).alias("_existing"))
-    ledger.purge(named.filter("_existing IS NOT NULL").select(F.col("_existing").alias(key)))
-    failed = named.filter("_existing IS NULL").select(key)
-    return ledger.upsert(new.join(failed, key, "left_anti"))
+    """Put new into the ledger; where creating a row failed with errors (its keys, error), the one that ``existing`` finds in the error goes first, and rows with other errors stay out.
+
+    An error names the first key; the other keys of the row that goes are those of the error's own row.
+    """
+    key, *rest = ledger.keys
+    named = errors.select(*ledger.keys, existing(F.col("error")).alias("_existing"))
+    ledger.purge(named.filter("_existing IS NOT NULL").select(F.col("_existing").alias(key), *rest))
+    failed = named.filter("_existing IS NULL").select(*ledger.keys)
+    return ledger.upsert(new.join(failed, ledger.keys, "left_anti"))
