@@ -26,3 +26,16 @@ def test_documents_of_one_id_stay_apart(spark, tmp_path):
     ids = (25302, 82945, 3447, 102617, 13914, 135365, 94092, 171607, 125234, 173228, 1, 2, 3)
     ours, theirs = both(spark, tmp_path, "snk_create_or_replace", documents=([(i, f"text {i}", "en", "web", 9) for i in ids], DOCUMENTS))
     assert ours == theirs
+
+
+def test_doc_code_lists_hits_of_any_similarity(spark, tmp_path):
+    """No document loses its hits for being far from all code."""
+    rows = [(50 * k, [1.0, 0.0], 1) for k in range(1, 4)] + [(k, [0.1 * k, 1.0], 0) for k in range(1, 8)]
+    ours, theirs = both(spark, tmp_path, "jn_doc_code", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    assert ours == theirs
+    assert len(ours) == 9 and {r[3] for r in ours} == {True}
+
+    far = tmp_path / "far"
+    ours, theirs = both(spark, far, "jn_doc_code", embeddings=([(50, [1.0, 0.0], 1), *[(k, [-0.1 * k, 1.0], 0) for k in range(1, 8)]], "vec_id long, embedding array<float>, label int"))
+    assert ours == theirs
+    assert len(ours) == 3 and {r[3] for r in ours} == {False}
