@@ -1,8 +1,9 @@
 """A keyed table that persists: buckets of Parquet under a log of commits.
 
-Rows lie in buckets by the hash of their key.  A change rewrites only the buckets
-that hold a key of it, next to the old ones, and then puts down one commit: a small
-JSON file that says in which folders each bucket lies now.  Readers take the last
+Rows lie in buckets by the hash of their key.  A change writes its own rows and
+rewrites only the buckets that hold a key of it, next to the old ones (to the others
+its rows are added), and then puts down one commit: a small JSON file that says in
+which folders each bucket lies now.  Readers take the last
 commit, so they see a change whole or not at all, and what a writer that failed has
 left behind is never read.  Commits are optimistic: a writer that
 finds its number taken goes on from the newer one, and merges anew only if that
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,6 +26,8 @@ from lodestone.operators.store import latest
 
 #: Times that a change is merged anew before it gives up.
 RETRIES = 8
+#: Folders of a bucket before a change rewrites it as one.
+PARTS = 8
 
 
 class Conflict(RuntimeError):
@@ -33,11 +36,11 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Snapshot:
-    """What a commit says: the folder of each bucket that has rows; action and touched say what it did."""
+    """What a commit says: the folders of each bucket that has rows; action and touched say what it did."""
 
     version: int = 0
     schema: dict | None = None
-    folders: dict[int, str] = field(default_factory=dict)
+    folders: dict[int, list[str]] = field(default_factory=dict)
     action: str = "create"
     touched: list[int] = field(default_factory=list)
 
@@ -107,7 +110,7 @@ class Ledger:
         if not number:
             return Snapshot()
         found = json.loads(self._text(f"log/{number:020d}.json"))
-        return Snapshot(number, found["schema"], {int(b): f for b, f in found["folders"].items()}, found["action"], found["touched"])
+        return Snapshot(number, found["schema"], {int(b): [f] if isinstance(f, str) else f for b, f in found["folders"].items()}, found["action"], found["touched"])
 
     def bucket(self, *values: Column) -> Column:
         return F.pmod(F.xxhash64(*values), F.lit(self.buckets)).cast("int")
@@ -123,7 +126,7 @@ class Ledger:
         if at.schema is None:
             raise ValueError(f"nothing was written to {self.root}")
         schema = StructType.fromJson(at.schema)
-        folders = [f for b, f in at.folders.items() if only is None or b in only]
+        folders = [f for b, own in at.folders.items() if only is None or b in only for f in own]
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in folders])
@@ -149,14 +152,17 @@ class Ledger:
         touched = {int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(self._path(at)) if "=" in s.getPath().getName()}
         batch = self.spark.read.schema(rows.schema).parquet(*[f"{self.root}/{at}/_bucket={b}" for b in touched]) if touched else None
 
-        def change(base: Snapshot, mine: set[int]) -> dict[int, str]:
-            fresh = {b: f"{at}/_bucket={b}" for b in mine if b not in base.folders}
-            full = mine - set(fresh)
-            if not full:
-                return fresh
-            old = self._rows(base, full)
-            kept = old.join(batch, self._same(old, batch), "left_anti")
-            return fresh | self._write(kept.unionByName(batch.filter(self._own_bucket().isin(*full)), allowMissingColumns=True))
+        def change(base: Snapshot, mine: set[int]) -> dict[int, list[str]]:
+            own = {b: [f"{at}/_bucket={b}"] for b in mine}
+            held = mine & set(base.folders)
+            if not held:
+                return own
+            known = self._rows(base, held).select(*self.keys)
+            full = self._buckets_of(known.join(batch, self._same(known, batch), "left_semi"))  # a key is there already
+            full |= {b for b in held if len(base.folders[b]) >= PARTS}
+            kept = self._write(self._without(self._rows(base, full), batch)) if full else {}
+            before = {b: kept.get(b, []) if b in full else base.folders[b] for b in held}
+            return {b: before.get(b, []) + f for b, f in own.items()}
 
         return self._commit("upsert", lambda base: rows.schema if base.schema is None else self._union(base, rows.schema), lambda base: touched, change)
 
@@ -175,9 +181,13 @@ class Ledger:
             rows = self._rows(base, self._buckets_of(gone) if by == self.keys else None)
             return self._buckets_of(rows.join(gone, self._same(rows, gone, by), "left_semi"))
 
-        def change(base: Snapshot, mine: set[int]) -> dict[int, str]:
-            rows = self._rows(base, mine) if mine else None
-            return self._write(rows.join(gone, self._same(rows, gone, by), "left_anti")) if mine else {}
+        def change(base: Snapshot, mine: set[int]) -> dict[int, list[str]]:
+            if not mine:
+                return {}
+            rows = self._rows(base, mine)
+            if by == self.keys:
+                return self._write(self._without(rows, gone.filter(self._own_bucket().isin(*mine))))
+            return self._write(rows.join(gone, self._same(rows, gone, by), "left_anti"))
 
         return self._commit("purge", lambda base: base.schema and StructType.fromJson(base.schema), touched, change)
 
@@ -185,15 +195,21 @@ class Ledger:
         """Delete all rows; former versions stay readable until vacuum()."""
         return self._commit("clear", lambda base: base.schema and StructType.fromJson(base.schema), lambda base: set(base.folders), lambda base, mine: {})
 
-    def _write(self, rows: DataFrame) -> dict[int, str]:
+    def _without(self, rows: DataFrame, gone: DataFrame) -> DataFrame:
+        """rows, with their bucket, but for those with gone's keys: both are dealt by bucket, so rows are shuffled once until they are written."""
+        marked = rows.withColumn("_gone", F.lit(False)).unionByName(gone.select(*self.keys, F.lit(True).alias("_gone")), allowMissingColumns=True)
+        dealt = marked.withColumn("_bucket", self._own_bucket()).repartition("_bucket")
+        return dealt.withColumn("_gone", F.max("_gone").over(Window.partitionBy("_bucket", *self.keys))).filter("NOT _gone").drop("_gone")
+
+    def _write(self, rows: DataFrame) -> dict[int, list[str]]:
         """Write whole buckets; where each lies."""
         at = f"data/{uuid.uuid4().hex}"
-        own = rows.withColumn("_bucket", self._own_bucket())
-        own.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{at}")
+        own = rows if "_bucket" in rows.columns else rows.withColumn("_bucket", self._own_bucket()).repartition("_bucket")
+        own.write.partitionBy("_bucket").parquet(f"{self.root}/{at}")
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(at))]
-        return {int(n.split("=")[1]): f"{at}/{n}" for n in names if n.startswith("_bucket=")}
+        return {int(n.split("=")[1]): [f"{at}/{n}"] for n in names if n.startswith("_bucket=")}
 
-    def _commit(self, action: str, schema: Callable, touched: Callable[[Snapshot], set[int]], change: Callable[[Snapshot, set[int]], dict[int, str]]) -> Snapshot:
+    def _commit(self, action: str, schema: Callable, touched: Callable[[Snapshot], set[int]], change: Callable[[Snapshot, set[int]], dict[int, list[str]]]) -> Snapshot:
         """Apply change, which gives the folders of the touched buckets that have rows left, to the last commit."""
         base = self.snapshot()
         for _ in range(RETRIES):
@@ -225,7 +241,7 @@ class Ledger:
         at: int | None = None
         for _ in range(keep):
             found = self.snapshot(at)
-            live |= set(found.folders.values())
+            live |= {f for own in found.folders.values() for f in own}
             at = found.version - 1
         n = 0
         data = self._path("data")
