@@ -345,7 +345,8 @@ def str_func_card_text(spark, d):
     phases = F.when(n % 2 == 0, F.transform(some("n"), lambda p: F.struct(p.alias("name"), F.lit(None).cast("string").alias("description"))))
     contract = F.struct(some("p").alias("params"), n.cast("string").alias("returns"))
     card = F.from_json(F.to_json(F.struct(F.col("p_name").alias("name"), contract.alias("contract"), phases.alias("phases"), F.lit("high").alias("complexity"))), r.CARD)
-    return v.table(spark, d, "part").select("p_partkey", r.function_card(card, F.lit("f.py"), some("c"), F.array().cast("array<string>")).alias("text"))
+    parts = v.table(spark, d, "part").select("p_partkey", "p_name", "p_size").repartition("p_partkey")  # a small file of many rows is one task's
+    return parts.select("p_partkey", r.function_card(card, F.lit("f.py"), some("c"), F.array().cast("array<string>")).alias("text"))
 
 
 @query("str_detect_classes", f"""WITH {CHUNKS} SELECT doc_id, {_CLASS} AS name, chunk AS snippet FROM ck WHERE doc_id % 9 IN (0, 3) AND NOT {_KEY}""")
