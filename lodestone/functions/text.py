@@ -125,7 +125,10 @@ def class_name(chunk: Column) -> Column:
 
 
 def function_name(chunk: Column) -> Column:
-    return _first_named(_head(chunk, 5), FUNCTION_SIGNATURES)
+    """The function that the first five lines declare; keywords are no names."""
+    head = _head(chunk, 5)
+    # every signature has one of the two; the patterns walk back and forth over lines without
+    return F.when(F.contains(head, F.lit("(")) | F.contains(head, F.lit("<")), _first_named(head, FUNCTION_SIGNATURES))
 
 
 def class_owner(chunk: Column) -> Column:

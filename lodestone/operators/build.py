@@ -67,13 +67,14 @@ PREPASS = "summary STRING, params ARRAY<STRING>, chunk_questions ARRAY<STRING>"
 def function_contexts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     """(path, chunk_index, context) for the chunks of functions of several: what their summaries should know.
 
-    chunks (path, chunk_index, island, chunk); answers (path, island, answer): JSON of
-    PREPASS, fenced or not.  Each chunk gets the function's summary, parameters and its
+    chunks (path, chunk_index, island, chunk, or name where that is known already);
+    answers (path, island, answer): JSON of PREPASS, fenced or not.  Each chunk gets the function's summary, parameters and its
     own questions.  Where there is no answer, or none that can be read, the chunks
     after the first are told what they continue.
     """
     w = Window.partitionBy("path", "island").orderBy("chunk_index")
-    named = chunks.select("path", "island", "chunk_index", F.row_number().over(w).alias("i"), F.first(F.coalesce(x.function_name(F.col("chunk")), F.lit("unknown"))).over(w).alias("name"))
+    name = F.col("name") if "name" in chunks.columns else x.function_name(F.col("chunk"))
+    named = chunks.select("path", "island", "chunk_index", F.row_number().over(w).alias("i"), F.first(F.coalesce(name, F.lit("unknown"))).over(w).alias("name"))
     said = named.join(answers.select("path", "island", F.from_json(x.strip_fence(F.col("answer")), PREPASS).alias("a")), ["path", "island"], "left")
     read = F.col("a.summary").isNotNull() | F.col("a.params").isNotNull() | F.col("a.chunk_questions").isNotNull()
     several = said.withColumn("n", F.max("i").over(Window.partitionBy("path", "island"))).filter("n > 1")

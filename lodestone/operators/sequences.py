@@ -37,18 +37,20 @@ def line_windows(files: DataFrame, step: int = 60, length: int = 70, max_chars:
     """(path, chunk_index, text): overlapping windows of lines, blank ones dropped, cut to max_chars."""
     x = files.select("path", F.split("content", "\n").alias("lines"))
     starts = F.sequence(F.lit(1), F.size("lines"), F.lit(step))
-    each = x.select("path", "lines", F.posexplode(starts).alias("chunk_index", "start"))
-    text = F.array_join(F.slice("lines", F.col("start"), length), "\n")
-    return each.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), F.substring(text, 1, max_chars).alias("text")).filter(F.trim(F.col("text")) != "")
+    # a window's row holds its own text, not all lines of the file
+    texts = F.transform(starts, lambda s: F.substring(F.array_join(F.slice("lines", s, length), "\n"), 1, max_chars))
+    each = x.select("path", F.posexplode(texts).alias("chunk_index", "text"))
+    return each.select("path", F.col("chunk_index").cast("long").alias("chunk_index"), "text").filter(F.trim(F.col("text")) != "")
 
 
-def function_groups(chunks: DataFrame, name: Column, keys: list[str], order: str, text: str = "text", overlap: int = 10) -> DataFrame:
+def function_groups(chunks: DataFrame, name: Column, keys: list[str], order: str, text: str = "text", overlap: int = 10, named: str | None = None) -> DataFrame:
     """chunks with island, which numbers the functions of a key in order, each of one chunk or several.
 
     A chunk goes on with the function of the one before if both have the same name, or
     if its first ``overlap`` lines, white space around them aside, stand within the
     last ones of the chunk before and the line after them is indented.  name is an
     expression over a chunk; a chunk of no more lines than overlap goes on by name only.
+    With named, the chunk's own name stays as a column of that name.
     """
     lines = F.filter(F.split(F.regexp_replace(F.col(text), r"\n$", ""), r"\r\n|\n|\r"), lambda x: x.isNotNull())
     join = lambda x: F.array_join(x, "\n")
@@ -61,7 +63,7 @@ def function_groups(chunks: DataFrame, name: Column, keys: list[str], order: str
     overlaps = F.col("_inside") & (F.col("_head") != "") & F.contains(F.col("_prev._tail"), F.col("_head"))
     start = F.when(F.coalesce((F.col("_prev._name") == F.col("_name")), F.lit(False)) | F.coalesce(overlaps, F.lit(False)), 0).otherwise(1)
     numbered = before.withColumn("_start", start).withColumn("island", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.drop("_name", "_head", "_tail", "_inside", "_prev", "_start")
+    return (numbered.withColumnRenamed("_name", named) if named else numbered.drop("_name")).drop("_head", "_tail", "_inside", "_prev", "_start")
 
 
 def stripped(text: Column) -> Column:

@@ -299,15 +299,19 @@ def grp_overview_rows(spark, d):
     return row(e, -1, "file_overview").unionByName(row(e.filter("chunk_type = 'class_overview'"), -2, "class_overview"))
 
 
-def _grouped(spark, d):
-    return seq.function_groups(v.functions(spark, d), x.function_name(F.col("text")), ["path"], "chunk_index").withColumnRenamed("text", "chunk")
+def _grouped(spark, d, *columns):
+    """The columns of the windows of functions, made once and kept: path, chunk_index, island, chunk, name."""
+    at = f"{folder(spark)}/windows"
+    made = seq.function_groups(v.functions(spark, d), x.function_name(F.col("text")), ["path"], "chunk_index", named="name").withColumnRenamed("text", "chunk").select(*columns)
+    made.write.parquet(at)
+    return spark.read.schema(made.schema).parquet(at)
 
 
 @query("grp_function_cards", f"""WITH {v.FUNCTIONS}, k AS (SELECT path, island, coalesce(first(name ORDER BY chunk_index), 'unknown') AS name, string_agg(text, chr(10) ORDER BY chunk_index) AS code, list('Chunk ' || chunk_index || ': s' ORDER BY chunk_index) FILTER (chunk_index % 4 < 3) AS summaries, count(*) AS n FROM fng GROUP BY 1, 2)
     SELECT path, island, CASE WHEN name IS NULL THEN 'unknown' ELSE name END AS name, -3 AS chunk_index, summaries, CASE WHEN length(code) > 6000 THEN substr(code, 1, 3000) || chr(10) || chr(10) || '... [truncated] ...' || chr(10) || chr(10) || right(code, 2000) ELSE code END AS code FROM k WHERE n > 1 AND summaries IS NOT NULL""")
 def grp_function_cards(spark, d):
     """A card for each function of several windows, of which a quarter has no summary."""
-    chunks = _grouped(spark, d)
+    chunks = _grouped(spark, d, "path", "chunk_index", "island", "chunk")
     said = chunks.filter("chunk_index % 4 < 3").select("path", "chunk_index", F.lit("s").alias("summary"))
     return build.function_cards(chunks, said)
 
@@ -317,7 +321,7 @@ def grp_function_cards(spark, d):
         ELSE '[Continuation of ' || fn || '()]' END AS context FROM r WHERE n > 1 AND (i > 1 OR island % 3 = 0)""")
 def grp_func_prepass(spark, d):
     """What the windows of a function should know; a model has spoken of a third of the functions, of another third in no JSON."""
-    chunks = _grouped(spark, d)
+    chunks = _grouped(spark, d, "path", "chunk_index", "island", "name")
     told = F.to_json(F.struct(F.concat(F.lit("reads "), "path").alias("summary"), F.array(F.lit("x: input"), F.lit("y: output")).alias("params"), F.array(F.array(F.lit("what is checked")), F.array(F.lit("when it ends"), F.lit("what is left"))).alias("chunk_questions")))
     answer = F.when(F.col("island") % 3 == 0, F.concat(F.lit("```json\n"), told, F.lit("\n```"))).otherwise("I cannot tell")
     return build.function_contexts(chunks, chunks.filter("island % 3 < 2").select("path", "island", answer.alias("answer")).distinct())
