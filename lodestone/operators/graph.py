@@ -221,17 +221,24 @@ def resolve_references(references: DataFrame, files: DataFrame, suffixes: tuple[
     return asked.join(best, ["home", "ref"]).select("path", "ref", "b.target")
 
 
+def head_of(content: Column, lines: int = 40) -> Column:
+    """The first lines of a file, and how many more it has."""
+    split = F.split(F.regexp_replace(content, r"\n$", ""), "\n")
+    more = F.when(F.size(split) > lines, F.concat(F.lit("\n... ("), (F.size(split) - lines).cast("string"), F.lit(" more lines)"))).otherwise("")
+    return F.concat(F.array_join(F.slice(split, 1, lines), "\n"), more)
+
+
 def reference_context(chunks: DataFrame, files: DataFrame, most: int = 3, first: int = 6, lines: int = 40) -> DataFrame:
     """(id, context) of chunks (id, path, refs): the heads of the files that a chunk's references mean.
 
-    Of the first references, each once, up to ``most`` whose file (path, content) says
-    more than 20 characters give its first lines, and how many more it has.
+    Of the first references, each once, up to ``most`` whose file (path, content, or
+    head where that is known already) says more than 20 characters give its first
+    lines, and how many more it has.
     """
     numbered = chunks.select("id", "path", F.posexplode(F.array_distinct(F.slice("refs", 1, first))).alias("i", "ref"))
     meant = resolve_references(numbered.select("path", "ref").distinct(), files)
-    split = F.split(F.regexp_replace("content", r"\n$", ""), "\n")
-    more = F.when(F.size(split) > lines, F.concat(F.lit("\n... ("), (F.size(split) - lines).cast("string"), F.lit(" more lines)"))).otherwise("")
-    heads = files.select(F.col("path").alias("target"), F.concat(F.array_join(F.slice(split, 1, lines), "\n"), more).alias("head")).filter(F.length(F.regexp_replace("head", r"(?U)^\s+|\s+$", "")) > 20)
+    head = F.col("head") if "head" in files.columns else head_of(F.col("content"), lines)
+    heads = files.select(F.col("path").alias("target"), head.alias("head")).filter(F.length(F.regexp_replace("head", r"(?U)^\s+|\s+$", "")) > 20)
     told = numbered.join(meant, ["path", "ref"]).join(heads.select("target"), "target", "left_semi")
     kept = told.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("i"))).filter(F.col("k") <= most)
     part = F.concat(F.lit("["), "target", F.lit("]\n"), "head")

@@ -10,7 +10,7 @@ from lodestone.functions import text as x
 from lodestone.operators import graph as g
 from lodestone.operators import sequences as seq
 from lodestone.plans import views as v
-from lodestone.plans.registry import query
+from lodestone.plans.registry import folder, query
 
 _Q = lambda s: s.replace("'", "''")
 _contained = lambda low, parts: " + ".join(f"CAST(contains({low}, '{_Q(p)}') AS INTEGER)" for p in parts)
@@ -154,8 +154,11 @@ def str_calls_from_code(spark, d):
     SELECT r.path, refs, context FROM r LEFT JOIN x ON x.path = r.path""")
 def str_cross_refs(spark, d):
     """The references of each source file, and the heads of the files that they mean."""
-    files = v.tree(spark, d)
-    chunks = files.select(F.col("path").alias("id"), "path", x.cross_references(F.col("content")).alias("refs"))
+    at = f"{folder(spark)}/tree"
+    made = v.tree(spark, d).select("path", x.cross_references(F.col("content")).alias("refs"), g.head_of(F.col("content")).alias("head"))
+    made.write.parquet(at)  # each text is parsed once
+    files = spark.read.schema(made.schema).parquet(at)
+    chunks = files.select(F.col("path").alias("id"), "path", "refs")
     context = g.reference_context(chunks, files)
     return chunks.join(context, "id", "left").select("path", "refs", "context")
 
