@@ -146,9 +146,10 @@ class Ledger:
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> Snapshot:
         """Put rows in place of those with their keys; of rows with equal keys the last by order stays, or any one."""
-        new = latest(rows, self.keys, order) if order else rows.dropDuplicates(self.keys)
+        dealt = rows.withColumn("_bucket", self._own_bucket()).repartition("_bucket")  # a bucket is one file, not one of every task
+        new = latest(dealt, ["_bucket", *self.keys], order) if order else dealt.dropDuplicates(["_bucket", *self.keys])
         at = f"data/{uuid.uuid4().hex}"  # the batch is written once, however often it is merged
-        new.withColumn("_bucket", self._own_bucket()).write.partitionBy("_bucket").parquet(f"{self.root}/{at}")
+        new.write.partitionBy("_bucket").parquet(f"{self.root}/{at}")
         touched = {int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(self._path(at)) if "=" in s.getPath().getName()}
         batch = self.spark.read.schema(rows.schema).parquet(*[f"{self.root}/{at}/_bucket={b}" for b in touched]) if touched else None
 

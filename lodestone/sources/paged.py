@@ -5,7 +5,7 @@ Where pages are numbered, a batch is split into ranges of pages that tasks fetch
 by side; where a page alone knows the next cursor, one task walks them and hands rows
 on as they come, so no page is gathered anywhere.  As a stream the offset is the cursor
 of the last page read and how many of its items were: a batch is the pages between two
-offsets, one task each, and a query goes on from the offset that its checkpoint holds.
+offsets, as many of a task as in a batch, and a query goes on from the offset that its checkpoint holds.
 
 Options: url (a folder, or an http address), perPartition (pages of a task, 8), from (a
 cursor to begin at), state (a file in which a stream notes the last offset it has
@@ -198,14 +198,19 @@ class PagedStream(DataSourceStreamReader):
         return self.last
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        out, cursor, skip = [], start["cursor"], start["items"]
+        out, whole, cursor, skip = [], [], start["cursor"], start["items"]
         while cursor != end["cursor"]:
             n, after = self._page(cursor)
-            if n > skip:
+            if n > skip and skip:
                 out.append(Stretch([cursor], skip, n))
+            elif n > skip:
+                whole.append(cursor)
             if after is None:
                 raise RuntimeError(f"no page leads from {start['cursor']!r} to {end['cursor']!r}")
             cursor, skip = after, 0
+        # a page that leads to another has all its items
+        some = max(1, int(self.options.get("perpartition", "8")))
+        out += [Stretch(whole[k : k + some]) for k in range(0, len(whole), some)]
         if end["items"] > skip:
             out.append(Stretch([cursor], skip, end["items"]))
         return out

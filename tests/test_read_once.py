@@ -45,3 +45,13 @@ def test_pages_of_a_stream_share_tasks(tmp_path, skip):
     parts = stream.partitions({"cursor": "", "items": skip}, end)
     assert len(parts) <= 7  # not one for each page
     assert sorted(x[2] for p in parts for x in stream.read(p)) == sorted([f"{k}{x}" for k in range(20) for x in "ab"][skip:])
+
+
+def test_a_bucket_of_a_batch_is_one_file(spark, tmp_path):
+    from lodestone.operators.ledger import Ledger
+
+    store = Ledger(spark, f"file://{tmp_path}/store", ["key"], buckets=5)
+    rows = spark.range(400).selectExpr("id % 200 AS key", "id AS n").repartition(8)
+    store.upsert(rows, "n")
+    assert len(list((tmp_path / "store" / "data").glob("*/*/part-*"))) == 5
+    assert {(r["key"], r["n"]) for r in store.read().collect()} == {(k, k + 200) for k in range(200)}
